@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, token_counts, topk
+from . import language, mixing, near_duplicates, quality, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op3_topk": topk.op3_topk,
+        "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality": quality.op7_quality,
         "op9_language": language.op9_language,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op4_near_duplicates": near_duplicates.OP4_SQL}
