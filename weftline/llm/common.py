@@ -95,10 +95,18 @@ def _letter_table(lower: bool) -> np.ndarray:
     return table
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every word of the rows: hash, start, end (bytes in ``data``), and per row the index of its first word (one more at the end)."""
+def byte_set(separators: bytes | tuple[int, ...]) -> np.ndarray:
+    """For each byte whether it belongs to a word."""
     inside = np.ones(256, bool)
-    inside[list(_SEPARATORS)] = False
+    inside[list(separators)] = False
+    return inside
+
+
+_INSIDE = byte_set(_SEPARATORS)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, inside: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of the rows: hash, start, end (bytes in ``data``), and per row the index of its first word (one more at the end)."""
     own = inside[data]
     first = own.copy()
     first[1:] &= ~own[:-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language, mixing, near_duplicates, quality, token_counts, topk
+from . import html_text, language, mixing, near_duplicates, quality, substrings, token_counts, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op3_topk": topk.op3_topk,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
+        "op5_substrings": substrings.op5_substrings,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality": quality.op7_quality,
         "op9_language": language.op9_language,
