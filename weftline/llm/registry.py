@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language, mixing, near_duplicates, quality, substrings, token_counts, topk
+from . import decontamination, html_text, language, mixing, near_duplicates, quality, substrings, token_counts, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_substrings": substrings.op5_substrings,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_quality": quality.op7_quality,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_language": language.op9_language,
         "op10_main_text": html_text.op10_main_text,
     }
