@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +22,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder: survives lost executors and cuts the lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder, and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder: survives lost executors and cuts the lineage."""
+    shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    context._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to any more
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to any more
     return out
 
 

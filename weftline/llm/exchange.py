@@ -19,17 +19,19 @@ from .common import table_bytes, utf8
 
 GROUP_BYTES = 6 << 20
 LEAST_BUCKETS = 32
+GROUP = "_exchange_group"
 LAST = np.int64(2**63 - 1)
 
 
 class Exchange:
-    """``docs`` (doc_id, text) dealt into groups; rounds of ``ask`` and ``answer``, at last ``apply``."""
+    """``docs`` (doc_id, text and further columns) dealt into groups; rounds of ``ask`` and ``answer``, at last ``apply``."""
 
     def __init__(self, docs: DataFrame, keys_per_byte: float, keys_per_bucket: int = 750_000):
         total = table_bytes(docs, "text")
         self.groups = max(1, math.ceil(total / GROUP_BYTES))
         self.buckets = max(LEAST_BUCKETS, math.ceil(total * keys_per_byte / keys_per_bucket))
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.groups)).alias("g"))
+        rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text", GROUP)]
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest, F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.groups)).alias(GROUP))
 
     def ask(self, extract: Callable[[pa.Table, pa.Table | None], dict[int, bytes]], answers: DataFrame | None = None) -> DataFrame:
         """(bucket, g, block): what ``extract`` gives for each bucket from a group's documents, and its earlier answers."""
@@ -40,8 +42,8 @@ class Exchange:
             return pa.table({"bucket": pa.array([k for k, _ in items], pa.int64()), "g": pa.array([g] * len(items), pa.int64()), "block": pa.array([v for _, v in items], pa.binary())})
 
         if answers is None:
-            return self.docs.groupBy("g").applyInArrow(lambda key, t: rows(key[0].as_py(), extract(t, None)), schema)
-        both = self.docs.groupBy("g").cogroup(answers.groupBy("g"))
+            return self.docs.groupBy(GROUP).applyInArrow(lambda key, t: rows(key[0].as_py(), extract(t, None)), schema)
+        both = self.docs.groupBy(GROUP).cogroup(answers.groupBy("g"))
         return both.applyInArrow(lambda key, t, a: rows(key[0].as_py(), extract(t, a)), schema)
 
     def answer(self, asked: DataFrame, resolve: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -57,7 +59,7 @@ class Exchange:
 
     def apply(self, answers: DataFrame, finish: Callable[[pa.Table, list[bytes]], pa.Table], schema: T.StructType | str) -> DataFrame:
         """The result rows of every group from its documents and the answers to it."""
-        both = self.docs.groupBy("g").cogroup(answers.groupBy("g"))
+        both = self.docs.groupBy(GROUP).cogroup(answers.groupBy("g"))
         return both.applyInArrow(lambda key, t, a: finish(t, a.column("block").to_pylist()), schema)
 
 

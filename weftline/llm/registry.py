@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language, mixing, near_duplicates, quality, substrings, token_counts, topk
+from . import decontamination, html_text, language, mixing, near_duplicates, quality, substrings, suffixes, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_suffixes": suffixes.op2_suffixes,
         "op3_topk": topk.op3_topk,
         "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_substrings": substrings.op5_substrings,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op4_near_duplicates": near_duplicates.OP4_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_suffixes": suffixes.OP2_SQL, "op3_topk": topk.OP3_SQL, "op4_near_duplicates": near_duplicates.OP4_SQL}

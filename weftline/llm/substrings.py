@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import _powers, mix, read, slices
 from .exchange import LAST, Exchange, least, owners, texts
@@ -91,13 +91,14 @@ def _combined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_bytes, n_removed, spans): each row's text without its repeated passages.
+    """``docs`` with each row's text without its repeated passages, and n_bytes, n_removed and spans (input columns of those names give way).
 
     spans lists the removed [start, end) bytes of the text. A passage stays where its document has the smallest doc_id of
     those that hold it; a null doc_id comes after all others. Repeats within one document, and between rows of one doc_id,
     stay. Null texts stay null with 0 bytes, empty ones empty; a text that is removed whole becomes empty. No row is dropped.
     """
-    room = Exchange(docs, 1 / MEAN_CHUNK)
+    rest = [f for f in docs.schema.fields if f.name.lower() not in ("doc_id", "text", "n_bytes", "n_removed", "spans")]
+    room = Exchange(docs.select("doc_id", "text", *[F.col(f"`{f.name}`") for f in rest]), 1 / MEAN_CHUNK)
     buckets = np.uint64(room.buckets)
 
     def extract(table: pa.Table, _) -> dict[int, bytes]:
@@ -158,13 +159,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         null = table.column("text").combine_chunks().is_null().to_pylist() if table.num_rows else []
         return pa.table({
             "doc_id": table.column("doc_id"),
+            **{f.name: table.column(f.name) for f in rest},
             "text": pa.array([None if n else k.decode() for n, k in zip(null, kept)], pa.string()),
             "n_bytes": pa.array(sizes, pa.int64()),
             "n_removed": pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
-    schema = "doc_id long, text string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *rest, *T._parse_datatype_string("text string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields])
     return room.apply(room.answer(room.ask(extract), resolve), finish, schema)
 
 
