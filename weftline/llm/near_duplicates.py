@@ -114,37 +114,46 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, elements binary")
 
 
-ARMS = 256
+BLOCK = 256
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, total) of the distinct ``pairs`` (a, b), on full sets; linked = 100 * common >= percent * total.
+    """(a, b, common, total, linked) of the distinct ``pairs`` (cluster, a, b), on full sets; linked = 100 * common >= percent * total.
 
-    A hub's arms are dealt out in groups of about ARMS, each with one copy of the hub's set, and streamed past it.
+    The pairs of a cluster are cut into blocks of about BLOCK by BLOCK members, so a set is sent once for each block it
+    takes part in, not once for each pair; the b side of a block is held, the a side is streamed past it.
     """
-    degrees = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ARMS).alias("salts"))
-    arms = pairs.join(degrees, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts"))).drop("salts")
-    arms = arms.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("side"), "a", "elements")
-    hubs = degrees.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    hubs = hubs.join(sets.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("a"), "elements")
-    dealt = hubs.unionByName(arms).repartition(F.col("b"), F.col("salt")).sortWithinPartitions("b", "salt", "side", "a")
+    degrees = pairs.groupBy("cluster").agg(F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
+    cut = lambda side, n: F.pmod(F.xxhash64(F.col(side), F.lit(n)), F.ceil(F.col(n) / BLOCK))
+    placed = pairs.join(degrees, "cluster").select("cluster", cut("a", "na").alias("x"), cut("b", "nb").alias("y"), "a", "b")
+    where = ["cluster", "x", "y"]
+    arms = placed.groupBy(*where, "a").agg(F.collect_list("b").alias("others"))
+    arms = arms.join(sets.withColumnRenamed("node", "a"), "a").select(*where, F.lit(1).alias("side"), F.col("a").alias("node"), "others", "elements")
+    held = placed.select(*where, "b").distinct().join(sets.withColumnRenamed("node", "b"), "b")
+    held = held.select(*where, F.lit(0).alias("side"), F.col("b").alias("node"), F.array().cast("array<long>").alias("others"), "elements")
+    dealt = held.unionByName(arms).repartition(*[F.col(c) for c in where]).sortWithinPartitions(*where, "side", "node")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, []
+        at, known = None, {}
         for batch in stream:
             out: list[tuple[int, int, int, int]] = []
-            for b, salt, side, a, blob in zip(*(batch.column(i) for i in range(3)), batch.column(3), batch.column(4)):
-                key = (b.as_py(), salt.as_py())
-                if key != at:
-                    at, hub = key, []
-                own = np.frombuffer(blob.as_buffer(), np.uint64)
-                if side.as_py() == 0:
-                    hub.append(np.array(own))
+            places = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            sides, nodes, others, blobs = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)
+            for i, place in enumerate(places):
+                if place != at:
+                    at, known = place, {}
+                own = np.frombuffer(blobs[i].as_buffer(), np.uint64)
+                if sides[i] == 0:
+                    known.setdefault(nodes[i], []).append(np.array(own))
                     continue
-                for other in hub:
-                    place = np.searchsorted(other, own)
-                    common = int((other[np.minimum(place, len(other) - 1)] == own).sum()) if len(other) else 0
-                    out.append((a.as_py(), key[0], common, len(own) + len(other) - common))
+                for b in others[i]:
+                    for other in known.get(b, ()):
+                        common = 0
+                        if len(other) and len(own):
+                            spot = np.searchsorted(other, own)
+                            spot[spot == len(other)] = 0
+                            common = int(np.count_nonzero(other[spot] == own))
+                        out.append((nodes[i], b, common, len(own) + len(other) - common))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["a", "b", "common", "total"])
 
     found = dealt.mapInArrow(run, "a long, b long, common long, total long")
@@ -231,7 +240,7 @@ def _all_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> Data
     hubs = ranked.groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"))
     hubs = durable(hubs)
     arms = places.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & possible("n", "hub_n"))
-    tested = durable(confirm(arms.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
+    tested = durable(confirm(arms.select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
     distance = tested.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("total")).alias("d"))
     placed = places.join(hubs, "key").join(distance.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "d"), ["rep", "hub"], "left")
     placed = placed.select("key", "rep", "n", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
@@ -240,22 +249,24 @@ def _all_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> Data
     while True:
         groups = components(tested.filter("linked"))
         labelled = placed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y").select("key", "members")
+        parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("largest")).filter("members > largest")
         open_ = durable(labelled.join(mixed, "key"))
-        left = open_.groupBy("key").agg(F.first("members").cast("double").alias("s")).agg(F.sum(F.col("s") * F.col("s") / 2).alias("pairs")).first()["pairs"]
+        left = open_.filter("component <> main").agg(F.sum(F.col("members").cast("double")).alias("pairs")).first()["pairs"]
         if not left:
             return tested.filter("linked")
-        few = left <= 8 * rows + 100_000
+        few = left <= 30 * rows + 1_000_000
         if few:
-            x, y = open_.select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "d", "component")]), open_.select("key", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "d", "component")])
+            x = open_.filter("component <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "d", "component")])
+            y = open_.select("key", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "d", "component")])
             near = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) * 100 <= (100 - percent) + 1e-6, F.lit(True))
-            pairs = x.join(y, "key").filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & possible("n_x", "n_y") & near)
-            pairs = pairs.select(F.col("rep_y").alias("a"), F.col("rep_x").alias("b"))
+            pairs = x.join(y, "key").filter((F.col("component_x") != F.col("component_y")) & possible("n_x", "n_y") & near)
+            pairs = pairs.select(F.col("component_y").alias("cluster"), F.col("rep_y").alias("a"), F.col("rep_x").alias("b"))
         else:
             fresh = open_.join(used, ["key", "rep"], "left_anti").join(central, "rep")
             next_hubs = durable(fresh.groupBy("key").agg(rank.alias("h"), F.max_by("component", F.struct("c", (-F.col("rep")).alias("r"))).alias("hub_component")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"), "hub_component"))
             used = durable(used.unionByName(next_hubs.select("key", F.col("hub").alias("rep"))))
-            pairs = open_.join(next_hubs, "key").filter((F.col("component") != F.col("hub_component")) & possible("n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+            pairs = open_.join(next_hubs, "key").filter((F.col("component") != F.col("hub_component")) & possible("n", "hub_n")).select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b"))
         pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         tested = durable(tested.unionByName(confirm(durable(pairs), sets, percent)))
         if few:
