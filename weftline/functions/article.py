@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column, functions as F
+
 from weftline.functions.dom import Node
 from weftline.functions.noise import HEADINGS, matches
 from weftline.functions.render import to_html
@@ -93,6 +95,14 @@ def retains_enough(article_length: int, page_length: int, article_headings: int,
     return not (page_code and article_code / page_code < LEAST_CODE)
 
 
+def retention(article_length: Column, page_length: Column, article_headings: Column, page_headings: Column, article_code: Column, page_code: Column) -> Column:
+    """``retains_enough`` as an expression."""
+    short = (page_length >= LEAST_LENGTH) & (article_length / page_length < LEAST_RATIO)
+    headless = (page_headings > 0) & (article_headings / F.nullif(page_headings, F.lit(0)) < LEAST_HEADINGS)
+    codeless = (page_code > 0) & (article_code / F.nullif(page_code, F.lit(0)) < LEAST_CODE)
+    return ~(F.coalesce(short, F.lit(False)) | F.coalesce(headless, F.lit(False)) | F.coalesce(codeless, F.lit(False)))
+
+
 def use_article(article: Article, root: Node) -> bool:
     count = lambda n, tags: len(n.find_all(*tags))
     enough = retains_enough(len(article.text), len(visible_text(root)), count(article.node, HEADINGS), count(root, HEADINGS), count(article.node, ("pre",)), count(root, ("pre",)))

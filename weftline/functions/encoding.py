@@ -7,7 +7,7 @@ import gzip
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from weftline.config import DEFAULT
 
@@ -67,7 +67,7 @@ def decode_bytes(body: bytes | None, label: str | None) -> str | None:
     return text[1:] if text[:1] == "﻿" else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_html(body: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(b, x) for b, x in zip(body, label)])
 
@@ -119,7 +119,7 @@ def retry_after(header: Column, now: Column) -> Column:
     """Seconds: a leading number, else the distance to an HTTP date, never below 0; else 60."""
     number = F.regexp_extract(header, r"^\s*(\d+)", 1).try_cast("long")
     when = F.try_to_timestamp(F.regexp_extract(header, r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    wait = F.greatest(F.ceil((F.unix_millis(when) - F.unix_millis(now)) / 1000), F.lit(0))
+    wait = F.when(when.isNotNull(), F.greatest(F.ceil((F.unix_millis(when) - F.unix_millis(now)) / 1000), F.lit(0)))
     return F.coalesce(number, wait.cast("long"), F.lit(60).cast("long"))
 
 
@@ -148,7 +148,7 @@ def content_decode(body: bytes | None, codings: str | None) -> tuple[bytes | Non
     return out, None
 
 
-@F.pandas_udf("struct<body binary, error string>")
+@F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
 def decode_content(body: pd.Series, codings: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([content_decode(b, c) for b, c in zip(body, codings)], columns=["body", "error"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from urllib.parse import urlsplit
 
+import pandas as pd
+from pyspark.sql import functions as F, types as T
+
 from weftline.functions.dom import Node, parse
 from weftline.functions.urls import absolute
 
@@ -60,3 +63,9 @@ def merge_metadata(early: dict[str, str | None] | None, late: dict[str, str | No
     if not early:
         return late
     return {f: late.get(f) or (early.get(f) if f != "favicon" else None) for f in FIELDS}
+
+
+@F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in FIELDS]))
+def page_metadata(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    """A page's metadata as a struct; null pages give nulls."""
+    return pd.DataFrame([extract_metadata(parse(h), u) for h, u in zip(html, url)], columns=list(FIELDS), dtype=object)

@@ -11,7 +11,7 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from weftline.config import BLOCKED_HOSTS, BLOCKED_SUFFIXES, DEFAULT, ExtractConfig
 
@@ -88,7 +88,7 @@ def ipv4_number(ip: Column) -> Column:
     quad = r"^(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)$"
     number = F.lit(0).cast("long")
     for i in range(1, 5):
-        number = number * 256 + F.coalesce(F.expr(f"try_cast('0' AS bigint)") * 0 + F.regexp_extract(ip, quad, i).try_cast("long"), F.lit(0))
+        number = number * 256 + F.coalesce(F.regexp_extract(ip, quad, i).try_cast("long"), F.lit(0))
     return F.when(ip.rlike(quad), number)
 
 
@@ -98,11 +98,8 @@ def networks_v4() -> list[tuple[str, int, int]]:
 
 
 def is_blocked_ipv4(ip: Column) -> Column:
-    n = ipv4_number(ip)
-    hit = F.lit(False)
-    for _, low, high in networks_v4():
-        hit = hit | n.between(low, high)
-    return F.coalesce(hit, F.lit(False))
+    ranges = F.array(*[F.array(F.lit(low).cast("long"), F.lit(high).cast("long")) for _, low, high in networks_v4()])
+    return F.coalesce(F.exists(F.transform(F.array(ipv4_number(ip)), lambda n: F.exists(ranges, lambda r: n.between(r[0], r[1]))), lambda hit: hit), F.lit(False))
 
 
 def normalize_ip(text: str | None) -> str | None:
@@ -138,7 +135,7 @@ def blocked_address(text: str | None) -> bool:
     return any(ip in n for n in (_V4 if ip.version == 4 else _V6))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_blocked_ip(ip: pd.Series) -> pd.Series:
     return ip.map(blocked_address, na_action=None).astype(bool)
 
@@ -168,7 +165,7 @@ def host_of(value: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_host(value: pd.Series) -> pd.Series:
     return value.map(host_of, na_action="ignore")
 
