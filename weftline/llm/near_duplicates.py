@@ -123,8 +123,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The pairs of a cluster are cut into blocks of about BLOCK by BLOCK members, so a set is sent once for each block it
     takes part in, not once for each pair; the b side of a block is held, the a side is streamed past it.
     """
-    degrees = pairs.groupBy("cluster").agg(F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
-    cut = lambda side, n: F.pmod(F.xxhash64(F.col(side), F.lit(n)), F.ceil(F.col(n) / BLOCK))
+    degrees = pairs.groupBy("cluster").agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
+    cut = lambda side, n: F.pmod(F.xxhash64(F.col(side), F.col(n)), F.ceil(F.col(n) / BLOCK))
     placed = pairs.join(degrees, "cluster").select("cluster", cut("a", "na").alias("x"), cut("b", "nb").alias("y"), "a", "b")
     where = ["cluster", "x", "y"]
     arms = placed.groupBy(*where, "a").agg(F.collect_list("b").alias("others"))
@@ -187,20 +187,20 @@ def _forest(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b) but the components' smallest nodes, by alternating large and small stars."""
-    edges = durable(_forest(links))
-    last = None
+    edges = _forest(links)
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+        both = edges.select(ends).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = durable(large)
+        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "w"), F.col("a") == F.col("w")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if last == now:
+        small = large.join(least.withColumnRenamed("a", "w"), F.col("a") == F.col("w"))
+        pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
+        edges = durable(small.select(pairs).select("e.a", "e.b").filter("a <> b").distinct())
+        roles = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("r")).select("r.*")
+        unsettled = roles.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).filter("leaf > 1 OR leaf = 1 AND root = 1")
+        if unsettled.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last = now
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -218,10 +218,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     places = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     places = durable(places.join(shared, "key"))
-    links = _all_links(docs, places, k, percent)
-    found = components(links)
-    named = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep").select("fp1", "fp2", "component")
-    copies = classes.join(named, ["fp1", "fp2"], "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
+    found = _groups(docs, places, k, percent)
+    copies = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     slim = base.select("doc_id", "n_shingles", "fp1", "fp2")
     out = slim.join(copies, ["fp1", "fp2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
@@ -229,48 +227,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _all_links(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links that connect every pair of candidates which is linked or joined by linked ones."""
+def _groups(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) by confirmed links that connect every pair of candidates which is linked or joined by linked ones."""
     possible = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    members = places.select("rep").distinct()
-    sets = durable(_sets(docs.join(members, docs["doc_id"] == members["rep"], "left_semi"), k))
     central = places.groupBy("rep").agg(F.sum("size").alias("c"))
-    ranked = places.select("key", "rep", "n").join(central, "rep")
+    sets = durable(_sets(docs.join(central, docs["doc_id"] == central["rep"], "left_semi"), k))
+    ranked = places.join(central, "rep")
     rank = F.max(F.struct("c", (-F.col("rep")).alias("r"), "n"))
-    hubs = ranked.groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"))
-    hubs = durable(hubs)
+    hubs = durable(ranked.groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n")))
     arms = places.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & possible("n", "hub_n"))
     tested = durable(confirm(arms.select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
-    distance = tested.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("total")).alias("d"))
-    placed = places.join(hubs, "key").join(distance.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "d"), ["rep", "hub"], "left")
-    placed = placed.select("key", "rep", "n", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d"))
-    used = hubs.select("key", F.col("hub").alias("rep"))
-    rows = places.count()
+    links = tested.filter("linked").select("a", "b")
+    used, rows = None, places.count()
     while True:
-        groups = components(tested.filter("linked"))
-        labelled = placed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        groups = components(links)
+        labelled = places.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
         parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("largest")).filter("members > largest")
         open_ = durable(labelled.join(mixed, "key"))
         left = open_.filter("component <> main").agg(F.sum(F.col("members").cast("double")).alias("pairs")).first()["pairs"]
         if not left:
-            return tested.filter("linked")
+            return groups
         few = left <= 30 * rows + 1_000_000
         if few:
-            x = open_.filter("component <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "d", "component")])
-            y = open_.select("key", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "d", "component")])
-            near = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) * 100 <= (100 - percent) + 1e-6, F.lit(True))
-            pairs = x.join(y, "key").filter((F.col("component_x") != F.col("component_y")) & possible("n_x", "n_y") & near)
+            distance = tested.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("d")).distinct()
+            near_hub = open_.join(hubs.select("key", "hub"), "key").join(distance, ["rep", "hub"], "left").withColumn("d", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("d")))
+            side = lambda s: near_hub.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "d", "component", "main")])
+            x, y = side("x").filter("component_x <> main_x"), side("y")
+            close = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) * 100 <= (100 - percent) + 1e-6, F.lit(True))
+            pairs = x.join(y, "key").filter((F.col("component_x") != F.col("component_y")) & possible("n_x", "n_y") & close)
             pairs = pairs.select(F.col("component_y").alias("cluster"), F.col("rep_y").alias("a"), F.col("rep_x").alias("b"))
         else:
+            used = hubs.select("key", F.col("hub").alias("rep")) if used is None else used
             fresh = open_.join(used, ["key", "rep"], "left_anti").join(central, "rep")
-            next_hubs = durable(fresh.groupBy("key").agg(rank.alias("h"), F.max_by("component", F.struct("c", (-F.col("rep")).alias("r"))).alias("hub_component")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"), "hub_component"))
+            best = F.max_by("component", F.struct("c", (-F.col("rep")).alias("r"))).alias("hub_component")
+            next_hubs = durable(fresh.groupBy("key").agg(rank.alias("h"), best).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"), "hub_component"))
             used = durable(used.unionByName(next_hubs.select("key", F.col("hub").alias("rep"))))
             pairs = open_.join(next_hubs, "key").filter((F.col("component") != F.col("hub_component")) & possible("n", "hub_n")).select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b"))
-        pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        tested = durable(tested.unionByName(confirm(durable(pairs), sets, percent)))
+        fresh_links = durable(confirm(durable(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
+        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh_links)
         if few:
-            return tested.filter("linked")
+            return components(links)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
