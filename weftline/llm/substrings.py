@@ -40,12 +40,13 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     hit = gear(data) < np.uint32(0xFFFF // MEAN_CHUNK)
     into = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     at = np.flatnonzero(hit & (into >= 15)) + 1
+    row_end = np.repeat(offsets[1:], np.diff(offsets))[at - 1]
     separator = np.isin(data, (0x20, 9, 10, 11, 12, 13))
     starts = np.flatnonzero(~separator & np.concatenate(([True], separator[:-1]))) if len(data) else at
     after = np.append(starts, len(data))[np.searchsorted(starts, at)]
-    at = np.where(after - at <= 32, after, at)
+    at = np.minimum(np.where(after - at <= 32, after, at), row_end)
     while len(at):
-        inside = (at < len(data)) & ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+        inside = (at < row_end) & ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
         if not inside.any():
             break
         at = at + inside
