@@ -114,7 +114,7 @@ def statistics(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
     sentence = share(_CLASSES[4][data[b - 1]] > 0) if len(b) else np.zeros(n)
     return np.stack((
         np.log1p(size), np.log1p(counts), mean, sd, share(length > 20), per_byte[:, 0], per_byte[:, 1], per_byte[:, 2], per_byte[:, 3], per_byte[:, 4], per_byte[:, 5], per_byte[:, 6], per_byte[:, 7], per_byte[:, 8], per_byte[:, 9],
-        np.log1p(lines), (line_size[per_line[1:]] - line_size[per_line[:-1]]) / np.maximum(lines, 1), distinct / many, top / many, share(same), 1 - pairs / many, distinct_lines / np.maximum(lines, 1), top_line / np.maximum(lines, 1),
+        np.log1p(lines), (line_size[per_line[1:]] - line_size[per_line[:-1]]) / np.maximum(lines, 1), distinct / many, top / many, share(same), (counts - pairs) / many, distinct_lines / np.maximum(lines, 1), top_line / np.maximum(lines, 1),
         upper_words, share(inside(6) > 0), share(inside(2) > 0), sentence,
     ), axis=1)
 
