@@ -38,7 +38,6 @@ HOT_DOCUMENTS = 4096
 SLICE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-SEEN = np.dtype([("low", "<u4"), ("high", "<u2"), ("docs", "<u2")])
 
 
 # ---- windows and their minimizers
@@ -96,13 +95,13 @@ def _sliced(table: pa.Table):
 
 
 def _packed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 48 further bits of each hash."""
-    return (hashes % np.uint64(buckets)).astype(np.int64), hashes >> np.uint64(16)
+    """Bucket and 32 further bits of each hash. Buckets have a bounded number of keys at any size, so few are taken for repeated by chance; those only cost work."""
+    return (hashes % np.uint64(buckets)).astype(np.int64), ((hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = [a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def _unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
@@ -271,37 +270,31 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         count = np.minimum(np.diff(np.append(new, len(h))), 0xFFFF)
         h = h[new]
         bucket, rest = _packed(h, buckets)
-        entries = np.zeros(len(h), SEEN)
-        entries["low"], entries["high"], entries["docs"] = rest & np.uint64(0xFFFFFFFF), rest >> np.uint64(32), count
-        order = np.argsort(bucket, kind="stable")
-        entries, bucket = entries[order], bucket[order]
+        order = np.lexsort((rest, bucket))
+        bucket, rest, count = bucket[order], rest[order], count[order].astype(np.uint16)
         names, at = np.unique(bucket, return_index=True)
-        return {int(n): entries[x:y].tobytes() for n, x, y in zip(names, at, np.append(at[1:], len(entries)))}
+        return {int(n): _pack(rest[x:y], count[x:y]) for n, x, y in zip(names, at, np.append(at[1:], len(rest)))}
 
     def resolve_seen(blocks: list[bytes]) -> list[bytes]:
-        entries = [np.frombuffer(b, SEEN) for b in blocks]
-        e = np.concatenate(entries)
-        key = e["low"].astype(np.uint64) | e["high"].astype(np.uint64) << np.uint64(32)
-        origin = np.repeat(np.arange(len(entries)), [len(x) for x in entries])
+        parts = [_unpack(b, "<u4", "<u2") for b in blocks]
+        key, docs_ = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.argsort(key, kind="stable")
         k = key[order]
         new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        total = np.add.reduceat(e["docs"][order].astype(np.int64), new)
+        total = np.add.reduceat(docs_[order].astype(np.int64), new)
         total = np.repeat(total, np.diff(np.append(new, len(k))))
-        told = e[order]
-        told["docs"] = np.minimum(total, 0xFFFF)
-        told, whose = told[total > 1], origin[order][total > 1]
+        told, sums, whose = k[total > 1], np.minimum(total[total > 1], 0xFFFF).astype(np.uint16), origin[order][total > 1]
         back = np.argsort(whose, kind="stable")
-        told, bounds = told[back], np.searchsorted(whose[back], np.arange(len(entries) + 1))
-        return [told[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+        told, sums, bounds = told[back], sums[back], np.searchsorted(whose[back], np.arange(len(parts) + 1))
+        return [_pack(told[x:y], sums[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])]
 
     def ask_least(table: pa.Table, answers: pa.Table) -> dict[int, bytes]:
-        told = np.frombuffer(b"".join(answers.column("block").to_pylist()), SEEN)
-        known = told["low"].astype(np.uint64) | told["high"].astype(np.uint64) << np.uint64(32)
+        told = [_unpack(b, "<u4", "<u2") for b in answers.column("block").to_pylist()]
+        known, total = (np.concatenate([np.zeros(0, kind), *[t[i] for t in told]]) for i, kind in enumerate((np.uint32, np.uint16)))
         order = np.argsort(known)
-        known, hot = known[order], told["docs"][order] > HOT_DOCUMENTS
+        known, hot = known[order], total[order] > HOT_DOCUMENTS
         own = owners(table)
-        base = np.zeros(table.num_rows + 1, np.int64)
         keys, prints, docs_, bytes_, sizes, rows_, starts_ = ([] for _ in range(7))
         for a, offsets, data in _sliced(table):
             rows, first, last, found = stretches(data, offsets)
@@ -335,23 +328,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, print_, key, bucket))
         k, p = key[order], print_[order]
-        one = order[np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+        one = order[new]
+        string = np.empty(len(key), np.int32)
+        string[order] = np.cumsum(new) - 1
         names, at = np.unique(bucket[one], return_index=True)
         out: dict[int, bytes] = {}
         raws = [d.tobytes() for d, _ in bytes_]
         for name, x, y in zip(names.tolist(), at, np.append(at[1:], len(one))):
             mine = one[x:y]
             parts = [raws[s][b : b + z] for s, b, z in zip(slice_of[mine].tolist(), local[mine].tolist(), size[mine].tolist())]
-            out[name] = _pack(key[mine], print_[mine], doc[mine], size[mine], np.frombuffer(b"".join(parts), np.uint8))
-        # what the group needs again with the answers goes along, to a bucket of its own
+            out[name] = struct.pack("<q", name) + _pack(_packed(key[mine], 1)[1], print_[mine], doc[mine], size[mine], np.frombuffer(b"".join(parts), np.uint8))
+        # what the group needs again with the answers goes along, to a bucket of its own: strings are numbered in the order of the asked blocks
         own_bucket = buckets + int(table.column(GROUP)[0].as_py())
-        out[own_bucket] = b"S" + _pack(row.astype(np.int32), start, size.astype(np.uint8), print_)
+        out[own_bucket] = struct.pack("<q", -1) + _pack(row, start, size, string)
         return out
 
     def resolve_least(blocks: list[bytes]) -> list[bytes]:
-        if blocks[0][:1] == b"S":
+        name = blocks[0][:8]
+        if name == struct.pack("<q", -1):
             return blocks
-        parts = [_unpack(b, "<u8", "<u8", "<i8", "u1", "u1") for b in blocks]
+        parts = [_unpack(b[8:], "<u4", "<u8", "<i8", "u1", "u1") for b in blocks]
         key, print_, doc, size, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
         origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         size = size.astype(np.int64)
@@ -365,36 +362,33 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         least = least_documents(data, start[one], size[one], doc[one], key[one])
         windows = size[one] - WINDOW + 1
         at = np.concatenate(([0], np.cumsum(windows)))
-        # a group hears of the strings in which some window belongs to a smaller doc than its own smallest, or to one of its own
         out = []
         for i in range(len(parts)):
             mine = which[origin == i]
             n = windows[mine]
             place = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(b"L" + _pack(print_[one][mine], n.astype(np.uint8), least[place]))
+            out.append(name + _pack(n.astype(np.uint8), least[place]))
         return out
 
     def finish(table: pa.Table, blocks: list[bytes]) -> pa.Table:
         data, offsets = texts(table)
         own = owners(table)
         removed = np.zeros(len(data) + 1, np.int32)
-        state = [b for b in blocks if b[:1] == b"S"]
-        if state:
-            row, start, size, print_ = (np.concatenate(x) for x in zip(*[_unpack(b[1:], "<i4", "<i8", "u1", "<u8") for b in state]))
-            told = [_unpack(b[1:], "<u8", "u1", "<i8") for b in blocks if b[:1] == b"L"]
-            known, n, least = (np.concatenate([t[i] for t in told]) for i in range(3))
+        blocks = sorted(blocks, key=lambda b: struct.unpack_from("<q", b)[0])
+        if blocks:
+            row, start, size, string = _unpack(blocks[0][8:], "<i4", "<i8", "u1", "<i4")
+            told = [_unpack(b[8:], "u1", "<i8") for b in blocks[1:]]
+            n, least = (np.concatenate([t[i] for t in told]) for i in range(2))
             n = n.astype(np.int64)
             at = np.cumsum(n) - n
-            order = np.argsort(known, kind="stable")
             for a in range(0, len(row), 500_000):
                 some = slice(a, a + 500_000)
-                string = order[np.searchsorted(known[order], print_[some])]
                 m = size[some].astype(np.int64) - WINDOW + 1
                 step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                smaller = least[np.repeat(at[string], m) + step] < np.repeat(own[row[some]], m)
+                smaller = least[np.repeat(at[string[some]], m) + step] < np.repeat(own[row[some]], m)
                 where = (np.repeat(offsets[row[some]] + start[some], m) + step)[smaller]
-                removed += np.bincount(where, minlength=len(removed)).astype(np.int32)
-                removed -= np.bincount(where + WINDOW, minlength=len(removed)).astype(np.int32)[: len(removed)]
+                np.add.at(removed, where, 1)
+                np.subtract.at(removed, where + WINDOW, 1)
         gone = np.cumsum(removed[:-1]) > 0
         spans, digests, kept = [], [], []
         for i in range(table.num_rows):
