@@ -167,3 +167,22 @@ def test_web_source(spark):
     spark.dataSource.register(WebPages)
     got = spark.read.format("web_pages").option("urls", "http://10.0.0.1/\nftp://x").load().collect()
     assert [r["error"] for r in got] == ["Blocked host", "Blocked host"]
+
+
+def test_sql_functions(spark):
+    from weftline.plans.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT is_blocked_ip('10.1.1.1') a, html_to_markdown('<p>x <b>y</b></p>', '') b, cache_key('n', 'u') c, detect_code_language('SELECT 1;') d, truncate_markdown('abc', 0) e").first()
+    assert (r["a"], r["b"], r["d"], r["e"]) == (True, "x **y**", "sql", "abc") and r["c"].startswith("n:")
+    assert spark.sql("SELECT tag FROM html_nodes('<p>a<b>c</b></p>') WHERE kind = 'element'").count() == 2
+
+
+def test_result_shapes(spark):
+    from weftline.operators import results
+
+    rows = pages.transform_pages(spark.createDataFrame([(1, "https://e.com/a", "<title></title><p>x</p>")], "page_id long, url string, html string"))
+    text = results.structured(rows).first()["structured"]
+    assert '"markdown":' in text and '"title"' not in text
+    blocks = rows.select(results.content_blocks(F.col("markdown"), F.lit("u"), F.lit("t"), True).alias("b")).first()["b"]
+    assert [b["type"] for b in blocks] == ["text", "resource", "resource_link"]

@@ -116,3 +116,17 @@ def resource_uri(namespace: Column, hash_: Column) -> Column:
 def complete(values: DataFrame, column: str, prefix: str, most: int = 100) -> DataFrame:
     """Distinct values with a prefix (any case), in order, at most ``most``: the completion list."""
     return values.select(column).distinct().filter(F.lower(F.col(column)).startswith(prefix.lower())).orderBy(column).limit(most)
+
+
+def resource_parts(uri: Column) -> Column:
+    """struct(namespace, hash) of a resource address, decoded; null unless both have the valid form."""
+    pattern = r"^internal://cache/([^/]+)/([^/]+)$"
+    part = lambda i: F.try_url_decode(F.regexp_extract(uri, pattern, i))
+    ok = part(1).rlike("^[A-Za-z0-9_-]{1,64}$") & part(2).rlike("(?i)^[a-f0-9.]{8,64}$")
+    return F.when(ok, F.struct(part(1).alias("namespace"), part(2).alias("hash")))
+
+
+def listing(cache: DataFrame, now: Column) -> DataFrame:
+    """What a listing of the cache shows: address, name, type of every live entry."""
+    live = cache.filter(F.col("expires_at") > now)
+    return live.select(resource_uri(key_namespace(F.col("cache_key")), key_hash(F.col("cache_key"))).alias("uri"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")).alias("name"), F.lit("text/markdown").alias("mime_type"))

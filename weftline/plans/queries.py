@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftline.functions import codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import retention
 from weftline.functions.noise import may_contain_noise
-from weftline.operators import cache, nodes, pages, redirects, tasks
+from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks
 from weftline.sources.tables import table
 from weftline.streaming import state
 
@@ -580,6 +580,42 @@ def subscribed_changes(spark, d):
     return state.changed_subscriptions(p, p.filter("page_id % 4 = 0").select("uri")).select("page_id")
 
 
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'EBLOCKED' WHEN 2 THEN 'EBLOCKED' WHEN 3 THEN 'ENODATA' WHEN 4 THEN NULL ELSE 'EBLOCKED' END AS reason FROM pages""")
+def dns_safety(spark, d):
+    name = lambda p: F.concat(F.lit(p), F.col("page_id").cast("string"), F.lit(".example"))
+    p = table(spark, d, "pages").select("page_id", name("H").alias("host"))
+    k = F.col("page_id") % 6
+    # 0 public, 1 private, 2 alias of an internal name, 3 no answer, 4 alias of a public name, 5 one private of two addresses
+    aliases = p.filter(k.isin(2, 4)).select("host", F.when(k == 2, F.lit("db.internal.")).otherwise(name("t")).alias("target"))
+    ip = lambda x: F.lit(x).alias("ip")
+    found = p.filter(k.isin(0, 5)).select("host", ip("8.8.8.8")).unionByName(p.filter(k.isin(1, 5)).select("host", ip("10.0.0.7"))).unionByName(p.filter(k == 4).select(name("T").alias("host"), ip("1.1.1.1")))
+    return dns.host_safety(p, aliases, found).select("page_id", "reason")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'markdown' END AS namespace, CASE WHEN page_id % 3 = 0 THEN substr(sha256(url), 1, 32) END AS hash FROM pages")
+def resource_parts(spark, d):
+    h = F.substring(F.sha2("url", 256), 1, 32)
+    uri = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("internal://cache/markdown/"), h)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("internal://cache/a%20b/"), h)).otherwise(F.lit("internal://cache/markdown/xyz"))
+    r = cache.resource_parts(uri)
+    return table(spark, d, "pages").select("page_id", r["namespace"].alias("namespace"), r["hash"].alias("hash"))
+
+
+@query(f"""WITH c AS ({_CACHE}) SELECT 'internal://cache/markdown/' || split_part(cache_key, ':', 2) AS uri, url AS name, 'text/markdown' AS mime_type FROM c WHERE expires_at > timestamp '2026-01-02 00:00:00'""")
+def cache_listing(spark, d):
+    return cache.listing(_cache(spark, d).withColumn("title", F.lit("")), F.expr(NOW))
+
+
+@query("""SELECT page_id, '{"error":"bad","url":"' || url || '"' || CASE WHEN page_id % 2 = 0 THEN ',"statusCode":404' ELSE '' END || '}' AS error FROM pages""")
+def error_rows(spark, d):
+    return table(spark, d, "pages").select("page_id", results.error_row(F.lit("bad"), F.col("url"), F.when(F.col("page_id") % 2 == 0, 404)).alias("error"))
+
+
+@query("""SELECT value AS v, stage, url, slow FROM (SELECT event_type AS stage, 'https://e.com/p' AS url, value, value > 50 AS slow FROM events)""")
+def stage_metric_rows(spark, d):
+    m = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.lit("https://u:p@e.com/p?secret=1").alias("url"), F.col("value").alias("duration_ms"))
+    return results.stage_metrics(m, 100).withColumnRenamed("duration_ms", "v")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 
