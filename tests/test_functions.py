@@ -186,3 +186,10 @@ def test_result_shapes(spark):
     assert '"markdown":' in text and '"title"' not in text
     blocks = rows.select(results.content_blocks(F.col("markdown"), F.lit("u"), F.lit("t"), True).alias("b")).first()["b"]
     assert [b["type"] for b in blocks] == ["text", "resource", "resource_link"]
+
+
+def test_cache_replay(spark):
+    ops = [("n", i, "set", f"k{i}", 1, i) for i in range(101)] + [("n", 101, "get", "k0", 0, 101), ("n", 102, "get", "k1", 0, 102), ("n", 103, "get", "k1", 0, 86_400_001), ("n", 104, "set", "x", 0, 104), ("n", 105, "set", "big", 99, 105)]
+    got = {r["seq"]: r for r in cache.replay(spark.createDataFrame(ops, "namespace string, seq long, op string, key string, units long, ts_ms long"), 100, 98).collect()}
+    assert not got[101]["hit"] and not got[103]["hit"] and got[104]["evicted"] == 0 and got[105]["evicted"] == 0
+    assert got[98]["evicted"] == 1 and max(r["size"] for r in got.values()) == 98

@@ -130,3 +130,49 @@ def listing(cache: DataFrame, now: Column) -> DataFrame:
     """What a listing of the cache shows: address, name, type of every live entry."""
     live = cache.filter(F.col("expires_at") > now)
     return live.select(resource_uri(key_namespace(F.col("cache_key")), key_hash(F.col("cache_key"))).alias("uri"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")).alias("name"), F.lit("text/markdown").alias("mime_type"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Keys whose entry was added, removed or replaced: (cache_key, change, list_changed); the list changes unless an entry was only replaced."""
+    a = before.select("cache_key", F.col("content").alias("_a"), F.lit(True).alias("_had"))
+    b = after.select("cache_key", F.col("content").alias("_b"), F.lit(True).alias("_has"))
+    both = a.join(b, "cache_key", "full_outer").filter(F.col("_had").isNull() | F.col("_has").isNull() | ~F.col("_a").eqNullSafe(F.col("_b")))
+    kind = F.when(F.col("_had").isNull(), "added").when(F.col("_has").isNull(), "removed").otherwise("replaced")
+    return both.select("cache_key", kind.alias("change"), (kind != "replaced").alias("list_changed"))
+
+
+def replay(ops: DataFrame, most_keys: int = DEFAULT.cache_keys, most_units: int = DEFAULT.cache_bytes, ttl_ms: int = DEFAULT.cache_ttl_seconds * 1000) -> DataFrame:
+    """``ops`` (namespace, seq, op, key, units, ts_ms) with hit, evicted and size: the exact course of each namespace's cache.
+
+    op is get or set. A get of an expired entry (at its time or later) drops it; a hit makes it the newest. A set of no or
+    too many units does nothing; else the oldest entries go until the new one fits in both limits. A namespace's operations
+    are folded in order as they stream by; what is held is at most ``most_keys`` entries.
+    """
+    dealt = ops.select("namespace", "seq", "op", "key", "units", "ts_ms").repartition("namespace").sortWithinPartitions("namespace", "seq")
+
+    def run(stream):
+        at, held, total = None, {}, 0
+        for batch in stream:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.namespace != at:
+                    at, held, total = r.namespace, {}, 0
+                hit, evicted = False, 0
+                if r.op == "get" and r.key in held:
+                    units, until = held.pop(r.key)
+                    hit = r.ts_ms < until
+                    if hit:
+                        held[r.key] = (units, until)
+                    else:
+                        total -= units
+                elif r.op == "set" and 0 < r.units <= most_units:
+                    total -= held.pop(r.key, (0, 0))[0]
+                    while held and (total + r.units > most_units or len(held) >= most_keys):
+                        total -= held.pop(next(iter(held)))[0]
+                        evicted += 1
+                    held[r.key] = (int(r.units), int(r.ts_ms) + ttl_ms)
+                    total += int(r.units)
+                out.append((hit, evicted, len(held)))
+            yield batch.assign(hit=[o[0] for o in out], evicted=[o[1] for o in out], size=[o[2] for o in out])
+
+    return dealt.mapInPandas(run, "namespace string, seq long, op string, key string, units long, ts_ms long, hit boolean, evicted long, size long")

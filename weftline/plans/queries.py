@@ -616,6 +616,24 @@ def stage_metric_rows(spark, d):
     return results.stage_metrics(m, 100).withColumnRenamed("duration_ms", "v")
 
 
+@query(f"""WITH c AS ({_CACHE}) SELECT cache_key, CASE page_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'replaced' END AS change, page_id % 4 < 2 AS list_changed FROM c WHERE page_id % 4 < 3""")
+def cache_changes(spark, d):
+    c = _cache(spark, d)
+    after = c.filter("page_id % 4 <> 0").withColumn("content", F.when(F.col("page_id") % 4 == 2, F.lit("other")).otherwise(F.col("content")))
+    return cache.changes(c.filter("page_id % 4 <> 1"), after)
+
+
+@query("""WITH o AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'set' ELSE 'get' END AS op, event_id % 3 = 0 AS is_set, event_id FROM events)
+SELECT seq, op, CASE WHEN is_set THEN false ELSE event_id // 3 >= 0 AND event_id % 3 = 1 END AS hit FROM o""")
+def cache_replay(spark, d):
+    # every third operation stores a key; the next one reads it again, the one after reads a key never stored
+    e = F.col("event_id")
+    op = F.when(e % 3 == 0, F.lit("set")).otherwise(F.lit("get"))
+    key = F.when(e % 3 == 2, F.lit("none")).otherwise(F.concat(F.lit("k"), F.floor(e / 3).cast("string")))
+    ops = table(spark, d, "events").select(F.lit("markdown").alias("namespace"), e.alias("seq"), op.alias("op"), key.alias("key"), F.lit(10).cast("long").alias("units"), e.alias("ts_ms"))
+    return cache.replay(ops, most_keys=100).select("seq", "op", "hit")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 
