@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the words of every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,12 @@ def table_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
 
+def lowest(key: Column, wanted: int, total: int | Column) -> Column:
+    """Whether a row is among about twice the ``wanted`` of ``total`` rows that are lowest by a hash: a sample's bound for the cluster, before it is cut exactly."""
+    share = F.lit(2.0 * wanted) / F.greatest(F.lit(1), total if isinstance(total, Column) else F.lit(total))
+    return F.pmod(key, F.lit(1 << 31)) < share * F.lit(float(1 << 31))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, read
+from .common import batches, lowest, read
 
 #: Bounds of the fit: languages, training rows of each, bytes taken of one text and of each dictionary.
 MAX_LANGUAGES = 64
@@ -68,12 +68,16 @@ def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     give to another language.
     """
     largest = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    names = [r["lang"] for r in largest.collect()]
-    raw: dict[str, list[str]] = {}
-    for name in names:
-        mine = rows.filter(F.col("lang") == name).select("text", F.xxhash64("text").alias("h"))
-        sample = mine.groupBy("h").agg(F.min(F.substring("text", 1, FIT_TEXT_BYTES)).alias("text")).orderBy("h").limit(FIT_ROWS)
-        raw[name] = [r["text"] for r in sample.collect()]
+    counts = {r["lang"]: r["n"] for r in largest.collect()}
+    names = list(counts)
+    raw: dict[str, list[str]] = {n: [] for n in names}
+    if names:
+        total = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang"))
+        keyed = rows.filter(F.col("lang").isin(*names)).select("lang", "text", F.xxhash64("text").alias("h"))
+        sample = keyed.filter(lowest(F.col("h"), FIT_ROWS, total)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, FIT_TEXT_BYTES)).alias("text"))
+        for r in sorted(sample.collect(), key=lambda r: (r["h"] % (1 << 31), r["text"])):
+            if len(raw[r["lang"]]) < FIT_ROWS:
+                raw[r["lang"]].append(r["text"])
     seen = Counter(line for rows_ in raw.values() for line in {x for t in rows_ for x in t.split("\n")})
     texts = {n: [letters("\n".join(x for x in t.split("\n") if seen[x] < 2)) for t in ts] for n, ts in raw.items()}
     texts = {n: [t for t in ts if t] for n, ts in texts.items()}

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, read, utf8, words
+from .common import batches, lowest, read, utf8, words
 
 #: Bounds of the fit: labelled rows (those lowest by a hash of doc_id), bins of a statistic, trees, their depth.
 FIT_ROWS = 12_000
@@ -186,9 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     Rows with a null label or doc_id are not learned from. Of a doc_id labelled twice the higher label counts.
     """
     one = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    table = _measured(rows.select(F.col("_label").cast("double").alias("_label"), "text")).orderBy("_label", "_x").toPandas()
+    few = one.filter(lowest(F.xxhash64("doc_id"), fit_rows, labels.count()))
+    chosen = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id").limit(fit_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
+    table = _measured(rows.select(F.col("_label").cast("double").alias("_label"), "text")).toPandas().sort_values(["_label", "_x"], ignore_index=True)
     x = np.stack([np.frombuffer(v, np.float64) for v in table["_x"]]) if len(table) else np.zeros((0, len(STATISTICS)))
     return train(x, table["_label"].to_numpy(float))
 
