@@ -117,3 +117,25 @@ def content_root(root: Node) -> Node | None:
         if found is not None and len(to_html(found).strip()) > 100:
             return found
     return None
+
+
+# ---- as expressions
+
+
+def collapsed_length_of(text: Column, most: int) -> Column:
+    """Length with every run of control characters and spaces as one, trimmed, up to ``most``."""
+    return F.least(F.length(F.trim(F.regexp_replace(text, r"[\x00-\x20]+", " "))), F.lit(most))
+
+
+def needs_wrapper(html: Column) -> Column:
+    """Whether markup is a fragment that lacks a document around it."""
+    low = F.lower(F.substring(F.regexp_replace(html, r"^\s+", ""), 1, 9))
+    return ~(low.startswith("<!doctype") | low.startswith("<html") | low.startswith("<body"))
+
+
+def wrap_fragment(html: Column) -> Column:
+    return F.when(needs_wrapper(html), F.concat(F.lit("<!DOCTYPE html><html><body>"), html, F.lit("</body></html>"))).otherwise(html)
+
+
+def valid_input(html: Column, url: Column) -> Column:
+    return (F.coalesce(html, F.lit("")) != "") & (F.coalesce(url, F.lit("")) != "")

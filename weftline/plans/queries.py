@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftline.functions import codelang, encoding, markdown, metadata, urls, validate
-from weftline.functions.article import retention
+from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks
 from weftline.sources.tables import table
@@ -307,6 +307,14 @@ def truncated_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(markdown.truncated_sentences(F.col("text")), F.lit(False)).alias("cut"))
 
 
+@query("""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN '<p>x  y</p>' ELSE '' END AS h FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN h ELSE '<!DOCTYPE html><html><body>' || h || '</body></html>' END AS document, h <> '' AS valid,
+  least(length(trim(regexp_replace(h, '[\x00-\x20]+', ' ', 'g'))), 1000)::INT AS n FROM t""")
+def document_wrappers(spark, d):
+    h = F.when(F.col("page_id") % 3 == 0, F.col("html")).when(F.col("page_id") % 3 == 1, F.lit("<p>x  y</p>")).otherwise(F.lit(""))
+    return table(spark, d, "pages").select("page_id", wrap_fragment(h).alias("document"), valid_input(h, F.col("url")).alias("valid"), collapsed_length_of(h, 1000).alias("n"))
+
+
 @query()
 def page_markdown(spark, d):
     return pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
