@@ -7,8 +7,8 @@ less than with independent hashes. A row is done once no slot can fall below the
 Rows with equal sets form a class and are represented once. Classes that share a band bucket are candidates. A bucket is
 never expanded into pairs of all its members at first: it is a star around its most central member (the one that shares
 the most bucket places), and every arm is confirmed on full sets. Only members that the confirmed links leave in other
-components than the rest of their bucket go on: to further stars while many are left, at last to all pairs across
-components, less those that the triangle inequality of the Jaccard distance rules out. So every candidate pair is either
+components than the rest of their bucket go on: they meet all members of the hub's buckets, set by set within blocks,
+less those that sizes or the triangle inequality of the Jaccard distance rule out. So every candidate pair is either
 confirmed, or ruled out exactly, or already connected.
 """
 
@@ -229,45 +229,79 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def _groups(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) by confirmed links that connect every pair of candidates which is linked or joined by linked ones."""
-    possible = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    possible = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
     central = places.groupBy("rep").agg(F.sum("size").alias("c"))
     sets = durable(_sets(docs.join(central, docs["doc_id"] == central["rep"], "left_semi"), k))
-    ranked = places.join(central, "rep")
     rank = F.max(F.struct("c", (-F.col("rep")).alias("r"), "n"))
-    hubs = durable(ranked.groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n")))
-    arms = places.join(hubs, "key").filter((F.col("rep") != F.col("hub")) & possible("n", "hub_n"))
+    hubs = places.join(central, "rep").groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"))
+    placed = durable(places.select("key", "rep", "n").join(hubs, "key"))
+    arms = placed.filter((F.col("rep") != F.col("hub")) & possible)
     tested = durable(confirm(arms.select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
-    links = tested.filter("linked").select("a", "b")
-    used, rows = None, places.count()
-    while True:
-        groups = components(links)
-        labelled = places.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("largest")).filter("members > largest")
-        open_ = durable(labelled.join(mixed, "key"))
-        left = open_.filter("component <> main").agg(F.sum(F.col("members").cast("double")).alias("pairs")).first()["pairs"]
-        if not left:
-            return groups
-        few = left <= 30 * rows + 1_000_000
-        if few:
-            distance = tested.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("common") / F.col("total")).alias("d")).distinct()
-            near_hub = open_.join(hubs.select("key", "hub"), "key").join(distance, ["rep", "hub"], "left").withColumn("d", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("d")))
-            side = lambda s: near_hub.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "d", "component", "main")])
-            x, y = side("x").filter("component_x <> main_x"), side("y")
-            close = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) * 100 <= (100 - percent) + 1e-6, F.lit(True))
-            pairs = x.join(y, "key").filter((F.col("component_x") != F.col("component_y")) & possible("n_x", "n_y") & close)
-            pairs = pairs.select(F.col("component_y").alias("cluster"), F.col("rep_y").alias("a"), F.col("rep_x").alias("b"))
-        else:
-            used = hubs.select("key", F.col("hub").alias("rep")) if used is None else used
-            fresh = open_.join(used, ["key", "rep"], "left_anti").join(central, "rep")
-            best = F.max_by("component", F.struct("c", (-F.col("rep")).alias("r"))).alias("hub_component")
-            next_hubs = durable(fresh.groupBy("key").agg(rank.alias("h"), best).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"), "hub_component"))
-            used = durable(used.unionByName(next_hubs.select("key", F.col("hub").alias("rep"))))
-            pairs = open_.join(next_hubs, "key").filter((F.col("component") != F.col("hub_component")) & possible("n", "hub_n")).select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b"))
-        fresh_links = durable(confirm(durable(pairs.distinct()), sets, percent).filter("linked").select("a", "b"))
-        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(fresh_links)
-        if few:
-            return components(links)
+    groups = components(tested.filter("linked"))
+    labelled = placed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("largest")).filter("members > largest")
+    odd = F.max(F.col("component") != F.col("main")).alias("odd")
+    apart = durable(labelled.join(mixed.select("key", "main"), "key").groupBy(F.col("hub").alias("cluster"), F.col("rep").alias("node"), "n", "component").agg(odd))
+    distance = tested.select(F.col("b").alias("cluster"), F.col("a").alias("node"), (1 - F.col("common") / F.col("total")).alias("d"))
+    found = durable(_across(apart, distance, sets, percent))
+    if found.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+
+
+def _across(apart: DataFrame, distance: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a cluster as far as its members' sets do; one of each pair is ``odd``.
+
+    The members of all buckets of one hub are a cluster. Its odd members meet all of its members in blocks of BLOCK by
+    BLOCK sets, so no pair is ever a row. In a block, pairs of components that are joined already are passed over, and so
+    are pairs whose sizes or whose distances to the hub differ too much to be linked.
+    """
+    degrees = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("xs"), F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("ys"))
+    rows = apart.join(degrees, "cluster").join(distance, ["cluster", "node"], "left")
+    rows = rows.withColumn("d", F.when(F.col("node") == F.col("cluster"), 0.0).otherwise(F.col("d")))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    some = ["node", "n", "component", "d"]
+    streamed = rows.select("cluster", own("xs").alias("x"), every("ys").alias("y"), F.lit(1).alias("side"), *some)
+    held = rows.filter("odd").select("cluster", own("ys").alias("y"), every("xs").alias("x"), F.lit(0).alias("side"), *some)
+    dealt = held.unionByName(streamed).join(sets, "node").select("cluster", "x", "y", "side", *some, "elements")
+    dealt = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "side", "node")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, parent = None, [], {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent.setdefault(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        for batch in stream:
+            links: list[tuple[int, int]] = []
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            blobs = batch.column(8)
+            for i, (cluster, x, y, side, node, n, component, d) in enumerate(zip(*columns)):
+                if (cluster, x, y) != at:
+                    at, known, parent = (cluster, x, y), [], {}
+                own_set = np.frombuffer(blobs[i].as_buffer(), np.uint64)
+                if side == 0:
+                    known.append((node, n, component, d, np.array(own_set)))
+                    continue
+                for b, m, other, e, elements in known:
+                    if find(component) == find(other) or n * 100 < m * percent or m * 100 < n * percent:
+                        continue
+                    if d is not None and e is not None and abs(d - e) * 100 > 100 - percent + 1e-6:
+                        continue
+                    spot = np.searchsorted(elements, own_set)
+                    spot[spot == len(elements)] = 0
+                    common = int(np.count_nonzero(elements[spot] == own_set))
+                    if common * 100 >= (n + m - common) * percent:
+                        links.append((node, b))
+                        parent[find(component)] = find(other)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
