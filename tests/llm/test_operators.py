@@ -139,6 +139,14 @@ def test_suffixes(spark, monkeypatch, seed, hot):
     assert suffixes.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_groups_come_in_one_order():
+    from weftline.llm.exchange import _ordered
+
+    rows_ = [(2, "b"), (None, "x"), (1, None), (2, "a"), (1, "z")]
+    table = lambda r: pa.table({"doc_id": pa.array([x[0] for x in r], pa.int64()), "text": pa.array([x[1] for x in r], pa.string())})
+    assert _ordered(table(rows_)).equals(_ordered(table(rows_[::-1])))
+
+
 def test_merged_transform_is_that_of_the_whole():
     r = random.Random(5)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(50, 80))) for _ in range(40)]

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import table_bytes, utf8
@@ -42,9 +43,9 @@ class Exchange:
             return pa.table({"bucket": pa.array([k for k, _ in items], pa.int64()), "g": pa.array([g] * len(items), pa.int64()), "block": pa.array([v for _, v in items], pa.binary())})
 
         if answers is None:
-            return self.docs.groupBy(GROUP).applyInArrow(lambda key, t: rows(key[0].as_py(), extract(t, None)), schema)
+            return self.docs.groupBy(GROUP).applyInArrow(lambda key, t: rows(key[0].as_py(), extract(_ordered(t), None)), schema)
         both = self.docs.groupBy(GROUP).cogroup(answers.groupBy("g"))
-        return both.applyInArrow(lambda key, t, a: rows(key[0].as_py(), extract(t, a)), schema)
+        return both.applyInArrow(lambda key, t, a: rows(key[0].as_py(), extract(_ordered(t), a)), schema)
 
     def answer(self, asked: DataFrame, resolve: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
         """(g, block): ``resolve`` gets a bucket's blocks and gives one answer for each; empty ones are not sent."""
@@ -60,7 +61,13 @@ class Exchange:
     def apply(self, answers: DataFrame, finish: Callable[[pa.Table, list[bytes]], pa.Table], schema: T.StructType | str) -> DataFrame:
         """The result rows of every group from its documents and the answers to it."""
         both = self.docs.groupBy(GROUP).cogroup(answers.groupBy("g"))
-        return both.applyInArrow(lambda key, t, a: finish(t, a.column("block").to_pylist()), schema)
+        return both.applyInArrow(lambda key, t, a: finish(_ordered(t), a.column("block").to_pylist()), schema)
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """A group's rows in one order, however the shuffle delivered them: by doc_id, then text."""
+    keys = [("doc_id", "ascending"), ("text", "ascending")]
+    return table.take(pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=keys)) if table.num_rows else table
 
 
 def owners(table: pa.Table) -> np.ndarray:
