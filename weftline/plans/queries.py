@@ -572,9 +572,9 @@ def session_capacity(spark, d):
     return state.session_recency(table(spark, d, "events"))
 
 
-@query("SELECT min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events")
+@query("SELECT min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
 def duration_stats(spark, d):
-    return state.duration_stats(table(spark, d, "events"), "value").withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+    return state.duration_stats(table(spark, d, "events"), "value").withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "p50", "p95", "p99")})
 
 
 @query("SELECT event_id, value FROM events WHERE value > 50")
