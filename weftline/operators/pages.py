@@ -81,7 +81,10 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     rows = pages.select("page_id", "url", "html")
     rows = rows.withColumn("_problem", urls.url_error(F.col("url"), config))
     rows = rows.withColumn("_problem", F.coalesce("_problem", F.when(html.isNull() | (html == ""), F.lit("Empty page")), F.when(encoding.has_binary_text(html), F.lit("binary_content_detected"))))
-    rows = rows.withColumn("_target", urls.normalize_url(urls.to_raw_url(urls.normalize_url(F.col("url")))))
+    # one column for each step: nested, every step would repeat the ones below it many times over
+    rows = rows.withColumn("_target", urls.normalize_url(F.col("url")))
+    rows = rows.withColumn("_raw_url", urls.to_raw_url(F.col("_target")))
+    rows = rows.withColumn("_target", urls.normalize_url(F.col("_raw_url"))).drop("_raw_url")
     rows = rows.withColumn("truncated", encoding.will_truncate(html, config.max_bytes))
     rows = rows.withColumn("html", F.when(F.col("truncated"), encoding.truncate_html(html, config.max_bytes)).otherwise(html))
     rows = rows.withColumn("_raw", markdown.preserve_raw(F.col("_target"), F.col("html")))
