@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tests.compare import oracle, rows
-from weftline.llm import decontamination, html_text, language, mixing, near_duplicates, quality, registry, substrings, suffixes, token_counts, topk
+from weftline.llm import decontamination, exchange, html_text, language, mixing, near_duplicates, quality, registry, substrings, suffixes, token_counts, topk
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,6 +139,19 @@ def test_suffixes(spark, monkeypatch, seed, hot):
     assert suffixes.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_minimizers_of_one_rest_in_two_buckets(spark, monkeypatch):
+    """Groups are told unlike sets of minimizers, many of one rest: hot and cold ones of two buckets must not be taken for each other."""
+    whole = suffixes._packed
+    monkeypatch.setattr(suffixes, "_packed", lambda h, n: (whole(h, n)[0], whole(h, n)[1] % np.uint32(64)) if n > 1 else whole(h, n))
+    monkeypatch.setattr(suffixes, "HOT_DOCUMENTS", 8)
+    monkeypatch.setattr(exchange, "GROUP_BYTES", 1_000)
+    r = random.Random(5)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(70)) for _ in range(24)]
+    texts = [r.choice(passages[1:]) + "".join(r.choice("abcdefgh ") for _ in range(30)) + (passages[0] if i % 2 == 0 else "") for i in range(60)]
+    got = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((g["doc_id"], g["n_bytes"], g["n_bytes"] - len(g["kept"]), len(g["spans"]), g["kept_sha256"]) for g in got) == brute_repeats(list(enumerate(texts)))
+
+
 def test_groups_come_in_one_order():
     from weftline.llm.exchange import _ordered
 

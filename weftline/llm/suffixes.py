@@ -95,7 +95,7 @@ def _sliced(table: pa.Table):
 
 
 def _packed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32 further bits of each hash. Buckets have a bounded number of keys at any size, so few are taken for repeated by chance; those only cost work."""
+    """Bucket and 32 further bits of each hash, which only together tell hashes apart. Buckets have a bounded number of keys at any size, so few are taken for repeated by chance; those only cost work, as all groups take them alike."""
     return (hashes % np.uint64(buckets)).astype(np.int64), ((hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -273,10 +273,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         order = np.lexsort((rest, bucket))
         bucket, rest, count = bucket[order], rest[order], count[order].astype(np.uint16)
         names, at = np.unique(bucket, return_index=True)
-        return {int(n): _pack(rest[x:y], count[x:y]) for n, x, y in zip(names, at, np.append(at[1:], len(rest)))}
+        return {int(n): struct.pack("<q", n) + _pack(rest[x:y], count[x:y]) for n, x, y in zip(names, at, np.append(at[1:], len(rest)))}
 
     def resolve_seen(blocks: list[bytes]) -> list[bytes]:
-        parts = [_unpack(b, "<u4", "<u2") for b in blocks]
+        name = blocks[0][:8]
+        parts = [_unpack(b[8:], "<u4", "<u2") for b in blocks]
         key, docs_ = (np.concatenate([p[i] for p in parts]) for i in range(2))
         origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.argsort(key, kind="stable")
@@ -287,20 +288,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         told, sums, whose = k[total > 1], np.minimum(total[total > 1], 0xFFFF).astype(np.uint16), origin[order][total > 1]
         back = np.argsort(whose, kind="stable")
         told, sums, bounds = told[back], sums[back], np.searchsorted(whose[back], np.arange(len(parts) + 1))
-        return [_pack(told[x:y], sums[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])]
+        return [name + _pack(told[x:y], sums[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])]
 
     def ask_least(table: pa.Table, answers: pa.Table) -> dict[int, bytes]:
-        told = [_unpack(b, "<u4", "<u2") for b in answers.column("block").to_pylist()]
-        known, total = (np.concatenate([np.zeros(0, kind), *[t[i] for t in told]]) for i, kind in enumerate((np.uint32, np.uint16)))
+        blocks = answers.column("block").to_pylist()
+        told = [_unpack(b[8:], "<u4", "<u2") for b in blocks]
+        names = [np.uint64(struct.unpack_from("<q", b)[0]) << np.uint64(32) for b in blocks]
+        known = np.concatenate([np.zeros(0, np.uint64), *[n | t[0] for n, t in zip(names, told)]])
+        total = np.concatenate([np.zeros(0, np.uint16), *[t[1] for t in told]])
         order = np.argsort(known)
         known, hot = known[order], total[order] > HOT_DOCUMENTS
         own = owners(table)
         keys, prints, docs_, bytes_, sizes, rows_, starts_ = ([] for _ in range(7))
         for a, offsets, data in _sliced(table):
             rows, first, last, found = stretches(data, offsets)
-            _, rest = _packed(found, buckets)
-            place = np.minimum(np.searchsorted(known, rest), max(0, len(known) - 1))
-            repeated = known[place] == rest if len(known) else np.zeros(len(rest), bool)
+            bucket, rest = _packed(found, buckets)
+            asked = (bucket.astype(np.uint64) << np.uint64(32)) | rest
+            place = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+            repeated = known[place] == asked if len(known) else np.zeros(len(asked), bool)
             rows, first, last, found = rows[repeated], first[repeated], last[repeated], found[repeated]
             cut = hot[place[repeated]] if len(known) else np.zeros(0, bool)
             n = np.where(cut, last - first + 1, 1)
