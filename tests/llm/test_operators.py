@@ -438,6 +438,18 @@ def test_language_odd_inputs(spark):
     assert none == [] and language.classify(d, none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_copies(spark):
+    """A language whose rows are nearly all copies is drawn by its texts, not by its rows."""
+    r = random.Random(3)
+    words_ = {"en": "the and with that there which", "de": "und der nicht eine schon über"}
+    texts = {l: [" ".join(r.choice(w.split()) for _ in range(60)) for _ in range(20)] for l, w in words_.items()}
+    table = [(t, "en") for t in texts["en"]] + [(t, "de") for t in texts["de"]]
+    copies = spark.range(100_000).select(F.lit(texts["de"][0]).alias("text"), F.lit("de").alias("lang"))
+    model = language.fit(spark.createDataFrame(table, "text string, lang string").unionByName(copies))
+    assert [m[0] for m in model] == ["de", "en"]
+    assert len(model[0][1]) + len(model[0][2]) > sum(len(t) for t in texts["de"])
+
+
 # ---- HTML
 
 

@@ -63,17 +63,18 @@ def _coders(dictionaries: list[bytes], level: int = LEVEL) -> list:
 def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     """(language, dictionary, filler), at most MAX_LANGUAGES, those of most rows first; the filler is a bit more of its text.
 
-    The fit reads a bounded sample: of each language the FIT_ROWS rows lowest by a hash of the text, up to FIT_TEXT_BYTES of
+    The fit reads a bounded sample: of each language the FIT_ROWS distinct texts lowest by their hash, up to FIT_TEXT_BYTES of
     each. Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
     give to another language.
     """
-    largest = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in largest.collect()}
+    h = F.xxhash64("text").alias("h")
+    largest = rows.groupBy("lang", h).agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["texts"] for r in largest.collect()}
     names = list(counts)
     raw: dict[str, list[str]] = {n: [] for n in names}
     if names:
         total = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang"))
-        keyed = rows.filter(F.col("lang").isin(*names)).select("lang", "text", F.xxhash64("text").alias("h"))
+        keyed = rows.filter(F.col("lang").isin(*names)).select("lang", "text", h)
         sample = keyed.filter(lowest(F.col("h"), FIT_ROWS, total)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, FIT_TEXT_BYTES)).alias("text"))
         for r in sorted(sample.collect(), key=lambda r: (r["h"] % (1 << 31), r["text"])):
             if len(raw[r["lang"]]) < FIT_ROWS:
