@@ -450,6 +450,18 @@ def test_language_of_copies(spark):
     assert len(model[0][1]) + len(model[0][2]) > sum(len(t) for t in texts["de"])
 
 
+def test_language_learns_every_language(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    words_ = {f"l{i}": [word() for _ in range(30)] for i in range(70)}
+    table = [(" ".join(r.choice(w) for _ in range(60)), l) for l, w in words_.items() for _ in range(6)]
+    d = spark.createDataFrame([*table, ("nothing is known of this one", None)], "text string, lang string")
+    model = language.fit(d)
+    assert {m[0] for m in model} == set(words_)
+    assert language.classify(d.filter("lang IS NOT NULL"), model).filter("lang_pred <> lang OR rejected").count() == 0
+    assert language.bounds(64) == (400, 2_000, 96 << 10, 4 << 10) and language.bounds(10**6) == language.LEAST
+
+
 # ---- HTML
 
 

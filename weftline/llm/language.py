@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import batches, lowest, read
 
-#: Bounds of the fit: languages, training rows of each, bytes taken of one text and of each dictionary.
-MAX_LANGUAGES = 64
+#: Bounds of the fit: training texts of a language, characters taken of one text and bytes of each dictionary.
 FIT_ROWS = 400
 FIT_TEXT_BYTES = 2_000
 DICTIONARY_BYTES = 96 << 10
 FILLER_BYTES = 4 << 10
+#: Every language is learned. With more than FULL_LANGUAGES the bounds above shrink in proportion, down to LEAST (rows, characters, dictionary, filler).
+FULL_LANGUAGES = 64
+LEAST = (16, 400, 2 << 10, 512)
 BLOCK_BYTES = 8 << 10
 #: Texts up to SHORT_BYTES are parsed more thoroughly: a byte counts there.
 LEVEL, SHORT_BYTES, SHORT_LEVEL = 5, 1_500, 7
@@ -60,37 +62,45 @@ def _coders(dictionaries: list[bytes], level: int = LEVEL) -> list:
     return out
 
 
+def bounds(languages: int) -> tuple[int, ...]:
+    """FIT_ROWS, FIT_TEXT_BYTES, DICTIONARY_BYTES and FILLER_BYTES for so many languages."""
+    full = (FIT_ROWS, FIT_TEXT_BYTES, DICTIONARY_BYTES, FILLER_BYTES)
+    return full if languages <= FULL_LANGUAGES else tuple(max(b, a * FULL_LANGUAGES // languages) for a, b in zip(full, LEAST))
+
+
 def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
-    """(language, dictionary, filler), at most MAX_LANGUAGES, those of most rows first; the filler is a bit more of its text.
+    """(language, dictionary, filler) of every language that is not null, those of most rows first; the filler is a bit more of its text.
 
     The fit reads a bounded sample: of each language the FIT_ROWS distinct texts lowest by their hash, up to FIT_TEXT_BYTES of
-    each. Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
+    each (less of both where there are many languages: ``bounds``). Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
     give to another language.
     """
     h = F.xxhash64("text").alias("h")
-    largest = rows.groupBy("lang", h).agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["texts"] for r in largest.collect()}
-    names = list(counts)
+    rows = rows.filter(F.col("lang").isNotNull())
+    counts = rows.groupBy("lang", h).agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    counts = [(r["lang"], r["texts"]) for r in counts.orderBy(F.desc("n"), "lang").collect()]
+    names = [n for n, _ in counts]
+    n_rows, n_chars, n_dictionary, n_filler = bounds(len(names))
     raw: dict[str, list[str]] = {n: [] for n in names}
     if names:
-        total = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang"))
-        keyed = rows.filter(F.col("lang").isin(*names)).select("lang", "text", h)
-        sample = keyed.filter(lowest(F.col("h"), FIT_ROWS, total)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, FIT_TEXT_BYTES)).alias("text"))
+        totals = rows.sparkSession.createDataFrame(counts, T.StructType([rows.schema["lang"], T.StructField("total", T.LongType())]))
+        keyed = rows.select("lang", "text", h).join(F.broadcast(totals), "lang")
+        sample = keyed.filter(lowest(F.col("h"), n_rows, F.col("total"))).groupBy("lang", "h").agg(F.min(F.substring("text", 1, n_chars)).alias("text"))
         for r in sorted(sample.collect(), key=lambda r: (r["h"] % (1 << 31), r["text"])):
-            if len(raw[r["lang"]]) < FIT_ROWS:
+            if len(raw[r["lang"]]) < n_rows:
                 raw[r["lang"]].append(r["text"])
     seen = Counter(line for rows_ in raw.values() for line in {x for t in rows_ for x in t.split("\n")})
     texts = {n: [letters("\n".join(x for x in t.split("\n") if seen[x] < 2)) for t in ts] for n, ts in raw.items()}
     texts = {n: [t for t in ts if t] for n, ts in texts.items()}
 
     def build(chosen: dict[str, list[bytes]]) -> list[bytes]:
-        return [b" ".join(chosen[n])[FILLER_BYTES:][-DICTIONARY_BYTES:] or b" ".join(chosen[n]) or n.encode() for n in names]
+        return [b" ".join(chosen[n])[n_filler:][-n_dictionary:] or b" ".join(chosen[n]) or n.encode() for n in names]
 
     if len(names) > 1:
         coders = _coders(build(texts), SHORT_LEVEL)
         sure = {n: [t for t in texts[n] if min(range(len(names)), key=_sizes(coders, t).__getitem__) == i] for i, n in enumerate(names)}
         texts = {n: sure[n] or texts[n] for n in names}
-    return [(n, d, b" ".join(texts[n])[:FILLER_BYTES]) for n, d in zip(names, build(texts))]
+    return [(n, d, b" ".join(texts[n])[:n_filler]) for n, d in zip(names, build(texts))]
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str = "text") -> DataFrame:
