@@ -462,6 +462,22 @@ def test_language_learns_every_language(spark):
     assert language.bounds(64) == (400, 2_000, 96 << 10, 4 << 10) and language.bounds(10**6) == language.LEAST
 
 
+def test_language_reads_past_a_beginning(spark):
+    """Texts that begin with pages of another language teach their own; every sampled text reaches the dictionary."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    some = {l: [word() for _ in range(40)] for l in ("en", "de")}
+    text = lambda l, k: " ".join(r.choice(some[l]) for _ in range(k))
+    table = [(text("en", 300) + " " + text("de", 2_000), "de") for _ in range(60)] + [(text("en", 300), "en") for _ in range(60)]
+    model = language.fit(spark.createDataFrame(table, "text string, lang string"))
+    odd = spark.createDataFrame([(text(l, 60), l) for l in some for _ in range(20)], "text string, lang string")
+    assert language.classify(odd, model).filter("lang_pred <> lang OR rejected").count() == 0
+    marks = [word() for _ in range(300)]
+    (_, dictionary, filler), = language.fit(spark.createDataFrame([(" ".join([m] * 400), "en") for m in marks], "text string, lang string"))
+    assert all(m.encode() in filler + dictionary for m in marks) and len(dictionary) <= language.DICTIONARY_BYTES
+    assert language.spread([b"ab", b"", b"c" * 50], 20).startswith(b"ab  cccc") and len(language.spread([b"x" * 9] * 10, 50)) <= 50 and language.spread([], 9) == b""
+
+
 # ---- HTML
 
 

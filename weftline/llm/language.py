@@ -8,6 +8,7 @@ smallest size, says how sure that is; a narrow one rejects.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import batches, lowest, read
 
-#: Bounds of the fit: training texts of a language, characters taken of one text and bytes of each dictionary.
+#: Bounds of the fit: training texts of a language, characters taken of one text (FIT_TEXT_BYTES) and bytes of each dictionary.
 FIT_ROWS = 400
 FIT_TEXT_BYTES = 2_000
 DICTIONARY_BYTES = 96 << 10
@@ -68,11 +69,23 @@ def bounds(languages: int) -> tuple[int, ...]:
     return full if languages <= FULL_LANGUAGES else tuple(max(b, a * FULL_LANGUAGES // languages) for a, b in zip(full, LEAST))
 
 
+def spread(texts: list[bytes], most: int) -> bytes:
+    """Up to ``most`` bytes, of all texts alike: short ones whole, of longer ones a span from a place that their checksum gives."""
+    each, left = 0, most
+    for i, n in enumerate(sorted(map(len, texts))):
+        each = min(n, max(0, left // (len(texts) - i) - 1))
+        if each < n:
+            break
+        left -= n + 1
+    return b" ".join(t[at : at + each] for t in texts for at in (zlib.crc32(t) % (max(0, len(t) - each) + 1),))
+
+
 def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     """(language, dictionary, filler) of every language that is not null, those of most rows first; the filler is a bit more of its text.
 
     The fit reads a bounded sample: of each language the FIT_ROWS distinct texts lowest by their hash, up to FIT_TEXT_BYTES of
-    each (less of both where there are many languages: ``bounds``). Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
+    each from a place that the hash gives, and spreads dictionary and filler over all of them (less of each where there are
+    many languages: ``bounds``). Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
     give to another language.
     """
     h = F.xxhash64("text").alias("h")
@@ -84,8 +97,9 @@ def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     raw: dict[str, list[str]] = {n: [] for n in names}
     if names:
         totals = rows.sparkSession.createDataFrame(counts, T.StructType([rows.schema["lang"], T.StructField("total", T.LongType())]))
+        start = F.pmod(F.shiftrightunsigned("h", 31), F.greatest(F.lit(0), F.length("text") - n_chars) + 1).cast("int") + 1
         keyed = rows.select("lang", "text", h).join(F.broadcast(totals), "lang")
-        sample = keyed.filter(lowest(F.col("h"), n_rows, F.col("total"))).groupBy("lang", "h").agg(F.min(F.substring("text", 1, n_chars)).alias("text"))
+        sample = keyed.filter(lowest(F.col("h"), n_rows, F.col("total"))).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(n_chars))).alias("text"))
         for r in sorted(sample.collect(), key=lambda r: (r["h"] % (1 << 31), r["text"])):
             if len(raw[r["lang"]]) < n_rows:
                 raw[r["lang"]].append(r["text"])
@@ -94,13 +108,14 @@ def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     texts = {n: [t for t in ts if t] for n, ts in texts.items()}
 
     def build(chosen: dict[str, list[bytes]]) -> list[bytes]:
-        return [b" ".join(chosen[n])[n_filler:][-n_dictionary:] or b" ".join(chosen[n]) or n.encode() for n in names]
+        parts = {n: spread(chosen[n], n_filler + n_dictionary) for n in names}
+        return [parts[n][n_filler:] or parts[n] or n.encode() for n in names]
 
     if len(names) > 1:
         coders = _coders(build(texts), SHORT_LEVEL)
         sure = {n: [t for t in texts[n] if min(range(len(names)), key=_sizes(coders, t).__getitem__) == i] for i, n in enumerate(names)}
         texts = {n: sure[n] or texts[n] for n in names}
-    return [(n, d, b" ".join(texts[n])[:n_filler]) for n, d in zip(names, build(texts))]
+    return [(n, d, spread(texts[n], n_filler + n_dictionary)[:n_filler]) for n, d in zip(names, build(texts))]
 
 
 def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str = "text") -> DataFrame:
