@@ -21,9 +21,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8): the one of the smallest doc_id. Rows without a doc_id stay."""
-    kept = near_duplicates.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates (five-word shingles, 0.8): the one of the smallest doc_id.
+
+    Rows without a doc_id stay. Of rows with equal doc_id and text one stays; unlike texts of one doc_id are documents of
+    their own, in the order of a hash of the text.
+    """
+    h = F.xxhash64("text")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    keys = named.select("doc_id", h.alias("_h")).distinct()
+    if keys.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        nodes = named.withColumn("_node", F.col("doc_id"))
+    else:
+        # numbers in the order of doc_id, fixed by storing them
+        keys = stored(keys.orderBy("doc_id", "_h").withColumn("_node", F.monotonically_increasing_id()), "pipeline-nodes")
+        nodes = named.withColumn("_h", h).join(keys, ["doc_id", "_h"])
+    kept = near_duplicates.near_duplicates(nodes.select(F.col("_node").alias("doc_id"), "text"), k=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    one = nodes.join(kept, nodes["_node"] == kept["_kept"], "left_semi").dropDuplicates(["_node"])
     return one.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -548,3 +548,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.count() > 0 and "position" in docs.columns
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], T._parse_datatype_string(DOCS)), str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(20)) for w in "abc")
+    table = [(7, one), (7, two), (5, three), (5, three), (9, two), (3, "z " + one), (3, two), (None, one)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in table], DOCS), "").select("doc_id", "text").collect()
+    assert sorted(((g["doc_id"] or 0), g["text"]) for g in got) == sorted([(0, one), (5, three), (3, "z " + one), (3, two)])
+    unlike = spark.createDataFrame([(7, one, "en", "s", 1), (7, two, "en", "s", 1)], DOCS)
+    assert corpus_pipeline.drop_near_duplicates(spark, unlike, "").count() == 2
