@@ -199,6 +199,12 @@ def binary_text(spark, d):
     return table(spark, d, "documents").select("doc_id", encoding.has_binary_text(plain).alias("binary_text"))
 
 
+@query("""SELECT doc_id, contains(text, chr(0)) OR length(s) - length(replace(s, '�', '')) > length(s) * 0.1::DOUBLE AS binary_text
+  FROM (SELECT doc_id, text, substr(text, 1, 2000) AS s FROM documents)""")
+def document_binary_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", encoding.has_binary_text(F.col("text")).alias("binary_text"))
+
+
 SIGNED = ["25504446", "1F8B0800", "3C68746D6C3E", "EFBBBF61", "FFFE6100", "6100620063"]
 
 
@@ -315,6 +321,13 @@ def document_wrappers(spark, d):
     return table(spark, d, "pages").select("page_id", wrap_fragment(h).alias("document"), valid_input(h, F.col("url")).alias("valid"), collapsed_length_of(h, 1000).alias("n"))
 
 
+@query("""SELECT page_id, CASE WHEN regexp_matches(html, '^\\s*<(!doctype|html|body)', 'i') THEN html ELSE '<!DOCTYPE html><html><body>' || html || '</body></html>' END AS document,
+  coalesce(html, '') <> '' AND coalesce(url, '') <> '' AS valid, least(length(trim(regexp_replace(html, '[\x00-\x20]+', ' ', 'g'))), 1000)::INT AS n FROM pages""")
+def page_wrappers(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", wrap_fragment(h).alias("document"), valid_input(h, F.col("url")).alias("valid"), collapsed_length_of(h, 1000).alias("n"))
+
+
 @query()
 def page_markdown(spark, d):
     return pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
