@@ -195,6 +195,25 @@ def test_topk(spark, seed):
     assert topk.top_k(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_topk_of_repeated_ids_in_two_partitions(spark):
+    schema = "vec_id long, embedding array<long>"
+    a, b = spark.createDataFrame([(1, [1, 0])], schema), spark.createDataFrame([(1, [5, 0]), (2, [0, 9])], schema)
+    got = topk.top_k(spark.createDataFrame([(50, [65536, 0])], schema), a.unionByName(b), 5).orderBy("rank").collect()
+    assert [(g["vec_id"], g["score"]) for g in got] == [(1, 327680), (1, 65536), (2, 0)]
+
+
+def test_maxscore_reads_less_where_bounds_tell(spark):
+    r = np.random.default_rng(3)
+    postings = r.integers(-4, 5, (64, 2000)).astype(np.float64)
+    postings[:6] *= 200
+    query, ids = np.ones(64), np.arange(2000)
+    for beat in (None, float((query @ postings).max())):
+        reads = [0, 0]
+        score, found = topk.maxscore(query, postings, postings.min(1), postings.max(1), ids, 7, 5, beat, reads)
+        want = sorted((-s, i) for i, s in enumerate(query @ postings) if i != 7 and (beat is None or s >= beat))[:5]
+        assert list(zip((-score).tolist(), found.tolist())) == want and reads[0] < 0.4 * reads[1]
+
+
 # ---- near duplicates
 
 
