@@ -108,6 +108,25 @@ def test_mixing_odd_inputs(spark):
         mixing.invert([(0, 1)], F.lit(0.5))
 
 
+def test_mixing_passes_columns_of_any_name(spark):
+    extra = ["source_rank", "_mix_bucket", "_MIX_start", "a.b", "_in_3_source_rank", "Position", "Size"]
+    d = spark.createDataFrame([(1, "a b", "x", *range(7)), (2, "c d e", None, *range(7))], ["doc_id", "text", "source", *extra])
+    got = mixing.mix(d)
+    assert got.columns == ["doc_id", "text", "source", *extra[:5], *[c for c in mixing.PLANNED if c != "positions"], "position"]
+    assert {r["doc_id"]: (r["source_rank"], r["_mix_bucket"], r["_MIX_start"], r["a.b"], r["size"]) for r in mixing.plan(d).collect()} == {1: (0, 1, 2, 3, 2), 2: (0, 1, 2, 3, 3)}
+
+
+def test_mixing_of_many_sources(spark):
+    """Ranks, water levels and targets over more sources than partitions, against the plain loop."""
+    r = random.Random(8)
+    sizes = {f"s{i:04}": r.choice([1, 3, 50, 400]) for i in range(500)} | {None: 7}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = water_fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 3)
+    assert [g["source"] for g in sorted(got, key=lambda g: g["source_rank"])] == order
+    assert all(math.isclose(g["target"], want[g["source"]], rel_tol=1e-9) for g in got)
+
+
 # ---- suffixes
 
 

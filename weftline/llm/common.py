@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; a cluster without one is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +50,14 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def set_aside(df: DataFrame, clash: Callable[[str], bool]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns whose lower-case names ``clash`` under names that nothing has, and what gives them back (``withColumnsRenamed``)."""
+    present = {c.lower() for c in df.columns}
+    free = (n for n in (f"_aside{i}" for i in itertools.count()) if n not in present and not clash(n))
+    names = {c: next(free) for c in df.columns if clash(c.lower())}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def table_bytes(df: DataFrame, column: str) -> int:
     """Bytes of one text column, from one pass over its lengths."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD, read
+from .common import WORD, durable, read, set_aside
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -42,28 +42,52 @@ def invert(schedule: Schedule, q: Column) -> Column:
     return F.least(out, F.lit(knots[-1][0]))
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``_mix_no`` (place in ``order``, from 0) and for each of ``sums`` what the rows before hold of it.
+
+    Range partitions are summed first, then the rows of each, so no order over all rows meets in one task.
+    """
+    dealt = durable(rows.repartitionByRange(*order).withColumn("_mix_part", F.spark_partition_id()))
+    sums = {"_mix_no": F.lit(1), **sums}
+    totals = dealt.groupBy("_mix_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    parts = W.orderBy("_mix_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each shuffle partition
+    before = totals.select("_mix_part", *[F.coalesce(F.sum(n).over(parts), F.lit(0)).alias(f"_before{n}") for n in sums])
+    inner = W.partitionBy("_mix_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(before), "_mix_part")
+    return placed.select(*rows.columns, *[(F.col(f"_before{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
 def targets(sources: DataFrame, total_share: float = 1.0, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """(source, source_size) with ``source_rank`` (code point order, null last), ``source_weight`` and ``target``.
+    """``sources`` (source, source_size and further columns) with ``source_rank`` (code point order, null last), ``source_weight`` and ``target``.
 
     Shares above ``max_epochs * source_size`` stop there; the excess goes to the others by weight until none is above.
     In the order of limit by weight the stopped sources come first, so one running sum finds them all.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("source_rank", F.row_number().over(order) - 1)
+    kept = sources.columns
+    ranked = _running(sources, [F.col("source").asc_nulls_last()], {}).withColumnRenamed("_mix_no", "source_rank")
     ranked = ranked.withColumn("source_weight", F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int")))
-    limit = F.col("source_size") * max_epochs
-    by_ratio = W.orderBy(limit.cast("double") / F.col("source_weight"), "source_rank")
-    all_rows = W.partitionBy()
-    ranked = (
-        ranked.withColumn("_limit", limit)
-        .withColumn("_limits_before", F.coalesce(F.sum("_limit").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_weights_left", F.sum("source_weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("_all", F.floor(F.sum("source_size").over(all_rows) * F.lit(float(total_share))).cast("long"))
-        .withColumn("_open", (F.col("_all") - F.col("_limits_before")) * F.col("source_weight") <= F.col("_limit") * F.col("_weights_left"))
-    )
-    level = F.max(F.when(F.col("_open"), F.struct(F.col("_weights_left"), (F.col("_all") - F.col("_limits_before")).alias("rest")))).over(all_rows)
-    share = level["rest"].cast("double") * F.col("source_weight") / level["_weights_left"]
-    return ranked.withColumn("target", F.when(F.col("_open"), share).otherwise(F.col("_limit").cast("double"))).select("source", "source_size", "source_rank", "source_weight", "target")
+    ranked = ranked.withColumn("_mix_limit", F.col("source_size") * max_epochs)
+    ratio = (F.col("_mix_limit").cast("double") / F.col("source_weight")).asc()
+    ranked = _running(ranked, [ratio, F.col("source_rank").asc()], {"_mix_limits": F.col("_mix_limit"), "_mix_weights": F.col("source_weight")})
+    ranked = durable(ranked)
+    whole = ranked.agg(F.floor(F.sum("source_size") * F.lit(float(total_share))).cast("long").alias("size"), F.sum("source_weight").alias("weight")).first()
+    rest, weights_left = F.lit(whole["size"] or 0) - F.col("_mix_limits"), F.lit(whole["weight"] or 0) - F.col("_mix_weights")
+    ranked = ranked.withColumn("_mix_open", rest * F.col("source_weight") <= F.col("_mix_limit") * weights_left)
+    level = ranked.filter("_mix_open").agg(F.max(F.struct(weights_left.alias("left"), rest.alias("rest"))).alias("at")).first()["at"] or {"left": 1, "rest": 0}
+    share = F.lit(float(level["rest"])) * F.col("source_weight") / F.lit(level["left"])
+    return ranked.select(*kept, "source_rank", "source_weight", F.when(F.col("_mix_open"), share).otherwise(F.col("_mix_limit").cast("double")).alias("target"))
+
+
+#: Columns that ``plan`` adds, and the further one of ``mix``.
+PLANNED = ("size", "source_size", "source_weight", "target", "copies", "taken", "positions")
+
+
+def measure(docs: DataFrame, seed: str = "") -> DataFrame:
+    """``docs`` with ``size`` (words) and ``_mix_hash``, the key of a source's order."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in PLANNED]
+    return docs.select(*kept, size.alias("size"), key.alias("_mix_hash"))
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Schedule] = SCHEDULES, max_epochs: int = 3, total_share: float = 1.0, seed: str = "") -> DataFrame:
@@ -76,24 +100,31 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
 
     Null or empty text: size 0, never taken. Null source: a source of its own, last. Null doc_id: ordered as the text
     "null". Equal doc_ids are ordered by size, so repeated rows are interchangeable. An empty table gives an empty one.
-    Input columns named like an output column give way to it. The order is a pure function of the rows: reruns agree.
+    Input columns named like an output column (in any case) give way to it; all others pass, whatever their names. The
+    order is a pure function of the rows: reruns agree.
     """
-    named = ["size", "source_size", "source_weight", "target", "copies", "taken", "positions"]
-    rest = [c for c in docs.columns if c.lower() not in named and not c.startswith("_mix_")]
-    base = docs.select(*rest, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    base = base.withColumn("_mix_hash", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    slim = base.select("source", "doc_id", "size", "_mix_hash")
+    docs, originals = set_aside(docs, lambda c: c.startswith("_mix_") or c == "source_rank")
+    rows = measure(docs, seed)
+    slim = durable(rows.select("source", "doc_id", "size", "_mix_hash"))
+    return _planned(rows, slim, weights, schedules, max_epochs, total_share).withColumnsRenamed(originals)
+
+
+def _planned(base: DataFrame, slim: DataFrame, weights: Sequence[int], schedules: Sequence[Schedule], max_epochs: int, total_share: float) -> DataFrame:
+    """``plan`` of measured rows; all sums come from ``slim``, their narrow columns computed once."""
+    rest = [c for c in base.columns if c not in ("size", "_mix_hash")]
     per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_mix_rows"))
-    goals = targets(per_source.select("source", "source_size"), total_share, weights, max_epochs)
-    facts = goals.alias("g").join(per_source.select(F.col("source").alias("_s"), "_mix_rows").alias("r"), F.col("g.source").eqNullSafe(F.col("_s"))).drop("_s")
-    facts = facts.withColumn("_mix_buckets", F.ceil(F.sqrt("_mix_rows")).cast("long"))
-    facts = facts.select(F.col("source").alias("_mix_source"), "source_size", "source_rank", "source_weight", "target", "_mix_buckets")
-    rows = base.join(facts, base["source"].eqNullSafe(facts["_mix_source"]), "left").drop("_mix_source")
-    rows = rows.withColumn("_mix_bucket", F.conv(F.substring("_mix_hash", 1, 8), 16, 10).cast("long") * F.col("_mix_buckets") / F.lit(float(1 << 32)))
-    rows = rows.withColumn("_mix_bucket", F.floor("_mix_bucket").cast("long"))
-    sums = rows.groupBy("source_rank", "_mix_bucket").agg(F.sum("size").alias("_mix_sum"))
+    facts = targets(per_source, total_share, weights, max_epochs)
+    facts = durable(facts.select(F.col("source").alias("_mix_source"), "source_size", "source_rank", "source_weight", "target", F.ceil(F.sqrt("_mix_rows")).cast("long").alias("_mix_buckets")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(facts, rows["source"].eqNullSafe(facts["_mix_source"]), "left").drop("_mix_source")
+        share = F.conv(F.substring("_mix_hash", 1, 8), 16, 10).cast("long") * F.col("_mix_buckets") / F.lit(float(1 << 32))
+        return rows.withColumn("_mix_bucket", F.floor(share).cast("long"))
+
+    sums = dealt(slim).groupBy("source_rank", "_mix_bucket").agg(F.sum("size").alias("_mix_sum"))
     up_to = W.partitionBy("source_rank").orderBy("_mix_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source_rank").alias("_mix_r"), F.col("_mix_bucket").alias("_mix_b"), F.coalesce(F.sum("_mix_sum").over(up_to), F.lit(0)).alias("_mix_before"))
+    rows = dealt(base)
     rows = rows.join(sums, (rows["source_rank"] == sums["_mix_r"]) & (rows["_mix_bucket"] == sums["_mix_b"]), "left")
     inner = W.partitionBy("source_rank", "_mix_bucket").orderBy("_mix_hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_mix_start", F.col("_mix_before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
@@ -108,19 +139,20 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[
         return out
 
     rows = rows.withColumn("positions", F.transform("_mix_due", when)).withColumn("copies", F.size("_mix_due")).withColumn("taken", F.col("size") * F.col("copies"))
-    return rows.select(*rest, *named)
+    return rows.select(*[F.col(f"`{c}`") for c in rest], *PLANNED)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The training sequence: one row per taken copy, with ``position``, range-sorted by it (ties by doc_id)."""
+    """The training sequence: one row per taken copy, with ``position`` (an input column of that name gives way), range-sorted by it (ties by doc_id)."""
     planned = plan(docs, **settings)
-    rest = [c for c in planned.columns if c not in ("positions", "position")]
+    rest = [F.col(f"`{c}`") for c in planned.columns if c.lower() not in ("positions", "position")]
     return planned.select(*rest, F.explode("positions").alias("position")).orderBy("position", F.col("doc_id").asc_nulls_last())
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` in the order of first training position; those not taken come last."""
-    planned = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    slim = durable(measure(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
+    planned = _planned(slim, slim, WEIGHTS, SCHEDULES, 3, 1.0)
     first = F.round(F.get("positions", F.lit(0)), 9)
     out = planned.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position"))
     return out.orderBy(F.col("first_position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())
