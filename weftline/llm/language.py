@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import batches, lowest, read
 
-#: Bounds of the fit: training texts of a language, characters taken of one text (FIT_TEXT_BYTES) and bytes of each dictionary.
+#: Bounds of the fit: training texts of a language, and the size of its dictionary and filler. A long text gives FIT_PIECES
+#: pieces of PIECE_CHARS characters, spread evenly from its beginning to its end.
 FIT_ROWS = 400
-FIT_TEXT_BYTES = 2_000
+FIT_PIECES = 5
+PIECE_CHARS = 400
 DICTIONARY_BYTES = 96 << 10
 FILLER_BYTES = 4 << 10
-#: Every language is learned. With more than FULL_LANGUAGES the bounds above shrink in proportion, down to LEAST (rows, characters, dictionary, filler).
+#: Every language is learned. With more than FULL_LANGUAGES the bounds above shrink in proportion, down to LEAST (rows, pieces, dictionary, filler).
 FULL_LANGUAGES = 64
-LEAST = (16, 400, 2 << 10, 512)
+LEAST = (16, 2, 2 << 10, 512)
 BLOCK_BYTES = 8 << 10
-#: Texts up to SHORT_BYTES are parsed more thoroughly: a byte counts there.
-LEVEL, SHORT_BYTES, SHORT_LEVEL = 5, 1_500, 7
+LEVEL = 7
 #: A smaller relative margin rejects.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -39,8 +40,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def letters(text: str) -> bytes:
-    """The whole text's letters in lower case, every run of anything else as one space: case and signs tell no language."""
-    return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
+    """The whole text's letters in lower case, a space before and after each word instead of anything else: case and signs tell no language."""
+    return b" ".join([b"", *text.lower().encode("utf-8", "replace").translate(_LETTERS).split(), b""])
 
 
 #: ASCII letters and all bytes beyond ASCII stay.
@@ -52,20 +53,20 @@ def _sizes(coders: list, data: bytes) -> list[int]:
     return [sum(len(c.compress(p)) for p in parts) for c in coders]
 
 
-def _coders(dictionaries: list[bytes], level: int = LEVEL) -> list:
+def _coders(dictionaries: list[bytes]) -> list:
     import zstandard
 
     out = []
     for d in dictionaries:
         raw = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        raw.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
+        raw.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
 def bounds(languages: int) -> tuple[int, ...]:
-    """FIT_ROWS, FIT_TEXT_BYTES, DICTIONARY_BYTES and FILLER_BYTES for so many languages."""
-    full = (FIT_ROWS, FIT_TEXT_BYTES, DICTIONARY_BYTES, FILLER_BYTES)
+    """FIT_ROWS, FIT_PIECES, DICTIONARY_BYTES and FILLER_BYTES for so many languages."""
+    full = (FIT_ROWS, FIT_PIECES, DICTIONARY_BYTES, FILLER_BYTES)
     return full if languages <= FULL_LANGUAGES else tuple(max(b, a * FULL_LANGUAGES // languages) for a, b in zip(full, LEAST))
 
 
@@ -83,23 +84,25 @@ def spread(texts: list[bytes], most: int) -> bytes:
 def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
     """(language, dictionary, filler) of every language that is not null, those of most rows first; the filler is a bit more of its text.
 
-    The fit reads a bounded sample: of each language the FIT_ROWS distinct texts lowest by their hash, up to FIT_TEXT_BYTES of
-    each from a place that the hash gives, and spreads dictionary and filler over all of them (less of each where there are
-    many languages: ``bounds``). Lines that samples of two languages share (notices, licences) are left out, then texts that the first dictionaries
-    give to another language.
+    The fit reads a bounded sample: of each language the FIT_ROWS distinct texts lowest by their hash, FIT_PIECES pieces from
+    all over each (the whole of a shorter text), and spreads dictionary and filler over all of them (less of each where
+    there are many languages: ``bounds``). Lines that samples of two languages share (notices, licences) are left out, then texts of each half of the sample that the
+    dictionaries of the other half give to another language (wrong labels).
     """
     h = F.xxhash64("text").alias("h")
     rows = rows.filter(F.col("lang").isNotNull())
     counts = rows.groupBy("lang", h).agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     counts = [(r["lang"], r["texts"]) for r in counts.orderBy(F.desc("n"), "lang").collect()]
     names = [n for n, _ in counts]
-    n_rows, n_chars, n_dictionary, n_filler = bounds(len(names))
+    n_rows, n_pieces, n_dictionary, n_filler = bounds(len(names))
     raw: dict[str, list[str]] = {n: [] for n in names}
     if names:
         totals = rows.sparkSession.createDataFrame(counts, T.StructType([rows.schema["lang"], T.StructField("total", T.LongType())]))
-        start = F.pmod(F.shiftrightunsigned("h", 31), F.greatest(F.lit(0), F.length("text") - n_chars) + 1).cast("int") + 1
+        step = (F.length("text") - PIECE_CHARS) / F.lit(max(1, n_pieces - 1))
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(n_pieces - 1)), lambda i: F.substring("text", F.floor(i * step).cast("int") + 1, F.lit(PIECE_CHARS)))
+        taken = F.when(F.length("text") <= n_pieces * PIECE_CHARS, F.col("text")).otherwise(F.array_join(pieces, " "))
         keyed = rows.select("lang", "text", h).join(F.broadcast(totals), "lang")
-        sample = keyed.filter(lowest(F.col("h"), n_rows, F.col("total"))).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(n_chars))).alias("text"))
+        sample = keyed.filter(lowest(F.col("h"), n_rows, F.col("total"))).groupBy("lang", "h").agg(F.min(taken).alias("text"))
         for r in sorted(sample.collect(), key=lambda r: (r["h"] % (1 << 31), r["text"])):
             if len(raw[r["lang"]]) < n_rows:
                 raw[r["lang"]].append(r["text"])
@@ -112,8 +115,10 @@ def fit(rows: DataFrame) -> list[tuple[str, bytes, bytes]]:
         return [parts[n][n_filler:] or parts[n] or n.encode() for n in names]
 
     if len(names) > 1:
-        coders = _coders(build(texts), SHORT_LEVEL)
-        sure = {n: [t for t in texts[n] if min(range(len(names)), key=_sizes(coders, t).__getitem__) == i] for i, n in enumerate(names)}
+        halves = [{n: ts[i::2] for n, ts in texts.items()} for i in (0, 1)]
+        coders = [_coders(build(h)) for h in halves[::-1]]
+        own = lambda i, half, t: min(range(len(names)), key=_sizes(coders[half], t).__getitem__) == i
+        sure = {n: [t for half in (0, 1) for t in halves[half][n] if own(i, half, t)] for i, n in enumerate(names)}
         texts = {n: sure[n] or texts[n] for n in names}
     return [(n, d, spread(texts[n], n_filler + n_dictionary)[:n_filler]) for n, d in zip(names, build(texts))]
 
@@ -135,14 +140,14 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str =
         others = sorted(sizes[:best] + sizes[best + 1 :])
         return best, (others[0] - sizes[best]) / max(1, others[0]) if others else 1.0
 
-    def judge(value: str | None, names: list[str], fillers: list[bytes], coders: list, thorough: list) -> tuple[str, float, float, bool]:
+    def judge(value: str | None, names: list[str], fillers: list[bytes], coders: list) -> tuple[str, float, float, bool]:
         if not names or not value or not any(map(str.isalpha, value)):
             return UNKNOWN, 0.0, 0.0, True
         data = letters(value)
-        sizes = _sizes(thorough if len(data) <= SHORT_BYTES else coders, data)
+        sizes = _sizes(coders, data)
         best, margin = smallest(sizes)
         if margin < MIN_MARGIN:
-            sizes = [len(c.compress(f + b" " + data[i : i + BLOCK_BYTES])) - len(c.compress(f)) for i in range(0, len(data), BLOCK_BYTES) for c, f in zip(thorough, fillers)]
+            sizes = [len(c.compress(f + data[i : i + BLOCK_BYTES])) - len(c.compress(f)) for i in range(0, len(data), BLOCK_BYTES) for c, f in zip(coders, fillers)]
             sizes = [max(0, sum(sizes[i :: len(names)])) for i in range(len(names))]
             best, margin = smallest(sizes)
         weights = sum(math.exp(-min(50.0, 40.0 * (s - sizes[best]) / max(1, sizes[best]))) for s in sizes)
@@ -150,9 +155,9 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str =
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, dictionaries, fillers = ([m[i] for m in shared.value] for i in range(3))
-        coders, thorough = _coders(dictionaries), _coders(dictionaries, SHORT_LEVEL)
+        coders = _coders(dictionaries)
         for batch in batches(stream, text):
-            got = [judge(x, names, fillers, coders, thorough) for x in batch.column(text).to_pylist()]
+            got = [judge(x, names, fillers, coders) for x in batch.column(text).to_pylist()]
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *named])
 
