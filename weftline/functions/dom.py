@@ -8,6 +8,7 @@ up to the nearest open element of its name, if there is one that no table cell o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -115,6 +116,7 @@ def parse(html: str | None) -> Node:
     if not html:
         return root
     stack = [root]
+    opened: Counter[str] = Counter()  # how many elements of each name are open, so that no start or end tag searches in vain
 
     def put_text(text: str) -> None:
         if text:
@@ -125,6 +127,7 @@ def parse(html: str | None) -> Node:
                 children.append(text)
 
     def close_through(depth: int) -> None:
+        opened.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
     at = 0
@@ -150,7 +153,7 @@ def parse(html: str | None) -> Node:
             if end in ("br",):
                 stack[-1].children.append(Node("br", None, stack[-1]))
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[end] else ():
                 if stack[depth].tag == end:
                     close_through(depth)
                     break
@@ -162,15 +165,15 @@ def parse(html: str | None) -> Node:
             continue
         name = name.lower()
         source = m["attrs"] if m["start"] else m["attrs2"]
-        if name in ("html", "body", "head"):
+        if name in ("html", "body", "head") and opened[name]:
             same = next((n for n in stack if n.tag == name), None)
             if same is not None:
                 for key, value in attributes(source).items():
                     same.attrs.setdefault(key, value)
                 continue
         if len(stack) > 1 and stack[-1].tag == "head" and name not in HEAD_ONLY:
-            stack.pop()
-        if name in ENDS_PARAGRAPH:
+            close_through(len(stack) - 1)
+        if name in ENDS_PARAGRAPH and opened["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     close_through(depth)
@@ -178,7 +181,7 @@ def parse(html: str | None) -> Node:
                 if stack[depth].tag in SHIELD:
                     break
         ended = IMPLIED.get(name)
-        if ended:
+        if ended and any(opened[t] for t in ended[0]):
             cut = 0
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in ended[1]:
@@ -206,4 +209,5 @@ def parse(html: str | None) -> Node:
         if source.rstrip().endswith("/") and name in ("svg", "path", "circle", "rect", "line", "use", "g", "polygon"):
             continue
         stack.append(node)
+        opened[name] += 1
     return root
