@@ -5,7 +5,9 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -565,6 +567,102 @@ def test_minimum_cut():
         cost = sum(round(abs(x) * 1000) for x, k in zip(odds, keep) if (x > 0) != k and x) + sum(c for a, b, c in edges if keep[a] != keep[b])
         assert cost == brute_cut(odds, edges)
 
+LONG = "A sentence of some length, with a comma in it, tells what the story is about. "
+
+#: Unlike pages, labelled by hand: (html, main text).
+LABELLED = [
+    # one form around the whole page
+    (f"<body><form action=x><input type=hidden><div id=top><a href=a>Home</a> <a href=b>News</a></div><h1>Council votes</h1><p>{LONG * 3}</p><p>{LONG * 2}</p><div class=footer>Imprint</div></form></body>", f"Council votes\n{(LONG * 3).strip()}\n{(LONG * 2).strip()}"),
+    # the article's own header and footer
+    (f"<header><a href=/>Paper</a></header><article><header class=entry-header><h1>A title</h1></header><p>{LONG * 2}</p><footer class=entry-footer><a href=t>Tag</a></footer></article>", f"A title\n{(LONG * 2).strip()}"),
+    # paragraphs whose class merely holds a listed word
+    (f"<article><h1>T one</h1><p>{LONG * 2}</p><p class=alert>Mind the gap, it is wide here.</p><div class=social-history><p>{LONG}</p></div><p>{LONG * 2}</p></article>", f"T one\n{(LONG * 2).strip()}\nMind the gap, it is wide here.\n{LONG.strip()}\n{(LONG * 2).strip()}"),
+    # an article inside a wrapper of a misleading name, junk outside
+    (f"<div class=sidebar><a href=a>One</a> <a href=b>Two</a></div><div class=notice><article><h1>Found it</h1><p>{LONG * 4}</p></article></div><div class=promo>Buy this now, it is cheap.</div>", f"Found it\n{(LONG * 4).strip()}"),
+    # formulas stay
+    (f"<main><h1>Roots</h1><p>{LONG}The root is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></main>", f"Roots\n{LONG}The root is x=2 here."),
+    # no markup that tells, links before and after
+    (f"<div><a href=a>Start</a></div><div><a href=b>Sports</a></div><div>{LONG * 4}</div><div>Then it rained.</div><div>{LONG * 4}</div><div><a href=c>Older</a></div>", f"{(LONG * 4).strip()}\nThen it rained.\n{(LONG * 4).strip()}"),
+    # cookie notice, newsletter form, reader comments with articles of their own
+    (f"<div class=cookie-notice><p>We use cookies. You may accept them all, or some.</p></div><article><h1>Rain again</h1><p>{LONG * 3}</p></article><form class=newsletter>Your address <input><button>Send</button></form><section id=comments><h2>Comments</h2><article><p>{LONG * 5}</p></article></section>", f"Rain again\n{(LONG * 3).strip()}"),
+    # lists and headings of the article
+    (f"<nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></nav><main><h1>How to bake</h1><p>{LONG * 2}</p><h2>You need</h2><ul><li>Flour<li>Two eggs<li>A little salt</ul><p>{LONG * 2}</p></main>", f"How to bake\n{(LONG * 2).strip()}\nYou need\nFlour\nTwo eggs\nA little salt\n{(LONG * 2).strip()}"),
+    # a table of the article, and a layout table of links
+    (f"<table><tr><td><a href=a>Home</a><td><a href=b>About</a></table><article><h1>Scores</h1><p>{LONG * 2}</p><table><tr><th>Team<th>Points<tr><td>Reds<td>7</table><p>{LONG}</p></article>", f"Scores\n{(LONG * 2).strip()}\nTeam\nPoints\nReds\n7\n{LONG.strip()}"),
+    # references, entities, white space, comments, CDATA-free scripts
+    (f"<article><h1>Fish &amp;  chips</h1><p>It&nbsp;cost &pound;5,\n\t{LONG}</p><!-- <p>no</p> --><script>document.write('<p>no</p>')</script><style>p{{}}</style></article>", f"Fish & chips\nIt cost £5, {LONG.strip()}"),
+    # hidden elements
+    (f"<article><h1>Seen</h1><p style='display: none'>{LONG * 3}</p><p hidden>{LONG}</p><p>{LONG * 2}</p></article>", f"Seen\n{(LONG * 2).strip()}"),
+    # an advert between paragraphs
+    (f"<article><h1>Trains</h1><p>{LONG * 2}</p><div class=ad-slot><p>Fly for less. Book now and save a lot of money.</p></div><p>{LONG * 2}</p></article>", f"Trains\n{(LONG * 2).strip()}\n{(LONG * 2).strip()}"),
+    # roles instead of elements
+    (f"<div role=banner>The daily site of the town</div><div role=navigation><a href=a>A</a></div><div role=main><h1>Roles</h1><p>{LONG * 2}</p></div><div role=complementary><p>{LONG * 2}</p></div><div role=contentinfo>All rights reserved by us.</div>", f"Roles\n{(LONG * 2).strip()}"),
+    # quotes and code
+    (f"<article><h1>Loops</h1><p>{LONG}</p><pre>for x in y:\n    print(x)</pre><blockquote>{LONG}</blockquote></article>", f"Loops\n{LONG.strip()}\nfor x in y: print(x)\n{LONG.strip()}"),
+    # related links inside the article
+    (f"<article><h1>Bees</h1><p>{LONG * 3}</p><div class=related><h3>Related</h3><ul><li><a href=a>Wasps and their nests</a><li><a href=b>Honey</a></ul></div></article>", f"Bees\n{(LONG * 3).strip()}"),
+    # links in running text
+    (f"<div class=content><h1>Linked</h1><p>The <a href=a>river</a> runs by the <a href=b>old mill</a>, and so does the road. {LONG}</p></div><div id=footer><a href=c>Contact</a></div>", f"Linked\nThe river runs by the old mill, and so does the road. {LONG.strip()}"),
+    # unclosed tags
+    (f"<body><nav><a href=a>x</a></nav><article><h1>Open<p>{LONG * 2}<p>So it goes.<p>{LONG * 2}", f"Open\n{(LONG * 2).strip()}\nSo it goes.\n{(LONG * 2).strip()}"),
+    # line breaks inside a block
+    (f"<main><h1>Poem</h1><p>The first line<br>and the second,<br/>and {LONG}</p></main>", f"Poem\nThe first line and the second, and {LONG.strip()}"),
+    # share buttons, breadcrumbs, pager
+    (f"<ol class=breadcrumb><li><a href=a>Home</a><li>Here</ol><article><h1>Paths</h1><div class='share-buttons'><a href=f>Tell others</a></div><p>{LONG * 3}</p></article><div class=pagination><a href=n>Next</a></div>", f"Paths\n{(LONG * 3).strip()}"),
+    # a log-in form inside the article
+    (f"<article><h1>Members</h1><p>{LONG * 3}</p><form><label>Name</label><input><label>Password</label><input type=password><button>Go</button></form></article>", f"Members\n{(LONG * 3).strip()}"),
+    # a figure and its caption
+    (f"<article><h1>Towers</h1><figure><img src=a alt=no><figcaption>The tower at night, seen from the south.</figcaption></figure><p>{LONG * 2}</p></article>", f"Towers\nThe tower at night, seen from the south.\n{(LONG * 2).strip()}"),
+    # other scripts
+    ("<nav><a href=a>新闻</a></nav><article><h1>今天的天气很好，我们去公园。</h1><p>" + "孩子们在草地上跑来跑去，老人们在树下聊天。" * 4 + "</p></article>", "今天的天气很好，我们去公园。\n" + "孩子们在草地上跑来跑去，老人们在树下聊天。" * 4),
+    # a long list of short items
+    (f"<nav><a href=a>x</a></nav><article><h1>The team</h1><p>{LONG}</p><ul>" + "".join(f"<li>Name{i}" for i in range(12)) + "</ul></article>", "\n".join(["The team", LONG.strip(), *(f"Name{i}" for i in range(12))])),
+    # nothing but navigation
+    ("<nav><a href=a>A</a><a href=b>B</a></nav><footer>© 2026</footer>", ""),
+    # plain text
+    ("Just a text without any tag, as some servers send it.", "Just a text without any tag, as some servers send it."),
+]
+
+
+@pytest.mark.parametrize("i", range(len(LABELLED)))
+def test_labelled_pages(i):
+    assert html_text.main_text(LABELLED[i][0]) == LABELLED[i][1]
+
+
+@has_tables
+def test_the_cut_changes_labels_and_rightly(spark):
+    """On the table's pages an article's short lines are boilerplate by their prose alone; the cut gives them to the article, and nothing else."""
+    from weftline.functions.dom import parse
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.fit(pages)
+    assert (weights == html_text.fit(pages.unionByName(pages).repartition(5))).all()
+    changed = 0
+    for r in pages.collect():
+        page = html_text.Page(parse(r["html"]))
+        article = re.search("<article>(.*?)<footer>", r["html"], re.S)[1]
+        want = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1|article)>", article)]
+        keep = html_text.labels(page, weights)
+        assert [t for t, k in zip(page.texts, keep) if k] == [x for x in want if x], r["page_id"]
+        changed += sum((o > 0) != k for o, k in zip(html_text.log_odds(page, weights), keep))
+    assert changed >= 20
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(depth):
+        at = time.perf_counter()
+        assert html_text.main_text("<div>" * depth + "Deep text stays where it is." + "</div>" * depth) == "Deep text stays where it is."
+        return time.perf_counter() - at
+
+    assert min(seconds(3_000) for _ in range(3)) < 0.5 and min(seconds(24_000) for _ in range(2)) < 4
+
+
+def test_regression_moves_from_the_prior():
+    assert tuple(html_text.regression(np.zeros((0, 8)), np.zeros(0))) == html_text.PRIOR
+    x = np.column_stack((np.ones(400), np.tile(np.arange(4.0), 100), *np.zeros((6, 400))))
+    w = html_text.regression(x, (x[:, 1] < 1.5).astype(float))
+    assert w[1] < 0 and (w[2:] == html_text.PRIOR[2:]).all()
+
 
 PAGE = """<!doctype html><html><head><title>T</title><style>x{}</style></head><body><header><a href=/>Site name</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies. You may accept them, and so on and on.</div><div class=layout><article><h1>The  title &amp; more</h1><p>First paragraph,
