@@ -443,12 +443,21 @@ def test_tiling(spark):
     assert decontamination.find_leaks(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).filter("size(leaks) > 0").count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
-    items = [(i, " ".join(f"t{i}x{j}" for j in range(8))) for i in range(6)]
-    d = spark.createDataFrame([(1, "pre " + items[1][1] + " mid " + items[4][1], "keep")], "doc_id long, text string, leaks string")
-    got = decontamination.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).first()
-    assert sorted(x["item_id"] for x in got["leaks"]) == [1, 4]
+def test_short_items_and_templates(spark, monkeypatch):
+    """Items under MIN_MATCH tokens must occur whole; a template that all items share makes no pairs by itself; items of one text go chunk by chunk."""
+    monkeypatch.setattr(decontamination, "CHUNK", 4)
+    template = " ".join(f"template{j}" for j in range(9))
+    items = [(i, template + " " + " ".join(f"t{i}x{j}" for j in range(15))) for i in range(40)] + [(100, "forty two indeed"), (101, "yes"), (None, "forty two")]
+    texts = ["pre " + items[1][1] + " mid " + " ".join(f"t4x{j}" for j in range(15)), template, template + " only", "he said Forty-two, indeed!", "forty and two", "oh yes"]
+    texts.append(" ".join(i[1] for i in items[:40]))
+    d = spark.createDataFrame([(i, t, "keep", i) for i, t in enumerate(texts)] + [(9, None, "keep", 9)], "doc_id long, text string, Leaks string, h1 long")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {g["doc_id"]: g for g in decontamination.find_leaks(d, frame).collect()}
+    ids = lambda i: [x["item_id"] for x in got[i]["leaks"]]
+    assert ids(0) == [1, 4] and ids(1) == ids(2) == ids(4) == ids(9) == [] and ids(3) == [None, 100] and ids(5) == [101] and ids(6) == list(range(40))
+    assert all(g["h1"] == i for i, g in got.items()) and got[0].asDict().keys() == {"doc_id", "text", "h1", "leaks"}
+    index = decontamination._index(decontamination._items(frame.filter("item_id < 40")), 0.5)
+    assert index.groupBy("seed").count().filter("count > 1").count() == 0
 
 
 # ---- language
