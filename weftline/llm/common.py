@@ -69,6 +69,24 @@ def lowest(key: Column, wanted: int, total: int | Column) -> Column:
     return F.pmod(key, F.lit(1 << 31)) < share * F.lit(float(1 << 31))
 
 
+#: A join key of more rows than HOT_ROWS is split over SALTS tasks. There are at most HOT_KEYS such keys: any other key has less than 1 / HOT_KEYS of all rows.
+HOT_ROWS, HOT_KEYS, SALTS = 256, 1024, 64
+
+
+def hot_keys(facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """The keys of most rows, at most HOT_KEYS, by the number of rows in ``size``."""
+    return durable(facts.filter(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")))
+
+
+def matched(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row for each key); rows of a hot key are dealt by ``by`` over SALTS tasks, its fact is repeated."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

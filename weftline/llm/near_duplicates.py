@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, durable, grams, mix, read, utf8, words
+from .common import batches, durable, grams, hot_keys, matched, mix, read, utf8, words
 
 SLOTS = 128
 #: The chance that a pair at the threshold shares no band.
@@ -114,49 +114,47 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, elements binary")
 
 
+#: Members of a block, and bytes of the sets that a task holds of it.
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, common, total, linked) of the distinct ``pairs`` (cluster, a, b), on full sets; linked = 100 * common >= percent * total.
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets have in common."""
+    if not len(a) or not len(b):
+        return 0
+    spot = np.searchsorted(b, a)
+    spot[spot == len(b)] = 0
+    return int(np.count_nonzero(b[spot] == a))
 
-    The pairs of a cluster are cut into blocks of about BLOCK by BLOCK members, so a set is sent once for each block it
-    takes part in, not once for each pair; the b side of a block is held, the a side is streamed past it.
+
+def confirm(arms: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, common, total, linked) of the distinct ``arms`` (hub, node), on full sets; linked = 100 * common >= percent * total.
+
+    The arms of a hub are cut into blocks of about BLOCK; a block holds the hub's set, and the arms' sets stream past it.
     """
-    degrees = pairs.groupBy("cluster").agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
-    cut = lambda side, n: F.pmod(F.xxhash64(F.col(side), F.col(n)), F.ceil(F.col(n) / BLOCK))
-    placed = pairs.join(degrees, "cluster").select("cluster", cut("a", "na").alias("x"), cut("b", "nb").alias("y"), "a", "b")
-    where = ["cluster", "x", "y"]
-    arms = placed.groupBy(*where, "a").agg(F.collect_list("b").alias("others"))
-    arms = arms.join(sets.withColumnRenamed("node", "a"), "a").select(*where, F.lit(1).alias("side"), F.col("a").alias("node"), "others", "elements")
-    held = placed.select(*where, "b").distinct().join(sets.withColumnRenamed("node", "b"), "b")
-    held = held.select(*where, F.lit(0).alias("side"), F.col("b").alias("node"), F.array().cast("array<long>").alias("others"), "elements")
-    dealt = held.unionByName(arms).repartition(*[F.col(c) for c in where]).sortWithinPartitions(*where, "side", "node")
+    degrees = durable(arms.groupBy("hub").agg(F.count(F.lit(1)).alias("degree")))
+    placed = matched(arms, degrees, ["hub"], hot_keys(degrees, ["hub"], "degree"), "node")
+    placed = placed.select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / BLOCK)).alias("x"), "node")
+    streamed = placed.join(sets, "node").select("hub", "x", F.lit(1).alias("side"), "node", "elements")
+    held = placed.select("hub", "x").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", "x", F.lit(0).alias("side"), F.col("hub").alias("node"), "elements")
+    dealt = held.unionByName(streamed).repartition("hub", "x").sortWithinPartitions("hub", "x", "side")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, {}
+        known = np.zeros(0, np.uint64)
         for batch in stream:
             out: list[tuple[int, int, int, int]] = []
-            places = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            sides, nodes, others, blobs = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)
-            for i, place in enumerate(places):
-                if place != at:
-                    at, known = place, {}
+            hubs, sides, nodes, blobs = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            for i, hub in enumerate(hubs):
                 own = np.frombuffer(blobs[i].as_buffer(), np.uint64)
                 if sides[i] == 0:
-                    known.setdefault(nodes[i], []).append(np.array(own))
+                    known = np.array(own)
                     continue
-                for b in others[i]:
-                    for other in known.get(b, ()):
-                        common = 0
-                        if len(other) and len(own):
-                            spot = np.searchsorted(other, own)
-                            spot[spot == len(other)] = 0
-                            common = int(np.count_nonzero(other[spot] == own))
-                        out.append((nodes[i], b, common, len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["a", "b", "common", "total"])
-
-    found = dealt.mapInArrow(run, "a long, b long, common long, total long")
+                common = _shared(own, known)
+                out.append((hub, nodes[i], common, len(own) + len(known) - common))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["hub", "node", "common", "total"])
+
+    found = dealt.mapInArrow(run, "hub long, node long, common long, total long")
     return found.withColumn("linked", F.col("common") * 100 >= F.col("total") * percent)
 
 
@@ -214,36 +212,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     base = durable(signatures(docs, k, percent / 100))
     part = base.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = durable(part.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    places = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    places = durable(places.join(shared, "key"))
-    found = _groups(docs, places, k, percent)
-    copies = classes.select("fp1", "fp2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
-    slim = base.select("doc_id", "n_shingles", "fp1", "fp2")
-    out = slim.join(copies, ["fp1", "fp2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    whole = ["fp1", "fp2", "n_shingles"]
+    classes = durable(part.groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")))
+    found = _groups(docs, classes, k, percent)
+    copies = classes.select(*whole, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*whole, F.coalesce("component", "rep").alias("component"))
+    slim = base.select("doc_id", *whole)
+    out = matched(slim.filter("n_shingles > 0"), copies, whole, hot_keys(classes, whole, "rows"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = out.unionByName(slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _groups(docs: DataFrame, places: DataFrame, k: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) by confirmed links that connect every pair of candidates which is linked or joined by linked ones."""
+    places = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    shared = durable(places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    hot = hot_keys(shared, ["key"], "size")
+    places = durable(matched(places, shared, ["key"], hot, "rep"))
     possible = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
-    central = places.groupBy("rep").agg(F.sum("size").alias("c"))
+    central = durable(places.groupBy("rep").agg(F.sum("size").alias("c")))
     sets = durable(_sets(docs.join(central, docs["doc_id"] == central["rep"], "left_semi"), k))
     rank = F.max(F.struct("c", (-F.col("rep")).alias("r"), "n"))
     hubs = places.join(central, "rep").groupBy("key").agg(rank.alias("h")).select("key", (-F.col("h.r")).alias("hub"), F.col("h.n").alias("hub_n"))
-    placed = durable(places.select("key", "rep", "n").join(hubs, "key"))
+    placed = durable(matched(places.select("key", "rep", "n"), hubs, ["key"], hot, "rep"))
     arms = placed.filter((F.col("rep") != F.col("hub")) & possible)
-    tested = durable(confirm(arms.select(F.col("hub").alias("cluster"), F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), sets, percent))
-    groups = components(tested.filter("linked"))
+    tested = durable(confirm(arms.select("hub", F.col("rep").alias("node")).distinct(), sets, percent))
+    groups = components(tested.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     labelled = placed.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
     parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("largest")).filter("members > largest")
     odd = F.max(F.col("component") != F.col("main")).alias("odd")
-    apart = durable(labelled.join(mixed.select("key", "main"), "key").groupBy(F.col("hub").alias("cluster"), F.col("rep").alias("node"), "n", "component").agg(odd))
-    distance = tested.select(F.col("b").alias("cluster"), F.col("a").alias("node"), (1 - F.col("common") / F.col("total")).alias("d"))
+    apart = matched(labelled, mixed.select("key", "main"), ["key"], hot, "rep").groupBy(F.col("hub").alias("cluster"), F.col("rep").alias("node"), "n", "component").agg(odd)
+    apart = durable(apart)
+    if apart.isEmpty():
+        return groups
+    distance = tested.select(F.col("hub").alias("cluster"), "node", (1 - F.col("common") / F.col("total")).alias("d"))
     found = durable(_across(apart, distance, sets, percent))
     if found.isEmpty():
         return groups
@@ -254,11 +257,15 @@ def _across(apart: DataFrame, distance: DataFrame, sets: DataFrame, percent: int
     """Links (a, b) that join the components of a cluster as far as its members' sets do; one of each pair is ``odd``.
 
     The members of all buckets of one hub are a cluster. Its odd members meet all of its members in blocks of BLOCK by
-    BLOCK sets, so no pair is ever a row. In a block, pairs of components that are joined already are passed over, and so
-    are pairs whose sizes or whose distances to the hub differ too much to be linked.
+    BLOCK sets, fewer where sets are large (BLOCK_BYTES), so no pair is ever a row. In a block, pairs of components that
+    are joined already are passed over, and so are pairs whose sizes or whose distances to the hub differ too much to be
+    linked.
     """
-    degrees = apart.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("xs"), F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("ys"))
-    rows = apart.join(degrees, "cluster").join(distance, ["cluster", "node"], "left")
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size * 8 / BLOCK_BYTES))
+    odd = F.col("odd").cast("long")
+    degrees = apart.groupBy("cluster").agg(F.count(F.lit(1)).alias("degree"), blocks(F.count(F.lit(1)), F.sum("n")).alias("xs"), blocks(F.sum(odd), F.sum(odd * F.col("n"))).alias("ys"))
+    degrees = durable(degrees)
+    rows = matched(apart, degrees.select("cluster", "xs", "ys"), ["cluster"], hot_keys(degrees, ["cluster"], "degree"), "node").join(distance, ["cluster", "node"], "left")
     rows = rows.withColumn("d", F.when(F.col("node") == F.col("cluster"), 0.0).otherwise(F.col("d")))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -293,9 +300,7 @@ def _across(apart: DataFrame, distance: DataFrame, sets: DataFrame, percent: int
                         continue
                     if d is not None and e is not None and abs(d - e) * 100 > 100 - percent + 1e-6:
                         continue
-                    spot = np.searchsorted(elements, own_set)
-                    spot[spot == len(elements)] = 0
-                    common = int(np.count_nonzero(elements[spot] == own_set))
+                    common = _shared(own_set, elements)
                     if common * 100 >= (n + m - common) * percent:
                         links.append((node, b))
                         parent[find(component)] = find(other)
