@@ -300,28 +300,78 @@ def test_super_minhash_estimates():
 # ---- repeated passages
 
 
+def brute_chunks(raw):
+    """Chunks of one text, byte by byte."""
+    ends, last, h = [], 0, 0
+    gears = [int(x) for x in substrings._GEAR]
+    space = b" \t\n\x0b\x0c\r"
+    for i in range(len(raw)):
+        h = (2 * h + gears[raw[i]]) % 2**32
+        seen = h if i < 16 else sum(gears[raw[i - j]] << j for j in range(16))
+        if seen % 65536 >= 65535 // (substrings.MEAN_CHUNK - substrings.LEAST_CHUNK) or i < 15:
+            continue
+        at = [c for c in range(i + 1, i + 2 + substrings.SNAP)]
+        byte = lambda c: raw[min(c, len(raw) - 1)]
+        cut = next((c for c in at if byte(c - 1) in space and byte(c) not in space), None) or next((c for c in at if byte(c) & 0xC0 != 0x80), at[0])
+        if cut < len(raw) and cut - last >= substrings.LEAST_CHUNK:
+            ends.append(cut)
+            last = cut
+    return list(zip([0, *ends], [*ends, len(raw)])) if raw else []
+
+
+def brute_removed(table):
+    """(n_bytes, spans, text) of each row by plain comparison of chunks."""
+    first = {}
+    own = lambda d: 1 << 63 if d is None else d
+    parts = [(own(d), (t or "").encode()) for d, t in table]
+    chunks = [brute_chunks(raw) for _, raw in parts]
+    for (d, raw), cs in zip(parts, chunks):
+        for a, b in cs:
+            first[raw[a:b]] = min(d, first.get(raw[a:b], 1 << 64))
+    out = []
+    for (d, raw), cs, (_, t) in zip(parts, chunks, table):
+        spans = []
+        for a, b in cs:
+            if first[raw[a:b]] < d:
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        spans = [s for s in spans if s[1] - s[0] >= substrings.MIN_RUN]
+        kept = b"".join(raw[a:b] for a, b in zip([0] + [s[1] for s in spans], [s[0] for s in spans] + [len(raw)]))
+        out.append((len(raw), spans, None if t is None else kept.decode()))
+    return out
+
+
 def test_substrings(spark):
     r = random.Random(3)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    word = lambda: "".join(r.choice("abcdefghijéü日") for _ in range(r.randint(2, 9)))
     passage = " ".join(word() for _ in range(60))
-    table = [(i, " ".join(word() for _ in range(r.randint(0, 200))) + (" " + passage + " " if i % 3 == 0 else "") + " ".join(word() for _ in range(40)), "x") for i in range(40)]
-    table += [(100, None, "x"), (101, "", "x"), (102, table[5][1], "x"), (None, table[5][1], "x"), (7, table[7][1], "x")]
-    got = substrings.remove_repeats(spark.createDataFrame(table, "doc_id long, text string, spans string").repartition(3)).collect()
-    assert len(got) == len(table)
-    by = {}
-    for g in got:
-        by.setdefault(g["doc_id"], g)
-    texts = {t[0]: t[1] for t in table if t[0] is not None}
-    for i in range(40):
-        cut = by[i]["n_removed"]
-        assert (cut > 200) if i % 3 == 0 and i else cut == 0
-        for s in by[i]["spans"]:
-            piece = texts[i].encode()[s["start"] : s["end"]]
-            assert len(piece) >= substrings.MIN_RUN and any(piece in texts[j].encode() for j in range(i))
-    assert by[100]["text"] is None and by[101]["text"] == "" and by[102]["text"] == "" and by[None]["text"] == ""
+    table = [(i, " ".join(word() for _ in range(r.randint(0, 200))) + (" " + passage + " " if i % 3 == 0 else "") + " ".join(word() for _ in range(40))) for i in range(40)]
+    table += [(100, None), (101, ""), (102, table[5][1]), (None, table[5][1]), (7, table[7][1]), (103, "no space " + "日本語" * 200), (104, "日本語" * 200), (105, "a" * 3000), (106, "a" * 2000)]
+    frame = spark.createDataFrame([(*t, "x", i) for i, t in enumerate(table)], "doc_id long, text string, Spans string, rid long").repartition(3)
+    got = substrings.remove_repeats(frame)
+    assert got.columns == ["doc_id", "text", "rid", "n_bytes", "n_removed", "spans"]
+    got = sorted(got.collect(), key=lambda g: g["rid"])
+    want = brute_removed(table)
+    assert [(g["n_bytes"], [[s["start"], s["end"]] for s in g["spans"]], g["text"]) for g in got] == want
+    assert all((g["n_removed"] > 200) == (i % 3 == 0 and i > 0) for i, g in enumerate(got[:40]))
+    assert [got[i]["text"] for i in (40, 41, 42, 43)] == [None, "", "", ""]
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_very_long_text_in_blocks(spark, monkeypatch):
+    """Cuts do not depend on the blocks that a text is hashed in, nor on the rows around it."""
+    r = random.Random(9)
+    raw = " ".join("".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(60_000)).encode()
+    whole = substrings.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+    assert [a for a, _ in brute_chunks(raw[:20_000])][:-2] == [a for a in whole if a < 20_000][: len(brute_chunks(raw[:20_000])) - 2]
+    monkeypatch.setattr(substrings, "BLOCK", 1000)
+    assert substrings.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() == whole
+    two = np.frombuffer(b"x" * 37 + raw, np.uint8)
+    assert (substrings.cuts(two, np.array([0, 37, len(two)]))[0][1:] - 37).tolist()[-len(whole) :] == whole
+
+
 def test_chunks_resist_shifts():
     r = random.Random(1)
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(800)).encode()

@@ -1,28 +1,35 @@
 """Repeated passages by content-defined chunking.
 
 A gear hash rolls over the bytes of a text: each step doubles it and adds the byte's gear, so its low 16 bits see the
-last 16 bytes. Where they fall under a limit a chunk ends (at the next word's start), so cuts depend on content alone
-and an insertion shifts no chunk but its own. A chunk is compared by the 96-bit digest of the chunks up to its end that
-make at least CONTEXT bytes, so a common short chunk is no evidence. If a document with a smaller doc_id holds the same,
-those chunks are duplicates, and a run of duplicate chunks of MIN_RUN bytes or more is removed.
+last 16 bytes. Where they fall under a limit a chunk ends (at the next word's start), if it has LEAST_CHUNK bytes by
+then. So cuts depend on content alone and an insertion shifts no chunks but those around it. Chunks are compared by
+128-bit digests. A chunk that a document with a smaller doc_id holds too is a duplicate, and a run of duplicate chunks of
+MIN_RUN bytes or more is removed; a shorter one is no evidence, nor is a common short chunk alone.
+
+Each text is chunked once. Digests meet in an aggregation (combined before the shuffle) that tells the smallest doc_id of
+each digest that two documents share, and a join tells the chunks; digests of many chunks are dealt over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from .common import _powers, mix, read, slices
-from .exchange import LAST, Exchange, least, owners, texts
+from .common import batches, hot_keys, matched, mix, read, set_aside, stored, utf8
 
-MEAN_CHUNK = 24
-CONTEXT = 32
-MIN_RUN = 64
-SLICE = 1 << 20
+MEAN_CHUNK = 32
+LEAST_CHUNK = 12
+MIN_RUN = 112
+#: Bytes hashed at a time, and the furthest that a cut moves to meet a word's start.
+BLOCK = 1 << 20
+SNAP = 32
+LAST = 2**63 - 1
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
-KEY = np.dtype([("h", "<u8"), ("x", "<u4")])
-ENTRY = np.dtype([("h", "<u8"), ("x", "<u4"), ("doc", "<i8")])
+_SPACE = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -35,140 +42,119 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h & np.uint32(0xFFFF)
 
 
+def _candidates(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the gear hash calls for a cut, and where each cut then falls: the next word's start, or else the next character's, within SNAP bytes."""
+    hits, moved = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(data), BLOCK):
+        start = max(0, low - 15)
+        part = data[start : low + BLOCK]
+        hit = np.flatnonzero(gear(part) < np.uint32(0xFFFF // (MEAN_CHUNK - LEAST_CHUNK))) + start + 1
+        hit = hit[hit > low]
+        near = data[np.minimum(hit[:, None] + np.arange(-1, SNAP + 1), len(data) - 1)] if len(data) else np.zeros((0, SNAP + 2), np.uint8)
+        word = _SPACE[near[:, :-1]] & ~_SPACE[near[:, 1:]]
+        letter = (near[:, 1:] & 0xC0) != 0x80
+        step = np.where(word.any(1), word.argmax(1), letter.argmax(1))
+        hits.append(hit)
+        moved.append(hit + step)
+    return np.concatenate(hits), np.concatenate(moved)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunk starts in ``data`` and per row the index of its first chunk; every non-empty row starts a chunk."""
-    hit = gear(data) < np.uint32(0xFFFF // MEAN_CHUNK)
-    into = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    at = np.flatnonzero(hit & (into >= 15)) + 1
-    row_end = np.repeat(offsets[1:], np.diff(offsets))[at - 1]
-    separator = np.isin(data, (0x20, 9, 10, 11, 12, 13))
-    starts = np.flatnonzero(~separator & np.concatenate(([True], separator[:-1]))) if len(data) else at
-    after = np.append(starts, len(data))[np.searchsorted(starts, at)]
-    at = np.minimum(np.where(after - at <= 32, after, at), row_end)
-    while len(at):
-        inside = (at < row_end) & ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
-        if not inside.any():
-            break
-        at = at + inside
-    at = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], at[at < len(data)])))
-    return at, np.searchsorted(at, offsets)
-
-
-def context(starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each chunk the first chunk of its context: at least CONTEXT bytes up to its end, or all from the row's start."""
-    return np.maximum(np.searchsorted(starts, ends - CONTEXT, "right") - 1, np.repeat(rows[:-1], np.diff(rows)))
-
-
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(starts), KEY)
-    up, down = _powers(len(data) + 1)
-    size = (ends - starts).astype(np.uint64)
-    for name, table in (("h", mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED))), ("x", mix(np.arange(256, dtype=np.uint64) + np.uint64(0xA3C7)))):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)))
-        value = mix((total[ends] - total[starts]) * down[starts] + size)
-        out[name] = value if name == "h" else (value >> np.uint64(32)).astype(np.uint32)
-    return out
-
-
-def _chunks(table: pa.Table):
-    """Slices of a group: (row offsets, chunk starts and ends, context starts, chunks by row, digests, owner of each chunk, data)."""
-    data, offsets = texts(table)
-    own = owners(table)
-    for a, b in slices(np.diff(offsets), SLICE):
-        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, rows = cuts(part, at)
-        ends = np.append(starts[1:], len(part)) if len(starts) else starts
-        low = context(starts, ends, rows)
-        yield at, starts, ends, low, rows, digests(part, starts[low], ends), np.repeat(own[a:b], np.diff(rows)), part
-
-
-def _combined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, docs = [np.zeros(0, KEY)], [np.zeros(0, np.int64)]
-    for *_, found, own, _ in _chunks(table):
-        k, d = least(found, own)
-        keys.append(k)
-        docs.append(d)
-    return least(np.concatenate(keys), np.concatenate(docs))
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row's text without its repeated passages, and n_bytes, n_removed and spans (input columns of those names give way).
+    hit, at = _candidates(data)
+    row = np.searchsorted(offsets, hit - 1, "right") - 1
+    fits = (hit - offsets[row] >= 16) & (at < offsets[row + 1])  # what the hash saw, and the cut, lie in the row
+    at, row = at[fits], row[fits]
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    at_ = at.tolist()
+    starts: list[int] = []
+    first = [0]
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        if b > a:
+            starts.append(a)
+            for x in at_[bounds[i] : bounds[i + 1]]:
+                if x - a >= LEAST_CHUNK:
+                    starts.append(x)
+                    a = x
+        first.append(len(starts))
+    return np.array(starts, np.int64), np.array(first, np.int64)
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    """(rid, own, k1, k2, chunks) of each row of ``docs`` (own, k1, k2, text) with a non-empty text; chunks are (h1, h2, start, end)."""
+    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, "text"):
+            data, offsets = utf8(batch.column("text"))
+            starts, rows = cuts(data, offsets)
+            ends = np.append(starts[1:], len(data)) if len(starts) else starts
+            raw = data.tobytes()
+            digest = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+            h = np.frombuffer(digest, "<i8").reshape(-1, 2)
+            base = np.repeat(offsets[:-1], np.diff(rows))
+            values = pa.StructArray.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], fields=list(kind))
+            lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "own", "k1", "k2")), lists], names=["rid", "own", "k1", "k2", "chunks"])
+
+    some = docs.filter(F.octet_length("text") > 0).select(F.monotonically_increasing_id().alias("rid"), "own", "k1", "k2", "text")
+    out = some.mapInArrow(run, "rid long, own long, k1 long, k2 long, chunks array<struct<h1:long,h2:long,start:int,end:int>>")
+    return stored(out, "substrings-chunks")
+
+
+def _spans(chunked: DataFrame, least_run: int) -> DataFrame:
+    """(own, k1, k2, spans): for each document and text the runs to remove, where there are any."""
+    places = chunked.select("rid", "own", F.inline("chunks"))
+    shared = places.groupBy("h1", "h2").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
+    shared = stored(shared.select("h1", "h2", "first", "size"), "substrings-digests")
+    repeated = matched(places, shared.select("h1", "h2", "first"), ["h1", "h2"], hot_keys(shared, ["h1", "h2"], "size"), "rid").filter("first < own")
+    listed = repeated.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("chunks"))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in stream:  # chunks that touch are one run
+            lists = batch.column(1)
+            flat = lists.flatten()
+            start, end = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            new = np.concatenate(([True], (start[1:] != end[:-1]) | (row[1:] != row[:-1])))[: len(start)]
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(start))[: len(head)] - 1
+            a, b, r = start[head], end[tail], row[head]
+            long_ = b - a >= least_run
+            a, b, r = a[long_], b[long_], r[long_]
+            which, at = np.unique(r, return_index=True)
+            values = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), values)], names=["rid", "spans"])
+
+    runs = listed.mapInArrow(run, "rid long, spans array<struct<start:long,end:long>>")
+    return chunked.select("rid", "own", "k1", "k2").join(runs, "rid").groupBy("own", "k1", "k2").agg(F.first("spans").alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, least_run: int = MIN_RUN) -> DataFrame:
+    """``docs`` with each row's text without its repeated passages, and n_bytes, n_removed and spans (input columns of those names give way, all others pass).
 
     spans lists the removed [start, end) bytes of the text. A passage stays where its document has the smallest doc_id of
     those that hold it; a null doc_id comes after all others. Repeats within one document, and between rows of one doc_id,
-    stay. Null texts stay null with 0 bytes, empty ones empty; a text that is removed whole becomes empty. No row is dropped.
+    stay. Null texts stay null with 0 bytes, empty ones empty; a text that is removed whole becomes empty. A text of
+    fewer than ``least_run`` bytes is left alone. Repeated rows get equal results. No row is dropped.
     """
-    rest = [f for f in docs.schema.fields if f.name.lower() not in ("doc_id", "text", "n_bytes", "n_removed", "spans")]
-    room = Exchange(docs.select("doc_id", "text", *[F.col(f"`{f.name}`") for f in rest]), 1 / MEAN_CHUNK)
-    buckets = np.uint64(room.buckets)
-
-    def extract(table: pa.Table, _) -> dict[int, bytes]:
-        keys, own = _combined(table)
-        entries = np.zeros(len(keys), ENTRY)
-        entries["h"], entries["x"], entries["doc"] = keys["h"], keys["x"], own
-        bucket = (keys["h"] % buckets).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        entries, bucket = entries[order], bucket[order]
-        names, at = np.unique(bucket, return_index=True)
-        return {int(n): entries[x:y].tobytes() for n, x, y in zip(names, at, np.append(at[1:], len(entries)))}
-
-    def resolve(blocks: list[bytes]) -> list[bytes]:
-        entries = [np.frombuffer(b, ENTRY) for b in blocks]
-        together = np.concatenate(entries)
-        origin = np.repeat(np.arange(len(entries)), [len(e) for e in entries])
-        order = np.lexsort((together["doc"], together["x"], together["h"]))
-        e = together[order]
-        first = np.concatenate(([True], (e["h"][1:] != e["h"][:-1]) | (e["x"][1:] != e["x"][:-1])))
-        smallest = e["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
-        late = smallest < e["doc"]
-        told, whose = e[late].copy(), origin[order][late]
-        told["doc"] = smallest[late]
-        back = np.argsort(whose, kind="stable")
-        told, bounds = told[back], np.searchsorted(whose[back], np.arange(len(entries) + 1))
-        return [told[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-
-    def finish(table: pa.Table, blocks: list[bytes]) -> pa.Table:
-        keys, own = _combined(table)
-        told = np.frombuffer(b"".join(blocks), ENTRY)
-        known = np.zeros(len(told), KEY)
-        known["h"], known["x"] = told["h"], told["x"]
-        keys, own = least(np.concatenate((keys, known)), np.concatenate((own, told["doc"])))
-        kept: list[bytes] = []
-        spans: list[list[dict]] = []
-        for at, starts, ends, low, rows, found, mine, part in _chunks(table):
-            place = np.searchsorted(keys, found) if len(found) else np.zeros(0, np.int64)
-            hit = np.flatnonzero(own[place] < mine)
-            depth = np.bincount(low[hit], minlength=len(starts) + 1) - np.bincount(hit + 1, minlength=len(starts) + 1)
-            repeated = np.cumsum(depth)[: len(starts)] > 0
-            for i in range(len(at) - 1):
-                x, y = rows[i], rows[i + 1]
-                flags = repeated[x:y]
-                text = part[at[i] : at[i + 1]]
-                mine_spans: list[dict] = []
-                if flags.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-                    for p, q in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                        s, e = int(starts[x + p] - at[i]), int(ends[x + q - 1] - at[i])
-                        if e - s >= MIN_RUN:
-                            mine_spans.append({"start": s, "end": e})
-                raw = text.tobytes()
-                for span in reversed(mine_spans):
-                    raw = raw[: span["start"]] + raw[span["end"] :]
-                kept.append(raw)
-                spans.append(mine_spans)
-        sizes = np.diff(texts(table)[1])
-        null = table.column("text").combine_chunks().is_null().to_pylist() if table.num_rows else []
-        return pa.table({
-            "doc_id": table.column("doc_id"),
-            **{f.name: table.column(f.name) for f in rest},
-            "text": pa.array([None if n else k.decode() for n, k in zip(null, kept)], pa.string()),
-            "n_bytes": pa.array(sizes, pa.int64()),
-            "n_removed": pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64()),
-            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        })
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *rest, *T._parse_datatype_string("text string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields])
-    return room.apply(room.answer(room.ask(extract), resolve), finish, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_bytes", "n_removed", "spans")])
+    order = kept.columns
+    kept, originals = set_aside(kept, lambda c: c in ("own", "k1", "k2", "rid", "start", "end", "chunks"))
+    names = {v: k for k, v in originals.items()}
+    keyed = kept.withColumns({"own": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("text"), "text")})
+    spans = _spans(_chunked(keyed.select("own", "k1", "k2", "text")), least_run)
+    out = keyed.join(spans, ["own", "k1", "k2"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    out = out.withColumns({"n_bytes": size, "n_removed": F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])})
+    raw = F.encode("text", "UTF-8")
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array("n_bytes"))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"]))
+    pieces = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{names.get(c, c)}`").alias(c) for c in order]
+    return out.select(*columns, "n_bytes", "n_removed", "spans")
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
