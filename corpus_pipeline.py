@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import decontamination, language, mixing, near_duplicates, substrings
-from weftline.llm.common import read, stored
+from weftline.llm.common import read, set_aside, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier is sure of; those without a letter or with a narrow margin go."""
     model = language.fit(language.training_rows(docs.select("doc_id", "text", "lang")))
-    inner = {c: f"_in_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "margin", "rejected")}
-    judged = language.classify(docs.withColumnsRenamed(inner), model).filter(~F.col("rejected"))
-    return judged.withColumnsRenamed({"rejected": "_rejected", "score": "_score", "margin": "_margin", "lang_pred": "_lang_pred"}).withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
+    inner, originals = set_aside(docs, lambda c: c in ("lang_pred", "score", "margin", "rejected"))
+    judged = language.classify(inner, model).filter(~F.col("rejected"))
+    return judged.drop("lang_pred", "score", "margin", "rejected").withColumnsRenamed(originals)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without a doc_id stay. Of rows with equal doc_id and text one stays; unlike texts of one doc_id are documents of
     their own, in the order of a hash of the text.
     """
+    inner, originals = set_aside(docs, lambda c: c in ("_h", "_node", "_kept"))
     h = F.xxhash64("text")
-    named = docs.filter(F.col("doc_id").isNotNull())
+    named = inner.filter(F.col("doc_id").isNotNull())
     keys = named.select("doc_id", h.alias("_h")).distinct()
     if keys.groupBy("doc_id").count().filter("count > 1").isEmpty():
         nodes = named.withColumn("_node", F.col("doc_id"))
@@ -37,20 +38,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         nodes = named.withColumn("_h", h).join(keys, ["doc_id", "_h"])
     kept = near_duplicates.near_duplicates(nodes.select(F.col("_node").alias("doc_id"), "text"), k=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     one = nodes.join(kept, nodes["_node"] == kept["_kept"], "left_semi").dropDuplicates(["_node"])
-    return one.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    columns = [F.col(f"`{c}`") for c in inner.columns]
+    return one.select(*columns).unionByName(inner.filter(F.col("doc_id").isNull())).withColumnsRenamed(originals)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that a document of a smaller doc_id holds."""
-    inner = {c: f"_in_{c}" for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "spans")}
-    out = substrings.remove_repeats(docs.withColumnsRenamed(inner)).drop("n_bytes", "n_removed", "spans").withColumnsRenamed({v: k for k, v in inner.items()})
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    inner, originals = set_aside(docs, lambda c: c in ("n_bytes", "n_removed", "spans"))
+    out = substrings.remove_repeats(inner).drop("n_bytes", "n_removed", "spans").withColumnsRenamed(originals)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item has leaked."""
-    found = decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(F.size("leaks") == 0).select(*[c for c in docs.columns if c.lower() != "leaks"])
+    inner, originals = set_aside(docs, lambda c: c == "leaks")
+    found = decontamination.find_leaks(inner, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.filter(F.size("leaks") == 0).drop("leaks").withColumnsRenamed(originals)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
