@@ -193,3 +193,30 @@ def test_cache_replay(spark):
     got = {r["seq"]: r for r in cache.replay(spark.createDataFrame(ops, "namespace string, seq long, op string, key string, units long, ts_ms long"), 100, 98).collect()}
     assert not got[101]["hit"] and not got[103]["hit"] and got[104]["evicted"] == 0 and got[105]["evicted"] == 0
     assert got[98]["evicted"] == 1 and max(r["size"] for r in got.values()) == 98
+
+
+RULES = [
+    ("## Setup\nRun it.", "## Setup\n\nRun it."),  # a gap after a heading
+    ("## Setup\n\nRun it.", "## Setup\n\nRun it."),
+    ("### Usage```sh", "### Usage\n\n```sh"),  # a fence glued to a heading
+    ("# HTTPServer", "# HTTP\n\nServer"),  # camel case after capitals
+    ("a /* b */ c `/* d */`", "a c `/* d */`"),  # comments, but not in code
+    ("see [](#top) here", "see here"),  # empty anchors
+    ("[Skip to main content](#x)\n\nText", "Text"),
+    ("Text\n\nWas this page helpful?", "Text"),
+    ("[one](u)[two](v)", "[one](u)\n\n[two](v)"),
+    ("[one](u)and `f()`does", "[one](u) and `f()` does"),
+    ("`key` \\- its value", "`key` - its value"),
+    ("a\\[0\\] b\\.c", "a[0] b.c"),
+    ("Shopping:\n- milk\n- eggs", "Shopping:\n\n- milk\n- eggs"),
+    ("- a\n  - b\n     - c", "- a\n    - b\n     - c"),  # even indents double
+    ("x\n\n\n\n\ny", "x\n\ny"),
+    ('host: "a"port: "b"', 'host: "a"\n\nport: "b"'),
+    ("~~~\na /* b */\n~~~", "~~~\na /* b */\n~~~"),  # fences stay
+    ("Returns: **`int`**\n\nThe number.", "The number."),
+]
+
+
+@pytest.mark.parametrize("before, after", RULES)
+def test_cleaning_rules(before, after):
+    assert markdown.cleanup(before) == after
