@@ -164,19 +164,18 @@ def drop_dangling_tag(text: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]*$", "")
 
 
-def will_truncate(html: Column, limit: int = DEFAULT.max_bytes) -> Column:
+def will_truncate(html: Column, limit: int | Column = DEFAULT.max_bytes) -> Column:
     return F.octet_length(html) > limit
 
 
-def truncate_html(html: Column, limit: int = DEFAULT.max_bytes, already: Column | None = None) -> Column:
+def truncate_html(html: Column, limit: int | Column = DEFAULT.max_bytes, already: Column | None = None) -> Column:
     """At most ``limit`` bytes of UTF-8, cut at a character, without an unfinished tag where something was cut."""
+    limit = limit if isinstance(limit, Column) else F.lit(max(0, limit))
     raw = F.encode(html, "UTF-8")
-    whole = F.octet_length(html) <= limit
-    cut = F.decode(F.expr("X''"), "UTF-8") if limit <= 0 else None
-    # a cut inside a character leaves up to three bytes of it: drop them
-    hexed = F.hex(F.substring(raw, 1, limit))
-    clean = F.regexp_replace(hexed, r"(?:C.|D.|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", "")
-    at_edge = F.hex(F.substring(raw, limit + 1, 1)).rlike("^[89AB]")
-    cut = F.decode(F.unhex(F.when(at_edge, clean).otherwise(hexed)), "UTF-8") if cut is None else cut
+    byte = lambda back: F.conv(F.hex(F.substring(raw, limit - back + 1, F.lit(1))), 16, 10).cast("int")
+    inside = lambda back: F.coalesce(byte(back).between(0x80, 0xBF), F.lit(False))
+    # the byte after the cut is inside a character: its first byte is one to three before
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    cut = F.decode(F.substring(raw, F.lit(1), limit - back), "UTF-8")
     trimmed = F.when(already, drop_dangling_tag(html)).otherwise(html) if already is not None else html
-    return F.when(whole, trimmed).otherwise(drop_dangling_tag(cut))
+    return F.when(F.octet_length(html) <= limit, trimmed).otherwise(drop_dangling_tag(cut))
