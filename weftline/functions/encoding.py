@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import gzip
 import zlib
 
 import pandas as pd
@@ -123,8 +122,25 @@ def retry_after(header: Column, now: Column) -> Column:
     return F.coalesce(number, wait.cast("long"), F.lit(60).cast("long"))
 
 
-def content_decode(body: bytes | None, codings: str | None) -> tuple[bytes | None, str | None]:
-    """Undoes stacked content codings, last first: (body, error). What does not decode passes as it is."""
+def _inflate(body: bytes, limit: int) -> bytes:
+    """At most ``limit`` bytes (0: all) of a gzip or deflate body; a bomb is never blown up."""
+    for window in (47, -15):  # gzip or zlib by its header, else raw
+        coder = zlib.decompressobj(window)
+        try:
+            out = coder.decompress(body, limit)
+        except zlib.error:
+            continue
+        if not coder.eof and not (limit and len(out) >= limit):
+            raise EOFError
+        while coder.unused_data[:2] == b"\x1f\x8b" and not (limit and len(out) >= limit):  # further gzip members
+            rest, coder = coder.unused_data, zlib.decompressobj(window)
+            out += coder.decompress(rest, limit - len(out) if limit else 0)
+        return out
+    raise zlib.error
+
+
+def content_decode(body: bytes | None, codings: str | None, limit: int = DEFAULT.max_bytes + 1) -> tuple[bytes | None, str | None]:
+    """Undoes stacked content codings, last first, up to ``limit`` bytes each: (body, error). What does not decode passes as it is."""
     if body is None or not codings:
         return body, None
     names = [c.strip().lower() for c in codings.split(",") if c.strip()]
@@ -134,13 +150,8 @@ def content_decode(body: bytes | None, codings: str | None) -> tuple[bytes | Non
     out = body
     for name in reversed(names):
         try:
-            if name in ("gzip", "x-gzip"):
-                out = gzip.decompress(out)
-            elif name == "deflate":
-                try:
-                    out = zlib.decompress(out)
-                except zlib.error:
-                    out = zlib.decompress(out, -15)
+            if name in ("gzip", "x-gzip", "deflate"):
+                out = _inflate(out, limit)
             elif name == "br":
                 return None, "unsupported_content_encoding"
         except (OSError, EOFError, zlib.error):

@@ -33,6 +33,16 @@ def code_blocks(text: Column) -> Column:
     return F.floor(F.regexp_count(text, F.lit(r"(?m)^\s*```")) / 2).cast("long")
 
 
+def code_block_check(text: Column, least: int, shown: int = 3, preview: int = 100) -> Column:
+    """struct(n_blocks, enough, languages, previews): the fenced blocks, whether they are ``least`` at least, and of the first ``shown`` the language (or none) and the beginning."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```.*?```"), F.lit(0))
+    first = F.slice(blocks, 1, shown)
+    language = lambda b: F.coalesce(F.nullif(F.regexp_extract(b, r"^```(\w+)", 1), F.lit("")), F.lit("none"))
+    begin = lambda b: F.concat(F.substring(b, 1, preview), F.when(F.length(b) > preview, F.lit("...")).otherwise(F.lit("")))
+    n = F.size(blocks)
+    return F.struct(n.cast("long").alias("n_blocks"), (n >= least).alias("enough"), F.transform(first, language).alias("languages"), F.transform(first, begin).alias("previews"))
+
+
 def structure(text: Column) -> dict[str, Column]:
     return {name: text.rlike(p) for name, p in STRUCTURE.items()}
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.config import DEFAULT, MARKER
-from weftline.functions.urls import js_trim
+from weftline.functions.urls import js_trim, normalize_url
 
 PAGE_EXTENSIONS = r"(?i)\.(?:html?|php|aspx?|jsp)$"
 
@@ -39,6 +42,13 @@ def stable_json(value, depth: int = 0) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
+def with_cache(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], now: Column) -> DataFrame:
+    """Read-through: hits of ``lookup`` and, for the rest, what ``compute`` makes of the missing requests (their columns with content and fetched_at)."""
+    found = lookup(requests, cache, now)
+    made = compute(misses(requests, cache, now)).select(*requests.columns, "content", "fetched_at").withColumn("from_cache", F.lit(False))
+    return found.filter("from_cache").select(*requests.columns, "content", "fetched_at", "from_cache").unionByName(made)
+
+
 def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Read-through: each request with its unexpired entry, if any, unless it forces a refresh."""
     live = cache.filter(F.col("expires_at") > now).select(F.col("cache_key").alias("_k"), "content", "fetched_at")
@@ -68,10 +78,13 @@ def with_aliases(entries: DataFrame) -> DataFrame:
 
 
 def trim(cache: DataFrame, most_keys: int = DEFAULT.cache_keys, most_units: int = DEFAULT.cache_bytes) -> DataFrame:
-    """The most recently used entries within both limits, per namespace: the window form of least-recently-used eviction."""
+    """The most recently used entries within both limits, per namespace: the window form of least-recently-used eviction.
+
+    The rank comes first, so each task keeps ``most_keys`` rows of a namespace at most before anything is shuffled.
+    """
     recent = W.partitionBy("namespace").orderBy(F.desc("last_access"), "cache_key")
-    ranked = cache.withColumn("recency", F.row_number().over(recent)).withColumn("running_units", F.sum("content_units").over(recent.rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.filter((F.col("recency") <= most_keys) & (F.col("running_units") <= most_units))
+    newest = cache.withColumn("recency", F.row_number().over(recent)).filter(F.col("recency") <= most_keys)
+    return newest.withColumn("running_units", F.sum("content_units").over(recent.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("running_units") <= most_units)
 
 
 def payload(markdown: Column, title: Column, truncated: Column) -> Column:
@@ -126,6 +139,33 @@ def resource_parts(uri: Column) -> Column:
     return F.when(ok, F.struct(part(1).alias("namespace"), part(2).alias("hash")))
 
 
+def resolve_parts(uri: Column, namespace: Column, hash_: Column) -> Column:
+    """struct(namespace, hash) from template variables where both are valid, else from the address; null if neither is."""
+    return F.coalesce(resource_parts(resource_uri(namespace, hash_)), resource_parts(uri))
+
+
+def subscription_uri(uri: Column) -> Column:
+    """The canonical spelling of a subscribed address: a cache address from its parts, another one with lower-case scheme; null if it is none."""
+    scheme = F.regexp_extract(uri, r"^\s*([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+    trimmed = js_trim(uri)
+    plain = F.concat(F.lower(scheme), F.substring(trimmed, F.length(scheme) + 1, F.length(trimmed)))
+    parts = resource_parts(plain)
+    web = F.when(F.lower(scheme).isin("http", "https"), normalize_url(trimmed)).otherwise(plain)
+    return F.when(scheme != "", F.coalesce(resource_uri(parts["namespace"], parts["hash"]), web))
+
+
+def hmac_sha256(text: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 in hex, as two digests over padded keys."""
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in padded) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(text, "UTF-8")), 256))), 256)
+
+
+def equal_texts(a: Column, b: Column) -> Column:
+    """Equality of two texts by their digests, so that the comparison's time tells nothing of them."""
+    return F.sha2(a, 256) == F.sha2(b, 256)
+
+
 def listing(cache: DataFrame, now: Column) -> DataFrame:
     """What a listing of the cache shows: address, name, type of every live entry."""
     live = cache.filter(F.col("expires_at") > now)
@@ -146,7 +186,8 @@ def replay(ops: DataFrame, most_keys: int = DEFAULT.cache_keys, most_units: int
 
     op is get or set. A get of an expired entry (at its time or later) drops it; a hit makes it the newest. A set of no or
     too many units does nothing; else the oldest entries go until the new one fits in both limits. A namespace's operations
-    are folded in order as they stream by; what is held is at most ``most_keys`` entries.
+    are folded in order as they stream by; what is held is at most ``most_keys`` entries. The order makes a namespace one
+    task's work; ``trim`` is the form for a cache whose course does not matter.
     """
     dealt = ops.select("namespace", "seq", "op", "key", "units", "ts_ms").repartition("namespace").sortWithinPartitions("namespace", "seq")
 

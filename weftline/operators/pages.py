@@ -76,6 +76,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     ``fetched_at`` (a timestamp literal) dates the footer, so results repeat.
     """
     from weftline.operators.cache import cache_key
+    from weftline.operators.results import failure
 
     html = F.col("html")
     rows = pages.select("page_id", "url", "html")
@@ -120,7 +121,6 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     when = F.lit(fetched_at).cast("timestamp")
     foot = markdown.footer(F.col("metadata.title"), F.col("metadata.author"), F.col("_target"), when, F.col("metadata.description"))
     full = F.when(F.col("_raw") | F.lit(not config.include_metadata), body).otherwise(markdown.with_footer(body, foot))
-    code = F.when(F.col("_failed").isNotNull(), 500).when(F.col("_problem") == "binary_content_detected", 415).otherwise(400)
     return done.select(
         "page_id",
         "url",
@@ -132,7 +132,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
         F.when(problem.isNull(), F.length(full)).cast("long").alias("content_size"),
         (F.col("truncated") & problem.isNull()).alias("truncated"),
         F.when(problem.isNull(), F.when(F.col("_raw"), F.lit("raw")).otherwise(F.col("_source"))).alias("content_source"),
-        F.when(problem.isNotNull(), F.struct(F.lit("VALIDATION_ERROR").alias("code"), code.alias("status_code"), problem.alias("message"))).alias("error"),
+        failure(problem).alias("error"),
     )
 
 

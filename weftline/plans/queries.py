@@ -320,7 +320,7 @@ _BOLD, _PARAGRAPHS = "(length(html) - length(replace(html, '<b>', ''))) / 3", "(
 
 
 @query(f"""WITH c AS (SELECT page_id, length(regexp_extract(html, '<title>(.*?)</title>', 1)) AS part, length(html) % 500 AS whole, {_BOLD} AS b, {_PARAGRAPHS} AS p FROM pages)
-SELECT page_id, NOT (whole >= 100 AND part / whole < 0.15 OR p > 0 AND b / p < 0.3 OR b > 0 AND p / b < 0.5) AS kept FROM c""")
+SELECT page_id, NOT (whole >= 100 AND part / whole < 0.15 OR p > 0 AND b / p < 0.3 OR b > 0 AND p / b < 0.15) AS kept FROM c""")
 def retention_gate(spark, d):
     part = F.length(F.regexp_extract("html", "<title>(.*?)</title>", 1))
     b, p = F.expr(_BOLD), F.expr(_PARAGRAPHS)
@@ -348,9 +348,31 @@ def page_wrappers(spark, d):
     return table(spark, d, "pages").select("page_id", wrap_fragment(h).alias("document"), valid_input(h, F.col("url")).alias("valid"), collapsed_length_of(h, 1000).alias("n"))
 
 
-@query()
+def _decoded(x: str) -> str:
+    for entity, sign in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return x
+
+
+_PIECE = _decoded("regexp_replace(p, '<[^>]*>', '', 'g')")
+_BODY = _decoded("regexp_replace(regexp_extract(html, '<body>.*', 0, 's'), '<!--.*?-->|<[^>]*>', '', 'gs')")
+_TITLE = _decoded("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
+
+
+@query(f"""WITH a AS (
+  SELECT page_id, url, {_TITLE} AS title, length(trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))) >= 400 AS readable, regexp_extract_all(regexp_extract(html, '<article>.*?<footer>', 0, 's'), '<h1>[^<]*</h1>|<p><b>[^<]*<br>|<p>[^<]*</p>') AS parts FROM pages),
+pieces AS (SELECT page_id, i, parts[i] AS p FROM a, unnest(range(1, len(parts) + 1)) AS t(i)),
+texts AS (SELECT page_id, i, p, regexp_replace(trim(regexp_replace({_PIECE}, '\\s+', ' ', 'g')), '([\\\\`*_~])', '\\\\\\1', 'g') AS x FROM pieces),
+body AS (SELECT page_id, trim(string_agg(CASE WHEN starts_with(p, '<h1>') THEN '# ' || x WHEN starts_with(p, '<p><b>') THEN '**' || x || '**  ' ELSE x END, chr(10) || chr(10) ORDER BY i)) AS b FROM texts WHERE x <> '' GROUP BY page_id),
+done AS (SELECT a.page_id, url, title, readable, b || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' _' || title || '_ | [_Original Source_](' || url || ') | _01/02/2026_' AS markdown FROM a JOIN body USING (page_id))
+SELECT page_id, url, url AS final_url, 'markdown:' || substr(sha256(url), 1, 32) AS cache_key, title, title AS meta_title, NULL::VARCHAR AS description, markdown, length(markdown)::BIGINT AS content_size, false AS truncated, CASE WHEN readable THEN 'article' ELSE 'root' END AS content_source,
+  NULL::VARCHAR AS error_code, NULL::INT AS status_code, NULL::VARCHAR AS message FROM done""")
 def page_markdown(spark, d):
-    return pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
+    out = pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
+    return out.select(
+        "page_id", "url", "final_url", "cache_key", "title", F.col("metadata.title").alias("meta_title"), F.col("metadata.description").alias("description"), "markdown", "content_size", "truncated", "content_source",
+        F.col("error.code").alias("error_code"), F.col("error.status_code").alias("status_code"), F.col("error.message").alias("message"),
+    )
 
 
 @query()
@@ -693,6 +715,98 @@ def cache_replay(spark, d):
     return cache.replay(step("set", "n", 0, 10).unionByName(step("get", "k", 1, 0)), most_keys=30, ttl_ms=1_000_000).select("namespace", "seq", "hit")
 
 
+# ---- further requests over tasks, cache and results
+
+_WANTED = "cast(floor(value * 100) AS bigint) % 1200 AS task_id, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN cast(cast(floor(value * 100) AS bigint) % 1200 % 10 AS varchar(4)) ELSE 'x' END AS owner_key"
+_STATES = f"""t AS (SELECT task_id, arg_min(owner_key, ts) AS owner_key, coalesce(arg_min(status, ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')), arg_max(status, ts)) AS status FROM ({_TASKS}) GROUP BY task_id)"""
+
+
+def _wanted(spark, d) -> DataFrame:
+    return table(spark, d, "events").selectExpr("event_id", _WANTED.split(", CASE")[0], "CASE" + _WANTED.split(", CASE")[1])
+
+
+@query(f"""WITH {_STATES}, r AS (SELECT event_id, {_WANTED} FROM events)
+SELECT event_id, r.task_id, t.status FROM r LEFT JOIN t ON t.task_id = r.task_id AND (r.owner_key IS NULL OR r.owner_key = t.owner_key)""")
+def task_by_id(spark, d):
+    return tasks.by_id(tasks.states(_task_events(spark, d)), _wanted(spark, d)).select("event_id", "task_id", "status")
+
+
+@query(f"""WITH {_STATES}, r AS (SELECT event_id, {_WANTED} FROM events)
+SELECT event_id, CASE WHEN t.status = 'working' THEN 'cancelled' ELSE t.status END AS status,
+  CASE WHEN t.status IS NULL THEN 'Task not found' WHEN t.status <> 'working' THEN 'Cannot cancel task: already ' || t.status END AS error
+FROM r LEFT JOIN t ON t.task_id = r.task_id AND (r.owner_key IS NULL OR r.owner_key = t.owner_key)""")
+def task_cancel(spark, d):
+    return tasks.cancel(tasks.states(_task_events(spark, d)), _wanted(spark, d)).select("event_id", "status", "error")
+
+
+@query("""SELECT user_id::VARCHAR AS owner_key, CASE WHEN count(*) >= 50 THEN 'Task capacity reached for owner (50 tasks)' END AS error FROM events GROUP BY user_id
+UNION ALL SELECT 'nobody', NULL""")
+def task_capacity(spark, d):
+    held = table(spark, d, "events").select(F.col("user_id").cast("string").alias("owner_key"))
+    owners = held.distinct().unionByName(spark.createDataFrame([("nobody",)], "owner_key string"))
+    return tasks.capacity_errors(held, owners, total=10**12, per_owner=50)
+
+
+_CONTEXT = choose("event_id", ["'{\"requestId\":\"' || event_type || '\",\"sessionId\":\"s' || user_id || '\"}'", "'{\"requestId\":' || event_id || ',\"requestInfo\":{\"headers\":{\"mcp-session-id\":\"h' || user_id || '\"}}}'", "'{\"requestId\":true,\"sessionId\":' || user_id || '}'", "props"])
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_id::VARCHAR END AS request_id, CASE event_id % 4 WHEN 0 THEN 's' || user_id WHEN 1 THEN 'h' || user_id END AS session_id FROM events""")
+def context_ids(spark, d):
+    c = F.expr(_CONTEXT)
+    return table(spark, d, "events").select("event_id", tasks.request_id(c).alias("request_id"), tasks.session_id(c).alias("session_id"))
+
+
+@query(f"""SELECT doc_id, sha256(unhex('{"5c" * 4}{"5c" * 60}') || unhex(sha256(unhex('{"36" * 64}') || encode(coalesce(text, ''))))) AS empty_key,
+  sha256(unhex('{bytes(b ^ 0x5C for b in b"weft".ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in b"weft".ljust(64, bytes(1))).hex()}') || encode(coalesce(text, ''))))) AS mac,
+  lang = source AS equal FROM documents""")
+def text_macs(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", cache.hmac_sha256(t, b"").alias("empty_key"), cache.hmac_sha256(t, b"weft").alias("mac"), cache.equal_texts(F.col("lang"), F.col("source")).alias("equal"))
+
+
+_HASH = "substr(sha256(url), 1, 32)"
+_SPARK_HASH = "substr(sha2(url, 256), 1, 32)"
+SUBSCRIPTIONS = [("'INTERNAL://cache/markdown/' || {h}", "'internal://cache/markdown/' || {h}"), (f"upper({SCHEME}) || '://' || upper({HOST}) || {PATH}", "url"), ("'urn:page:' || page_id", "'urn:page:' || page_id"), (HOST, "NULL"), ("' internal://cache/markdown/' || {h}", "'internal://cache/markdown/' || {h}")]
+
+
+@query(f"SELECT page_id, {choose('page_id', [s[1] for s in SUBSCRIPTIONS])} AS uri FROM pages".replace("{h}", _HASH))
+def subscription_uris(spark, d):
+    return table(spark, d, "pages").select("page_id", cache.subscription_uri(F.expr(choose("page_id", [s[0] for s in SUBSCRIPTIONS]).replace("{h}", _SPARK_HASH))).alias("uri"))
+
+
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN {LANG} WHEN 1 THEN 'markdown' END AS namespace, CASE page_id % 3 WHEN 2 THEN NULL ELSE {_HASH} END AS hash FROM pages")
+def cache_address_parts(spark, d):
+    h = F.expr(_SPARK_HASH)
+    uri = F.when(F.col("page_id") % 3 == 2, F.col("url")).otherwise(F.concat(F.lit("internal://cache/markdown/"), h))
+    r = cache.resolve_parts(uri, F.when(F.col("page_id") % 3 == 0, F.expr(LANG)), h)
+    return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.namespace", "r.hash")
+
+
+FAILED = [("'HTTP ' || (400 + length(url) % 100)", "'HTTP_' || (400 + length(url) % 100)", "400 + length(url) % 100"), ("'rate_limited'", "'rate_limited'", "429"), ("'Unsupported content type: image/' || page_id", "'FETCH_ERROR'", "502"), ("'Invalid URL format'", "'VALIDATION_ERROR'", "400"), ("NULL", "NULL", "NULL"), ("'DNS timeout for ' || url", "'ETIMEOUT'", "504"), ("'Request was canceled'", "'ABORTED'", "499"), ("'EBLOCKED'", "'EBLOCKED'", "400")]
+
+
+@query(f"SELECT page_id, {choose('page_id', [f[1] for f in FAILED])} AS code, ({choose('page_id', [f[2] for f in FAILED])})::INT AS status_code FROM pages")
+def failure_codes(spark, d):
+    p = table(spark, d, "pages").select("page_id", results.failure(F.expr(choose("page_id", [f[0] for f in FAILED]))).alias("f"))
+    return p.select("page_id", "f.code", "f.status_code")
+
+
+@query("""WITH n AS (SELECT page_id, regexp_matches(html, 'class="ad"') AS made FROM pages WHERE page_id % 7 = 0 OR page_id * 600 <= 86400)
+SELECT p.page_id, n.page_id IS NULL AS from_cache, CASE WHEN n.page_id IS NULL THEN length(html) ELSE length(url) END::BIGINT AS n FROM pages p LEFT JOIN n USING (page_id)""")
+def cache_read_through(spark, d):
+    compute = lambda m: m.withColumn("content", F.col("url")).withColumn("fetched_at", F.expr(NOW))
+    return cache.with_cache(_requests(spark, d), _cache(spark, d).drop("page_id", "url"), compute, F.expr(NOW)).select("page_id", "from_cache", F.length("content").cast("long").alias("n"))
+
+
+@query(f"""SELECT doc_id, len(regexp_extract_all(t, '(?s)```.*?```'))::BIGINT AS n_blocks, len(regexp_extract_all(t, '(?s)```.*?```')) >= 2 AS enough, list_transform(regexp_extract_all(t, '(?s)```.*?```')[1:3], lambda b: coalesce(nullif(regexp_extract(b, '^```(\\w+)', 1), ''), 'none')) AS languages,
+  list_transform(regexp_extract_all(t, '(?s)```.*?```')[1:3], lambda b: substr(b, 1, 100) || CASE WHEN length(b) > 100 THEN '...' ELSE '' END) AS previews
+  FROM (SELECT doc_id, {choose("doc_id", ["text", f"'```js{_NL}' || text || '{_NL}```{_NL}x{_NL}```{_NL}' || lang || '{_NL}```'", f"'```' || lang || '{_NL}' || text || '{_NL}```'"])} AS t FROM documents)""")
+def code_block_checks(spark, d):
+    t = F.expr(choose("doc_id", ["text", f"'```js{_NL}' || text || '{_NL}```{_NL}x{_NL}```{_NL}' || lang || '{_NL}```'", f"'```' || lang || '{_NL}' || text || '{_NL}```'"]))
+    c = validate.code_block_check(F.col("t"), 2)
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", c.alias("c")).select("doc_id", "c.*")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 
