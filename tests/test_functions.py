@@ -162,11 +162,69 @@ def test_nodes(spark):
 
 
 def test_web_source(spark):
-    from weftline.sources.web import WebPages
+    from weftline.sources.web import WebPages, fetch_pages
 
     spark.dataSource.register(WebPages)
     got = spark.read.format("web_pages").option("urls", "http://10.0.0.1/\nftp://x").load().collect()
-    assert [r["error"] for r in got] == ["Blocked host", "Blocked host"]
+    assert [r["error"] for r in got] == ["EBLOCKED: blocked host", "Invalid URL format"]
+    table = spark.createDataFrame([("http://192.168.0.1/a", 1), (None, 2), ("http://u:p@e.com", 3)], "url string, x int").repartition(2)
+    assert {(r["url"], r["error"]) for r in fetch_pages(table).collect()} == {("http://192.168.0.1/a", "EBLOCKED: blocked host"), ("", "Invalid URL format"), ("http://u:p@e.com", "URLs with embedded credentials are not allowed")}
+
+
+class Reply:
+    """A stored answer of a server."""
+
+    def __init__(self, status, headers=None, body=b""):
+        self.status, self.headers, self.body = status, headers or {}, body
+
+    def read(self, n):
+        return self.body[:n]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+HOPS = [
+    ({"http://a.example/": Reply(301, {"Location": "/b"}), "http://a.example/b": Reply(200, {"Content-Type": "text/html"}, b"<p>x")}, "http://a.example/b", None),
+    ({"http://a.example/": Reply(302, {"Location": "http://169.254.169.254/latest"})}, "http://169.254.169.254/latest", "EBLOCKED: blocked host"),
+    ({"http://a.example/": Reply(302, {"Location": "http://inner.example/"})}, "http://inner.example/", "EBLOCKED: blocked address"),
+    ({"http://a.example/": Reply(302, {"Location": "http://gone.example/"})}, "http://gone.example/", "ENODATA: no address"),
+    ({"http://a.example/": Reply(302, {"Location": "http://u:p@a.example/"})}, "http://u:p@a.example/", "URLs with embedded credentials are not allowed"),
+    ({"http://a.example/": Reply(307, {})}, "http://a.example/", "Redirect response missing Location header"),
+    ({"http://a.example/": Reply(308, {"Location": "/"})}, "http://a.example/", "Too many redirects"),
+]
+
+
+@pytest.mark.parametrize("replies, final, error", HOPS)
+def test_every_hop_is_checked(replies, final, error):
+    from weftline.sources.web import fetch
+
+    asked = []
+    names = {"a.example": ["93.184.216.34"], "inner.example": ["93.184.216.34", "10.1.2.3"], "gone.example": []}
+
+    def opened(request, timeout):
+        asked.append(request.full_url)
+        return replies[request.full_url]
+
+    row = fetch("http://a.example/", addresses=names.__getitem__, open_=opened)
+    assert (row[5], row[6]) == (final, error) and (row[4] == b"<p>x") == (error is None)
+    assert len(asked) <= 6 and not any("169.254" in a or "inner" in a for a in asked)
+
+
+def test_inflating_stops_at_the_limit():
+    import gzip
+    import zlib
+
+    bomb = gzip.compress(b"a" * 50_000_000)
+    assert len(encoding.content_decode(bomb, "gzip", 1000)[0]) == 1000 and len(encoding.content_decode(gzip.compress(bomb), "gzip, gzip", 60_000)[0]) == 60_000
+    raw = b"text " * 100
+    flat = zlib.compressobj(wbits=-15)
+    for body, coding in ((gzip.compress(raw), "x-gzip"), (zlib.compress(raw), "deflate"), (flat.compress(raw) + flat.flush(), "deflate"), (gzip.compress(raw[:200]) + gzip.compress(raw[200:]), "gzip"), (zlib.compress(gzip.compress(raw)), "gzip, deflate")):
+        assert encoding.content_decode(body, coding) == (raw, None)
+    assert encoding.content_decode(b"no gzip", "gzip") == (b"no gzip", None) and encoding.content_decode(b"x", "br")[1] == "unsupported_content_encoding"
 
 
 def test_sql_functions(spark):
@@ -176,6 +234,26 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT is_blocked_ip('10.1.1.1') a, html_to_markdown('<p>x <b>y</b></p>', '') b, cache_key('n', 'u') c, detect_code_language('SELECT 1;') d, truncate_markdown('abc', 0) e").first()
     assert (r["a"], r["b"], r["d"], r["e"]) == (True, "x **y**", "sql", "abc") and r["c"].startswith("n:")
     assert spark.sql("SELECT tag FROM html_nodes('<p>a<b>c</b></p>') WHERE kind = 'element'").count() == 2
+    r = spark.sql("SELECT strip_noise('<body><nav>n</nav><p>x</p></body>') a, extract_content('<p>short</p>') b, detect_encoding(X'FFFE6100', '') c, detect_encoding(encode('<meta charset=KOI8-R>', 'UTF-8'), 'text/html') d").first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == ("<p>x</p>", None, "utf-16le", "koi8-r")
+    page = "<body><article><h1>T</h1>" + "<p>Some words, and more words follow them here, line by line.</p>" * 12 + "</article></body>"
+    assert spark.createDataFrame([(page,)], "h string").selectExpr("extract_content(h) AS m").first()["m"].startswith("# T\n\nSome words,")
+
+
+def test_sql_functions_are_the_expressions(spark):
+    """What SQL and UDFs say of an address, a body, a file name or code is what the expressions say."""
+    from weftline.plans.queries import FORGE, SNIPPETS, SPARK_WORD, FILES, choose, worded
+    from weftline.plans.sql import register
+
+    register(spark)
+    p = spark.range(200).selectExpr("id AS page_id", "id AS doc_id", "concat(if(id % 2 = 0, 'http', 'https'), '://Host.example', if(id % 5 = 0, ':80', ''), '/en/', id, if(id % 3 = 0, '?q=1#f', '.html')) AS url", "concat('word', id, ' text') AS text", "'en' AS lang", "'<p>x' AS html")
+    u, c = F.expr(choose("page_id", [f[0] for f in FORGE])), F.expr(worded(choose("doc_id", [s[0] for s in SNIPPETS]), SPARK_WORD))
+    name, title = F.expr(choose("page_id", [f[0] for f in FILES])), F.expr(choose("page_id", [f[1] for f in FILES]))
+    rows = p.select(u.alias("u"), c.alias("c"), name.alias("name"), title.alias("title"), F.sha2("url", 256).alias("h"), F.encode(F.concat(F.lit("<meta charset='x-"), "page_id", F.lit("'>")), "UTF-8").alias("body"))
+    both = rows.selectExpr("*", "normalize_url(name) AS n1", "to_raw_url(u) AS r1", "detect_code_language(c) AS c1", "safe_filename(name, title, h) AS f1", "detect_encoding(body, '') AS e1")
+    both = both.select("n1", "r1", "c1", "f1", "e1", urls.normalize_url(F.col("name")).alias("n2"), urls.to_raw_url(F.col("u")).alias("r2"), codelang.detect_code_language(F.col("c")).alias("c2"), cache.safe_filename(F.col("name"), F.col("title"), F.col("h")).alias("f2"), encoding.resolve_charset(F.col("body"), F.lit("")).alias("e2"))
+    for r in both.collect():
+        assert all(r[k + "1"] == r[k + "2"] for k in "nrcfe"), r
 
 
 def test_result_shapes(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 import zlib
 
 import pandas as pd
@@ -53,6 +54,21 @@ def resolve_charset(body: Column, content_type: Column) -> Column:
     return F.coalesce(bom_charset(body), F.lower(header_charset(content_type)), declared_charset(body), F.lit("utf-8"))
 
 
+def charset_of(body: bytes | None, content_type: str | None) -> str:
+    """``resolve_charset`` for one body, for use inside UDFs."""
+    body = body or b""
+    for signature, name in BOMS:
+        if body.startswith(bytes.fromhex(signature)):
+            return name
+    header = re.search(r"(?i)charset\s*=\s*([^;]+)", content_type or "")
+    named = re.sub("^[\"']|[\"']$", "", header[1].strip()).strip().lower() if header else ""
+    head = body[:8192].decode("latin-1")
+    for pattern in (r"""(?i)charset\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>;/]+))""", r"""(?i)<\?xml[^>]*encoding\s*=\s*(?:"([^"]*)"|'([^']*)')"""):
+        m = None if named else re.search(pattern, head)
+        named = named or (next((g for g in m.groups() if g), "").strip().lower() if m else "")
+    return named or "utf-8"
+
+
 def decode_bytes(body: bytes | None, label: str | None) -> str | None:
     if body is None:
         return None

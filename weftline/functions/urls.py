@@ -23,7 +23,8 @@ BLOCKED_NETWORKS_V4 = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8"
 BLOCKED_NETWORKS_V6 = ("::/128", "::1/128", "64:ff9b::/96", "64:ff9b:1::/48", "2001::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8")
 RAW_EXTENSIONS = (".md", ".markdown", ".txt", ".json", ".yaml", ".yml", ".toml", ".xml", ".csv", ".rst", ".adoc", ".org")
 SKIP_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
-_BLANKS = " \t\n\r\f\u000b"
+#: White space at both ends, and the mark that some texts begin with.
+TRIMMED = r"^[\s ﻿]+|[\s ﻿]+$"
 
 
 def _part(url: Column, i: int) -> Column:
@@ -31,7 +32,7 @@ def _part(url: Column, i: int) -> Column:
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    return F.regexp_replace(x, TRIMMED, "")
 
 
 def hostname(url: Column) -> Column:
@@ -219,6 +220,30 @@ def to_raw_url(url: Column) -> Column:
     )
 
 
+def raw_of(url: str) -> str:
+    """``to_raw_url`` for one address, for use inside UDFs."""
+    m = re.match(PARTS, url)
+    low = url.lower()
+    if not m or m[1].lower() not in ("http", "https") or any(x in low for x in ("raw.githubusercontent.com", "gist.githubusercontent.com", "/-/raw/")) or re.search(r"bitbucket\.org/[^/]+/[^/]+/raw/", low):
+        return url
+    host, path = m[3].lower(), m[5]
+    if host == "gist.github.com":
+        file = re.match(r"#file-(.+)$", m[7] or "")
+        deep = re.match(_GIST_RAW, path)
+        page = re.match(_GIST, path)
+        if deep or page:
+            user, gist = (deep or page)[1], (deep or page)[2]
+            return f"https://gist.githubusercontent.com/{user}/{gist}/raw" + (f"/{deep[3]}" if deep else "/" + file[1].replace("-", ".") if file else "")
+    for hosts, pattern, form in (
+        (r"(?:[^.]+\.)?github\.com$", _GITHUB, r"https://raw.githubusercontent.com/\1/\2/\3/\4"),
+        (r"(?:.*\.)?gitlab\.com$", _GITLAB, rf"{m[1].lower()}://{host}\1/-/raw/\2/\3"),
+        (r"(?:[^.]+\.)?bitbucket\.org$", _BITBUCKET, rf"{m[1].lower()}://{host}/\1/\2/raw/\3/\4"),
+    ):
+        if re.match(hosts, host) and re.match(pattern, path):
+            return re.sub(pattern, form, path)
+    return url
+
+
 def is_raw_text_url(url: Column) -> Column:
     """Already raw, or the path ends in one of RAW_EXTENSIONS (from its last dot on)."""
     base = F.lower(F.regexp_extract(url, r"^([^?#]*)", 1))

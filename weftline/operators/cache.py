@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 
 from collections.abc import Callable
 
@@ -122,6 +124,19 @@ def safe_filename(url: Column, title: Column, hash_: Column, extension: str = ".
     return F.concat(F.substring(name, 1, 200 - len(extension)), F.lit(extension))
 
 
+def filename_of(url: str | None, title: str | None, hash_: str | None, extension: str = ".md") -> str | None:
+    """``safe_filename`` for one entry, for use inside UDFs."""
+
+    def part(text: str | None) -> str:
+        x = "".join(c for c in (text or "").lower() if c not in '<>:"/\\|?*' and not unicodedata.category(c).startswith("C"))
+        return re.sub("^-|-$", "", re.sub("-+", "-", re.sub(r"\s+", "-", x)))
+
+    m = re.match(r"(?i:https?)://[^/?#]*([^?#]*)", url or "")
+    base = part(re.sub(PAGE_EXTENSIONS, "", (m[1] if m else "").rstrip("/").rsplit("/", 1)[-1]))
+    name = (base if base != "index" else "") or part(title) or (hash_ or "")[:16]
+    return name[: 200 - len(extension)] + extension
+
+
 def resource_uri(namespace: Column, hash_: Column) -> Column:
     return F.when(namespace.rlike("^[A-Za-z0-9_-]{1,64}$") & hash_.rlike("(?i)^[a-f0-9.]{8,64}$"), F.concat(F.lit("internal://cache/"), F.url_encode(namespace), F.lit("/"), F.url_encode(hash_)))
 

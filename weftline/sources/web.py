@@ -1,15 +1,87 @@
-"""A data source of pages: stored responses on disk by default, a live fetcher where a network exists."""
+"""A data source of pages: stored responses on disk by default, a live fetcher where a network exists.
+
+Every hop of a fetch is checked before it is made: the address by the URL policy, its host's name and all addresses that
+the resolver gives by the rules of ``functions/urls.py``. The transport never follows a redirect by itself.
+"""
 
 from __future__ import annotations
 
+import socket
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, status int, content_type string, content_encoding string, body binary, final_url string, error string"
-# What every request sends.
+# What every request sends, and which statuses lead on.
 HEADERS = {"User-Agent": "weftline/1", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.5", "Accept-Encoding": "gzip, deflate"}
+REDIRECTS = (301, 302, 303, 307, 308)
+
+
+class Refused(Exception):
+    """A hop that the policy does not allow."""
+
+
+class _Stay(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *_):
+        return None
+
+
+def resolve(host: str) -> list[str]:
+    return sorted({a[4][0] for a in socket.getaddrinfo(host, None, proto=socket.IPPROTO_TCP)})
+
+
+def check(url: str, addresses: Callable[[str], list[str]] = resolve) -> None:
+    """Raises ``Refused`` for an address that must not be fetched: scheme, credentials, blocked names, blocked or missing addresses."""
+    from weftline.config import BLOCKED_HOSTS, BLOCKED_SUFFIXES
+    from weftline.functions.urls import blocked_address
+
+    parts = urlsplit(url)
+    host = (parts.hostname or "").rstrip(".").lower()
+    if parts.scheme not in ("http", "https") or not host:
+        raise Refused("Invalid URL format")
+    if parts.username is not None or parts.password is not None:
+        raise Refused("URLs with embedded credentials are not allowed")
+    if host in BLOCKED_HOSTS or host.endswith(tuple(BLOCKED_SUFFIXES)) or blocked_address(host):
+        raise Refused("EBLOCKED: blocked host")
+    try:
+        found = addresses(host)
+    except OSError as e:
+        raise Refused("ENODATA: no address") from e
+    if not found:
+        raise Refused("ENODATA: no address")
+    if any(blocked_address(a) for a in found):
+        raise Refused("EBLOCKED: blocked address")
+
+
+def fetch(url: str, timeout: float = 15, limit: int = 10 * 1024 * 1024, hops: int = 5, addresses: Callable[[str], list[str]] = resolve, open_: Callable | None = None) -> tuple:
+    """A row of SCHEMA: one GET through at most ``hops`` checked redirects; whatever goes wrong is a row with ``error``."""
+    open_ = open_ or urllib.request.build_opener(_Stay).open
+    at = url
+    try:
+        for _ in range(hops + 1):
+            check(at, addresses)
+            try:
+                r = open_(urllib.request.Request(at, headers=HEADERS), timeout=timeout)
+            except urllib.error.HTTPError as e:
+                r = e
+            with r:
+                if r.status in REDIRECTS:
+                    target = r.headers.get("Location")
+                    if not target:
+                        raise Refused("Redirect response missing Location header")
+                    at = urljoin(at, target)
+                    continue
+                return (url, r.status, r.headers.get("Content-Type"), r.headers.get("Content-Encoding"), r.read(limit + 1), at, None)
+        raise Refused("Too many redirects")
+    except Refused as e:
+        return (url, None, None, None, None, at, str(e))
+    except TimeoutError:
+        return (url, None, None, None, None, at, "Request timeout")
+    except Exception as e:
+        return (url, None, None, None, None, at, f"Network error: {type(e).__name__}: {e}"[:300])
 
 
 class Chunk(InputPartition):
@@ -23,6 +95,7 @@ class WebReader(DataSourceReader):
         self.per_partition = int(options.get("urlsPerPartition", "64"))
         self.timeout = float(options.get("timeoutSeconds", "15"))
         self.limit = int(options.get("maxBytes", str(10 * 1024 * 1024)))
+        self.hops = int(options.get("maxRedirects", "5"))
 
     def partitions(self) -> list[Chunk]:
         n = self.per_partition
@@ -30,23 +103,27 @@ class WebReader(DataSourceReader):
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         for url in partition.urls:
-            yield self.fetch(url)
+            yield fetch(url, self.timeout, self.limit, self.hops)
+
+
+def fetch_pages(urls, timeout: float = 15, limit: int = 10 * 1024 * 1024, hops: int = 5):
+    """The same for a table of addresses (url) of any size: fetched where its partitions are, nothing on the driver."""
+    import pyarrow as pa
+
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string())
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
-    def fetch(self, url: str) -> tuple:
-        """One GET; whatever goes wrong is a row with ``error``."""
-        from weftline.functions.urls import blocked_address, host_of
+    def run(stream):
+        for batch in stream:
+            for url in batch.column(0).to_pylist():
+                row = fetch(url or "", timeout, limit, hops)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
-        try:
-            if not url.lower().startswith(("http://", "https://")) or blocked_address(host_of(url)):
-                return (url, None, None, None, None, None, "Blocked host")
-            with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS), timeout=self.timeout) as r:
-                return (url, r.status, r.headers.get("Content-Type"), r.headers.get("Content-Encoding"), r.read(self.limit + 1), r.url, None)
-        except Exception as e:
-            return (url, getattr(e, "code", None), None, None, None, None, f"{type(e).__name__}: {e}"[:300])
+    return urls.select("url").mapInArrow(run, SCHEMA)
 
 
 class WebPages(DataSource):
-    """``spark.dataSource.register(WebPages)``, then ``spark.read.format("web_pages").option("urls", "\\n".join(urls))``."""
+    """``spark.dataSource.register(WebPages)``, then ``spark.read.format("web_pages").option("urls", "\\n".join(urls))``; ``fetch_pages`` takes a table."""
 
     @classmethod
     def name(cls) -> str:
