@@ -6,8 +6,7 @@ then. So cuts depend on content alone and an insertion shifts no chunks but thos
 128-bit digests. A chunk that a document with a smaller doc_id holds too is a duplicate, and a run of duplicate chunks of
 MIN_RUN bytes or more is removed; a shorter one is no evidence, nor is a common short chunk alone.
 
-Each text is chunked once. Digests meet in an aggregation (combined before the shuffle) that tells the smallest doc_id of
-each digest that two documents share, and a join tells the chunks; digests of many chunks are dealt over many tasks.
+Each text is chunked once, and each chunk shuffled once, by its digest; digests of many chunks are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batches, hot_keys, matched, mix, read, set_aside, stored, utf8
+from .common import HOT_KEYS, SALTS, batches, durable, mix, read, set_aside, stored, utf8
 
 MEAN_CHUNK = 32
 LEAST_CHUNK = 12
@@ -80,9 +79,23 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(starts, np.int64), np.array(first, np.int64)
 
 
+def _heavy(h: np.ndarray) -> list[dict]:
+    """Digests that make at least 1 / HOT_KEYS of a batch's chunks: each digest of as large a share of all chunks is one in some batch."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    k = h[order]
+    at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+    n = np.diff(np.append(at, len(k)))
+    some = np.flatnonzero(n >= max(8, len(h) / HOT_KEYS))
+    return [{"h1": int(k[at[i], 0]), "h2": int(k[at[i], 1]), "n": int(n[i])} for i in some]
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
-    """(rid, own, k1, k2, chunks) of each row of ``docs`` (own, k1, k2, text) with a non-empty text; chunks are (h1, h2, start, end)."""
-    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """(rid, own, k1, k2, chunks, sizes, heavy) of each row of ``docs`` (own, k1, k2, text) with a non-empty text.
+
+    chunks are digests (h1, h2), sizes their bytes; heavy, on the first row of a batch, are its ``_heavy`` digests.
+    """
+    kind = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+    heavy = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())]))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, "text"):
@@ -92,31 +105,49 @@ def _chunked(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             digest = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
             h = np.frombuffer(digest, "<i8").reshape(-1, 2)
-            base = np.repeat(offsets[:-1], np.diff(rows))
-            values = pa.StructArray.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], fields=list(kind))
-            lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "own", "k1", "k2")), lists], names=["rid", "own", "k1", "k2", "chunks"])
+            at = pa.array(rows, pa.int32())
+            lists = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1])], fields=list(kind)))
+            sizes = pa.ListArray.from_arrays(at, pa.array((ends - starts).astype(np.int32)))
+            hot = pa.array([_heavy(h), *[None] * (batch.num_rows - 1)], heavy)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "own", "k1", "k2")), lists, sizes, hot], names=["rid", "own", "k1", "k2", "chunks", "sizes", "heavy"])
 
     some = docs.filter(F.octet_length("text") > 0).select(F.monotonically_increasing_id().alias("rid"), "own", "k1", "k2", "text")
-    out = some.mapInArrow(run, "rid long, own long, k1 long, k2 long, chunks array<struct<h1:long,h2:long,start:int,end:int>>")
+    out = some.mapInArrow(run, "rid long, own long, k1 long, k2 long, chunks array<struct<h1:long,h2:long>>, sizes array<int>, heavy array<struct<h1:long,h2:long,n:long>>")
     return stored(out, "substrings-chunks")
 
 
+def _repeated(chunked: DataFrame) -> DataFrame:
+    """(rid, place) of every chunk, by its number in the row, that a smaller ``own`` holds too.
+
+    All chunks of a digest meet in one task and learn the smallest ``own`` among them. Those of a hot digest (at most
+    HOT_KEYS) are dealt over SALTS tasks; its smallest ``own`` is aggregated before, combined ahead of the shuffle.
+    """
+    places = chunked.select("rid", "own", F.posexplode("chunks").alias("place", "c")).select("rid", "own", "place", "c.h1", "c.h2")
+    hot = chunked.select(F.inline("heavy")).groupBy("h1", "h2").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1", "h2").limit(HOT_KEYS).select("h1", "h2")
+    hot = durable(places.select("h1", "h2", "own").join(F.broadcast(hot), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("own").alias("first")))
+    salted = places.join(F.broadcast(hot), ["h1", "h2"], "left")
+    salted = salted.withColumn("salt", F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("rid"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    same = W.partitionBy("h1", "h2", "salt")
+    least = F.min("own").over(same)
+    known = salted.select("rid", "own", "place", F.coalesce("first", least).alias("first"))
+    return known.filter("first < own").select("rid", "place")
+
+
 def _spans(chunked: DataFrame, least_run: int) -> DataFrame:
     """(own, k1, k2, spans): for each document and text the runs to remove, where there are any."""
-    places = chunked.select("rid", "own", F.inline("chunks"))
-    shared = places.groupBy("h1", "h2").agg(F.min("own").alias("first"), F.max("own").alias("last"), F.count(F.lit(1)).alias("size")).filter("first < last")
-    shared = stored(shared.select("h1", "h2", "first", "size"), "substrings-digests")
-    repeated = matched(places, shared.select("h1", "h2", "first"), ["h1", "h2"], hot_keys(shared, ["h1", "h2"], "size"), "rid").filter("first < own")
-    listed = repeated.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("chunks"))
+    listed = _repeated(chunked).groupBy("rid").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    found = chunked.select("rid", "own", "k1", "k2", "sizes").join(listed, "rid").select("own", "k1", "k2", "sizes", "places")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in stream:  # chunks that touch are one run
-            lists = batch.column(1)
-            flat = lists.flatten()
-            start, end = (flat.field(i).to_numpy().astype(np.int64) for i in range(2))
+            sizes, lists = batch.column(3), batch.column(4)
+            many = np.asarray(sizes.value_lengths()).astype(np.int64)
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            edge = np.concatenate(([0], np.cumsum(sizes.flatten().to_numpy().astype(np.int64))))
+            chunk = (np.cumsum(many) - many)[row] + lists.flatten().to_numpy()
+            base = edge[(np.cumsum(many) - many)[row]]
+            start, end = edge[chunk] - base, edge[chunk + 1] - base
             new = np.concatenate(([True], (start[1:] != end[:-1]) | (row[1:] != row[:-1])))[: len(start)]
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(start))[: len(head)] - 1
@@ -125,10 +156,10 @@ def _spans(chunked: DataFrame, least_run: int) -> DataFrame:
             a, b, r = a[long_], b[long_], r[long_]
             which, at = np.unique(r, return_index=True)
             values = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(kind.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), values)], names=["rid", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(which)) for i in range(3)), pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), values)], names=["own", "k1", "k2", "spans"])
 
-    runs = listed.mapInArrow(run, "rid long, spans array<struct<start:long,end:long>>")
-    return chunked.select("rid", "own", "k1", "k2").join(runs, "rid").groupBy("own", "k1", "k2").agg(F.first("spans").alias("spans"))
+    runs = found.mapInArrow(run, "own long, k1 long, k2 long, spans array<struct<start:long,end:long>>")
+    return runs.groupBy("own", "k1", "k2").agg(F.first("spans").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, least_run: int = MIN_RUN) -> DataFrame:
