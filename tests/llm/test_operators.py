@@ -173,6 +173,17 @@ def test_minimizers_of_one_rest_in_two_buckets(spark, monkeypatch):
     assert sorted((g["doc_id"], g["n_bytes"], g["n_bytes"] - len(g["kept"]), len(g["spans"]), g["kept_sha256"]) for g in got) == brute_repeats(list(enumerate(texts)))
 
 
+def test_prints_are_no_evidence(spark, monkeypatch):
+    """Hashes only deal strings out: with prints that are all alike, the bytes and the merge still tell windows apart."""
+    monkeypatch.setattr(suffixes, "mix", lambda x: np.zeros_like(x))
+    assert (suffixes.mix(np.arange(3)) == 0).all()
+    data = np.frombuffer(b"a" * 60 + b"b" + b"a" * 60 + b"c" + b"a" * 70, np.uint8)
+    assert suffixes.same_bytes(data, np.array([0, 0, 0]), np.array([61, 61, 120]), np.array([60, 60, 50])).tolist() == [True, True, False]
+    table = [(r[0], r[1]) for r in corpus(6)]
+    got = suffixes.repeated_spans(spark.createDataFrame(table, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((g["doc_id"], g["n_bytes"], g["n_bytes"] - len(g["kept"]), len(g["spans"]), g["kept_sha256"]) for g in got) == brute_repeats(table)
+
+
 def test_groups_come_in_one_order():
     from weftline.llm.exchange import _ordered
 
@@ -189,7 +200,7 @@ def test_merged_transform_is_that_of_the_whole():
     starts = np.cumsum(sizes) - sizes
     windows = [s[i : i + 50] for s in strings for i in range(len(s) - 49)]
     for shards in (1, 2, 7):
-        classes = suffixes.window_classes(data, starts, sizes, shards).tolist()
+        classes = suffixes.window_classes(data, starts, sizes, np.array([r.randrange(shards) for _ in strings])).tolist()
         assert len(set(zip(windows, classes))) == len(set(windows)) == len(set(classes))
 
 
@@ -360,6 +371,18 @@ def test_substrings(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hot_digests(spark):
+    """A line that every document holds a hundred times is dealt over many tasks, and stays in the first document alone."""
+    r = random.Random(2)
+    line = "".join(r.choice("abcdefgh ") for _ in range(300))
+    table = [(i, " ".join([line] * (30 if i < 20 else 0) + ["".join(r.choice("abcdefgh ") for _ in range(200))])) for i in range(30)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    chunked = substrings._chunked(frame.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("k1"), F.lit(0).alias("k2").cast("long"), "text"))
+    assert chunked.select(F.inline("heavy")).count() > 0
+    got = substrings.remove_repeats(frame).orderBy("doc_id").collect()
+    assert [(g["n_bytes"], [[s["start"], s["end"]] for s in g["spans"]], g["text"]) for g in got] == brute_removed(table)
+
+
 def test_a_very_long_text_in_blocks(spark, monkeypatch):
     """Cuts do not depend on the blocks that a text is hashed in, nor on the rows around it."""
     r = random.Random(9)

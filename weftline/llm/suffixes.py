@@ -3,14 +3,16 @@
 1. Every 50-byte window is assigned to its minimizer, the 20-byte string in it with the least hash. Equal windows have equal
    minimizers, so only stretches whose minimizer occurs in two documents can repeat. Groups of documents exchange
    minimizer hashes (exchange.py) to find those.
-2. The stretches (up to 31 windows: 50 to 80 bytes) go to the minimizer's bucket, equal ones of a group once, with the
-   smallest doc_id. A minimizer of very many documents is cut further, into single windows dealt out by their own hash.
-3. A bucket splits the distinct stretches into shards, sorts each shard's suffixes and takes its transform. The transforms
-   are merged by interleave refinement: a vector says for each rank of the merged transform which shard it comes from; a
-   pass over the merged symbols, stably dealt out by symbol, orders it by STRIDE further bytes. Block borders that appear
-   in a pass give the common prefixes; after 50 bytes the blocks are the classes of equal windows. No suffix is sorted
-   again across shards.
-4. Each window learns the smallest doc_id of its class; documents drop the windows that a smaller doc_id holds.
+2. The stretches (up to 31 windows: 50 to 80 bytes) go to the minimizer's bucket, those of equal bytes of a group once,
+   with the smallest doc_id. A minimizer of very many documents is cut further, into single windows, each dealt to the
+   bucket of its own hash; they are merged there like all others.
+3. The groups of documents fall into SHARDS shards of the corpus. In a bucket each shard's strings have their suffixes
+   sorted and their transform taken. The transforms are merged by interleave refinement: a vector says for each rank of
+   the merged transform which shard it comes from; a pass over the merged symbols, stably dealt out by symbol, orders it
+   by STRIDE further bytes. The pass in which a border appears gives the common prefix of the ranks on both sides; runs
+   of ranks with common prefixes of 50 bytes are the repeated intervals. No suffix is sorted again across shards, and
+   hashes only deal strings out: that two windows are equal is found by the merge alone.
+4. Each window learns the smallest doc_id of its interval; documents drop the windows that a smaller doc_id holds.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ STRIDE = 5
 SHARDS = 4
 #: Symbols merged at a time; minimizers are never split over two merges.
 MERGE_SYMBOLS = 1_000_000
-#: A minimizer of more documents is cut into single windows.
+#: The strings of a minimizer of more documents are dealt out as single windows, so that a bucket stays bounded.
 HOT_DOCUMENTS = 4096
 SLICE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -153,8 +155,8 @@ def _stable(values: np.ndarray, largest: int) -> np.ndarray:
     return low[np.argsort((values[low] >> 16).astype(np.uint16), kind="stable")]
 
 
-def merge_transforms(transforms: list[np.ndarray], empties: list[int], passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges shard transforms: (interleave, block of each rank, common prefix with the rank before, in strides, up to ``passes``).
+def merge_transforms(transforms: list[np.ndarray], empties: list[int], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges shard transforms: (interleave, common prefix of each rank with the one before, in strides, up to ``passes``).
 
     ``transforms`` hold symbol numbers above 0, and 0 where nothing precedes; the first ``empties`` ranks of each are its
     empty suffixes, which come first in the merged one too, shard by shard.
@@ -181,11 +183,18 @@ def merge_transforms(transforms: list[np.ndarray], empties: list[int], passes: i
         interleave = interleave[dealt]
         interleave[:ends] = front
         block = np.cumsum(border, dtype=np.int32)
-    return interleave, block, common
-
-
-def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shards: int = SHARDS) -> np.ndarray:
-    """For each window of each string, in order, the number of its class of equal windows."""
+    return interleave, common
+
+
+def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For each window of each string, in order, the number of its interval of equal windows; ``shard`` says which shard of the corpus a string is from."""
+    by_shard = np.argsort(shard, kind="stable")
+    if (by_shard[1:] < by_shard[:-1]).any():  # strings of a shard together, and back again
+        windows = sizes - WINDOW + 1
+        found = window_classes(data, starts[by_shard], sizes[by_shard], shard[by_shard])
+        at = np.empty(len(sizes), np.int64)
+        at[by_shard] = np.cumsum(windows[by_shard]) - windows[by_shard]
+        return found[np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
     used = np.zeros(256, bool)
     used[data] = True
     dense = np.cumsum(used).astype(np.uint8)  # text in UTF-8 never has all 256 values
@@ -201,7 +210,7 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
     number = number.astype(np.uint32) + 1
     string = np.repeat(np.arange(len(sizes)), sizes + gap)
     transforms, orders, empties = [], [], []
-    bounds = np.linspace(0, len(sizes), min(shards, len(sizes)) + 1).astype(int)
+    bounds = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(sizes))
     for a, b in zip(bounds[:-1], bounds[1:]):
         low = places[a]
         high = places[b - 1] + sizes[b - 1] + gap
@@ -210,21 +219,22 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
         transforms.append(np.where(preceded, number[np.maximum(order - STRIDE, 0)], 0).astype(np.uint32))
         orders.append(order)
         empties.append(STRIDE * (b - a))
-    interleave, block, _ = merge_transforms(transforms, empties, WINDOW // STRIDE)
+    interleave, common = merge_transforms(transforms, empties, WINDOW // STRIDE)
+    interval = np.cumsum(common < WINDOW // STRIDE, dtype=np.int32)
     of = np.zeros(len(symbols), np.int32)
-    of[np.concatenate(orders)] = block[np.argsort(interleave, kind="stable")]
+    of[np.concatenate(orders)] = interval[np.argsort(interleave, kind="stable")]
     windows = sizes - WINDOW + 1
     at = np.repeat(places - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
     return of[at]
 
 
-def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings."""
+def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For each window of each string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings. Keys of one document have nothing to merge."""
     windows = sizes - WINDOW + 1
     out = np.repeat(docs, windows)
     at = np.concatenate(([0], np.cumsum(windows)))
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-    contested = np.diff(new) > 1
+    contested = np.minimum.reduceat(docs, new[:-1]) < np.maximum.reduceat(docs, new[:-1]) if len(keys) else np.zeros(0, bool)
     members = np.flatnonzero(np.repeat(contested, np.diff(new)))
     heads = np.cumsum(np.diff(new)[contested])
     cost = np.cumsum(sizes[members] + STRIDE) if len(members) else np.zeros(0, np.int64)
@@ -233,7 +243,7 @@ def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc
         end = int(heads[b - 1])
         some = members[begin:end]
         begin = end
-        group = window_classes(data, starts[some], sizes[some])
+        group = window_classes(data, starts[some], sizes[some], shard[some])
         place = np.repeat(at[some] - np.concatenate(([0], np.cumsum(windows[some])[:-1])), windows[some]) + np.arange(windows[some].sum())
         best = np.full(int(group.max()) + 1, LAST)
         np.minimum.at(best, group, out[place])
@@ -241,6 +251,16 @@ def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc
     return out
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``sizes`` (WINDOW or more) bytes at ``a`` and at ``b`` are equal, word by word."""
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,))
+    out = np.ones(len(a), bool)
+    for step in range(0, WINDOW + _SPREAD - 1, 8):
+        at = np.minimum(step, sizes - 8)  # the last word ends with the string
+        out &= words[a + at] == words[b + at]
+    return out
+
+
 # ---- the operator
 
 
@@ -299,6 +319,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         order = np.argsort(known)
         known, hot = known[order], total[order] > HOT_DOCUMENTS
         own = owners(table)
+        data_, offsets_ = texts(table)
         keys, prints, docs_, bytes_, sizes, rows_, starts_ = ([] for _ in range(7))
         for a, offsets, data in _sliced(table):
             rows, first, last, found = stretches(data, offsets)
@@ -324,55 +345,52 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             rows_.append((a + rows[piece]).astype(np.int32))
             starts_.append((start - offsets[rows[piece]]).astype(np.int64))
             sizes.append(size.astype(np.uint8))
-            bytes_.append((data, start))
+            bytes_.append(offsets_[a] + start)
         key, print_, doc, row, start, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, prints, docs_, rows_, starts_, sizes))
         if not len(key):
             return {}
-        slice_of = np.repeat(np.arange(len(bytes_)), [len(s) for _, s in bytes_])
-        local = np.concatenate([s for _, s in bytes_])
+        at = np.concatenate(bytes_)
         bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, print_, key, bucket))
-        k, p = key[order], print_[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
+        order = np.lexsort((doc, size, print_, key, bucket))
+        k, p, z = key[order], print_[order], size[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])))
+        alike = np.flatnonzero(~new)  # equal prints are only taken for equal strings if the bytes are
+        new[alike] = ~same_bytes(data_, at[order[alike]], at[order[alike - 1]], z[alike].astype(np.int64))
         one = order[new]
         string = np.empty(len(key), np.int32)
         string[order] = np.cumsum(new) - 1
-        names, at = np.unique(bucket[one], return_index=True)
+        names, first = np.unique(bucket[one], return_index=True)
         out: dict[int, bytes] = {}
-        raws = [d.tobytes() for d, _ in bytes_]
-        for name, x, y in zip(names.tolist(), at, np.append(at[1:], len(one))):
+        raw = data_.tobytes()
+        group = int(table.column(GROUP)[0].as_py())
+        for name, x, y in zip(names.tolist(), first, np.append(first[1:], len(one))):
             mine = one[x:y]
-            parts = [raws[s][b : b + z] for s, b, z in zip(slice_of[mine].tolist(), local[mine].tolist(), size[mine].tolist())]
-            out[name] = struct.pack("<q", name) + _pack(_packed(key[mine], 1)[1], print_[mine], doc[mine], size[mine], np.frombuffer(b"".join(parts), np.uint8))
+            parts = [raw[b : b + z] for b, z in zip(at[mine].tolist(), size[mine].tolist())]
+            out[name] = struct.pack("<qq", name, group) + _pack(_packed(key[mine], 1)[1], doc[mine], size[mine], np.frombuffer(b"".join(parts), np.uint8))
         # what the group needs again with the answers goes along, to a bucket of its own: strings are numbered in the order of the asked blocks
-        own_bucket = buckets + int(table.column(GROUP)[0].as_py())
-        out[own_bucket] = struct.pack("<q", -1) + _pack(row, start, size, string)
+        out[buckets + group] = struct.pack("<qq", -1, group) + _pack(row, start, size, string)
         return out
 
     def resolve_least(blocks: list[bytes]) -> list[bytes]:
         name = blocks[0][:8]
         if name == struct.pack("<q", -1):
             return blocks
-        parts = [_unpack(b[8:], "<u4", "<u8", "<i8", "u1", "u1") for b in blocks]
-        key, print_, doc, size, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        parts = [_unpack(b[16:], "<u4", "<i8", "u1", "u1") for b in blocks]
+        key, doc, size, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        strings = [len(p[0]) for p in parts]
+        shard = np.repeat([struct.unpack_from("<q", b, 8)[0] % SHARDS for b in blocks], strings)
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
-        order = np.lexsort((doc, print_, key))
-        k, p = key[order], print_[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])))
-        one = order[new]
-        which = np.empty(len(key), np.int64)
-        which[order] = np.cumsum(new) - 1
-        least = least_documents(data, start[one], size[one], doc[one], key[one])
-        windows = size[one] - WINDOW + 1
-        at = np.concatenate(([0], np.cumsum(windows)))
+        order = np.lexsort((shard, key))
+        found = least_documents(data, start[order], size[order], doc[order], key[order], shard[order])
+        windows = size - WINDOW + 1
+        from_ = np.empty(len(key), np.int64)
+        from_[order] = np.cumsum(windows[order]) - windows[order]
+        least = found[np.repeat(from_ - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
         out = []
-        for i in range(len(parts)):
-            mine = which[origin == i]
-            n = windows[mine]
-            place = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(name + _pack(n.astype(np.uint8), least[place]))
+        at = np.concatenate(([0], np.cumsum(windows)))
+        for a, b in zip(np.cumsum([0, *strings[:-1]]), np.cumsum(strings)):
+            out.append(name + _pack(windows[a:b].astype(np.uint8), least[at[a] : at[b]]))
         return out
 
     def finish(table: pa.Table, blocks: list[bytes]) -> pa.Table:
@@ -381,7 +399,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         removed = np.zeros(len(data) + 1, np.int32)
         blocks = sorted(blocks, key=lambda b: struct.unpack_from("<q", b)[0])
         if blocks:
-            row, start, size, string = _unpack(blocks[0][8:], "<i4", "<i8", "u1", "<i4")
+            row, start, size, string = _unpack(blocks[0][16:], "<i4", "<i8", "u1", "<i4")
             told = [_unpack(b[8:], "u1", "<i8") for b in blocks[1:]]
             n, least = (np.concatenate([t[i] for t in told]) for i in range(2))
             n = n.astype(np.int64)
