@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -27,28 +30,44 @@ SKIP_PREFIXES = ("#", "javascript:", "mailto:", "tel:", "data:", "blob:")
 TRIMMED = r"^[\s ﻿]+|[\s ﻿]+$"
 
 
+#: A URL's parts by their number in PARTS.
+Parts = Callable[[int], Column]
+_SPLIT = "\u0001"
+
+
 def _part(url: Column, i: int) -> Column:
     return F.regexp_extract(url, PARTS, i)
 
 
+def split_url(url: Column) -> Column:
+    """All parts of a trimmed URL by one match, as an array of seven; what is no URL gives empty ones. Kept as a column of its own it saves every further function its own matches (``parts_of``)."""
+    split = F.split(F.regexp_replace(url, PARTS, _SPLIT.join(f"${i}" for i in range(1, 8))), _SPLIT)
+    return F.element_at(F.transform(F.array(split), lambda x: F.when(F.size(x) == 7, x).otherwise(F.array_repeat(F.lit(""), 7))), 1)
+
+
+def parts_of(array: Column) -> Parts:
+    return lambda i: F.get(array, F.lit(i - 1))
+
+
 def js_trim(x: Column) -> Column:
     return F.regexp_replace(x, TRIMMED, "")
 
 
-def hostname(url: Column) -> Column:
+def hostname(url: Column, part: Parts | None = None) -> Column:
     """Lower case, without trailing dots; null for what has no host."""
-    return F.nullif(F.regexp_replace(F.lower(_part(url, 3)), r"\.+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.lower(part(3) if part else _part(url, 3)), r"\.+$", ""), F.lit(""))
 
 
 def normalize_dns_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(js_trim(name)), r"\.+$", "")
 
 
-def url_error(url: Column, config: ExtractConfig = DEFAULT) -> Column:
-    """The first failing check's message, or null."""
+def url_error(url: Column, config: ExtractConfig = DEFAULT, part: Parts | None = None, host: Column | None = None) -> Column:
+    """The first failing check's message, or null. ``part`` and ``host`` are the URL's parts and host name, if they are known."""
     trimmed = js_trim(url)
-    scheme = F.lower(_part(trimmed, 1))
-    host = hostname(trimmed)
+    part = part or (lambda i: _part(trimmed, i))
+    scheme = F.lower(part(1))
+    host = hostname(trimmed, part) if host is None else host
     bare = F.regexp_replace(host, r"^\[|\]$", "")
     suffix = F.lit(False)
     for s in BLOCKED_SUFFIXES:
@@ -60,20 +79,21 @@ def url_error(url: Column, config: ExtractConfig = DEFAULT) -> Column:
         .when(~trimmed.rlike(PARTS), F.lit("Invalid URL format"))
         .when(scheme.isin("http", "https") & host.isNull(), F.lit("Invalid URL format"))
         .when(~scheme.isin("http", "https"), F.concat(F.lit("Invalid protocol: "), scheme, F.lit(":. Only http: and https: are allowed")))
-        .when(_part(trimmed, 2) != "", F.lit("URLs with embedded credentials are not allowed"))
+        .when(part(2) != "", F.lit("URLs with embedded credentials are not allowed"))
         .when(bare.isin(*BLOCKED_HOSTS), F.concat(F.lit("Blocked host: "), bare, F.lit(". Internal hosts are not allowed")))
         .when(is_blocked_ipv4(bare), F.concat(F.lit("Blocked IP range: "), bare, F.lit(". Private IPs are not allowed")))
         .when(suffix, F.concat(F.lit("Blocked hostname pattern: "), host, F.lit(". Internal domain suffixes are not allowed")))
     )
 
 
-def normalize_url(url: Column) -> Column:
+def normalize_url(url: Column, part: Parts | None = None) -> Column:
     """The canonical form of a valid http(s) URL: lower-case scheme and host, no trailing dots, no default port, a path."""
     u = js_trim(url)
-    scheme, port = F.lower(_part(u, 1)), _part(u, 4)
+    part = part or (lambda i: _part(u, i))
+    scheme, port = F.lower(part(1)), part(4)
     keeps_port = (port != "") & ~(((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")))
-    path = F.when(_part(u, 5) == "", F.lit("/")).otherwise(_part(u, 5))
-    return F.concat(scheme, F.lit("://"), hostname(u), F.when(keeps_port, F.concat(F.lit(":"), port)).otherwise(F.lit("")), path, _part(u, 6), _part(u, 7))
+    path = F.when(part(5) == "", F.lit("/")).otherwise(part(5))
+    return F.concat(scheme, F.lit("://"), hostname(u, part), F.when(keeps_port, F.concat(F.lit(":"), port)).otherwise(F.lit("")), path, part(6), part(7))
 
 
 def redact_url(url: Column) -> Column:
@@ -87,10 +107,7 @@ def redact_url(url: Column) -> Column:
 def ipv4_number(ip: Column) -> Column:
     """A dotted quad as a number, else null."""
     quad = r"^(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)$"
-    number = F.lit(0).cast("long")
-    for i in range(1, 5):
-        number = number * 256 + F.coalesce(F.regexp_extract(ip, quad, i).try_cast("long"), F.lit(0))
-    return F.when(ip.rlike(quad), number)
+    return F.when(ip.rlike(quad), F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, x: n * 256 + x.cast("long")))
 
 
 def networks_v4() -> list[tuple[str, int, int]]:
@@ -99,8 +116,8 @@ def networks_v4() -> list[tuple[str, int, int]]:
 
 
 def is_blocked_ipv4(ip: Column) -> Column:
-    ranges = F.array(*[F.array(F.lit(low).cast("long"), F.lit(high).cast("long")) for _, low, high in networks_v4()])
-    return F.coalesce(F.exists(F.transform(F.array(ipv4_number(ip)), lambda n: F.exists(ranges, lambda r: n.between(r[0], r[1]))), lambda hit: hit), F.lit(False))
+    inside = lambda n: reduce(or_, (n.between(F.lit(low), F.lit(high)) for _, low, high in networks_v4()))
+    return F.coalesce(F.exists(F.array(ipv4_number(ip)), inside), F.lit(False))
 
 
 def normalize_ip(text: str | None) -> str | None:
@@ -174,10 +191,6 @@ def normalize_host(value: pd.Series) -> pd.Series:
 # ---- raw content of code hosts
 
 
-def _host_is(url: Column, pattern: str) -> Column:
-    return F.lower(_part(url, 3)).rlike(pattern)
-
-
 def _http(url: Column) -> Column:
     return F.lower(_part(url, 1)).isin("http", "https")
 
@@ -194,23 +207,29 @@ _GITLAB = r"^(/.+)/-/blob/([^/]+)/(.+)$"
 _BITBUCKET = r"^/([^/]+)/([^/]+)/src/([^/]+)/(.+)$"
 
 
-def raw_platform(url: Column) -> Column:
+def raw_platform(url: Column, part: Parts | None = None) -> Column:
     """github-gist, github, gitlab or bitbucket for a page that has a raw form, else null."""
-    path = _part(url, 5)
-    gist = _host_is(url, r"^gist\.github\.com$") & (path.rlike(_GIST) | path.rlike(_GIST_RAW))
-    return F.when(url.isNull() | (url == "") | is_raw_url(url) | ~_http(url), F.lit(None).cast("string")).when(gist, "github-gist").when(
-        _host_is(url, r"^(?:[^.]+\.)?github\.com$") & path.rlike(_GITHUB), "github"
-    ).when(_host_is(url, r"^(?:.*\.)?gitlab\.com$") & path.rlike(_GITLAB), "gitlab").when(_host_is(url, r"^(?:[^.]+\.)?bitbucket\.org$") & path.rlike(_BITBUCKET), "bitbucket")
+    part = part or (lambda i: _part(url, i))
+    path, host = part(5), F.lower(part(3))
+    gist = (host == "gist.github.com") & (path.rlike(_GIST) | path.rlike(_GIST_RAW))
+    return (
+        F.when(url.isNull() | (url == "") | is_raw_url(url) | ~F.lower(part(1)).isin("http", "https"), F.lit(None).cast("string"))
+        .when(gist, "github-gist")
+        .when(host.rlike(r"^(?:[^.]+\.)?github\.com$") & path.rlike(_GITHUB), "github")
+        .when(host.rlike(r"^(?:.*\.)?gitlab\.com$") & path.rlike(_GITLAB), "gitlab")
+        .when(host.rlike(r"^(?:[^.]+\.)?bitbucket\.org$") & path.rlike(_BITBUCKET), "bitbucket")
+    )
 
 
-def to_raw_url(url: Column) -> Column:
-    """The URL of the raw file behind a code host's page; other URLs as they are."""
-    path, platform = _part(url, 5), raw_platform(url)
-    file = F.regexp_extract(_part(url, 7), r"^#file-(.+)$", 1)
+def to_raw_url(url: Column, part: Parts | None = None, platform: Column | None = None) -> Column:
+    """The URL of the raw file behind a code host's page; other URLs as they are. ``part`` and ``platform`` are those of the URL, if they are known."""
+    part = part or (lambda i: _part(url, i))
+    path, platform = part(5), raw_platform(url, part) if platform is None else platform
+    file = F.regexp_extract(part(7), r"^#file-(.+)$", 1)
     gist_file = F.when(path.rlike(_GIST_RAW), F.concat(F.lit("/"), F.regexp_extract(path, _GIST_RAW, 3))).when(file != "", F.concat(F.lit("/"), F.replace(file, F.lit("-"), F.lit(".")))).otherwise(F.lit(""))
     gist_user = F.when(path.rlike(_GIST_RAW), F.regexp_extract(path, _GIST_RAW, 1)).otherwise(F.regexp_extract(path, _GIST, 1))
     gist_id = F.when(path.rlike(_GIST_RAW), F.regexp_extract(path, _GIST_RAW, 2)).otherwise(F.regexp_extract(path, _GIST, 2))
-    origin = F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 3)))
+    origin = F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(3)))
     return (
         F.when(platform == "github-gist", F.concat(F.lit("https://gist.githubusercontent.com/"), gist_user, F.lit("/"), gist_id, F.lit("/raw"), gist_file))
         .when(platform == "github", F.concat(F.lit("https://raw.githubusercontent.com"), F.regexp_replace(path, _GITHUB, "/$1/$2/$3/$4")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.dom import Node, parse
 from weftline.functions.noise import element_score
+from weftline.sources.tables import spread
 
 SCHEMA = "page_id long, node_id int, parent_id int, pre int, post int, depth int, kind string, tag string, attrs map<string,string>, text string"
 INVISIBLE = ("script", "style", "noscript")
@@ -47,7 +48,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
                 columns = [pa.array([list(r[i].items()) if i == 8 and r[i] is not None else r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, SCHEMA)
+    return spread(pages.select(F.col("page_id").cast("long"), "html")).mapInArrow(run, SCHEMA)
 
 
 def attr(name: str) -> Column:

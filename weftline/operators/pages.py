@@ -14,6 +14,7 @@ from weftline.functions.article import content_root, extract_article, use_articl
 from weftline.functions.dom import Node, parse
 from weftline.functions.metadata import FIELDS, early_metadata, extract_metadata, merge_metadata
 from weftline.functions.render import to_markdown
+from weftline.sources.tables import spread
 
 METADATA = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
 _ARROW_METADATA = pa.struct([(f, pa.string()) for f in FIELDS])
@@ -79,13 +80,18 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     from weftline.operators.results import failure
 
     html = F.col("html")
-    rows = pages.select("page_id", "url", "html")
-    rows = rows.withColumn("_problem", urls.url_error(F.col("url"), config))
-    rows = rows.withColumn("_problem", F.coalesce("_problem", F.when(html.isNull() | (html == ""), F.lit("Empty page")), F.when(encoding.has_binary_text(html), F.lit("binary_content_detected"))))
+    rows = spread(pages.select("page_id", "url", "html"))
     # one column for each step: nested, every step would repeat the ones below it many times over
-    rows = rows.withColumn("_target", urls.normalize_url(F.col("url")))
-    rows = rows.withColumn("_raw_url", urls.to_raw_url(F.col("_target")))
-    rows = rows.withColumn("_target", urls.normalize_url(F.col("_raw_url"))).drop("_raw_url")
+    rows = rows.withColumn("_u", urls.js_trim(F.col("url")))
+    rows = rows.withColumn("_parts", urls.split_url(F.col("_u")))
+    part = urls.parts_of(F.col("_parts"))
+    rows = rows.withColumn("_host", urls.hostname(F.col("_u"), part))
+    rows = rows.withColumn("_problem", urls.url_error(F.col("url"), config, part, F.col("_host")))
+    rows = rows.withColumn("_problem", F.coalesce("_problem", F.when(html.isNull() | (html == ""), F.lit("Empty page")), F.when(encoding.has_binary_text(html), F.lit("binary_content_detected"))))
+    rows = rows.withColumn("_target", urls.normalize_url(F.col("_u"), part))
+    # a normal form's parts are the URL's own but for the host's spelling; only code hosts' pages are rewritten and split again
+    rows = rows.withColumn("_platform", urls.raw_platform(F.col("_target"), part))
+    rows = rows.withColumn("_target", F.when(F.col("_platform").isNotNull(), urls.normalize_url(urls.to_raw_url(F.col("_target"), part, F.col("_platform")))).otherwise(F.col("_target"))).drop("_u", "_parts", "_host", "_platform")
     rows = rows.withColumn("truncated", encoding.will_truncate(html, config.max_bytes))
     rows = rows.withColumn("html", F.when(F.col("truncated"), encoding.truncate_html(html, config.max_bytes)).otherwise(html))
     rows = rows.withColumn("_raw", markdown.preserve_raw(F.col("_target"), F.col("html")))

@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than that (one small file, say); larger inputs are left where they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def downloads(cache: DataFrame) -> DataFrame:
     """What a download of each cache entry gives: file name, media type, content."""
     from weftline.operators.cache import key_hash, safe_filename
