@@ -3,15 +3,15 @@
 1. Every 50-byte window is assigned to its minimizer, the 20-byte string in it with the least hash. Equal windows have equal
    minimizers, so only stretches whose minimizer occurs in two documents can repeat. Groups of documents exchange
    minimizer hashes (exchange.py) to find those.
-2. The stretches (up to 31 windows: 50 to 80 bytes) go to the minimizer's bucket, those of equal bytes of a group once,
-   with the smallest doc_id. A minimizer of very many documents is cut further, into single windows, each dealt to the
+2. The stretches (up to 31 windows: 50 to 80 bytes) go to the minimizer's bucket, those of equal bytes (compared byte by
+   byte) once, with the smallest doc_id: first in each group, then in the bucket. A minimizer of very many documents is cut further, into single windows, each dealt to the
    bucket of its own hash; they are merged there like all others.
 3. The groups of documents fall into SHARDS shards of the corpus. In a bucket each shard's strings have their suffixes
    sorted and their transform taken. The transforms are merged by interleave refinement: a vector says for each rank of
    the merged transform which shard it comes from; a pass over the merged symbols, stably dealt out by symbol, orders it
    by STRIDE further bytes. The pass in which a border appears gives the common prefix of the ranks on both sides; runs
    of ranks with common prefixes of 50 bytes are the repeated intervals. No suffix is sorted again across shards, and
-   hashes only deal strings out: that two windows are equal is found by the merge alone.
+   hashes only deal strings out: equality is found by bytes, of whole strings, or by the merge, of windows of unlike ones.
 4. Each window learns the smallest doc_id of its interval; documents drop the windows that a smaller doc_id holds.
 """
 
@@ -90,10 +90,16 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _sliced(table: pa.Table):
-    """(first row, row offsets, data) of a group's slices."""
+    """(first row, row offsets, data, where in the row the slice begins) of a group's slices: rows, or pieces of a longer row that share all but one byte of a window."""
     data, offsets = texts(table)
     for a, b in slices(np.diff(offsets), SLICE):
-        yield a, offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+        low, high = int(offsets[a]), int(offsets[b])
+        if b > a + 1 or high - low <= SLICE:
+            yield a, offsets[a : b + 1] - low, data[low:high], 0
+            continue
+        for begin in range(0, high - low, SLICE):
+            piece = data[low + begin : min(high, low + begin + SLICE + WINDOW - 1)]
+            yield a, np.array([0, len(piece)]), piece, begin
 
 
 def _packed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,12 +235,12 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
 
 
 def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """For each window of each string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings. Keys of one document have nothing to merge."""
+    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings. A key of one string has nothing to merge."""
     windows = sizes - WINDOW + 1
     out = np.repeat(docs, windows)
     at = np.concatenate(([0], np.cumsum(windows)))
     new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-    contested = np.minimum.reduceat(docs, new[:-1]) < np.maximum.reduceat(docs, new[:-1]) if len(keys) else np.zeros(0, bool)
+    contested = np.diff(new) > 1
     members = np.flatnonzero(np.repeat(contested, np.diff(new)))
     heads = np.cumsum(np.diff(new)[contested])
     cost = np.cumsum(sizes[members] + STRIDE) if len(members) else np.zeros(0, np.int64)
@@ -261,6 +267,21 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return out
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each string among the distinct ones, the one of the smallest doc for each of those), in the order of ``keys``. A print brings equal strings together; only equal bytes make them one."""
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
+    prints = (total[starts + sizes] - total[starts]) * down[starts]
+    order = np.lexsort((docs, sizes, prints, keys))
+    k, p, z = keys[order], prints[order], sizes[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])))[: len(k)]
+    alike = np.flatnonzero(~new)
+    new[alike] = ~same_bytes(data, starts[order[alike]], starts[order[alike - 1]], z[alike])
+    string = np.empty(len(k), np.int64)
+    string[order] = np.cumsum(new) - 1
+    return string, order[new]
+
+
 # ---- the operator
 
 
@@ -277,7 +298,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def ask_seen(table: pa.Table, _) -> dict[int, bytes]:
         own = owners(table)
         hashes, docs_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, offsets, data in _sliced(table):
+        for a, offsets, data, _ in _sliced(table):
             rows, _, _, found = stretches(data, offsets)
             hashes.append(found)
             docs_.append(own[a + rows])
@@ -321,7 +342,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         own = owners(table)
         data_, offsets_ = texts(table)
         keys, prints, docs_, bytes_, sizes, rows_, starts_ = ([] for _ in range(7))
-        for a, offsets, data in _sliced(table):
+        for a, offsets, data, begin in _sliced(table):
             rows, first, last, found = stretches(data, offsets)
             bucket, rest = _packed(found, buckets)
             asked = (bucket.astype(np.uint64) << np.uint64(32)) | rest
@@ -343,9 +364,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             prints.append(print_)
             docs_.append(own[a + rows[piece]])
             rows_.append((a + rows[piece]).astype(np.int32))
-            starts_.append((start - offsets[rows[piece]]).astype(np.int64))
+            starts_.append((begin + start - offsets[rows[piece]]).astype(np.int64))
             sizes.append(size.astype(np.uint8))
-            bytes_.append(offsets_[a] + start)
+            bytes_.append(offsets_[a] + begin + start)
         key, print_, doc, row, start, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, prints, docs_, rows_, starts_, sizes))
         if not len(key):
             return {}
@@ -381,11 +402,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         shard = np.repeat([struct.unpack_from("<q", b, 8)[0] % SHARDS for b in blocks], strings)
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
-        order = np.lexsort((shard, key))
-        found = least_documents(data, start[order], size[order], doc[order], key[order], shard[order])
+        string, one = distinct(data, start, size, doc, key)
+        found = least_documents(data, start[one], size[one], doc[one], key[one], shard[one])
         windows = size - WINDOW + 1
-        from_ = np.empty(len(key), np.int64)
-        from_[order] = np.cumsum(windows[order]) - windows[order]
+        from_ = (np.cumsum(windows[one]) - windows[one])[string]
         least = found[np.repeat(from_ - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
         out = []
         at = np.concatenate(([0], np.cumsum(windows)))
