@@ -422,6 +422,8 @@ def test_token_counts(spark, docs):
     assert len(got) == docs.count()
     for g in got:
         assert (g["n_bytes"], g["n_tokens"]) == (len((g["text"] or "").encode()), len(sp.encode(g["text"] or "")))
+    counter.whole = True
+    assert all(counter.count(t) == len(sp.encode(t)) for t in odd)
     clash = token_counts.count_tokens(spark.createDataFrame([(1, "a", "mine")], "doc_id int, text string, n_tokens string"), model)
     assert clash.first()["n_tokens"] == len(sp.encode("a")) and token_counts.count_tokens(docs.limit(0), model).count() == 0
 
@@ -803,3 +805,63 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     assert sorted(((g["doc_id"] or 0), g["text"]) for g in got) == sorted([(0, one), (5, three), (3, "z " + one), (3, two)])
     unlike = spark.createDataFrame([(7, one, "en", "s", 1), (7, two, "en", "s", 1)], DOCS)
     assert corpus_pipeline.drop_near_duplicates(spark, unlike, "").count() == 2
+
+
+# ---- very long texts, clashing names, repeated rows: all operators
+
+
+@pytest.fixture(scope="module")
+def long_text():
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(2, 10))) for _ in range(5_000)]
+    return " ".join(r.choice(vocabulary) for _ in range(400_000))
+
+
+def test_very_long_texts(spark, long_text, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    raw = long_text.encode()
+    assert len(raw) > 2 << 20
+    border = (1 << 20) - 30  # a passage across the slices that long rows are cut into
+    passage = raw[border : border + 400].decode(errors="ignore")
+    table = [(1, "before " + passage + " after"), (2, long_text), (3, long_text + " more"), (4, "short")]
+    d = spark.createDataFrame(table, "doc_id long, text string")
+    words_ = len(WORD.findall(long_text))
+    assert {g["doc_id"]: g["size"] for g in mixing.plan(d.withColumn("source", F.lit("s"))).collect()}[2] == words_
+    got = {g["doc_id"]: g for g in suffixes.repeated_spans(d).collect()}
+    assert len(got[1]["spans"]) == 0 and len(got[2]["spans"]) == 1 and 398 <= len(raw) - len(got[2]["kept"]) <= 402 and got[3]["kept"][-5:] == b" more" and len(got[3]["kept"]) < 100
+    near = {g["doc_id"]: g for g in near_duplicates.near_duplicates(d).collect()}
+    assert near[3]["component_id"] == 2 and near[1]["component_id"] == 1 and near[2]["n_shingles"] > 390_000
+    cut = {g["doc_id"]: g for g in substrings.remove_repeats(d).collect()}
+    assert cut[3]["n_removed"] > 0.99 * len(raw) and 200 < cut[2]["n_removed"] <= 400 and cut[1]["n_removed"] == 0
+    model = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    tokens = {g["doc_id"]: g["n_tokens"] for g in token_counts.count_tokens(d, model).collect()}
+    assert tokens[2] == len(sentencepiece.SentencePieceProcessor(model_proto=model).encode(long_text))
+    whole = dict(zip(quality.STATISTICS, quality.statistics(pa.array([long_text]))[0]))
+    assert math.isclose(whole["log_words"], math.log1p(words_)) and math.isclose(whole["log_bytes"], math.log1p(len(raw)))
+    leaks = decontamination.find_leaks(d, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()
+    assert {g["doc_id"]: len(g["leaks"]) for g in leaks} == {1: 1, 2: 1, 3: 1, 4: 0}
+    learned = language.fit(spark.createDataFrame([(long_text, "xx"), ("der die das und " * 50, "de")], "text string, lang string"))
+    assert {g["doc_id"]: g["lang_pred"] for g in language.classify(d, learned).collect()}[3] == "xx"
+    page = "<article><h1>Long</h1>" + "".join(f"<p>{long_text[i : i + 500]}</p>" for i in range(0, 2_000_000, 500)) + "</article><footer>x</footer>"
+    assert html_text.main_text(page).count("\n") == 4_000 and html_text.main_text("<p>" + long_text) == " ".join(long_text.split())
+
+
+def test_all_columns_pass(spark):
+    """Operators that return their input's columns return all of them, whatever their names, and repeated rows as often as they came."""
+    names = ["own", "k1", "rid", "start", "chunks", "h1", "_hot", "_salt", "_mix_hash", "source_rank", "_exchange_group", "_label", "_x", "_node", "_aside0", "a.b", "Place"]
+    row = (1, "some words that are long enough to tell a language by", "s", *range(len(names)))
+    d = spark.createDataFrame([row, row, (None, None, None, *range(len(names)))], ["doc_id", "text", "source", *names])
+    items = spark.createDataFrame([(1, "not in it at all, no")], "item_id long, text string")
+    model = [("en", b"words", b"filler"), ("de", b"woerter", b"mehr")]
+    import public_tokenizers
+
+    tokens = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    forest = quality.train(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))
+    for out in (mixing.plan(d), substrings.remove_repeats(d), decontamination.find_leaks(d, items), language.classify(d, model), quality.score(d, forest), token_counts.count_tokens(d, tokens)):
+        assert out.columns[: len(d.columns)] == d.columns, out.columns
+        got = sorted(map(str, (tuple(g)[: len(d.columns)] for g in out.collect())))
+        assert got == sorted(map(str, map(tuple, d.collect())))
+    clash = spark.createDataFrame([(None, "x", 5.0)], "doc_id long, text string, Score double")
+    assert quality.score(clash, forest).columns == ["doc_id", "text", "score"] and quality.score(clash.limit(0), forest).count() == 0

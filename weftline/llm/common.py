@@ -58,6 +58,11 @@ def set_aside(df: DataFrame, clash: Callable[[str], bool]) -> tuple[DataFrame, d
     return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``set_aside`` of the columns with a dot in their names, which Arrow functions cannot take."""
+    return set_aside(df, lambda c: "." in c)
+
+
 def table_bytes(df: DataFrame, column: str) -> int:
     """Bytes of one text column, from one pass over its lengths."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
@@ -75,7 +80,7 @@ HOT_ROWS, HOT_KEYS, SALTS = 256, 1024, 64
 
 def hot_keys(facts: DataFrame, keys: list[str], size: str) -> DataFrame:
     """The keys of most rows, at most HOT_KEYS, by the number of rows in ``size``."""
-    return durable(facts.filter(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")))
+    return facts.filter(F.col(size) > HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
 
 
 def matched(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:

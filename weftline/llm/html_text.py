@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.functions.dom import BLOCK, Node, parse
 
-from .common import batches, lowest, read
+from .common import batches, lowest, plain_names, read
 
 #: Never text of a page, whatever the labels say.
 SILENT = frozenset("head script style noscript template svg canvas iframe object embed audio video map select option datalist textarea button input title meta link".split())
@@ -382,8 +382,8 @@ def extract(pages: DataFrame, html: str = "html", weights: np.ndarray | None = N
 
     ``weights`` are those of ``fit``, or PRIOR. No row is dropped or merged; null or empty html gives an empty text.
     """
-    rest = [c for c in pages.columns if c.lower() not in ("text", "n_chars") and c != html]
-    kept = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html}`"))
+    kept, originals = plain_names(pages.select(*[F.col(f"`{c}`") for c in pages.columns if c == html or c.lower() not in ("text", "n_chars")]))
+    rest = [c for c in kept.columns if c != html]
     schema = T.StructType([*[f for f in kept.schema.fields if f.name != html], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def extract(pages: DataFrame, html: str = "html", weights: np.ndarray | None = N
             texts_ = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], texts_, pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).withColumnsRenamed(originals)
 
 
 def op10_main_text(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, lowest, read
+from .common import batches, lowest, plain_names, read
 
 #: Bounds of the fit: training texts of a language, and the size of its dictionary and filler. A long text gives FIT_PIECES
 #: pieces of PIECE_CHARS characters, spread evenly from its beginning to its end.
@@ -131,7 +131,7 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str =
     words alone are stored as they are, whatever the dictionary). With one learned language the margin is 1, with none it is ``und``. Whole texts are encoded.
     """
     named = ("lang_pred", "score", "margin", "rejected")
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in named])
+    kept, originals = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in named]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
@@ -161,7 +161,7 @@ def classify(docs: DataFrame, model: list[tuple[str, bytes, bytes]], text: str =
             new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *named])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).withColumnsRenamed(originals)
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

@@ -183,16 +183,19 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def _with_least(ends: DataFrame) -> DataFrame:
+    """``ends`` (u, v) with the least v of each u; the neighbours of a node of very many are dealt over many tasks."""
+    least = ends.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("degree"))
+    return matched(ends, least.select("u", "least"), ["u"], hot_keys(least, ["u"], "degree"), "v")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b) but the components' smallest nodes, by alternating large and small stars."""
     edges = _forest(links)
     while True:
         ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
-        both = edges.select(ends).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "w"), F.col("a") == F.col("w"))
+        large = _with_least(edges.select(ends).select("e.u", "e.v")).filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
+        small = _with_least(large).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("least").alias("m"))
         pairs = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
         edges = durable(small.select(pairs).select("e.a", "e.b").filter("a <> b").distinct())
         roles = edges.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("r")).select("r.*")

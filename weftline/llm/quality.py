@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, lowest, read, utf8, words
+from .common import batches, lowest, plain_names, read, utf8, words
 
 #: Bounds of the fit: labelled rows (those lowest by a hash of doc_id), bins of a statistic, trees, their depth.
 FIT_ROWS = 12_000
@@ -71,8 +71,10 @@ def statistics(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
     data, offsets = utf8(texts)
     n = len(offsets) - 1
     size = np.diff(offsets)
-    row_of = np.repeat(np.arange(n), size)
-    histogram = np.bincount(row_of * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float64)
+    histogram = np.zeros((n, 256))
+    for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for at in range(x, y, 1 << 20):  # no array of more than a few bytes for each byte of text
+            histogram[i] += np.bincount(data[at : min(y, at + (1 << 20))], minlength=256)
     classes = histogram @ _CLASSES.T
     per_byte = classes / np.maximum(size, 1)[:, None]
     hashes, a, b, rows = words(data, offsets)
@@ -89,8 +91,9 @@ def statistics(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         return span(np.concatenate(([0], np.cumsum(flags)))) / many
 
     def inside(kind: int) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(_CLASSES[kind][data], dtype=np.float64)))
-        return total[b] - total[a]
+        member = _CLASSES[kind].astype(np.uint8)[data]
+        total = np.cumsum(member, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        return (total[b - 1] - total[a] + member[a]).astype(float) if len(a) else np.zeros(0)
 
     distinct, top = _per_row(hashes, rows)
     same = np.zeros(len(hashes), bool)
@@ -205,7 +208,7 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1 (an input column of that name gives way). Null or empty texts are scored too, as all-zero statistics."""
-    kept = docs.select(*[c for c in docs.columns if c.lower() != "score"])
+    kept, originals = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"]))
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +216,7 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
             p = shared.value.score(statistics(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])).withColumnsRenamed(originals)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

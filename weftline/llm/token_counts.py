@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batches, read
+from .common import batches, plain_names, read
 
 MARK = "▁"
 CACHE_ENTRIES = 200_000
@@ -43,10 +44,8 @@ class PieceCounter:
         self.sp = _processor(model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))]
-        if any(MARK in p.lstrip(MARK) for p in plain):
-            raise ValueError("the vocabulary merges across words; its pre-tokens cannot be counted apart")
-        if self.sp.encode("a") == self.sp.encode(" a") or self.sp.encode("a  b") == self.sp.encode("a b"):
-            raise ValueError("the model strips white space; its pre-tokens cannot be counted apart")
+        #: Pieces that cross words, or white space that the model strips: pre-tokens do not add up, so texts are encoded whole.
+        self.whole = any(MARK in p.lstrip(MARK) for p in plain) or self.sp.encode("a") == self.sp.encode(" a") or self.sp.encode("a  b") == self.sp.encode("a b")
         self.breaks = separators(plain)
         self.split = re.compile(rf" *[^ {self.breaks}]+| +|[{self.breaks}]" if self.breaks else r" *[^ ]+| +").findall
         self.mark_first = len(self.sp.encode("\n"))  # a dummy space mark and the line feed
@@ -93,6 +92,8 @@ class PieceCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if self.whole:
+            return len(self.sp.encode(text))
         text = " " + text.replace(MARK, " ")  # the library's dummy mark
         known, missing, n = self.known.get, self.__missing, 0
         for pre in self.split(text):
@@ -111,10 +112,7 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
     spark = docs.sparkSession
     keys, ends, counts = PieceCounter(model).table()
     shared = spark.sparkContext.broadcast((model, keys, ends.tobytes(), counts.tobytes()))
-    rest = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")]
-    kept = docs.select(*rest)
-    from pyspark.sql import types as T
-
+    kept, originals = plain_names(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")]))
     schema = T.StructType([*kept.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +120,10 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
         for batch in batches(stream, text):
             column = batch.column(text)
             n = pa.array([counter.count(x) for x in column.to_pylist()], pa.int64())
-            size = pa.array([len(x) if x else 0 for x in column.cast(pa.binary()).to_pylist()], pa.int64())
+            size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, size, n], names=[*batch.schema.names, "n_bytes", "n_tokens"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).withColumnsRenamed(originals)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
