@@ -25,6 +25,6 @@ def test_entry_imports_and_runs(spark):
     import __spark_entry__ as e
 
     out = e.entry(spark)
-    assert {"page_id", "markdown", "content_source", "error"} <= set(out.columns)
-    assert out.filter("markdown IS NULL AND error IS NULL").count() == 0
+    assert {"page_id", "markdown", "content_source", "error_code", "message"} <= set(out.columns)
+    assert out.filter("markdown IS NULL AND message IS NULL").count() == 0
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -91,7 +91,10 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     rows = rows.withColumn("_target", urls.normalize_url(F.col("_u"), part))
     # a normal form's parts are the URL's own but for the host's spelling; only code hosts' pages are rewritten and split again
     rows = rows.withColumn("_platform", urls.raw_platform(F.col("_target"), part))
-    rows = rows.withColumn("_target", F.when(F.col("_platform").isNotNull(), urls.normalize_url(urls.to_raw_url(F.col("_target"), part, F.col("_platform")))).otherwise(F.col("_target"))).drop("_u", "_parts", "_host", "_platform")
+    rows = rows.withColumn("_file", F.when(F.col("_platform").isNotNull(), urls.to_raw_url(F.col("_target"), part, F.col("_platform"))))
+    rows = rows.withColumn("_file_parts", urls.split_url(F.col("_file")))
+    rows = rows.withColumn("_target", F.coalesce(F.when(F.col("_file").isNotNull(), urls.normalize_url(F.col("_file"), urls.parts_of(F.col("_file_parts")))), F.col("_target")))
+    rows = rows.drop("_u", "_parts", "_host", "_platform", "_file", "_file_parts")
     rows = rows.withColumn("truncated", encoding.will_truncate(html, config.max_bytes))
     rows = rows.withColumn("html", F.when(F.col("truncated"), encoding.truncate_html(html, config.max_bytes)).otherwise(html))
     rows = rows.withColumn("_raw", markdown.preserve_raw(F.col("_target"), F.col("html")))

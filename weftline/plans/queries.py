@@ -356,16 +356,19 @@ def _decoded(x: str) -> str:
 
 _PIECE = _decoded("regexp_replace(p, '<[^>]*>', '', 'g')")
 _BODY = _decoded("regexp_replace(regexp_extract(html, '<body>.*', 0, 's'), '<!--.*?-->|<[^>]*>', '', 'gs')")
+_ESCAPED = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '([\\\\`*_~])', '\\\\\\1', 'g')"
+_AD = _ESCAPED.format(_decoded("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)"))
+_INNER = "replace(replace(regexp_extract(html, '<article>(.*?)(</article>|<footer>)', 1, 's'), '&quot;', '.'), '&#x27;', '.')"
 _TITLE = _decoded("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
 
 
 @query(f"""WITH a AS (
-  SELECT page_id, url, {_TITLE} AS title, length(trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))) >= 400 AS readable, regexp_extract_all(regexp_extract(html, '<article>.*?<footer>', 0, 's'), '<h1>[^<]*</h1>|<p><b>[^<]*<br>|<p>[^<]*</p>') AS parts FROM pages),
+  SELECT page_id, url, {_TITLE} AS title, length(trim(regexp_replace({_BODY}, '\\s+', ' ', 'g'))) >= 400 AS readable, {_AD} AS ad, length({_INNER}) + 8 * ((length(html) - length(replace(html, '<p><b>', ''))) / 6) > 100 AS long_, regexp_extract_all(regexp_extract(html, '<article>.*?<footer>', 0, 's'), '<h1>[^<]*</h1>|<p><b>[^<]*<br>|<p>[^<]*</p>') AS parts FROM pages),
 pieces AS (SELECT page_id, i, parts[i] AS p FROM a, unnest(range(1, len(parts) + 1)) AS t(i)),
 texts AS (SELECT page_id, i, p, regexp_replace(trim(regexp_replace({_PIECE}, '\\s+', ' ', 'g')), '([\\\\`*_~])', '\\\\\\1', 'g') AS x FROM pieces),
 body AS (SELECT page_id, trim(string_agg(CASE WHEN starts_with(p, '<h1>') THEN '# ' || x WHEN starts_with(p, '<p><b>') THEN '**' || x || '**  ' ELSE x END, chr(10) || chr(10) ORDER BY i)) AS b FROM texts WHERE x <> '' GROUP BY page_id),
-done AS (SELECT a.page_id, url, title, readable, b || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' _' || title || '_ | [_Original Source_](' || url || ') | _01/02/2026_' AS markdown FROM a JOIN body USING (page_id))
-SELECT page_id, url, url AS final_url, 'markdown:' || substr(sha256(url), 1, 32) AS cache_key, title, title AS meta_title, NULL::VARCHAR AS description, markdown, length(markdown)::BIGINT AS content_size, false AS truncated, CASE WHEN readable THEN 'article' ELSE 'root' END AS content_source,
+done AS (SELECT a.page_id, url, title, readable, long_, CASE WHEN readable OR long_ THEN b ELSE '# ' || title || chr(10) || chr(10) || ad || chr(10) || chr(10) || b END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || ' _' || title || '_ | [_Original Source_](' || url || ') | _01/02/2026_' AS markdown FROM a JOIN body USING (page_id))
+SELECT page_id, url, url AS final_url, 'markdown:' || substr(sha256(url), 1, 32) AS cache_key, title, title AS meta_title, NULL::VARCHAR AS description, markdown, length(markdown)::BIGINT AS content_size, false AS truncated, CASE WHEN readable THEN 'article' WHEN long_ THEN 'root' ELSE 'body' END AS content_source,
   NULL::VARCHAR AS error_code, NULL::INT AS status_code, NULL::VARCHAR AS message FROM done""")
 def page_markdown(spark, d):
     out = pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
