@@ -37,6 +37,18 @@ def visible_text(root: Node) -> str:
     return " ".join(root.text(INVISIBLE).split())
 
 
+def text_lengths(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
+    """Characters of visible text, and of those inside links, by the id of each of ``nodes`` (in document order): one pass from the last to the first."""
+    sizes: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for n in reversed(nodes):
+        below = [c for c in n.children if isinstance(c, Node)]
+        shown = n.tag not in INVISIBLE
+        sizes[id(n)] = (sum(len(c) for c in n.children if isinstance(c, str)) + sum(sizes[id(c)] for c in below)) if shown else 0
+        linked[id(n)] = sizes[id(n)] if n.tag == "a" else sum(linked[id(c)] for c in below)
+    return sizes, linked
+
+
 def extract_article(root: Node, title: str | None = None) -> Article | None:
     """The element that gathers most paragraph text, by our own score.
 
@@ -65,11 +77,10 @@ def extract_article(root: Node, title: str | None = None) -> Article | None:
                 scores[id(above)] = (25 if _LIKELY.search(named) or above.tag in ("article", "main") else 0) - (25 if _UNLIKELY.search(named) or above.tag in ("nav", "aside", "footer", "header", "form") else 0)
                 known[id(above)] = above
             scores[id(above)] += points * share
+    sizes, linked = text_lengths(nodes) if known else ({}, {})
     best, top = None, 0.0
     for key, n in known.items():
-        length = max(1, len(n.text(INVISIBLE)))
-        linked = sum(len(a.text()) for a in n.find_all("a"))
-        value = scores[key] * (1 - linked / length)
+        value = scores[key] * (1 - linked[key] / max(1, sizes[key]))
         if value > top:
             best, top = n, value
     if best is None:

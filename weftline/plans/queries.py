@@ -399,7 +399,25 @@ def code_languages(spark, d):
     return table(spark, d, "documents").select("doc_id", snippet.alias("code")).select("doc_id", codelang.detect_code_language(F.col("code")).alias("language"))
 
 
-@query()
+def _duck_language() -> str:
+    """The rules of ``codelang`` as DuckDB's patterns have them: word borders spelt out, lookaheads as further conditions."""
+    before, after = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
+
+    def condition(lower: bool, p: str) -> str:
+        column = "l" if lower else "t"
+        found = lambda x: f"regexp_matches({column}, '" + x.replace("'", "''") + "')"
+        if "(?=.*::)" in p:
+            return "contains(l, 'use ') AND contains(l, '::')"
+        if "(?=.*" in p:
+            script = before + r"(?:const |let |var |function |require\(|=>|===|!==|console\.)"
+            return found(f"{before}(?:import|from|class){after}") + " AND NOT " + found(script) + " AND NOT contains(l, '{') AND NOT contains(l, 'from ''')"
+        return found(p.replace(r"\b(", before + "(").replace(r")\b", ")" + after))
+
+    whens = " ".join(f"WHEN {' OR '.join(f'({condition(*x)})' for x in patterns)} THEN '{name}'" for name, patterns in codelang.RULES)
+    return f"CASE WHEN NOT regexp_matches(t, '\\S') THEN NULL {whens} END"
+
+
+@query(f"SELECT doc_id, {_duck_language()} AS language FROM (SELECT doc_id, text AS t, lower(text) AS l FROM documents)")
 def document_code_languages(spark, d):
     return table(spark, d, "documents").select("doc_id", codelang.detect_code_language(F.col("text")).alias("language"))
 
