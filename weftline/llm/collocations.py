@@ -21,9 +21,9 @@ from .common import batches, byte_set, mix, read, stored, table_bytes, utf8, wor
 #: What separates words, and what ends a piece.
 BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Rows of a sketch; counters of a row, at least and at most (a task holds a byte for each counter, the broadcast a bit); counters of a shuffled block.
-DEPTH, NARROW, WIDE, BLOCK = 3, 1 << 16, 1 << 24, 1 << 14
+DEPTH, NARROW, WIDE, BLOCK = 2, 1 << 16, 1 << 26, 1 << 14
 #: Sketching tasks for each core of the cluster, and rows that a counting task holds at a time.
-TASKS, HELD = 2, 1 << 20
+TASKS, HELD = 2, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INSIDE = byte_set(BLANKS + ENDS)
 _END = ~byte_set(ENDS)
@@ -107,12 +107,18 @@ def sketch(docs: DataFrame, size: int, least: int, longest: int) -> DataFrame:
             for block in range(size // BLOCK):
                 own = counters[row, block * BLOCK : (block + 1) * BLOCK]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["row", "block", "counters"])
+                    sent = own[::2] | own[1::2] << 4 if least < 16 else own  # two counters to a byte where they fit
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([sent.tobytes()], pa.binary())], names=["row", "block", "counters"])
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for blob in table.column("counters").to_pylist():
-            total += np.frombuffer(blob, kind)
+            sent = np.frombuffer(blob, kind)
+            if least < 16:
+                total[::2] += sent & 15
+                total[1::2] += sent >> 4
+            else:
+                total += sent
         return pa.table([table.column("row").slice(0, 1), table.column("block").slice(0, 1), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["row", "block", "bits"])
 
     return docs.coalesce(TASKS * cores).mapInArrow(add, "row int, block int, counters binary").groupBy("row", "block").applyInArrow(lambda t: merge(t), "row int, block int, bits binary")
