@@ -21,9 +21,9 @@ from .common import batches, byte_set, mix, read, stored, table_bytes, utf8, wor
 #: What separates words, and what ends a piece.
 BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Rows of a sketch; counters of a row, at least and at most (a task holds a byte for each counter, the broadcast a bit); counters of a shuffled block.
-DEPTH, NARROW, WIDE, BLOCK = 2, 1 << 16, 1 << 26, 1 << 14
+DEPTH, NARROW, WIDE, BLOCK = 3, 1 << 16, 1 << 25, 1 << 14
 #: Sketching tasks for each core of the cluster, and rows that a counting task holds at a time.
-TASKS, HELD = 2, 1 << 19
+TASKS, HELD = 2, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INSIDE = byte_set(BLANKS + ENDS)
 _END = ~byte_set(ENDS)
@@ -141,8 +141,10 @@ def counts(docs: DataFrame, least: int, longest: int, wide: int = WIDE) -> DataF
                 summed = pa.concat_tables(held).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
                 yield from summed.rename_columns(["lang", "k", "phrase", "f"]).to_batches(max_chunksize=1 << 16)
                 held.clear()
+                del summed
+                pa.default_memory_pool().release_unused()  # workers stay for the next stage
 
-        for batch in batches(stream, "text"):
+        for batch in batches(stream, "text", 1 << 20):
             hashes, piece, lang, text = tokens(batch)
             names = batch.column("lang").dictionary_encode().dictionary.cast(pa.string())
             encoded = text.dictionary_encode()
