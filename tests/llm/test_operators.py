@@ -457,6 +457,9 @@ def test_statistics_by_hand():
     assert not quality.statistics(pa.array([None, ""])).any() and quality.statistics(pa.array([], pa.string())).shape[0] == 0
 
 
+real = quality.train
+
+
 @has_tables
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
@@ -468,6 +471,15 @@ def test_quality_held_out(spark):
     assert quality.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), quality.fit(empty.drop("quality"), empty.drop("text"))).count() == 2
 
 
+def test_one_labelled_id_of_many_rows_is_learned_once(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(quality, "train", lambda x, y: sent.append(len(x)) or real(x, y))
+    docs = spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    labels = spark.createDataFrame([(2, 1), (3, 0), (2, 0)], "doc_id long, quality int")
+    quality.fit(docs.unionByName(spark.createDataFrame([(3, None)], "doc_id long, text string")), labels)
+    assert sent == [2]
+
+
 # ---- decontamination
 
 
@@ -518,6 +530,16 @@ def test_tiling(spark):
     assert decontamination.find_leaks(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).filter("size(leaks) > 0").count() == 0
 
 
+def test_tiling_is_linear_in_long_texts():
+    r = random.Random(9)
+    item = [r.randrange(1 << 40) for _ in range(20_000)]
+    doc = [x if i % 10 else r.randrange(1 << 40) for i, x in enumerate(item)]
+    began = time.time()
+    tiles = decontamination.tile(item, doc, list(range(len(doc))))
+    assert time.time() - began < 1.5
+    assert sorted(tiles) == [(9, i, i) for i in range(1, 20_000, 10)]
+
+
 def test_short_items_and_templates(spark, monkeypatch):
     """Items under MIN_MATCH tokens must occur whole; a template that all items share makes no pairs by itself; items of one text go chunk by chunk."""
     monkeypatch.setattr(decontamination, "CHUNK", 4)

@@ -51,16 +51,27 @@ def _bits(seeds: np.ndarray) -> np.ndarray:
     return np.stack((seeds % np.uint64(BITS), mix(seeds) % np.uint64(BITS)), axis=-1).astype(np.int64)
 
 
+def _next_marked(free: list[bool]) -> list[int]:
+    """For each place the first one from it on that is marked."""
+    out, at = [len(free)] * len(free), len(free)
+    for i in range(len(free) - 1, -1, -1):
+        if not free[i]:
+            at = i
+        out[i] = at
+    return out
+
+
 def _matches(item: list[int], doc: list[int], item_free: list[bool], doc_free: list[bool], candidates: list[int], s: int) -> tuple[int, list[tuple[int, int, int]]]:
     """Maximal matches of at least ``s`` unmarked tokens, (length, item start, doc start), and the longest length, by Karp-Rabin hashes."""
 
     def windows(seq: list[int], free: list[bool], at: list[int]) -> Iterator[tuple[int, int]]:
         power = pow(_RADIX, s - 1, _MASK)
+        marked = _next_marked(free)
         value, previous = 0, -2
         for i in at:
             if i + s > len(seq):
                 continue
-            if not all(free[i : i + s]):
+            if marked[i] < i + s:
                 previous = -2
                 continue
             if i == previous + 1:
