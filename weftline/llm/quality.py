@@ -186,24 +186,30 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     """Trains on rows whose crc32(doc_id as text) mod 5 is not 0: a bounded sample, the ``fit_rows`` lowest by a hash of doc_id.
 
-    Rows with a null label or doc_id are not learned from. Of a doc_id labelled twice the higher label counts.
+    Rows with a null label or doc_id are not learned from. Of a doc_id labelled twice the higher label counts, of one that
+    many rows hold the text of the smallest hash, so at most ``fit_rows`` rows reach the driver.
     """
     one = labels.filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     few = one.filter(lowest(F.xxhash64("doc_id"), fit_rows, labels.count()))
     chosen = few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
-    table = _measured(rows.select(F.col("_label").cast("double").alias("_label"), "text")).toPandas().sort_values(["_label", "_x"], ignore_index=True)
+    measured = _measured(rows.select("doc_id", F.col("_label").cast("double").alias("_label"), F.xxhash64("text").alias("_h"), "text"))
+    each = measured.groupBy("doc_id", "_label").agg(F.min(F.struct("_h", "_x")).alias("_m"))
+    table = each.select("_label", "_m._x").toPandas().sort_values(["_label", "_x"], ignore_index=True)
     x = np.stack([np.frombuffer(v, np.float64) for v in table["_x"]]) if len(table) else np.zeros((0, len(STATISTICS)))
     return train(x, table["_label"].to_numpy(float))
 
 
 def _measured(rows: DataFrame) -> DataFrame:
+    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("_x", T.BinaryType())])
+    names = schema.names
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, "text"):
             x = statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array([v.tobytes() for v in x], pa.binary())], names=["_label", "_x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array([v.tobytes() for v in x], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "_label double, _x binary")
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
