@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from weftline.functions.dom import Node
-from weftline.functions.noise import HEADINGS, matches
+from weftline.functions.noise import HEADINGS
 from weftline.functions.render import to_html
+from weftline.functions.selectors import matches_node
 
 # Limits and priorities of the gates.
 LEAST_RATIO, LEAST_LENGTH, LEAST_HEADINGS, LEAST_CODE, MOST_OPEN_LINES, LONG_LINE = 0.15, 100, 0.3, 0.15, 0.95, 20
@@ -124,7 +125,7 @@ def content_root(root: Node) -> Node | None:
     """The first element of the first selector, in order, whose inner HTML has more than 100 characters."""
     nodes = list(root.elements())
     for selector in CONTENT_ROOTS:
-        found = next((n for n in nodes if matches(n, selector)), None)
+        found = next((n for n in nodes if matches_node(n, selector)), None)
         if found is not None and len(to_html(found).strip()) > 100:
             return found
     return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions.dom import Node, parse
 from weftline.functions.noise import element_score
@@ -55,25 +55,43 @@ def attr(name: str) -> Column:
     return F.element_at("attrs", name)
 
 
+def covered(nodes: DataFrame, roots: Column) -> DataFrame:
+    """``nodes`` with ``covered``: whether a node is, or lies in the subtree of, one of the page's nodes that ``roots`` holds for.
+
+    One pass over a page's nodes in document order: subtrees nest, so a node lies in one of the roots before it if the
+    largest of their ends reaches it. A null page_id is no page, its nodes are not covered.
+    """
+    order = W.partitionBy("page_id").orderBy("pre").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(roots, F.col("post"))).over(order)
+    return nodes.withColumn("covered", F.coalesce((reach >= F.col("pre")) & F.col("page_id").isNotNull(), F.lit(False)))
+
+
+def _joined(nodes: DataFrame, roots: DataFrame, inside: bool) -> DataFrame:
+    """``nodes`` inside or outside the subtrees of ``roots`` (page_id, pre, post): both sides merged in document order, roots first."""
+    both = nodes.withColumn("_end", F.lit(None).cast(nodes.schema["post"].dataType)).unionByName(roots.select("page_id", "pre", F.col("post").alias("_end")), allowMissingColumns=True)
+    order = W.partitionBy("page_id").orderBy("pre", F.col("_end").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = F.coalesce((F.max("_end").over(order) >= F.col("pre")) & F.col("page_id").isNotNull(), F.lit(False))
+    merged = both.withColumn("_in", found).filter(F.col("_end").isNull())
+    return merged.filter(F.col("_in") if inside else ~F.col("_in")).select(*[F.col(f"`{c}`") for c in nodes.columns])
+
+
 def within(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes inside (or being) one of ``roots``: a semi join on the page and the interval."""
-    r = roots.select(F.col("page_id").alias("_p"), F.col("pre").alias("_a"), F.col("post").alias("_z"))
-    return nodes.join(r, (F.col("page_id") == F.col("_p")) & (F.col("pre") >= F.col("_a")) & (F.col("post") <= F.col("_z")), "left_semi")
+    """Nodes inside (or being) one of ``roots``, each once: a structural join by one merge, linear in both sides."""
+    return _joined(nodes, roots, True)
 
 
 def without(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes outside the subtrees of ``roots``: an anti join."""
-    r = roots.select(F.col("page_id").alias("_p"), F.col("pre").alias("_a"), F.col("post").alias("_z"))
-    return nodes.join(r, (F.col("page_id") == F.col("_p")) & (F.col("pre") >= F.col("_a")) & (F.col("post") <= F.col("_z")), "left_anti")
+    """Nodes outside the subtrees of ``roots``."""
+    return _joined(nodes, roots, False)
 
 
 def primary_content(nodes: DataFrame) -> DataFrame:
-    return within(nodes, nodes.filter(F.col("tag").isin("article", "main") | (attr("role") == "main")))
+    return covered(nodes, F.col("tag").isin("article", "main") | (attr("role") == "main")).filter("covered").drop("covered")
 
 
 def visible_text(nodes: DataFrame) -> DataFrame:
     """(page_id, text): all text outside script, style and noscript, white space as one space."""
-    seen = without(nodes.filter("kind = 'text'"), nodes.filter(F.col("tag").isin(*INVISIBLE)))
+    seen = covered(nodes, F.col("tag").isin(*INVISIBLE)).filter("kind = 'text' AND NOT covered")
     joined = seen.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("t"))
     return joined.select("page_id", F.trim(F.regexp_replace(F.concat_ws("", F.transform("t", lambda x: x["text"])), r"\s+", " ")).alias("text"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftline.functions import codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
-from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks
+from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks, twigs
 from weftline.sources.tables import table
 from weftline.streaming import state
 
@@ -282,6 +282,37 @@ def visible_text(spark, d):
     return nodes.visible_text(nodes.html_nodes(table(spark, d, "pages")))
 
 
+# Selectors, and how often the pages' flat markup holds what they name.
+SELECTORS = {
+    "nav li > a": "len(regexp_extract_all(nav, '<li><a '))",
+    "ul > li + li": "greatest(len(regexp_extract_all(nav, '<li>')) - 1, 0)",
+    "article p": "len(regexp_extract_all(article, '<p>'))",
+    "body > nav, body > article, footer": "len(regexp_extract_all(flat, '<(nav|article|footer)>'))",
+    "div.ad": "len(regexp_extract_all(flat, '<div class=\"ad\">'))",
+    "li:not(:first-child) a[href^='/']": "greatest(len(regexp_extract_all(nav, '<a href=\"/')) - 1, 0)",
+    "a[href*='E' i]": "len(list_filter(regexp_extract_all(flat, '<a href=\"([^\"]*)\"', 1), lambda h: contains(lower(h), 'e')))",
+    "head > :not(title, meta)": "len(regexp_extract_all(head, '<(style|script)>'))",
+    "nav ~ article > h1:first-child": "CASE WHEN flat LIKE '%<nav>%' THEN len(regexp_extract_all(article, '<article>\\s*<h1>')) ELSE 0 END",
+    ":is(nav li, footer) :not(b), nav ~ div[class|='ad']": "len(regexp_extract_all(nav, '<a ')) + CASE WHEN flat LIKE '%<nav>%' THEN len(regexp_extract_all(flat, '<div class=\"ad(-[^\"]*)?\">')) ELSE 0 END",
+}
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(style|script)>.*?</', '<\\1></', 'gs') AS flat FROM pages),
+p AS (SELECT *, regexp_extract(flat, '<head>.*?</head>', 0, 's') AS head, regexp_extract(flat, '<nav>.*?</nav>', 0, 's') AS nav, regexp_extract(flat, '<article>.*?</article>', 0, 's') AS article FROM f),
+c AS (SELECT page_id, unnest([""" + ", ".join("{'selector': '" + s.replace("'", "''") + f"', 'n': {n}}}" for s, n in SELECTORS.items()) + """]) AS x FROM p)
+SELECT page_id, x.selector AS selector, x.n::BIGINT AS n FROM c""")
+def selector_counts(spark, d):
+    return twigs.counts(nodes.html_nodes(table(spark, d, "pages")), {s: s for s in SELECTORS})
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(style|script)>.*?</', '<\\1></', 'gs') AS flat FROM pages)
+SELECT page_id, len(regexp_extract_all(regexp_replace(flat, '<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">.*?</div>', '', 'gs'), '<[a-z][a-z0-9]*[ >]'))::BIGINT AS n FROM f""")
+def without_selected(spark, d):
+    n = nodes.html_nodes(table(spark, d, "pages"))
+    gone = twigs.mark(n, {"gone": "body > nav, footer, nav + div.ad"}).filter("gone")
+    return nodes.without(n.filter("kind = 'element'"), gone).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # The pages' advert boxes under other names, and what each deserves.
 BOXES = [("ad", 0), ("site-promo", 35), ("promo fixed", 65), ("z-50 cookie-bar", 65), ("lead", 0), ("share sticky", 65)]
 _BOXED = "replace(html, '<div class=\"ad\">', '<div class=\"' || " + choose("page_id", [f"'{b[0]}'" for b in BOXES]) + " || '\">')"
