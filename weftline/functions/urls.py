@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from weftline.config import BLOCKED_HOSTS, BLOCKED_SUFFIXES, DEFAULT, ExtractConfig
+from weftline.functions.addresses import NetworkIndex, address_bits, plain_address
 
 #: scheme, user info, host, port, path, query, fragment
 PARTS = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):/*(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -153,8 +154,17 @@ def blocked_address(text: str | None) -> bool:
     return any(ip in n for n in (_V4 if ip.version == 4 else _V6))
 
 
+def is_blocked_ip(ip: Column) -> Column:
+    """``blocked_address`` as an expression: the literal hosts, and a search in the interval index of all blocked networks."""
+    named = [h for h in BLOCKED_HOSTS if not re.fullmatch(r"[0-9a-f:.]*[0-9:][0-9a-f:.]*", h)]
+    addressed = [h for h in BLOCKED_HOSTS if h not in named]
+    index = NetworkIndex.of([*BLOCKED_NETWORKS_V4, *BLOCKED_NETWORKS_V6, *addressed])
+    return F.coalesce(plain_address(ip).isin(*named), F.lit(False)) | index.holds(address_bits(ip))
+
+
 @F.pandas_udf(T.BooleanType())
-def is_blocked_ip(ip: pd.Series) -> pd.Series:
+def blocked_ip_udf(ip: pd.Series) -> pd.Series:
+    """The same for SQL texts, where a function has to have a name."""
     return ip.map(blocked_address, na_action=None).astype(bool)
 
 

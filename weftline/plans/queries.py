@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from weftline.functions import codelang, encoding, markdown, metadata, urls, validate
+from weftline.functions import addresses, codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks, twigs
@@ -105,6 +105,32 @@ def blocked_addresses(spark, d):
     return table(spark, d, "customer").select("c_custkey", urls.is_blocked_ip(F.expr(choose("c_custkey", ADDRESSES))).alias("blocked"))
 
 
+# Addresses of events, of every form, and networks that customers are in (at most 1,200: nations, lengths of segments, 16 lengths).
+_EVENT_V4 = "(10 + user_id % 200) || '.' || event_id % 256 || '.' || event_id % 241 || '.' || event_id % 251"
+EVENT_ADDRESSES = [_EVENT_V4, f"'[::ffff:' || {_EVENT_V4} || ']'", "'2001:DB8:' || lower(hex(user_id % 64)) || ':' || hex(event_id % 4096) || '::' || lower(hex(event_id % 65536))", "'2001:db8:' || hex(user_id % 64) || ':' || hex(event_id % 4096) || ':0:0:10.1.2.3%eth0 '"]
+_NETWORK_OF = [
+    "(10 + (c_nationkey * 8 + c_custkey % 16) % 200) || '.' || 20 * length(c_mktsegment) || '.0.1/' || (9 + c_custkey % 16)",
+    "'2001:db8:' || lower(hex((2 * c_nationkey + c_custkey % 16) % 64)) || ':' || hex(256 * length(c_mktsegment)) || '::1/' || (45 + c_custkey % 16)",
+]
+
+
+@query(f"""WITH nets AS (
+  SELECT DISTINCT c_custkey % 2 = 1 AS v6, CASE WHEN c_custkey % 2 = 0 THEN 32 - (9 + c_custkey % 16) ELSE 64 - (45 + c_custkey % 16) END AS drop_,
+    CASE WHEN c_custkey % 2 = 0 THEN (10 + (c_nationkey * 8 + c_custkey % 16) % 200) * 16777216 + 20 * length(c_mktsegment) * 65536 + 1
+      ELSE ((2 * c_nationkey + c_custkey % 16) % 64) * 65536 + 256 * length(c_mktsegment) END AS number FROM customer),
+e AS (
+  SELECT event_type, event_id % 4 >= 2 AS v6, CASE WHEN event_id % 4 < 2 THEN (10 + user_id % 200) * 16777216 + (event_id % 256) * 65536 + (event_id % 241) * 256 + event_id % 251
+    ELSE (user_id % 64) * 65536 + event_id % 4096 END AS number FROM events),
+keyed AS (SELECT v6, drop_, number >> drop_ AS top FROM nets GROUP BY ALL)
+SELECT event_type, v6, count(*) AS n, (count(*) FILTER (EXISTS (SELECT 1 FROM keyed k WHERE k.v6 = e.v6 AND e.number >> k.drop_ = k.top)))::BIGINT AS inside FROM e GROUP BY ALL""")
+def events_by_network(spark, d):
+    nets = table(spark, d, "customer").select(F.expr(choose("c_custkey", _NETWORK_OF)).alias("network"))
+    index = addresses.NetworkIndex.of_table(nets, "network")
+    bits = addresses.address_bits(F.expr(choose("event_id", EVENT_ADDRESSES)))
+    e = table(spark, d, "events").select("event_type", (F.col("event_id") % 4 >= 2).alias("v6"), index.holds(bits).alias("in"))
+    return e.groupBy("event_type", "v6").agg(F.count(F.lit(1)).alias("n"), F.count_if("in").alias("inside"))
+
+
 HOSTS = [f"upper({HOST}) || ':443'", f"'[2001:db8::' || {NUM} || ']:3000'", f"' ' || {HOST} || ', other.example'", "''", "'   '", f"{HOST} || '.'", "NULL", "url"]
 HOST_FORMS = [HOST, f"'2001:db8::' || {NUM}", HOST, "NULL", "NULL", HOST, "NULL", HOST]
 

@@ -89,7 +89,7 @@ def register(spark: SparkSession) -> None:
         return pd.Series([filename_of(*x) for x in zip(url, title, hash_)])
 
     for name, f in {
-        "to_raw_url": raw, "is_blocked_ip": urls.is_blocked_ip, "normalize_host": urls.normalize_host, "detect_encoding": charset, "decode_html": decode_html, "extract_metadata": metadata.page_metadata, "extract_content": content,
+        "to_raw_url": raw, "is_blocked_ip": urls.blocked_ip_udf, "normalize_host": urls.normalize_host, "detect_encoding": charset, "decode_html": decode_html, "extract_metadata": metadata.page_metadata, "extract_content": content,
         "strip_noise": stripped, "html_to_markdown": to_markdown, "cleanup_markdown": markdown.cleanup_markdown, "truncate_markdown": cut, "safe_filename": filename,
     }.items():
         spark.udf.register(name, f)
