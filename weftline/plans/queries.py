@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.functions import addresses, codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
-from weftline.operators import cache, dns, nodes, pages, redirects, results, tasks, twigs
+from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
 from weftline.sources.tables import table
 from weftline.streaming import state
 
@@ -722,6 +722,29 @@ def duration_stats(spark, d):
     return state.duration_stats(table(spark, d, "events"), "value").withColumns({c: F.round(c, 6) for c in ("mean", "stddev", "p50", "p95", "p99")})
 
 
+@query("""WITH h AS (SELECT event_type, hour(ts)::INT AS hour, value FROM events WHERE value IS NOT NULL),
+x AS (SELECT event_type, hour, value FROM h UNION ALL SELECT event_type, NULL, value FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type, hour ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type, hour) AS n FROM x),
+q AS (SELECT event_type, hour, n, max(value) FILTER (pos = floor(0.5::DOUBLE * (n - 1))) AS e50, max(value) FILTER (pos = floor(0.95::DOUBLE * (n - 1))) AS e95, max(value) FILTER (pos = floor(0.99::DOUBLE * (n - 1))) AS e99 FROM r GROUP BY ALL)
+SELECT event_type, hour, n, true AS within, """ + ", ".join(f"round(CASE WHEN e{p} = 0 THEN 0 ELSE sign(e{p}) * pow(1.01 / 0.99, ceil(ln(abs(e{p})) / ln(1.01 / 0.99))) * 2 / (1 + 1.01 / 0.99) END, 6) AS p{p}" for p in (50, 95, 99)) + """ FROM q""")
+def value_quantiles(spark, d):
+    """By type and hour, and by type merged from the hours' sketches (hour null); within: no estimate is off by more than the bound."""
+    keys, shares = ["event_type", "hour"], (0.5, 0.95, 0.99)
+    e = table(spark, d, "events").select("event_type", F.hour("ts").alias("hour"), "value")
+    hours = quantiles.sketch(e, keys, "value")
+    types = quantiles.merged(hours, ["event_type"]).withColumn("hour", F.lit(None).cast("int"))
+    found = quantiles.sketch_quantiles(hours.unionByName(types), keys, shares)
+    every = e.unionByName(e.withColumn("hour", F.lit(None).cast("int"))).filter("value IS NOT NULL")
+    w = W.partitionBy(*keys)
+    placed = every.withColumns({"at": F.row_number().over(w.orderBy("value")) - 1, "total": F.count(F.lit(1)).over(w)})
+    exact = placed.groupBy(*keys).agg(*[F.max(F.when(F.col("at") == F.floor(F.lit(s) * (F.col("total") - 1)), F.col("value"))).alias(f"e{i}") for i, s in enumerate(shares)])
+    exact = exact.withColumnsRenamed({"event_type": "_type", "hour": "_hour"})
+    both = found.join(exact, F.col("event_type").eqNullSafe(F.col("_type")) & F.col("hour").eqNullSafe(F.col("_hour")))
+    q = lambda i: F.get("quantiles", F.lit(i))
+    close = [F.abs(q(i) - F.col(f"e{i}")) <= F.abs(F.col(f"e{i}")) * quantiles.ACCURACY * (1 + 1e-9) for i in range(3)]
+    return both.select(*keys, "n", (close[0] & close[1] & close[2]).alias("within"), *[F.round(q(i), 6).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
+
+
 @query("SELECT event_id, value FROM events WHERE value > 50")
 def slow_events(spark, d):
     return state.slow(table(spark, d, "events"), "value", 50).select("event_id", "value")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.cache import subscription_uri
+from weftline.operators.quantiles import exact_quantiles
 
 LIMIT, WINDOW_MS, SESSION_GAP = 100, 60_000, "30 minutes"
 
@@ -89,11 +90,12 @@ def changed_subscriptions(changes: DataFrame, subscriptions: DataFrame) -> DataF
 
 
 def duration_stats(rows: DataFrame, value: str) -> DataFrame:
-    """Distribution of stage durations. The exact percentiles share one map from value to count, so equal durations cost nothing more."""
+    """Distribution of stage durations: moments by partial aggregates, exact percentiles by passes that count (``operators/quantiles.py``)."""
     x = F.col(value)
     shares = (0.5, 0.95, 0.99)
-    out = rows.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), F.percentile(x, F.array(*map(F.lit, shares))).alias("p"))
-    return out.select("min", "max", "mean", "stddev", *[F.col("p")[i].alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
+    found = exact_quantiles(rows, value, shares)
+    out = rows.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"))
+    return out.select("*", *[F.lit(q).cast("double").alias(f"p{round(100 * s)}") for q, s in zip(found, shares)])
 
 
 def slow(rows: DataFrame, value: str, threshold: float) -> DataFrame:
