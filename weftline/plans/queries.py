@@ -15,7 +15,7 @@ from weftline.functions.article import collapsed_length_of, retention, valid_inp
 from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
 from weftline.sources.tables import table
-from weftline.streaming import state
+from weftline.streaming import lifecycle, run, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -672,6 +672,23 @@ def task_states(spark, d):
     return tasks.states(_task_events(spark, d))
 
 
+# A user's events of a day as a task, which lives up to 24 hours.
+_DAY_TASK, _DAY_TTL = "user_id || '-' || date_format(ts, 'yyyy-MM-dd')", "(user_id % 8) * 14400000"
+
+
+@query(f"""WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS task_id, (user_id % 10)::VARCHAR AS owner_key, epoch_us(ts) // 1000 AS ms, {_STATUSES} AS status, least(greatest({_DAY_TTL}, 1000), 86400000) AS ttl FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+t AS (SELECT task_id, min(owner_key) AS owner_key, min(ms) AS created_ms, min(ms) + min(ttl) AS deadline FROM e GROUP BY task_id),
+a AS (SELECT e.*, t.created_ms, t.deadline FROM e JOIN t USING (task_id) WHERE ms <= deadline),
+s AS (SELECT task_id, min({{'ms': ms, 's': status}}) FILTER (status IN ('completed', 'failed', 'cancelled')) AS final, max({{'ms': ms, 's': status}}) AS last_ FROM a GROUP BY task_id)
+SELECT task_id, owner_key, coalesce(final.s, last_.s) AS status, created_ms::BIGINT AS created_ms, coalesce(final.ms, last_.ms)::BIGINT AS updated_ms, deadline + 1 <= (SELECT max(ms) FROM e) - 86400000 AS expired
+FROM t JOIN s USING (task_id)""")
+def task_stream(spark, d):
+    e = run.table_stream(spark, d, "events").filter("ts IS NOT NULL AND user_id IS NOT NULL")
+    e = e.select(F.expr(_DAY_TASK).alias("task_id"), (F.col("user_id") % 10).cast("string").alias("owner_key"), "ts", F.expr(_STATUSES).alias("status"), F.expr(_DAY_TTL).alias("ttl_ms"))
+    folder = run.shared_folder(spark)
+    return lifecycle.latest(run.write_once(lifecycle.task_stream(e), f"{folder}/tasks", f"{folder}/checkpoint", "update", lifecycle.PROVIDER))
+
+
 @query(f"""WITH e AS ({_TASKS}), t AS (SELECT task_id, arg_min(owner_key, ts) AS owner_key, min(ts) AS created_at FROM e GROUP BY task_id), mine AS (SELECT * FROM t WHERE owner_key = '3')
 SELECT task_id, CASE WHEN (SELECT count(*) FROM mine) > 100 THEN 'MTAw' END AS next_cursor FROM mine ORDER BY created_at, task_id LIMIT 50 OFFSET 50""")
 def task_page(spark, d):
@@ -756,6 +773,14 @@ def subscribed_changes(spark, d):
     return state.changed_subscriptions(p, p.filter("page_id % 4 = 0").select("uri")).select("page_id")
 
 
+@query("SELECT page_id, url AS uri FROM pages WHERE length(html) % 3 = 0")
+def change_feed(spark, d):
+    subscriptions = table(spark, d, "pages").filter("length(html) % 3 = 0").select(F.col("url").alias("uri"))
+    changes = run.table_stream(spark, d, "pages").select("page_id", F.col("url").alias("uri"))
+    folder = run.shared_folder(spark)
+    return state.change_feed(changes, subscriptions, f"{folder}/feed", f"{folder}/checkpoint").drop("batch")
+
+
 @query("""SELECT page_id, CASE length(html) % 6 WHEN 0 THEN NULL WHEN 1 THEN 'EBLOCKED' WHEN 2 THEN 'EBLOCKED' WHEN 3 THEN 'ENODATA' WHEN 4 THEN NULL ELSE 'EBLOCKED' END AS reason FROM pages""")
 def dns_safety(spark, d):
     name = lambda p: F.concat(F.lit(p), F.col("page_id").cast("string"), F.lit("."), F.expr(HOST))

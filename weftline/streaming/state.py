@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.cache import subscription_uri
 from weftline.operators.quantiles import exact_quantiles
+from weftline.streaming.run import write_once
 
 LIMIT, WINDOW_MS, SESSION_GAP = 100, 60_000, "30 minutes"
 
@@ -89,6 +90,15 @@ def changed_subscriptions(changes: DataFrame, subscriptions: DataFrame) -> DataF
     return changes.withColumn("_uri", subscription_uri(F.col("uri"))).join(wanted, "_uri", "left_semi").drop("_uri")
 
 
+def change_feed(changes: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The notifications of a stream of changes (uri, ...), written under ``path``: each change of a subscribed resource once, with its micro-batch's number.
+
+    The subscriptions are a table, read anew for each micro-batch. A micro-batch that failed is written again in its own
+    place, and a restart from ``checkpoint`` goes on after the last finished one, so nothing is notified twice or left out.
+    """
+    return write_once(changed_subscriptions(changes, subscriptions), path, checkpoint)
+
+
 def duration_stats(rows: DataFrame, value: str) -> DataFrame:
     """Distribution of stage durations: moments by partial aggregates, exact percentiles by passes that count (``operators/quantiles.py``)."""
     x = F.col(value)
