@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.config import DEFAULT, MARKER, ExtractConfig
 from weftline.functions import encoding, markdown, noise, urls
@@ -69,18 +69,28 @@ def transform_page(html: str, url: str, truncated: bool = False, config: Extract
     return {"markdown": text, "title": title, "metadata": found, "content_source": source}
 
 
+#: The columns of a result row beside the page's own.
+RESULT = ("final_url", "cache_key", "title", "metadata", "markdown", "content_size", "truncated", "content_source", "error")
+
+
 def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_at: str | None = None) -> DataFrame:
     """``pages`` (page_id, url, html) as result rows: url, final_url, cache_key, title, metadata, markdown, content_size, truncated, content_source, error.
 
     URL checks, size limits, classification of raw files, footers and keys are expressions; a tree is built once per page
     in one Arrow UDF, only for pages that need it. A page that fails gives an ``error`` and no markdown, never a failed job.
-    ``fetched_at`` (a timestamp literal) dates the footer, so results repeat.
+    ``fetched_at`` (a timestamp literal) dates the footer, so results repeat. A boolean column ``truncated`` of the input
+    says that the fetch has cut the page, which the result repeats and the Markdown's marker shows. All other input columns
+    pass, those with a result column's name give way.
     """
     from weftline.operators.cache import cache_key
     from weftline.operators.results import failure
 
     html = F.col("html")
-    rows = spread(pages.select("page_id", "url", "html"))
+    named = {c.lower() for c in ("page_id", "url", "html", *RESULT)}
+    others = [c for c in pages.columns if c.lower() not in named]
+    cut_before = F.coalesce(F.col("truncated").cast("boolean"), F.lit(False)) if "truncated" in {c.lower() for c in pages.columns} else F.lit(False)
+    rest = F.struct(F.lit(None).cast("boolean").alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = spread(pages.select("page_id", "url", "html", cut_before.alias("_cut"), rest.alias("_rest")))
     # one column for each step: nested, every step would repeat the ones below it many times over
     rows = rows.withColumn("_u", urls.js_trim(F.col("url")))
     rows = rows.withColumn("_parts", urls.split_url(F.col("_u")))
@@ -95,7 +105,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     rows = rows.withColumn("_file_parts", urls.split_url(F.col("_file")))
     rows = rows.withColumn("_target", F.coalesce(F.when(F.col("_file").isNotNull(), urls.normalize_url(F.col("_file"), urls.parts_of(F.col("_file_parts")))), F.col("_target")))
     rows = rows.drop("_u", "_parts", "_host", "_platform", "_file", "_file_parts")
-    rows = rows.withColumn("truncated", encoding.will_truncate(html, config.max_bytes))
+    rows = rows.withColumn("truncated", F.col("_cut") | F.coalesce(encoding.will_truncate(html, config.max_bytes), F.lit(False))).drop("_cut")
     rows = rows.withColumn("html", F.when(F.col("truncated"), encoding.truncate_html(html, config.max_bytes)).otherwise(html))
     rows = rows.withColumn("_raw", markdown.preserve_raw(F.col("_target"), F.col("html")))
     tree_html = F.when(F.col("_problem").isNull() & ~F.col("_raw"), F.col("html"))
@@ -121,8 +131,9 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
                 keep = [n for n in names if n != "_tree"]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], *new], names=[*keep, "_md", "_title", "metadata", "_source", "_failed"])
 
-    schema = f"page_id long, url string, html string, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string"
-    done = rows.mapInArrow(run, schema)
+    schema = f"page_id long, url string, html string, _rest boolean, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string"
+    fields = [T.StructField("_rest", rows.schema["_rest"].dataType) if f.name == "_rest" else f for f in T.StructType.fromDDL(schema)]
+    done = rows.mapInArrow(run, T.StructType(fields))
     problem = F.coalesce("_problem", "_failed")
     raw = markdown.add_source(F.col("html"), F.col("_target"))
     body = F.when(F.col("_raw"), raw).otherwise(F.col("_md"))
@@ -142,6 +153,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
         (F.col("truncated") & problem.isNull()).alias("truncated"),
         F.when(problem.isNull(), F.when(F.col("_raw"), F.lit("raw")).otherwise(F.col("_source"))).alias("content_source"),
         failure(problem).alias("error"),
+        *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(others)],
     )
 
 
@@ -159,6 +171,6 @@ def transform_bodies(responses: DataFrame, config: ExtractConfig = DEFAULT) -> D
         .when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string")))
         .when(F.col("_c.error").isNotNull(), F.col("_c.error"))
         .when(~encoding.media_type_allowed(F.coalesce("content_type", F.lit(""))), F.concat(F.lit("Unsupported content type: "), encoding.media_type(F.col("content_type"))))
-        .when(encoding.is_binary(F.col("_c.body"), label), F.lit("binary_content_detected"))
+        .when(encoding.is_binary(F.col("_c.body"), label), F.lit("Detailed content type check failed: binary content detected"))
     )
     return r.select("page_id", "url", F.when(error.isNull(), encoding.decode_html(cap, label)).alias("html"), label.alias("encoding"), cut.alias("truncated"), F.octet_length("_c.body").alias("size"), error.alias("error"))

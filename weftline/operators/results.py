@@ -15,19 +15,20 @@ def error_row(message: Column, url: Column, status: Column, details: Column | No
 
 # Codes of failures by the start of their message, and the HTTP status each maps to.
 FAILURES = (
-    ("rate_limited", "rate_limited", 429), ("unsupported_content_encoding", "unsupported_content_encoding", 415), ("binary_content_detected", "binary_content_detected", 415), ("markdown_convert_failed", "markdown_convert_failed", 500),
+    ("rate_limited", "rate_limited", 429), ("unsupported_content_encoding", "unsupported_content_encoding", 415), ("binary_content_detected", "binary_content_detected", 415), ("Detailed content type check failed", "binary_content_detected", 500), ("markdown_convert_failed", "markdown_convert_failed", 500),
     ("Too many redirects", "FETCH_ERROR", 502), ("Redirect response missing", "EBADREDIRECT", 400), ("Unsupported content type", "FETCH_ERROR", 502), ("Network error", "FETCH_ERROR", 502), ("Request timeout", "ETIMEOUT", 504), ("DNS timeout", "ETIMEOUT", 504),
     ("Request was canceled", "ABORTED", 499), ("EBLOCKED", "EBLOCKED", 400), ("ENODATA", "ENODATA", 400), ("EINVAL", "EINVAL", 400), ("queue_full", "queue_full", 503),
+    *((start, "VALIDATION_ERROR", 400) for start in ("URL ", "URLs ", "Invalid ", "Blocked ", "Empty page")),
 )
 
 
 def failure(message: Column) -> Column:
-    """struct(code, status_code, message) of a failure's message; null for none. ``HTTP n`` keeps its status, what no other rule knows is a failed validation."""
+    """struct(code, status_code, message) of a failure's message; null for none. ``HTTP n`` keeps its status, what no other rule knows is a failed fetch."""
     status = F.regexp_extract(message, r"^HTTP (\d{3})", 1)
     code, number = F.when(status != "", F.concat(F.lit("HTTP_"), status)), F.when(status != "", status.try_cast("int"))
     for start, name, n in FAILURES:
         code, number = code.when(message.startswith(start), F.lit(name)), number.when(message.startswith(start), F.lit(n))
-    return F.when(message.isNotNull(), F.struct(code.otherwise(F.lit("VALIDATION_ERROR")).alias("code"), number.otherwise(F.lit(400)).alias("status_code"), message.alias("message")))
+    return F.when(message.isNotNull(), F.struct(code.otherwise(F.lit("FETCH_ERROR")).alias("code"), number.otherwise(F.lit(502)).alias("status_code"), message.alias("message")))
 
 
 def structured(results: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from weftline.functions import addresses, codelang, encoding, markdown, metadata, urls, validate
+from weftline.functions import addresses, canonical, codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
@@ -892,6 +892,19 @@ def text_macs(spark, d):
 
 _HASH = "substr(sha256(url), 1, 32)"
 _SPARK_HASH = "substr(sha2(url, 256), 1, 32)"
+@query("""SELECT event_id, '{"event":{"props":{"k":' || (props::JSON->>'k') || '},"type":"' || event_type || '"},"tags":["' || event_type || '",null,"é\\"\\n"],"user_id":' || user_id || '}' AS canonical FROM events""")
+def canonical_events(spark, d):
+    props = F.from_json("props", "map<string,bigint>")
+    e = table(spark, d, "events").select("event_id", F.struct("user_id", F.array("event_type", F.lit(None).cast("string"), F.lit('é"\n')).alias("tags"), F.struct(F.col("event_type").alias("type"), props.alias("props")).alias("event")).alias("vary"))
+    return e.select("event_id", canonical.canonical_json(e, "vary").alias("canonical"))
+
+
+@query("""SELECT event_id, 'events:' || substr(sha256(user_id::VARCHAR), 1, 32) || '.' || substr(sha256('{"k":' || (props::JSON->>'k') || ',"type":"' || event_type || '"}'), 1, 16) AS cache_key FROM events""")
+def varied_keys(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.struct(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("k")).alias("vary"))
+    return e.select("event_id", cache.cache_key(F.lit("events"), F.col("user_id").cast("string"), canonical.canonical_json(e, "vary")).alias("cache_key"))
+
+
 SUBSCRIPTIONS = [("'INTERNAL://cache/markdown/' || {h}", "'internal://cache/markdown/' || {h}"), (f"upper({SCHEME}) || '://' || upper({HOST}) || {PATH}", "url"), ("'urn:page:' || page_id", "'urn:page:' || page_id"), (HOST, "NULL"), ("' internal://cache/markdown/' || {h}", "'internal://cache/markdown/' || {h}")]
 
 
@@ -908,7 +921,7 @@ def cache_address_parts(spark, d):
     return table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.namespace", "r.hash")
 
 
-FAILED = [("'HTTP ' || (400 + length(url) % 100)", "'HTTP_' || (400 + length(url) % 100)", "400 + length(url) % 100"), ("'rate_limited'", "'rate_limited'", "429"), ("'Unsupported content type: image/' || page_id", "'FETCH_ERROR'", "502"), ("'Invalid URL format'", "'VALIDATION_ERROR'", "400"), ("NULL", "NULL", "NULL"), ("'DNS timeout for ' || url", "'ETIMEOUT'", "504"), ("'Request was canceled'", "'ABORTED'", "499"), ("'EBLOCKED'", "'EBLOCKED'", "400")]
+FAILED = [("'HTTP ' || (400 + length(url) % 100)", "'HTTP_' || (400 + length(url) % 100)", "400 + length(url) % 100"), ("'rate_limited'", "'rate_limited'", "429"), ("'Unsupported content type: image/' || page_id", "'FETCH_ERROR'", "502"), ("'Invalid URL format'", "'VALIDATION_ERROR'", "400"), ("NULL", "NULL", "NULL"), ("'DNS timeout for ' || url", "'ETIMEOUT'", "504"), ("'Request was canceled'", "'ABORTED'", "499"), ("'EBLOCKED'", "'EBLOCKED'", "400"), ("'Something else about ' || url", "'FETCH_ERROR'", "502"), ("'Detailed content type check failed: binary content detected'", "'binary_content_detected'", "500")]
 
 
 @query(f"SELECT page_id, {choose('page_id', [f[1] for f in FAILED])} AS code, ({choose('page_id', [f[2] for f in FAILED])})::INT AS status_code FROM pages")
