@@ -14,6 +14,7 @@ from weftline.functions import addresses, canonical, codelang, encoding, markdow
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
+from weftline.sources import downloads
 from weftline.sources.tables import table
 from weftline.streaming import lifecycle, run, state
 
@@ -892,6 +893,20 @@ def text_macs(spark, d):
 
 _HASH = "substr(sha256(url), 1, 32)"
 _SPARK_HASH = "substr(sha2(url, 256), 1, 32)"
+# A page's file is named after half of its number, so most names are those of two pages.
+_STEM = "cast(floor(page_id / 2) AS bigint) || '-' || length(split_part(url, '/', 4)) || '.md'"
+
+
+@query(f"""WITH f AS (SELECT page_id, url, html, {_STEM} AS name FROM pages), n AS (SELECT *, count(*) OVER (PARTITION BY name) AS many FROM f)
+SELECT page_id, CASE WHEN many > 1 THEN replace(name, '.md', '-' || substr(sha256(url), 1, 16) || '.md') ELSE name END AS filename, sha256(page_id || chr(10) || html) AS content_sha256 FROM n""")
+def written_downloads(spark, d):
+    p = table(spark, d, "pages").select(F.col("url").alias("cache_key"), F.expr(_STEM).alias("filename"), F.concat("page_id", F.lit("\n"), "html").alias("content"))
+    folder = run.shared_folder(spark)
+    downloads.write_files(p, folder)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder).select("path", F.decode("content", "UTF-8").alias("text"))
+    return back.select(F.split_part("text", F.lit("\n"), F.lit(1)).cast("long").alias("page_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.sha2("text", 256).alias("content_sha256"))
+
+
 @query("""SELECT event_id, '{"event":{"props":{"k":' || (props::JSON->>'k') || '},"type":"' || event_type || '"},"tags":["' || event_type || '",null,"é\\"\\n"],"user_id":' || user_id || '}' AS canonical FROM events""")
 def canonical_events(spark, d):
     props = F.from_json("props", "map<string,bigint>")
