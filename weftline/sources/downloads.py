@@ -33,6 +33,8 @@ class FileWriter(DataSourceWriter):
         if "filename" not in names or "content" not in names:
             raise ValueError("a download has the columns filename and content")
         self.path, self.overwrite, self.job = path.removeprefix("file:"), overwrite, uuid.uuid4().hex
+        if "://" in self.path:
+            raise ValueError("files go to a folder that is mounted on the driver and all executors")
         self.name, self.content = names.index("filename"), names.index("content")
 
     @property
