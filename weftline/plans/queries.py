@@ -16,7 +16,7 @@ from weftline.functions.noise import may_contain_noise
 from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
 from weftline.sources import downloads
 from weftline.sources.tables import table
-from weftline.streaming import lifecycle, run, state
+from weftline.streaming import admission, lifecycle, run, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -673,6 +673,30 @@ def task_states(spark, d):
     return tasks.states(_task_events(spark, d))
 
 
+_OPS = choose("event_id", ["'reserve'", "'open'", "'touch'", "'reserve'", "'close'", "'open'", "'reserve'"])
+
+
+@query(f"""WITH RECURSIVE e AS (
+  SELECT event_id % 23 AS tenant, event_id AS seq, epoch_us(ts) // 1000 AS ms, {_OPS} AS op, (user_id % 12)::VARCHAR AS id, row_number() OVER (PARTITION BY event_id % 23 ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+s AS (
+  SELECT tenant, 0::BIGINT AS i, []::STRUCT(id VARCHAR, ms BIGINT)[] AS held, 0::BIGINT AS f, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::VARCHAR AS evicted FROM (SELECT DISTINCT tenant FROM e)
+  UNION ALL
+  SELECT tenant, i,
+    CASE WHEN op = 'reserve' THEN CASE WHEN gone THEN live[2:] ELSE live END WHEN op = 'open' OR op = 'touch' AND known THEN list_append(rest, {{'id': id, 'ms': ms}}) WHEN op = 'close' THEN rest ELSE live END,
+    CASE WHEN op = 'reserve' AND (room OR gone) THEN f + 1 WHEN op = 'open' THEN greatest(f - 1, 0) ELSE f END, seq,
+    CASE WHEN op = 'reserve' THEN CASE WHEN room OR gone THEN 'admitted' ELSE 'refused' END WHEN op = 'open' THEN 'opened' WHEN NOT known THEN 'unknown' WHEN op = 'touch' THEN 'touched' ELSE 'closed' END,
+    CASE WHEN op = 'reserve' AND gone THEN live[1].id END
+  FROM (SELECT *, len(live) + f < 4 AS room, len(live) + f >= 4 AND len(live) >= 4 AND len(live) - 1 + f < 4 AS gone, len(rest) < len(live) AS known
+    FROM (SELECT *, list_filter(live, lambda x: x.id <> id) AS rest
+      FROM (SELECT e.tenant, e.i, s.f, e.seq, e.op, e.id, e.ms, list_filter(s.held, lambda x: e.ms - x.ms <= 14400000) AS live FROM s JOIN e ON e.tenant = s.tenant AND e.i = s.i + 1))))
+SELECT tenant::VARCHAR AS tenant, seq, outcome, evicted FROM s WHERE i > 0""")
+def session_admission(spark, d):
+    e = table(spark, d, "events").filter("ts IS NOT NULL AND user_id IS NOT NULL")
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")
+    asked = e.select((F.col("event_id") % 23).alias("tenant"), F.col("event_id").alias("seq"), ms, F.expr(_OPS).alias("op"), (F.col("user_id") % 12).cast("string").alias("session_id"))
+    return admission.admit(asked, 4, 14_400_000)
+
+
 # A user's events of a day as a task, which lives up to 24 hours.
 _DAY_TASK, _DAY_TTL = "user_id || '-' || date_format(ts, 'yyyy-MM-dd')", "(user_id % 8) * 14400000"
 
