@@ -150,9 +150,10 @@ def brute_repeats(table):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 4096), (2, 2)])
-def test_suffixes(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize("seed, hot, part", [(1, 4096, 256), (2, 2, 256), (3, 2, 1)])
+def test_suffixes(spark, monkeypatch, seed, hot, part):
     monkeypatch.setattr(suffixes, "HOT_DOCUMENTS", hot)
+    monkeypatch.setattr(suffixes, "PART_DOCUMENTS", part)
     table = [(r[0], r[1]) for r in corpus(seed)] + [(None, corpus(seed)[3][1]), (3, corpus(seed)[8][1]), (3, corpus(seed)[8][1]), (200, "ab" * 300), (201, "ab" * 200)]
     got = suffixes.repeated_spans(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
     mine = sorted((r["doc_id"] if r["doc_id"] is not None else 1 << 62, r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), r["kept_sha256"]) for r in got)
@@ -184,6 +185,21 @@ def test_prints_are_no_evidence(spark, monkeypatch):
     assert sorted((g["doc_id"], g["n_bytes"], g["n_bytes"] - len(g["kept"]), len(g["spans"]), g["kept_sha256"]) for g in got) == brute_repeats(table)
 
 
+def test_every_string_enters_the_merge(monkeypatch):
+    """Keys of one string too, and keys are never split over two merges, however small those are."""
+    strings = [b"a" * 60, b"b" * 55, b"ab" * 30, b"c" + b"b" * 52, b"b" * 51]
+    keys = np.array([1, 2, 3, 4, 4], np.uint64)
+    data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings])
+    merged, whole = [], suffixes.window_classes
+    monkeypatch.setattr(suffixes, "window_classes", lambda data, starts, sizes, shard: merged.append(len(starts)) or whole(data, starts, sizes, shard))
+    for most, parts in ((1 << 20, [5]), (1, [1, 1, 1, 2])):
+        monkeypatch.setattr(suffixes, "MERGE_SYMBOLS", most)
+        merged.clear()
+        got = suffixes.least_documents(data, np.cumsum(sizes) - sizes, sizes, np.array([5, 4, 3, 2, 1]), keys, np.array([0, 1, 2, 3, 3]))
+        assert merged == parts and len(got) == int((sizes - 49).sum()) and got[-2:].tolist() == [1, 1] and got[-6:-2].tolist() == [2, 1, 1, 1]
+    assert suffixes.least_documents(data[:0], sizes[:0], sizes[:0], sizes[:0], keys[:0], sizes[:0]).tolist() == []
+
+
 def test_groups_come_in_one_order():
     from weftline.llm.exchange import _ordered
 

@@ -4,14 +4,15 @@
    minimizers, so only stretches whose minimizer occurs in two documents can repeat. Groups of documents exchange
    minimizer hashes (exchange.py) to find those.
 2. The stretches (up to 31 windows: 50 to 80 bytes) go to the minimizer's bucket, those of equal bytes (compared byte by
-   byte) once, with the smallest doc_id: first in each group, then in the bucket. A minimizer of very many documents is cut further, into single windows, each dealt to the
-   bucket of its own hash; they are merged there like all others.
+   byte) once, with the smallest doc_id: first in each group, then in the bucket. A minimizer of very many documents is cut further, into single windows, which
+   the prints of their bytes deal out over parts of it, in proportion to its documents; a part is a key like any other.
 3. The groups of documents fall into SHARDS shards of the corpus. In a bucket each shard's strings have their suffixes
    sorted and their transform taken. The transforms are merged by interleave refinement: a vector says for each rank of
    the merged transform which shard it comes from; a pass over the merged symbols, stably dealt out by symbol, orders it
    by STRIDE further bytes. The pass in which a border appears gives the common prefix of the ranks on both sides; runs
    of ranks with common prefixes of 50 bytes are the repeated intervals. No suffix is sorted again across shards, and
-   hashes only deal strings out: equality is found by bytes, of whole strings, or by the merge, of windows of unlike ones.
+   hashes only deal strings out. Strings of equal bytes are one string before the merge; that two windows are equal,
+   of one string's copies or of unlike strings, is read off the merged intervals, for every string that was sent.
 4. Each window learns the smallest doc_id of its interval; documents drop the windows that a smaller doc_id holds.
 """
 
@@ -34,9 +35,10 @@ _SPREAD = WINDOW - SEED + 1
 STRIDE = 5
 SHARDS = 4
 #: Symbols merged at a time; minimizers are never split over two merges.
-MERGE_SYMBOLS = 1_000_000
-#: The strings of a minimizer of more documents are dealt out as single windows, so that a bucket stays bounded.
+MERGE_SYMBOLS = 250_000
+#: The strings of a minimizer of more documents are dealt out as single windows, over a part of it for each PART_DOCUMENTS, so that a key stays bounded.
 HOT_DOCUMENTS = 4096
+PART_DOCUMENTS = 256
 SLICE = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -235,19 +237,16 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
 
 
 def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings. A key of one string has nothing to merge."""
+    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings; keys are merged together, up to MERGE_SYMBOLS, and never split."""
     windows = sizes - WINDOW + 1
     out = np.repeat(docs, windows)
     at = np.concatenate(([0], np.cumsum(windows)))
-    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-    contested = np.diff(new) > 1
-    members = np.flatnonzero(np.repeat(contested, np.diff(new)))
-    heads = np.cumsum(np.diff(new)[contested])
-    cost = np.cumsum(sizes[members] + STRIDE) if len(members) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else np.zeros(0, np.int64)
+    cost = np.concatenate(([0], np.cumsum(sizes + STRIDE)))
     begin = 0
-    for a, b in slices(np.diff(np.concatenate(([0], cost[heads - 1]))) if len(heads) else np.zeros(0, np.int64), MERGE_SYMBOLS):
+    for a, b in slices(np.diff(cost[np.concatenate(([0], heads))]), MERGE_SYMBOLS):
         end = int(heads[b - 1])
-        some = members[begin:end]
+        some = np.arange(begin, end)
         begin = end
         group = window_classes(data, starts[some], sizes[some], shard[some])
         place = np.repeat(at[some] - np.concatenate(([0], np.cumsum(windows[some])[:-1])), windows[some]) + np.arange(windows[some].sum())
@@ -308,17 +307,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         distinct = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))[: len(h)]
         h = h[distinct]
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
-        count = np.minimum(np.diff(np.append(new, len(h))), 0xFFFF)
+        count = np.diff(np.append(new, len(h)))
         h = h[new]
         bucket, rest = _packed(h, buckets)
         order = np.lexsort((rest, bucket))
-        bucket, rest, count = bucket[order], rest[order], count[order].astype(np.uint16)
+        bucket, rest, count = bucket[order], rest[order], count[order].astype(np.uint32)
         names, at = np.unique(bucket, return_index=True)
         return {int(n): struct.pack("<q", n) + _pack(rest[x:y], count[x:y]) for n, x, y in zip(names, at, np.append(at[1:], len(rest)))}
 
     def resolve_seen(blocks: list[bytes]) -> list[bytes]:
         name = blocks[0][:8]
-        parts = [_unpack(b[8:], "<u4", "<u2") for b in blocks]
+        parts = [_unpack(b[8:], "<u4", "<u4") for b in blocks]
         key, docs_ = (np.concatenate([p[i] for p in parts]) for i in range(2))
         origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.argsort(key, kind="stable")
@@ -326,19 +325,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         total = np.add.reduceat(docs_[order].astype(np.int64), new)
         total = np.repeat(total, np.diff(np.append(new, len(k))))
-        told, sums, whose = k[total > 1], np.minimum(total[total > 1], 0xFFFF).astype(np.uint16), origin[order][total > 1]
+        told, sums, whose = k[total > 1], np.minimum(total[total > 1], 0xFFFFFFFF).astype(np.uint32), origin[order][total > 1]
         back = np.argsort(whose, kind="stable")
         told, sums, bounds = told[back], sums[back], np.searchsorted(whose[back], np.arange(len(parts) + 1))
         return [name + _pack(told[x:y], sums[x:y]) if y > x else b"" for x, y in zip(bounds[:-1], bounds[1:])]
 
     def ask_least(table: pa.Table, answers: pa.Table) -> dict[int, bytes]:
         blocks = answers.column("block").to_pylist()
-        told = [_unpack(b[8:], "<u4", "<u2") for b in blocks]
+        told = [_unpack(b[8:], "<u4", "<u4") for b in blocks]
         names = [np.uint64(struct.unpack_from("<q", b)[0]) << np.uint64(32) for b in blocks]
         known = np.concatenate([np.zeros(0, np.uint64), *[n | t[0] for n, t in zip(names, told)]])
-        total = np.concatenate([np.zeros(0, np.uint16), *[t[1] for t in told]])
+        holders = np.concatenate([np.zeros(0, np.uint32), *[t[1] for t in told]])
         order = np.argsort(known)
-        known, hot = known[order], total[order] > HOT_DOCUMENTS
+        known, holders = known[order], holders[order].astype(np.int64)
         own = owners(table)
         data_, offsets_ = texts(table)
         keys, prints, docs_, bytes_, sizes, rows_, starts_ = ([] for _ in range(7))
@@ -349,7 +348,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             place = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
             repeated = known[place] == asked if len(known) else np.zeros(len(asked), bool)
             rows, first, last, found = rows[repeated], first[repeated], last[repeated], found[repeated]
-            cut = hot[place[repeated]] if len(known) else np.zeros(0, bool)
+            held = holders[place[repeated]] if len(known) else np.zeros(0, np.int64)
+            cut = held > HOT_DOCUMENTS
             n = np.where(cut, last - first + 1, 1)
             piece = np.repeat(np.arange(len(first)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -360,7 +360,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
             size = end - start
             print_ = mix((total[end] - total[start]) * down[start] + size.astype(np.uint64))
-            keys.append(np.where(single, print_, found[piece]))
+            part = print_ % np.maximum(1, held[piece] // PART_DOCUMENTS).astype(np.uint64)
+            keys.append(np.where(single, mix(found[piece] + part), found[piece]))
             prints.append(print_)
             docs_.append(own[a + rows[piece]])
             rows_.append((a + rows[piece]).astype(np.int32))
