@@ -35,7 +35,7 @@ _SPREAD = WINDOW - SEED + 1
 STRIDE = 5
 SHARDS = 4
 #: Symbols merged at a time; minimizers are never split over two merges.
-MERGE_SYMBOLS = 250_000
+MERGE_SYMBOLS = 100_000
 #: The strings of a minimizer of more documents are dealt out as single windows, over a part of it for each PART_DOCUMENTS, so that a key stays bounded.
 HOT_DOCUMENTS = 4096
 PART_DOCUMENTS = 256
@@ -128,9 +128,11 @@ def _unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def suffix_order(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order: first STRIDE empty ones for each string, then the rest; equal ones by string.
+    """Positions of all suffixes in the order of their first WINDOW symbols: first STRIDE empty ones for each string, then the rest.
 
-    ``symbols`` are bytes above 0; every string is followed by eight or more zeros.
+    ``symbols`` are bytes above 0; every string is followed by eight or more zeros. Suffixes that agree in WINDOW symbols
+    come in any order: as the merge goes no deeper, they are in one interval, and which of them a rank stands for is all
+    the same (preceded by equal symbols they again agree in WINDOW symbols).
     """
     spans = sizes + STRIDE
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
@@ -142,17 +144,16 @@ def suffix_order(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     depth = 8
     while True:
         order = np.argsort(value)
+        if depth >= WINDOW:
+            return at[order]
         sorted_ = value[order]
         new = np.concatenate(([False], sorted_[1:] != sorted_[:-1]))
         rank = np.empty(len(at), np.uint64)
         rank[order] = np.cumsum(new).astype(np.uint64)
-        if depth > WINDOW + _SPREAD:
-            break
         rank_at[:] = 0
         rank_at[at] = rank
         value = (rank << np.uint64(32)) | rank_at[at + depth]
         depth *= 2
-    return at[np.argsort((rank << np.uint64(32)) | np.arange(len(at), dtype=np.uint64))]
 
 
 def _stable(values: np.ndarray, largest: int) -> np.ndarray:
