@@ -12,7 +12,7 @@
    by STRIDE further bytes. The pass in which a border appears gives the common prefix of the ranks on both sides; runs
    of ranks with common prefixes of 50 bytes are the repeated intervals. No suffix is sorted again across shards, and
    hashes only deal strings out. Strings of equal bytes are one string before the merge; that two windows are equal,
-   of one string's copies or of unlike strings, is read off the merged intervals, for every string that was sent.
+   of unlike strings, is read off the merged intervals, for every key of more than one string, parts of hot ones too.
 4. Each window learns the smallest doc_id of its interval; documents drop the windows that a smaller doc_id holds.
 """
 
@@ -238,16 +238,19 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
 
 
 def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings; keys are merged together, up to MERGE_SYMBOLS, and never split."""
+    """For each window of each distinct string the smallest doc among the strings that hold it; ``keys`` (sorted) part the strings; keys are merged together, up to MERGE_SYMBOLS, and never split. A key of one string has nothing to merge with."""
     windows = sizes - WINDOW + 1
     out = np.repeat(docs, windows)
     at = np.concatenate(([0], np.cumsum(windows)))
-    heads = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else np.zeros(0, np.int64)
-    cost = np.concatenate(([0], np.cumsum(sizes + STRIDE)))
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    several = np.diff(new) > 1
+    members = np.flatnonzero(np.repeat(several, np.diff(new)))
+    heads = np.cumsum(np.diff(new)[several])
+    cost = np.concatenate(([0], np.cumsum(sizes[members] + STRIDE)))
     begin = 0
     for a, b in slices(np.diff(cost[np.concatenate(([0], heads))]), MERGE_SYMBOLS):
         end = int(heads[b - 1])
-        some = np.arange(begin, end)
+        some = members[begin:end]
         begin = end
         group = window_classes(data, starts[some], sizes[some], shard[some])
         place = np.repeat(at[some] - np.concatenate(([0], np.cumsum(windows[some])[:-1])), windows[some]) + np.arange(windows[some].sum())
