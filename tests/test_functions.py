@@ -298,3 +298,18 @@ RULES = [
 @pytest.mark.parametrize("before, after", RULES)
 def test_cleaning_rules(before, after):
     assert markdown.cleanup(before) == after
+
+
+def test_completions_in_a_languages_order(spark):
+    from weftline.operators.cache import complete
+
+    words = ["Zebra", "zebra", "äpfel", "Apfel", "apfel", "École", "ecole", "eclair", "b1", "B1", "", None, "apfel"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string").repartition(3)
+    got = lambda prefix, collation, most=100: [r["w"] for r in complete(frame, "w", prefix, most, collation).collect()]
+    assert got("", "UNICODE_CI") == ["", "Apfel", "äpfel", "B1", "eclair", "ecole", "École", "Zebra"]
+    assert got("", "UNICODE_CI_AI") == ["", "Apfel", "B1", "eclair", "ecole", "Zebra"]
+    assert got("", "UNICODE") == ["", "apfel", "Apfel", "äpfel", "b1", "B1", "eclair", "ecole", "École", "zebra", "Zebra"]
+    assert got("EC", "UNICODE_CI") == ["eclair", "ecole"] and got("EC", "UNICODE_CI_AI", 1) == ["eclair"] and got("é", "UNICODE_CI") == ["École"]
+    assert got("%", "UNICODE_CI") == [] and complete(frame.limit(0), "w", "a", collation="UNICODE_CI").count() == 0
+    with pytest.raises(ValueError, match="collation"):
+        complete(frame, "w", "a", collation="x'y")

@@ -141,9 +141,22 @@ def resource_uri(namespace: Column, hash_: Column) -> Column:
     return F.when(namespace.rlike("^[A-Za-z0-9_-]{1,64}$") & hash_.rlike("(?i)^[a-f0-9.]{8,64}$"), F.concat(F.lit("internal://cache/"), F.url_encode(namespace), F.lit("/"), F.url_encode(hash_)))
 
 
-def complete(values: DataFrame, column: str, prefix: str, most: int = 100) -> DataFrame:
-    """Distinct values with a prefix (any case), in order, at most ``most``: the completion list."""
-    return values.select(column).distinct().filter(F.lower(F.col(column)).startswith(prefix.lower())).orderBy(column).limit(most)
+def complete(values: DataFrame, column: str, prefix: str, most: int = 100, collation: str | None = None) -> DataFrame:
+    """Distinct values with a prefix (any case), in order, at most ``most``: the completion list.
+
+    With a ``collation`` (``UNICODE_CI``, ``UNICODE_CI_AI``, ``de_CI``, ...) prefix and distinctness are its own, of values
+    that are equal in it the least in code points stands for all, and the order is its language's with case and accents.
+    Values are combined before the one shuffle, by collation keys; nulls are no values.
+    """
+    if collation is None:
+        return values.select(column).distinct().filter(F.lower(F.col(column)).startswith(prefix.lower())).orderBy(column).limit(most)
+    if not re.fullmatch(r"[A-Za-z_]+", collation):
+        raise ValueError("not the name of a collation")
+    folded = F.collate(F.col(column), collation)
+    full = re.sub(r"_(CI|AI)(?=_|$)", "", collation)
+    found = values.filter(folded.startswith(F.collate(F.lit(prefix), collation)))
+    one = found.groupBy(folded.alias("_folded")).agg(F.min(column).alias(column)).select(column)
+    return one.orderBy(F.collate(F.col(column), full), column).limit(most)
 
 
 def resource_parts(uri: Column) -> Column:

@@ -653,6 +653,16 @@ def resource_uris(spark, d):
     return table(spark, d, "pages").select("page_id", cache.resource_uri(cache.key_namespace(k), cache.key_hash(k)).alias("uri"), cache.key_namespace(k).alias("ns"), cache.key_hash(k).alias("hash"))
 
 
+# Namespaces in three spellings. Of letters and digits alone the language order is that of the lower-cased text.
+_SPELLED = choose("doc_id", ["lower(source)", "upper(source)", "upper(substr(source, 1, 1)) || lower(substr(source, 2, 40))"]) + " || cast(doc_id % 701 AS varchar(9))"
+
+
+@query(f"""WITH s AS (SELECT {_SPELLED} AS ns FROM documents)
+SELECT min(ns) AS ns FROM s WHERE starts_with(lower(ns), 'src1') GROUP BY lower(ns) ORDER BY lower(min(ns)) LIMIT 100""")
+def collated_completions(spark, d):
+    return cache.complete(table(spark, d, "documents").select(F.expr(_SPELLED).alias("ns")), "ns", "sRC1", collation="UNICODE_CI")
+
+
 # ---- state
 
 
