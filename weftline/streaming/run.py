@@ -36,11 +36,12 @@ def configured(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", provider: str | None = None) -> DataFrame:
+def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", provider: str | None = None, paced: bool = False) -> DataFrame:
     """Runs ``stream`` over all that is available and gives what has been written under ``path`` so far, with ``batch``, the number of the micro-batch.
 
     A micro-batch overwrites its own folder, ``batch=<number>``, so one that is run again after a failure leaves its rows
-    once, and a restart from ``checkpoint`` goes on after the last finished one.
+    once, and a restart from ``checkpoint`` goes on after the last finished one. ``paced``: micro-batch after micro-batch until
+    the source has nothing left, for sources that bound a micro-batch by themselves.
     """
     spark = stream.sparkSession
 
@@ -49,8 +50,15 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
     settings = {"spark__sql__streaming__stateStore__providerClass": provider} if provider else {}
     with configured(spark, **settings):
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put)
+        query = (writer if paced else writer.trigger(availableNow=True)).start()
+    if paced:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    else:
+        query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(path)
