@@ -68,7 +68,7 @@ def test_connections_go_to_checked_addresses(server):
     assert get("http://c.example/to/y")[4:6] == (b"<p>c.example/y", "http://c.example/y")  # the second address answers
     assert get("http://a.example/gone")[1] == 404
     assert get("http://inner.example/")[6] == "EBLOCKED: blocked address"
-    assert get("http://[bad/")[6:] == ("Network error: ValueError: Invalid IPv6 URL", None)
+    assert get("http://[bad/")[6:8] == ("Network error: ValueError: Invalid IPv6 URL", None)
     assert not any("inner" in a for a in asked)
     asked_names = []
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.config import DEFAULT, MARKER, ExtractConfig
@@ -14,15 +16,32 @@ from weftline.functions.article import content_root, extract_article, use_articl
 from weftline.functions.dom import Node, parse
 from weftline.functions.metadata import FIELDS, early_metadata, extract_metadata, merge_metadata
 from weftline.functions.render import to_markdown
-from weftline.sources.tables import spread
 
 METADATA = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
 _ARROW_METADATA = pa.struct([(f, pa.string()) for f in FIELDS])
 
 
+#: The stages of a page that takes a tree, in order.
+STAGES = ("parse", "metadata", "article", "noise", "render", "cleanup", "links")
+LAPS = "array<struct<stage:string,duration_ms:double>>"
+_ARROW_LAPS = pa.list_(pa.struct([("stage", pa.string()), ("duration_ms", pa.float64())]))
+
+
+class Laps:
+    """The durations of one page's stages."""
+
+    def __init__(self) -> None:
+        self.at, self.laps = time.perf_counter(), []
+
+    def lap(self, stage: str) -> None:
+        now = time.perf_counter()
+        self.laps.append({"stage": stage, "duration_ms": (now - self.at) * 1000})
+        self.at = now
+
+
 def html_to_markdown(html: str, url: str = "", config: ExtractConfig = DEFAULT) -> str:
     """One fragment or page: noise out, rendered, cleaned, links resolved."""
-    return _finish(_denoised(parse(html), url, config), url, config)
+    return _finish(_denoised(parse(html), url, config), url, config, Laps())
 
 
 def _denoised(root: Node, url: str, config: ExtractConfig) -> Node:
@@ -33,64 +52,76 @@ def _denoised(root: Node, url: str, config: ExtractConfig) -> Node:
     return root.find("body") or root
 
 
-def _finish(node: Node, url: str, config: ExtractConfig) -> str:
-    text = markdown.cleanup(to_markdown(node), config.cleanup)
-    return markdown.resolve_links(text, url) if url else text
+def _finish(node: Node, url: str, config: ExtractConfig, laps: Laps) -> str:
+    text = to_markdown(node)
+    laps.lap("render")
+    text = markdown.cleanup(text, config.cleanup)
+    laps.lap("cleanup")
+    text = markdown.resolve_links(text, url) if url else text
+    laps.lap("links")
+    return text
 
 
 def transform_page(html: str, url: str, truncated: bool = False, config: ExtractConfig = DEFAULT) -> dict:
-    """markdown, title, metadata and content_source (article, root, body) of one page.
+    """markdown, title, metadata, content_source (article, root, body) and the stages' durations of one page.
 
     An article that keeps enough of the page is taken, else the first content root, else the whole cleaned body.
     """
+    laps = Laps()
     root = parse(html)
+    laps.lap("parse")
     found = extract_metadata(root, url)
     if truncated:
         found = merge_metadata(early_metadata(html, url), found)
+    laps.lap("metadata")
     article = extract_article(root, found["title"])
     if article is not None and use_article(article, root):
         source, node = "article", article.node
     else:
         node = content_root(root)
         source = "root" if node is not None else "body"
-    if source == "body":
-        text = _finish(_denoised(root, url, config), url, config)
-    else:
-        holder = Node("body")
-        holder.children = [node]
-        node.parent = holder
-        text = _finish(_denoised(holder, url, config), url, config)
+    if source != "body":
+        root = Node("body")
+        root.children = [node]
+        node.parent = root
+    laps.lap("article")
+    body = _denoised(root, url, config)
+    laps.lap("noise")
+    text = _finish(body, url, config, laps)
     title = found["title"]
     if title and not text.lstrip().startswith("# "):
         icon = f"![{urlsplit(url).hostname}]({found['favicon']}) " if found["favicon"] else ""
         text = f"# {icon}{title}\n\n{text}"
     if truncated:
         text = text if text.endswith(MARKER) else f"{text}\n\n{MARKER}"
-    return {"markdown": text, "title": title, "metadata": found, "content_source": source}
+    return {"markdown": text, "title": title, "metadata": found, "content_source": source, "stages": laps.laps}
 
 
 #: The columns of a result row beside the page's own.
 RESULT = ("final_url", "cache_key", "title", "metadata", "markdown", "content_size", "truncated", "content_source", "error")
+#: Those of ``timed``.
+TIMED = ("stages", "partition")
 
 
-def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_at: str | None = None) -> DataFrame:
+def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_at: str | None = None, timed: bool = False) -> DataFrame:
     """``pages`` (page_id, url, html) as result rows: url, final_url, cache_key, title, metadata, markdown, content_size, truncated, content_source, error.
 
     URL checks, size limits, classification of raw files, footers and keys are expressions; a tree is built once per page
     in one Arrow UDF, only for pages that need it. A page that fails gives an ``error`` and no markdown, never a failed job.
     ``fetched_at`` (a timestamp literal) dates the footer, so results repeat. A boolean column ``truncated`` of the input
     says that the fetch has cut the page, which the result repeats and the Markdown's marker shows. All other input columns
-    pass, those with a result column's name give way.
+    pass, those with a result column's name give way. ``timed`` adds ``stages``, the durations of the stages that a page ran
+    through (none for a raw file or a failure before its tree), and ``partition``, its task's (``operators/metrics.py``).
     """
     from weftline.operators.cache import cache_key
     from weftline.operators.results import failure
 
     html = F.col("html")
-    named = {c.lower() for c in ("page_id", "url", "html", *RESULT)}
+    named = {c.lower() for c in ("page_id", "url", "html", *RESULT, *(TIMED if timed else ()))}
     others = [c for c in pages.columns if c.lower() not in named]
     cut_before = F.coalesce(F.col("truncated").cast("boolean"), F.lit(False)) if "truncated" in {c.lower() for c in pages.columns} else F.lit(False)
     rest = F.struct(F.lit(None).cast("boolean").alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    rows = spread(pages.select("page_id", "url", "html", cut_before.alias("_cut"), rest.alias("_rest")))
+    rows = pages.select("page_id", "url", "html", cut_before.alias("_cut"), rest.alias("_rest"))
     # one column for each step: nested, every step would repeat the ones below it many times over
     rows = rows.withColumn("_u", urls.js_trim(F.col("url")))
     rows = rows.withColumn("_parts", urls.split_url(F.col("_u")))
@@ -119,19 +150,24 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
                 out = []
                 for h, u, cut in zip(part.column("_tree").to_pylist(), part.column("_target").to_pylist(), part.column("truncated").to_pylist()):
                     if h is None:
-                        out.append((None, None, None, None, None))
+                        out.append((None, None, None, None, None, []))
                         continue
                     try:
                         r = transform_page(h, u or "", bool(cut), config)
-                        out.append((r["markdown"], r["title"], r["metadata"], r["content_source"], None))
+                        out.append((r["markdown"], r["title"], r["metadata"], r["content_source"], None, r["stages"]))
                     except Exception as e:  # a page's failure is a row
-                        out.append((None, None, None, None, f"markdown_convert_failed: {type(e).__name__}"))
+                        out.append((None, None, None, None, f"markdown_convert_failed: {type(e).__name__}", []))
                 kinds = (pa.string(), pa.string(), _ARROW_METADATA, pa.string(), pa.string())
+                kinds += (_ARROW_LAPS,) if timed else ()
                 new = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
+                added = ["_md", "_title", "metadata", "_source", "_failed"]
+                if timed:
+                    new.append(pa.array([TaskContext.get().partitionId()] * len(out), pa.int32()))
+                    added += TIMED
                 keep = [n for n in names if n != "_tree"]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], *new], names=[*keep, "_md", "_title", "metadata", "_source", "_failed"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], *new], names=[*keep, *added])
 
-    schema = f"page_id long, url string, html string, _rest boolean, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string"
+    schema = f"page_id long, url string, html string, _rest boolean, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string" + (f", stages {LAPS}, partition int" if timed else "")
     fields = [T.StructField("_rest", rows.schema["_rest"].dataType) if f.name == "_rest" else f for f in T.StructType.fromDDL(schema)]
     done = rows.mapInArrow(run, T.StructType(fields))
     problem = F.coalesce("_problem", "_failed")
@@ -153,6 +189,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
         (F.col("truncated") & problem.isNull()).alias("truncated"),
         F.when(problem.isNull(), F.when(F.col("_raw"), F.lit("raw")).otherwise(F.col("_source"))).alias("content_source"),
         failure(problem).alias("error"),
+        *(TIMED if timed else ()),
         *[F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(others)],
     )
 

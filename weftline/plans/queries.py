@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from weftline.functions import addresses, canonical, codelang, encoding, markdown, metadata, urls, validate
 from weftline.functions.article import collapsed_length_of, retention, valid_input, wrap_fragment
 from weftline.functions.noise import may_contain_noise
-from weftline.operators import cache, dns, nodes, pages, quantiles, redirects, results, tasks, twigs
+from weftline.operators import cache, dns, metrics, nodes, pages, quantiles, redirects, results, tasks, twigs
 from weftline.sources import downloads
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 from weftline.streaming import admission, lifecycle, run, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,30 +283,30 @@ def page_overview(spark, d):
 
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag")
 def node_tags(spark, d):
-    return nodes.tag_counts(nodes.html_nodes(table(spark, d, "pages")))
+    return nodes.tag_counts(nodes.html_nodes(spread(table(spark, d, "pages"))))
 
 
 @query("SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hrefs FROM pages WHERE html LIKE '%<a href=%'")
 def page_links(spark, d):
-    n = nodes.html_nodes(table(spark, d, "pages")).filter("tag = 'a'")
+    n = nodes.html_nodes(spread(table(spark, d, "pages"))).filter("tag = 'a'")
     return n.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", nodes.attr("href").alias("href")))).alias("x")).select("page_id", F.transform("x", lambda v: v["href"]).alias("hrefs"))
 
 
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<article>.*?<footer>', 0, 's'), '<(article|h1|p|b|br)>', 1)) AS t FROM pages) GROUP BY page_id")
 def primary_content(spark, d):
-    return nodes.primary_content(nodes.html_nodes(table(spark, d, "pages"))).filter("kind = 'element'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.primary_content(nodes.html_nodes(spread(table(spark, d, "pages")))).filter("kind = 'element'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<nav>.*?</nav>', '', 's'), '<([a-z][a-z0-9]*)[ >]', 1)) AS t FROM pages) GROUP BY page_id")
 def outside_navigation(spark, d):
-    n = nodes.html_nodes(table(spark, d, "pages")).filter("kind = 'element'")
+    n = nodes.html_nodes(spread(table(spark, d, "pages"))).filter("kind = 'element'")
     return nodes.without(n, n.filter("tag = 'nav'")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<style>.*?</style>|<script>.*?</script>|<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g') AS x FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM t""")
 def visible_text(spark, d):
-    return nodes.visible_text(nodes.html_nodes(table(spark, d, "pages")))
+    return nodes.visible_text(nodes.html_nodes(spread(table(spark, d, "pages"))))
 
 
 # Selectors, and how often the pages' flat markup holds what they name.
@@ -329,13 +329,13 @@ p AS (SELECT *, regexp_extract(flat, '<head>.*?</head>', 0, 's') AS head, regexp
 c AS (SELECT page_id, unnest([""" + ", ".join("{'selector': '" + s.replace("'", "''") + f"', 'n': {n}}}" for s, n in SELECTORS.items()) + """]) AS x FROM p)
 SELECT page_id, x.selector AS selector, x.n::BIGINT AS n FROM c""")
 def selector_counts(spark, d):
-    return twigs.counts(nodes.html_nodes(table(spark, d, "pages")), {s: s for s in SELECTORS})
+    return twigs.counts(nodes.html_nodes(spread(table(spark, d, "pages"))), {s: s for s in SELECTORS})
 
 
 @query("""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(style|script)>.*?</', '<\\1></', 'gs') AS flat FROM pages)
 SELECT page_id, len(regexp_extract_all(regexp_replace(flat, '<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">.*?</div>', '', 'gs'), '<[a-z][a-z0-9]*[ >]'))::BIGINT AS n FROM f""")
 def without_selected(spark, d):
-    n = nodes.html_nodes(table(spark, d, "pages"))
+    n = nodes.html_nodes(spread(table(spark, d, "pages")))
     gone = twigs.mark(n, {"gone": "body > nav, footer, nav + div.ad"}).filter("gone")
     return nodes.without(n.filter("kind = 'element'"), gone).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -348,7 +348,7 @@ _BOXED = "replace(html, '<div class=\"ad\">', '<div class=\"' || " + choose("pag
 @query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages)
 SELECT page_id, tag, (CASE WHEN tag IN ('nav', 'footer', 'script', 'style') THEN 50 WHEN tag = 'div' THEN {choose('page_id', [str(b[1]) for b in BOXES])} ELSE 0 END)::INT AS score, count(*) AS n FROM t GROUP BY ALL""")
 def noise_scores(spark, d):
-    p = table(spark, d, "pages").withColumn("html", F.expr(_BOXED))
+    p = spread(table(spark, d, "pages")).withColumn("html", F.expr(_BOXED))
     return nodes.scores(nodes.html_nodes(p)).groupBy("page_id", "tag", F.col("score").cast("int").alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -429,16 +429,24 @@ done AS (SELECT a.page_id, url, title, readable, long_, CASE WHEN readable OR lo
 SELECT page_id, url, url AS final_url, 'markdown:' || substr(sha256(url), 1, 32) AS cache_key, title, title AS meta_title, NULL::VARCHAR AS description, markdown, length(markdown)::BIGINT AS content_size, false AS truncated, CASE WHEN readable THEN 'article' WHEN long_ THEN 'root' ELSE 'body' END AS content_source,
   NULL::VARCHAR AS error_code, NULL::INT AS status_code, NULL::VARCHAR AS message FROM done""")
 def page_markdown(spark, d):
-    out = pages.transform_pages(table(spark, d, "pages"), fetched_at="2026-01-02 00:00:00")
+    out = pages.transform_pages(spread(table(spark, d, "pages")), fetched_at="2026-01-02 00:00:00")
     return out.select(
         "page_id", "url", "final_url", "cache_key", "title", F.col("metadata.title").alias("meta_title"), F.col("metadata.description").alias("description"), "markdown", "content_size", "truncated", "content_source",
         F.col("error.code").alias("error_code"), F.col("error.status_code").alias("status_code"), F.col("error.message").alias("message"),
     )
 
 
+@query("SELECT stage, count(*) AS pages, true AS measured, false AS slow FROM pages, unnest(['parse', 'metadata', 'article', 'noise', 'render', 'cleanup', 'links']) AS s(stage) GROUP BY stage")
+def page_stage_runs(spark, d):
+    """The stages that the pages of a real run went through; measured: every partition's figures hold together."""
+    runs = metrics.stage_summary(pages.transform_pages(spread(table(spark, d, "pages")), timed=True), budget_ms=3_600_000)
+    sane = (F.col("max_ms") >= 0) & (F.col("total_ms") >= F.col("max_ms")) & (F.col("n_slow") <= F.col("pages"))
+    return runs.groupBy("stage").agg(F.sum("pages").alias("pages"), F.every(sane).alias("measured"), F.bool_or("slow").alias("slow"))
+
+
 @query()
 def page_nodes(spark, d):
-    return nodes.scores(nodes.html_nodes(table(spark, d, "pages"))).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "tag", "score")
+    return nodes.scores(nodes.html_nodes(spread(table(spark, d, "pages")))).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "tag", "score")
 
 
 # ---- code

@@ -10,7 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it has fewer partitions than that (one small file, say); larger inputs are left where they are, without a shuffle."""
+    """A table as it is read, over all cores where the scan gives fewer partitions than that (one small file of one row group, say).
+
+    For scans, whose partitions are known without a job; a stream stays as it is.
+    """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -14,6 +14,7 @@ import json
 import os
 import socket
 import ssl
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +22,7 @@ from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
-SCHEMA = "url string, status int, content_type string, content_encoding string, body binary, final_url string, error string, host string"
+SCHEMA = "url string, status int, content_type string, content_encoding string, body binary, final_url string, error string, host string, duration_ms double"
 # What every request sends, and which statuses lead on.
 HEADERS = {"User-Agent": "weftline/1", "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.5", "Accept-Encoding": "gzip, deflate"}
 REDIRECTS = (301, 302, 303, 307, 308)
@@ -103,8 +104,9 @@ def opener(found: list[str], dial: Callable = socket.create_connection) -> Calla
 
 
 def fetch(url: str, timeout: float = 15, limit: int = 10 * 1024 * 1024, hops: int = 5, addresses: Callable[[str], list[str]] = resolve, open_: Callable | None = None, dial: Callable = socket.create_connection) -> tuple:
-    """A row of SCHEMA: one GET through at most ``hops`` checked redirects; whatever goes wrong is a row with ``error``."""
-    at, host = url, host_of(url)
+    """A row of SCHEMA: one GET through at most ``hops`` checked redirects; whatever goes wrong is a row with ``error``. ``duration_ms`` counts all hops, with their checks."""
+    at, host, start = url, host_of(url), time.perf_counter()
+    spent = lambda: round((time.perf_counter() - start) * 1000, 3)
     try:
         for _ in range(hops + 1):
             found = check(at, addresses)
@@ -119,14 +121,14 @@ def fetch(url: str, timeout: float = 15, limit: int = 10 * 1024 * 1024, hops: in
                         raise Refused("Redirect response missing Location header")
                     at = urljoin(at, target)
                     continue
-                return (url, r.status, r.headers.get("Content-Type"), r.headers.get("Content-Encoding"), r.read(limit + 1), at, None, host)
+                return (url, r.status, r.headers.get("Content-Type"), r.headers.get("Content-Encoding"), r.read(limit + 1), at, None, host, spent())
         raise Refused("Too many redirects")
     except Refused as e:
-        return (url, None, None, None, None, at, str(e), host)
+        return (url, None, None, None, None, at, str(e), host, spent())
     except TimeoutError:
-        return (url, None, None, None, None, at, "Request timeout", host)
+        return (url, None, None, None, None, at, "Request timeout", host, spent())
     except Exception as e:
-        return (url, None, None, None, None, at, f"Network error: {type(e).__name__}: {e}"[:300], host)
+        return (url, None, None, None, None, at, f"Network error: {type(e).__name__}: {e}"[:300], host, spent())
 
 
 class Chunk(InputPartition):
@@ -260,7 +262,7 @@ def fetch_pages(urls, timeout: float = 15, limit: int = 10 * 1024 * 1024, hops:
     """The same for a table of addresses (url) of any size: fetched where its partitions are, nothing on the driver."""
     import pyarrow as pa
 
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string())
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.float64())
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(stream):
