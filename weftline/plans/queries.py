@@ -193,10 +193,9 @@ far AS (SELECT page_id, max(n) AS n FROM walk GROUP BY page_id)
 SELECT w.page_id, w.u AS final_url, w.n::INT AS n_hops, CASE WHEN far.n > {HOPS} THEN 'Too many redirects' END AS error FROM walk w JOIN far ON far.page_id = w.page_id AND w.n = least(far.n, {HOPS})""")
 def redirect_chains(spark, d):
     p = table(spark, d, "pages").select("page_id", F.expr(_NODE).alias("url"), (F.length("html") % 3 > 0).alias("moves"))
-    ids = p.select("page_id").distinct()
     follower = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("location"))
     hops = p.filter("moves").join(follower, "page_id").select(F.col("url").alias("from_url"), F.lit(302).alias("status"), "location")
-    return redirects.follow(p.drop("moves").join(ids, "page_id"), hops, HOPS).select("page_id", "final_url", "n_hops", "error")
+    return redirects.follow(p.drop("moves"), hops, HOPS).select("page_id", "final_url", "n_hops", "error")
 
 
 # ---- bytes and headers
@@ -444,6 +443,73 @@ def page_stage_runs(spark, d):
     return runs.groupBy("stage").agg(F.sum("pages").alias("pages"), F.every(sane).alias("measured"), F.bool_or("slow").alias("slow"))
 
 
+# ---- structures that ``pages`` does not hold: HTML made of other tables' rows, and the Markdown that SQL writes of the same rows
+
+
+def _rendered(spark: SparkSession, rows: DataFrame, key: str, html: str) -> DataFrame:
+    from weftline.plans.sql import register
+
+    register(spark)
+    return rows.select(key, F.expr(f"html_to_markdown({html}, '')").alias("markdown"))
+
+
+_NL = "chr(10)"
+_ORDER_HTML = """concat('<h2>Order ', o_orderkey, '</h2><table><caption>State of ', date_format(o_orderdate, 'yyyy-MM-dd'), '</caption><thead><tr><th>Customer</th><th>State</th><th>Priority</th></tr></thead><tbody>',
+  '<tr><td><a href="/customers/', o_custkey, '">Number ', o_custkey, '</a></td><td>', o_orderstatus, '|<code>', lower(o_orderstatus), '</code></td><td><b>', o_orderpriority, '</b></td></tr><tr><td>more', repeat(' ', int(o_custkey % 3)), '</td></tr></tbody></table>',
+  if(o_orderkey % 2 = 0, concat('<table><tr><td colspan="2">Key ', o_orderkey, '</td><td>of <i>', o_orderstatus, '</i></td></tr><tr><td>Customer ', o_custkey, '</td></tr></table>'), '<hr>'), '<p>End of ', o_orderkey, '.</p>')"""
+
+
+@query(f"""SELECT o_orderkey, '## Order ' || o_orderkey || {_NL} || {_NL} || 'State of ' || strftime(o_orderdate, '%Y-%m-%d') || {_NL} || {_NL} || '| Customer | State | Priority |' || {_NL} || '| --- | --- | --- |' || {_NL}
+  || '| [Number ' || o_custkey || '](/customers/' || o_custkey || ') | ' || o_orderstatus || '\\|`' || lower(o_orderstatus) || '` | **' || o_orderpriority || '** |' || {_NL} || '| more |  |  |' || {_NL} || {_NL}
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'Key ' || o_orderkey || ' of _' || o_orderstatus || '_' || {_NL} || 'Customer ' || o_custkey ELSE '---' END || {_NL} || {_NL} || 'End of ' || o_orderkey || '.' AS markdown FROM orders""")
+def rendered_orders(spark, d):
+    """Tables with a caption, links, code and bars in cells, short rows and cells over columns."""
+    return _rendered(spark, spread(table(spark, d, "orders")), "o_orderkey", _ORDER_HTML)
+
+
+_PART_HTML = """concat('<h3>Part ', p_partkey, '</h3><dl><dt>', p_name, '</dt><dd>', p_type, '</dd><dd>size ', p_size, '</dd></dl><ul><li>', p_name, '<ol start="', p_size, '"><li>', p_brand, '</li><li><del>', p_type, '</del></li></ol></li><li>last</li></ul>',
+  '<p>Press <kbd>', p_size, '</kbd> for <mark>', p_type, '</mark>, H<sub>', p_size, '</sub>O and x<sup>', p_partkey, '</sup></p>',
+  CASE p_partkey % 4 WHEN 0 THEN concat('<p><img src="/img/', p_partkey, '.png" alt="', p_name, '"></p>') WHEN 1 THEN concat('<img src="data:image/png;base64,AA" data-src="/lazy/part-', p_partkey, '.jpg">')
+    WHEN 2 THEN concat('<img srcset="/set/', p_partkey, '.webp 1x, /set/big.webp 2x" alt="set">') ELSE concat('<a href="/parts/', p_partkey, '"><img src="/thumb/', p_partkey, '.gif" alt="thumb"></a>') END)"""
+
+
+@query(f"""SELECT p_partkey, concat_ws({_NL} || {_NL}, '### Part ' || p_partkey, '**' || p_name || '**' || {_NL} || ': ' || p_type || {_NL} || ': size ' || p_size,
+  '- ' || p_name || {_NL} || '    ' || p_size || '. ' || p_brand || {_NL} || '    ' || (p_size + 1) || '. ~~' || p_type || '~~' || {_NL} || '- last',
+  'Press `' || p_size || '` for ==' || p_type || '==, H~' || p_size || '~O and x^' || p_partkey || '^',
+  CASE p_partkey % 4 WHEN 0 THEN '![' || p_name || '](/img/' || p_partkey || '.png)' WHEN 1 THEN '![part ' || p_partkey || '](/lazy/part-' || p_partkey || '.jpg)' WHEN 2 THEN '![set](/set/' || p_partkey || '.webp)'
+    ELSE '[![thumb](/thumb/' || p_partkey || '.gif)](/parts/' || p_partkey || ')' END) AS markdown FROM part""")
+def rendered_parts(spark, d):
+    """Definition lists, nested lists, keys and marks, images by their several sources."""
+    return _rendered(spark, spread(table(spark, d, "part")), "p_partkey", _PART_HTML)
+
+
+_SAFE = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_TURN_CLASS = ["'admonition note'", "'callout tip'", "'custom-block danger'", "'admonition'"]
+_TURN_MARK = ["'> [!NOTE]' || chr(10)", "'> [!TIP]' || chr(10)", "'> [!CAUTION]' || chr(10)", "''"]
+_FLAT = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([\\`*~])', '\\\1', 'g')"
+
+
+@query(f"""WITH t AS (SELECT *, {_FLAT} AS x FROM conversations)
+SELECT conv_id, turn, concat_ws({_NL} || {_NL}, {choose('turn', _TURN_MARK)} || '> ' || x, '> ' || role || {_NL} || '>' || {_NL} || '> turn ' || turn, 'More of ' || conv_id, x) AS markdown FROM t""")
+def rendered_turns(spark, d):
+    """Whole texts in admonitions, quotes of two paragraphs, details with a summary, sections."""
+    html = f"""concat('<div class="', {choose('turn', _TURN_CLASS)}, '"><p>', {_SAFE}, '</p></div><blockquote><p>', role, '</p><p>turn ', turn, '</p></blockquote><details><summary>More of ', conv_id, '</summary><section>', {_SAFE}, '</section></details>')"""
+    rows = spread(table(spark, d, "conversations")).withColumn("key", F.struct("conv_id", "turn"))
+    return _rendered(spark, rows, "key", html).select("key.*", "markdown")
+
+
+_TICKS = ["''", "'`'", "'```'", "'~~~'"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, regexp_replace({choose('doc_id', _TICKS)} || text, '^\\s+|\\s+$', '', 'g') AS x FROM documents),
+f AS (SELECT *, repeat('`', greatest(3, list_max(list_transform(regexp_extract_all(x, '`+'), lambda r: length(r))) + 1)::INT) AS fence FROM t)
+SELECT doc_id, CASE WHEN x IS NULL OR x = '' THEN x ELSE fence || lower(source) || {_NL} || x || {_NL} || fence END AS markdown FROM f""")
+def rendered_code(spark, d):
+    """Whole texts as code blocks: language by class, fences longer than any in the text, not a byte of the text changed."""
+    html = f"""concat('<pre><code class="hl language-', lower(source), '">', {choose('doc_id', _TICKS)}, {_SAFE}, '</code></pre>')"""
+    return _rendered(spark, spread(table(spark, d, "documents")), "doc_id", html)
+
+
 @query()
 def page_nodes(spark, d):
     return nodes.scores(nodes.html_nodes(spread(table(spark, d, "pages")))).select("page_id", "node_id", "parent_id", "pre", "post", "depth", "tag", "score")
