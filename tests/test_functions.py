@@ -94,12 +94,13 @@ def test_bad_pages_are_rows(spark):
     assert pages.transform_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_truncation():
-    assert markdown.truncate("short", 100) == "short" and markdown.truncate("x" * 50, 0) == "x" * 50
-    cut = markdown.truncate("```\n" + "a\n" * 200, 100)
+def test_truncation(spark):
+    truncate = lambda text, limit: spark.createDataFrame([(text,)], "t string").select(markdown.truncate_markdown("t", limit)).first()[0]
+    assert truncate("short", 100) == "short" and truncate("x" * 50, 0) == "x" * 50
+    cut = truncate("```\n" + "a\n" * 200, 100)
     assert cut.endswith("```\n" + MARKER) and len(cut) <= 100
-    assert markdown.truncate("~~~\n" + "a\n" * 200, 100).endswith("~~~\n" + MARKER)
-    assert markdown.truncate("a" * 60 + " [link](https://e.com/" + "b" * 80 + ")", 100) == "a" * 60 + " " + MARKER
+    assert truncate("~~~\n" + "a\n" * 200, 100).endswith("~~~\n" + MARKER)
+    assert truncate("a" * 60 + " [link](https://e.com/" + "b" * 80 + ")", 100) == "a" * 60 + " " + MARKER
 
 
 def test_encodings(spark):
@@ -313,3 +314,54 @@ def test_completions_in_a_languages_order(spark):
     assert got("%", "UNICODE_CI") == [] and complete(frame.limit(0), "w", "a", collation="UNICODE_CI").count() == 0
     with pytest.raises(ValueError, match="collation"):
         complete(frame, "w", "a", collation="x'y")
+
+
+def _cut(text, limit, marker=MARKER):
+    """The rules of truncation, step by step."""
+
+    def open_fence(x):
+        held = ""
+        for line in x.split("\n"):
+            bare = line.lstrip(" \t")
+            n = len(bare) - len(bare.lstrip(bare[:1])) if bare[:1] in ("`", "~") else 0
+            if n >= 3 and not held:
+                held = bare[:n]
+            elif n >= 3 and bare[0] == held[0] and n >= len(held):
+                held = ""
+        return held
+
+    if limit <= 0 or len(text) <= limit:
+        return text
+    room = max(0, limit - len(marker))
+    if not room:
+        return marker[:limit]
+    cut = text[:room]
+    fence = open_fence(cut)
+    if fence:
+        cut = text[: max(0, room - len(fence) - 2)]
+        return cut + (f"\n{fence}\n" if open_fence(cut) else "") + marker
+    body, end = (cut[:-1], "\n") if cut.endswith("\n") else (cut, "")
+    for i, c in enumerate(body):
+        if c != "[":
+            continue
+        label, bracket, rest = body[i + 1 :].partition("]")
+        target = not rest or rest[0] == "(" and ")" not in rest and "\n" not in rest
+        if "\n" not in label and (not bracket or target):
+            return body[: i - (i > 0 and body[i - 1] == "!")] + marker
+    return body + end + marker
+
+
+def test_truncation_by_brute_force(spark):
+    import random
+
+    from weftline.plans.sql import register
+
+    rng = random.Random(7)
+    parts = ["```", "````", "~~~", "`", "\n", "\n", " ", "[", "]", "(", ")", "!", "![a](b)", "word ", "é", "\r\n", "\u2028", "[x](y"]
+    rows = [("".join(rng.choices(parts, k=rng.randint(0, 40))), rng.randint(-2, 70)) for _ in range(3000)] + [(None, 5), ("x" * 30, None)]
+    register(spark)
+    frame = spark.createDataFrame(rows, "t string, n int")
+    got = frame.select("t", "n", markdown.truncate_markdown("t", "n").alias("a"), F.expr("truncate_markdown(t, n)").alias("b")).collect()
+    for r in got:
+        want = r["t"] if r["t"] is None or r["n"] is None else _cut(r["t"], r["n"])
+        assert r["a"] == r["b"] == want, r

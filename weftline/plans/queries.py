@@ -453,15 +453,15 @@ def _rendered(spark: SparkSession, rows: DataFrame, key: str, html: str) -> Data
     return rows.select(key, F.expr(f"html_to_markdown({html}, '')").alias("markdown"))
 
 
-_NL = "chr(10)"
+_LF = "chr(10)"
 _ORDER_HTML = """concat('<h2>Order ', o_orderkey, '</h2><table><caption>State of ', date_format(o_orderdate, 'yyyy-MM-dd'), '</caption><thead><tr><th>Customer</th><th>State</th><th>Priority</th></tr></thead><tbody>',
   '<tr><td><a href="/customers/', o_custkey, '">Number ', o_custkey, '</a></td><td>', o_orderstatus, '|<code>', lower(o_orderstatus), '</code></td><td><b>', o_orderpriority, '</b></td></tr><tr><td>more', repeat(' ', int(o_custkey % 3)), '</td></tr></tbody></table>',
   if(o_orderkey % 2 = 0, concat('<table><tr><td colspan="2">Key ', o_orderkey, '</td><td>of <i>', o_orderstatus, '</i></td></tr><tr><td>Customer ', o_custkey, '</td></tr></table>'), '<hr>'), '<p>End of ', o_orderkey, '.</p>')"""
 
 
-@query(f"""SELECT o_orderkey, '## Order ' || o_orderkey || {_NL} || {_NL} || 'State of ' || strftime(o_orderdate, '%Y-%m-%d') || {_NL} || {_NL} || '| Customer | State | Priority |' || {_NL} || '| --- | --- | --- |' || {_NL}
-  || '| [Number ' || o_custkey || '](/customers/' || o_custkey || ') | ' || o_orderstatus || '\\|`' || lower(o_orderstatus) || '` | **' || o_orderpriority || '** |' || {_NL} || '| more |  |  |' || {_NL} || {_NL}
-  || CASE WHEN o_orderkey % 2 = 0 THEN 'Key ' || o_orderkey || ' of _' || o_orderstatus || '_' || {_NL} || 'Customer ' || o_custkey ELSE '---' END || {_NL} || {_NL} || 'End of ' || o_orderkey || '.' AS markdown FROM orders""")
+@query(f"""SELECT o_orderkey, '## Order ' || o_orderkey || {_LF} || {_LF} || 'State of ' || strftime(o_orderdate, '%Y-%m-%d') || {_LF} || {_LF} || '| Customer | State | Priority |' || {_LF} || '| --- | --- | --- |' || {_LF}
+  || '| [Number ' || o_custkey || '](/customers/' || o_custkey || ') | ' || o_orderstatus || '\\|`' || lower(o_orderstatus) || '` | **' || o_orderpriority || '** |' || {_LF} || '| more |  |  |' || {_LF} || {_LF}
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'Key ' || o_orderkey || ' of _' || o_orderstatus || '_' || {_LF} || 'Customer ' || o_custkey ELSE '---' END || {_LF} || {_LF} || 'End of ' || o_orderkey || '.' AS markdown FROM orders""")
 def rendered_orders(spark, d):
     """Tables with a caption, links, code and bars in cells, short rows and cells over columns."""
     return _rendered(spark, spread(table(spark, d, "orders")), "o_orderkey", _ORDER_HTML)
@@ -473,8 +473,8 @@ _PART_HTML = """concat('<h3>Part ', p_partkey, '</h3><dl><dt>', p_name, '</dt><d
     WHEN 2 THEN concat('<img srcset="/set/', p_partkey, '.webp 1x, /set/big.webp 2x" alt="set">') ELSE concat('<a href="/parts/', p_partkey, '"><img src="/thumb/', p_partkey, '.gif" alt="thumb"></a>') END)"""
 
 
-@query(f"""SELECT p_partkey, concat_ws({_NL} || {_NL}, '### Part ' || p_partkey, '**' || p_name || '**' || {_NL} || ': ' || p_type || {_NL} || ': size ' || p_size,
-  '- ' || p_name || {_NL} || '    ' || p_size || '. ' || p_brand || {_NL} || '    ' || (p_size + 1) || '. ~~' || p_type || '~~' || {_NL} || '- last',
+@query(f"""SELECT p_partkey, concat_ws({_LF} || {_LF}, '### Part ' || p_partkey, '**' || p_name || '**' || {_LF} || ': ' || p_type || {_LF} || ': size ' || p_size,
+  '- ' || p_name || {_LF} || '    ' || p_size || '. ' || p_brand || {_LF} || '    ' || (p_size + 1) || '. ~~' || p_type || '~~' || {_LF} || '- last',
   'Press `' || p_size || '` for ==' || p_type || '==, H~' || p_size || '~O and x^' || p_partkey || '^',
   CASE p_partkey % 4 WHEN 0 THEN '![' || p_name || '](/img/' || p_partkey || '.png)' WHEN 1 THEN '![part ' || p_partkey || '](/lazy/part-' || p_partkey || '.jpg)' WHEN 2 THEN '![set](/set/' || p_partkey || '.webp)'
     ELSE '[![thumb](/thumb/' || p_partkey || '.gif)](/parts/' || p_partkey || ')' END) AS markdown FROM part""")
@@ -490,7 +490,7 @@ _FLAT = r"regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([\\`*~])
 
 
 @query(f"""WITH t AS (SELECT *, {_FLAT} AS x FROM conversations)
-SELECT conv_id, turn, concat_ws({_NL} || {_NL}, {choose('turn', _TURN_MARK)} || '> ' || x, '> ' || role || {_NL} || '>' || {_NL} || '> turn ' || turn, 'More of ' || conv_id, x) AS markdown FROM t""")
+SELECT conv_id, turn, concat_ws({_LF} || {_LF}, {choose('turn', _TURN_MARK)} || '> ' || x, '> ' || role || {_LF} || '>' || {_LF} || '> turn ' || turn, 'More of ' || conv_id, x) AS markdown FROM t""")
 def rendered_turns(spark, d):
     """Whole texts in admonitions, quotes of two paragraphs, details with a summary, sections."""
     html = f"""concat('<div class="', {choose('turn', _TURN_CLASS)}, '"><p>', {_SAFE}, '</p></div><blockquote><p>', role, '</p><p>turn ', turn, '</p></blockquote><details><summary>More of ', conv_id, '</summary><section>', {_SAFE}, '</section></details>')"""
@@ -503,7 +503,7 @@ _TICKS = ["''", "'`'", "'```'", "'~~~'"]
 
 @query(f"""WITH t AS (SELECT doc_id, source, regexp_replace({choose('doc_id', _TICKS)} || text, '^\\s+|\\s+$', '', 'g') AS x FROM documents),
 f AS (SELECT *, repeat('`', greatest(3, list_max(list_transform(regexp_extract_all(x, '`+'), lambda r: length(r))) + 1)::INT) AS fence FROM t)
-SELECT doc_id, CASE WHEN x IS NULL OR x = '' THEN x ELSE fence || lower(source) || {_NL} || x || {_NL} || fence END AS markdown FROM f""")
+SELECT doc_id, CASE WHEN x IS NULL OR x = '' THEN x ELSE fence || lower(source) || {_LF} || x || {_LF} || fence END AS markdown FROM f""")
 def rendered_code(spark, d):
     """Whole texts as code blocks: language by class, fences longer than any in the text, not a byte of the text changed."""
     html = f"""concat('<pre><code class="hl language-', lower(source), '">', {choose('doc_id', _TICKS)}, {_SAFE}, '</code></pre>')"""
@@ -621,7 +621,29 @@ SELECT doc_id, length(x) > 200 AS truncated, CASE WHEN length(x) <= 200 THEN x W
   WHEN doc_id % 3 = 2 AND length(x) > 210 THEN substr(x, 1, 170) || '...[truncated]' ELSE substr(x, 1, 186) || '...[truncated]' END AS cut FROM t""")
 def inline_truncation(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.expr(_FENCED).alias("x"))
-    return t.select("doc_id", markdown.truncate_markdown(200)(F.col("x")).alias("cut"), (F.length("x") > 200).alias("truncated"))
+    return t.select("doc_id", markdown.truncate_markdown("x", 200).alias("cut"), (F.length("x") > 200).alias("truncated"))
+
+
+# Whole texts behind fences of both kinds, closed by a longer one or not by another kind, and with links and images anywhere.
+_CUT_FORMS = [f"'~~~~{_NL}' || text", f"'```{_NL}a{_NL}````{_NL}' || text", f"'  ```{_NL}~~~{_NL}' || text", "replace(text, ' ', ' [a](b')", "replace(text, ', ', ' ![')", f"replace(text, '. ', '{_NL}```{_NL}')", "text"]
+_CUT_FORM, _CUT_LIMIT = choose("doc_id", _CUT_FORMS), "CAST(doc_id * 7 % 311 - 2 AS INT)"
+
+
+def _duck_fence(x: str) -> str:
+    return f"list_reduce(regexp_extract_all({x}, '(?m)^[ \\t]*(`{{3,}}|~{{3,}})', 1), lambda held, mark: CASE WHEN held = '' THEN mark WHEN held[1] = mark[1] AND length(mark) >= length(held) THEN '' ELSE held END, '')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_CUT_FORM} AS x, {_CUT_LIMIT} AS n FROM documents),
+r AS (SELECT *, greatest(0, n - 14) AS room FROM t),
+f AS (SELECT *, substr(x, 1, room) AS cut, {_duck_fence("substr(x, 1, room)")} AS fence FROM r),
+g AS (SELECT *, substr(x, 1, greatest(0, room - 2 - length(fence))) AS less FROM f)
+SELECT doc_id, CASE WHEN n <= 0 OR length(x) <= n THEN x WHEN room = 0 THEN substr('...[truncated]', 1, n)
+  WHEN fence <> '' THEN less || CASE WHEN {_duck_fence("less")} <> '' THEN chr(10) || fence || chr(10) ELSE '' END || '...[truncated]'
+  ELSE regexp_replace(cut, '!?\\[[^\\]\\n]*(\\](\\([^)\\n]*)?)?\\n?\\z', '') || '...[truncated]' END AS cut FROM g""")
+def text_truncation(spark, d):
+    """Cuts at a limit of each document's own."""
+    t = table(spark, d, "documents").select("doc_id", F.expr(_CUT_FORM).alias("x"), F.expr(_CUT_LIMIT).alias("n"))
+    return t.select("doc_id", markdown.truncate_markdown("x", "n").alias("cut"))
 
 
 @query("SELECT page_id, CASE WHEN length(html) % 150 = 0 THEN 100 ELSE least(length(html) % 150, 100) END::INT AS effective FROM pages")
@@ -974,6 +996,21 @@ def task_cancel(spark, d):
     return tasks.cancel(tasks.states(_task_events(spark, d)), _wanted(spark, d)).select("event_id", "status", "error")
 
 
+_TYPE_OWNERS = "SELECT e.owner_key, CASE WHEN t.n >= 300 THEN 'Task capacity reached (300 total tasks)' WHEN e.n >= 5 THEN 'Task capacity reached for owner (5 tasks)' END AS error"
+
+
+@query(f"""WITH e AS (SELECT user_id::VARCHAR AS owner_key, count(*) AS n FROM events GROUP BY ALL),
+every AS (SELECT count(*) AS n FROM events)
+{_TYPE_OWNERS}, 'all' AS held FROM e, every t UNION ALL {_TYPE_OWNERS}, 'a sixth' AS held FROM (SELECT user_id::VARCHAR AS owner_key, count(*) FILTER (event_id % 6 = 0) AS n FROM events GROUP BY ALL) e, (SELECT count(*) FILTER (event_id % 6 = 0) AS n FROM events) t""")
+def task_capacity_totals(spark, d):
+    """Owners' refusals under a total limit, with all events as open tasks and with a sixth of them."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("owner_key"))
+    owners = e.select("owner_key").distinct()
+    held = {"all": e, "a sixth": e.filter("event_id % 6 = 0")}
+    found = [tasks.capacity_errors(rows, owners, total=300, per_owner=5).withColumn("held", F.lit(name)) for name, rows in held.items()]
+    return found[0].unionByName(found[1])
+
+
 @query("""SELECT user_id::VARCHAR AS owner_key, CASE WHEN count(*) >= 50 THEN 'Task capacity reached for owner (50 tasks)' END AS error FROM events GROUP BY user_id
 UNION ALL SELECT 'nobody', NULL""")
 def task_capacity(spark, d):

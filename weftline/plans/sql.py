@@ -49,10 +49,6 @@ def register(spark: SparkSession) -> None:
     def to_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
         return pd.Series([None if h is None else html_to_markdown(h, u or "") for h, u in zip(html, url)])
 
-    @F.pandas_udf(text)
-    def cut(value: pd.Series, limit: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else markdown.truncate(v, int(n)) for v, n in zip(value, limit)])
-
     @F.pandas_udf(text)
     def content(html: pd.Series) -> pd.Series:
         """The article as Markdown, null where the page has none."""
@@ -90,12 +86,13 @@ def register(spark: SparkSession) -> None:
 
     for name, f in {
         "to_raw_url": raw, "is_blocked_ip": urls.blocked_ip_udf, "normalize_host": urls.normalize_host, "detect_encoding": charset, "decode_html": decode_html, "extract_metadata": metadata.page_metadata, "extract_content": content,
-        "strip_noise": stripped, "html_to_markdown": to_markdown, "cleanup_markdown": markdown.cleanup_markdown, "truncate_markdown": cut, "safe_filename": filename,
+        "strip_noise": stripped, "html_to_markdown": to_markdown, "cleanup_markdown": markdown.cleanup_markdown, "safe_filename": filename,
     }.items():
         spark.udf.register(name, f)
     for name, signature, body in (
         ("cache_key", "ns STRING, url STRING", "CASE WHEN ns <> '' AND url <> '' THEN concat(ns, ':', substring(sha2(url, 256), 1, 32)) END"),
         ("normalize_url", "url STRING", normalize_url_sql("url")),
+        ("truncate_markdown", "value STRING, max_chars INT", markdown.truncate_sql("value", "max_chars")),
         ("detect_code_language", "code STRING", code_language_sql("code")),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({signature}) RETURNS STRING RETURN {body}")
