@@ -67,3 +67,16 @@ def test_canonical_json_bounds(spark):
     with pytest.raises(ValueError):
         twice = spark.sql("SELECT named_struct('a', 1, 'a', 2) AS v")
         canonical_json(twice, "v")
+
+
+def test_a_plan_does_not_show_the_key(spark):
+    import hashlib
+    import hmac
+
+    texts = ["", "x", "é" * 100, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for key in (b"", b"a secret of its own", b"k" * 64, b"k" * 65):
+        out = frame.select("t", cache.hmac_sha256(F.col("t"), key).alias("mac"))
+        assert {r["t"]: r["mac"] for r in out.collect()} == {t: None if t is None else hmac.new(key, t.encode(), "sha256").hexdigest() for t in texts}
+        plan = out._jdf.queryExecution().toString()
+        assert not key or key.decode() not in plan and key.hex().upper() not in plan.upper()

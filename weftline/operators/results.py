@@ -31,11 +31,11 @@ def failure(message: Column) -> Column:
     return F.when(message.isNotNull(), F.struct(code.otherwise(F.lit("FETCH_ERROR")).alias("code"), number.otherwise(F.lit(502)).alias("status_code"), message.alias("message")))
 
 
-def structured(results: DataFrame) -> DataFrame:
-    """Result rows as one JSON column, without absent fields; empty strings count as absent."""
+def structured(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Result rows as one JSON column, without absent fields; empty strings count as absent. The columns ``keep`` stay beside it."""
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     body = F.struct("url", F.col("final_url").alias("resolvedUrl"), F.col("cache_key").alias("cacheKey"), some("title").alias("title"), F.col("markdown"), F.col("content_size").alias("contentSize"), F.when(F.col("truncated"), True).alias("truncated"))
-    return results.select("page_id", F.to_json(body).alias("structured"))
+    return results.select("page_id", F.to_json(body).alias("structured"), *keep)
 
 
 def content_blocks(text: Column, uri: Column, title: Column, embed: bool) -> Column:

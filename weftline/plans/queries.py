@@ -603,6 +603,36 @@ def raw_files(spark, d):
     return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", markdown.raw_title(F.col("t")).alias("title"), markdown.add_source(F.col("t"), F.lit("U")).alias("sourced"))
 
 
+_MD_URL = "'https://docs.example.org/' || lang || '/' || doc_id || '.md'"
+_RAW_SOURCED = [r[2].replace("Source: U", "Source: ' || u || '").replace('source: "U"', "source: \"' || u || '\"") for r in RAW_FILES]
+_RAW_RESULTS = worded(f"""SELECT doc_id AS page_id, {_MD_URL} AS u, {choose('doc_id', [r[1] for r in RAW_FILES])} AS title, {choose('doc_id', [r[0] for r in RAW_FILES])} AS html, {choose('doc_id', _RAW_SOURCED)} AS sourced FROM (SELECT *, {_MD_URL} AS u FROM documents)""", DUCK_WORD)
+_RAW_RESULTS = f"""SELECT page_id, u, CASE WHEN coalesce(html, '') = '' THEN 'VALIDATION_ERROR' WHEN contains(html, chr(0)) OR length(substr(html, 1, 2000)) - length(replace(substr(html, 1, 2000), '�', '')) > length(substr(html, 1, 2000)) * 0.1::DOUBLE THEN 'binary_content_detected' END AS error_code, title, sourced FROM ({_RAW_RESULTS})"""
+
+
+def _raw_results(spark: SparkSession, d: str) -> DataFrame:
+    files = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("page_id"), F.expr(_MD_URL).alias("url"), F.expr(worded(choose("doc_id", [r[0] for r in RAW_FILES]), SPARK_WORD)).alias("html"))
+    return pages.transform_pages(files)
+
+
+@query(f"""WITH r AS ({_RAW_RESULTS}) SELECT page_id, u AS final_url, error_code, CASE WHEN error_code IS NULL THEN title END AS title, CASE WHEN error_code IS NULL THEN sourced END AS markdown,
+  CASE WHEN error_code IS NULL THEN length(sourced) END AS content_size, CASE WHEN error_code IS NULL THEN 'raw' END AS content_source FROM r""")
+def raw_documents(spark, d):
+    """Whole texts as Markdown files through the page operator: kept as they are, with front matter, title and address."""
+    return _raw_results(spark, d).select("page_id", "final_url", F.col("error.code").alias("error_code"), "title", "markdown", "content_size", "content_source")
+
+
+@query(f"""WITH r AS ({_RAW_RESULTS} WHERE coalesce(html, '') <> ''), k AS (SELECT *, 'markdown:' || substr(sha256(u), 1, 32) AS cache_key FROM r WHERE error_code IS NULL)
+SELECT page_id, json_merge_patch(json_object('url', u, 'resolvedUrl', u, 'cacheKey', cache_key), CASE WHEN title <> '' THEN json_object('title', title) ELSE '{{}}' END, json_object('markdown', sourced, 'contentSize', length(sourced)))::VARCHAR AS structured,
+  'text,resource,resource_link' AS blocks, 'internal://cache/markdown/' || split_part(cache_key, ':', 2) AS link, length(sourced) AS embedded FROM k""")
+def structured_documents(spark, d):
+    """Results as structured content, with the blocks of an answer: its JSON, the file embedded, a link to the stored one."""
+    done = results.structured(_raw_results(spark, d).filter("error IS NULL"), ("cache_key", "markdown", "title"))
+    uri = cache.resource_uri(cache.key_namespace(F.col("cache_key")), cache.key_hash(F.col("cache_key")))
+    answer = done.select("page_id", "structured", results.content_blocks(F.col("markdown"), uri, F.col("title"), True).alias("b"))
+    types, last = F.transform("b", lambda x: x["type"]), F.element_at("b", -1)
+    return answer.select("page_id", "structured", F.array_join(types, ",").alias("blocks"), last["uri"].alias("link"), F.length(F.element_at("b", 2)["text"]).cast("long").alias("embedded"))
+
+
 WRAPPED = [(f"'# ' || lang || '{_NL * 2}' || text", "true"), (f"'- ' || lang || '{_NL}' || text", "true"), ("text", None), ("'<!doctype html>' || text", "false"), (f"'```{_NL}x{_NL}```{_NL}' || text", "true"), ("'<div><span><body><head><meta><link>' || text", "false")]
 _PLAIN = "regexp_matches(text, '(?m)^#{1,6}\\s') OR regexp_matches(text, '(?m)^[-*+]\\s') OR contains(text, '```')"
 
