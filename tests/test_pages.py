@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from weftline.functions import urls
 from weftline.functions.canonical import canonical_json
 from weftline.operators import cache, pages, results
 
@@ -80,3 +81,32 @@ def test_a_plan_does_not_show_the_key(spark):
         assert {r["t"]: r["mac"] for r in out.collect()} == {t: None if t is None else hmac.new(key, t.encode(), "sha256").hexdigest() for t in texts}
         plan = out._jdf.queryExecution().toString()
         assert not key or key.decode() not in plan and key.hex().upper() not in plan.upper()
+
+
+def test_the_footer_is_the_articles_or_the_heads(spark):
+    head = "<html><head><title>Head</title><meta name=author content='Of Head'><meta name=description content='About it'></head><body>"
+    text = "<p>Some words, and more words follow them here, line by line.</p>" * 12
+    rows = [
+        (1, "https://example.org/1", f"{head}<article><h1>T</h1><p class=byline>By Line</p>{text}</article></body></html>"),
+        (2, "https://example.org/2", f"{head}<article><h1>T</h1>{text}</article></body></html>"),
+        (3, "https://example.org/3", f"{head}<p>short</p></body></html>"),
+    ]
+    out = pages.transform_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), fetched_at="2026-01-02 00:00:00")
+    got = {r["page_id"]: (r["content_source"], r["markdown"].rsplit("---\n\n", 1)[1]) for r in out.collect()}
+    link = lambda i: f"[_Original Source_](https://example.org/{i}) | _01/02/2026_"
+    assert got == {1: ("article", f" _Head_ | _By Line_ | {link(1)}"), 2: ("article", f" _Head_ | {link(2)}"), 3: ("body", f" _Head_ | _Of Head_ | {link(3)}\n <sub>About it</sub>")}
+
+
+def test_split_params(spark):
+    want = {
+        "https://e.com/a/b?q=1#f": ("https://e.com/a/b", "#f"), "HTTP://E.com:80": ("http://e.com/", ""), "https://u:p@e.com:8443/x#": ("https://e.com:8443/x", ""), "https://e.com/#a?b": ("https://e.com/", "#a?b"),
+        "no url?x#y": ("no url", "#y"), "a#b?c": ("a", "#b?c"), "": ("", ""), "x#": ("x", "#"),
+    }
+    frame = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r["u"]: tuple(r["s"]) for r in frame.select("u", urls.split_params(F.col("u")).alias("s")).collect()} == want
+
+
+def test_a_file_name_without_url_title_and_hash_has_the_time(spark):
+    frame = spark.createDataFrame([(None, None, None), ("ftp://e.com/a", "", None), ("https://e.com/", "Title", None)], "u string, t string, h string")
+    name = cache.safe_filename(F.col("u"), F.col("t"), F.col("h"), now=F.lit("1970-01-02 00:00:00").cast("timestamp"))
+    assert [r[0] for r in frame.select(name).collect()] == ["download-86400000.md"] * 2 + ["title.md"]

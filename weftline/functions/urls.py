@@ -102,6 +102,16 @@ def redact_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.\-]*://)[^/@]*@", "$1")
 
 
+def split_params(url: Column) -> Column:
+    """struct(base, hash): origin and path, and the fragment with its sign (empty if there is nothing behind it); of a text that is no http URL what stands before the first ``?`` or ``#``, and all from the first ``#``."""
+    u = js_trim(url)
+    part = lambda i: _part(u, i)
+    form = normalize_url(u, part)
+    web = F.struct(F.regexp_extract(form, r"^([^?#]*)", 1).alias("base"), F.when(part(7) == "#", F.lit("")).otherwise(part(7)).alias("hash"))
+    text = F.struct(F.regexp_extract(url, r"^([^?#]*)", 1).alias("base"), F.regexp_extract(url, r"(?s)(#.*)$", 1).alias("hash"))
+    return F.when(F.lower(part(1)).isin("http", "https") & form.isNotNull(), web).otherwise(text)
+
+
 # ---- addresses
 
 

@@ -116,12 +116,12 @@ def safe_part(text: Column) -> Column:
     return F.nullif(F.regexp_replace(x, "^-|-$", ""), F.lit(""))
 
 
-def safe_filename(url: Column, title: Column, hash_: Column, extension: str = ".md") -> Column:
-    """A file name from the URL's last segment without a page extension, else the title, else the hash; at most 200 characters with the extension."""
+def safe_filename(url: Column, title: Column, hash_: Column, extension: str = ".md", now: Column | None = None) -> Column:
+    """A file name from the URL's last segment without a page extension, else the title, else the hash, else the time (``now``, by default the query's); at most 200 characters with the extension."""
     path = F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^?#]*)", 1)
     base = F.regexp_extract(path, r"([^/]*)/*$", 1)
     base = safe_part(F.regexp_replace(base, PAGE_EXTENSIONS, ""))
-    name = F.coalesce(F.when(base != "index", base), safe_part(title), F.substring(hash_, 1, 16))
+    name = F.coalesce(F.when(base != "index", base), safe_part(title), F.substring(hash_, 1, 16), F.concat(F.lit("download-"), F.unix_millis(F.current_timestamp() if now is None else now)))
     return F.concat(F.substring(name, 1, 200 - len(extension)), F.lit(extension))
 
 

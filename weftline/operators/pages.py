@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.config import DEFAULT, MARKER, ExtractConfig
 from weftline.functions import encoding, markdown, noise, urls
-from weftline.functions.article import content_root, extract_article, use_article
+from weftline.functions.article import Article, content_root, extract_article, use_article
 from weftline.functions.dom import Node, parse
 from weftline.functions.metadata import FIELDS, early_metadata, extract_metadata, merge_metadata
 from weftline.functions.render import to_markdown
 
 METADATA = "struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">"
 _ARROW_METADATA = pa.struct([(f, pa.string()) for f in FIELDS])
+FOOTER = ("title", "author", "description")
+_ARROW_FOOTER = pa.struct([(f, pa.string()) for f in FOOTER])
 
 
 #: The stages of a page that takes a tree, in order.
@@ -62,6 +64,13 @@ def _finish(node: Node, url: str, config: ExtractConfig, laps: Laps) -> str:
     return text
 
 
+def footer_fields(found: dict, article: Article | None) -> dict:
+    """What the footer says of a page: an article's own title and byline, else the title, author and description of its head."""
+    if article is not None:
+        return {"title": article.title, "author": article.byline, "description": None}
+    return {k: found[k] for k in FOOTER}
+
+
 def transform_page(html: str, url: str, truncated: bool = False, config: ExtractConfig = DEFAULT) -> dict:
     """markdown, title, metadata, content_source (article, root, body) and the stages' durations of one page.
 
@@ -94,7 +103,7 @@ def transform_page(html: str, url: str, truncated: bool = False, config: Extract
         text = f"# {icon}{title}\n\n{text}"
     if truncated:
         text = text if text.endswith(MARKER) else f"{text}\n\n{MARKER}"
-    return {"markdown": text, "title": title, "metadata": found, "content_source": source, "stages": laps.laps}
+    return {"markdown": text, "title": title, "metadata": found, "content_source": source, "footer": footer_fields(found, article if source == "article" else None), "stages": laps.laps}
 
 
 #: The columns of a result row beside the page's own.
@@ -150,24 +159,24 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
                 out = []
                 for h, u, cut in zip(part.column("_tree").to_pylist(), part.column("_target").to_pylist(), part.column("truncated").to_pylist()):
                     if h is None:
-                        out.append((None, None, None, None, None, []))
+                        out.append((None, None, None, None, None, None, []))
                         continue
                     try:
                         r = transform_page(h, u or "", bool(cut), config)
-                        out.append((r["markdown"], r["title"], r["metadata"], r["content_source"], None, r["stages"]))
+                        out.append((r["markdown"], r["title"], r["metadata"], r["content_source"], None, r["footer"], r["stages"]))
                     except Exception as e:  # a page's failure is a row
-                        out.append((None, None, None, None, f"markdown_convert_failed: {type(e).__name__}", []))
-                kinds = (pa.string(), pa.string(), _ARROW_METADATA, pa.string(), pa.string())
+                        out.append((None, None, None, None, f"markdown_convert_failed: {type(e).__name__}", None, []))
+                kinds = (pa.string(), pa.string(), _ARROW_METADATA, pa.string(), pa.string(), _ARROW_FOOTER)
                 kinds += (_ARROW_LAPS,) if timed else ()
                 new = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-                added = ["_md", "_title", "metadata", "_source", "_failed"]
+                added = ["_md", "_title", "metadata", "_source", "_failed", "_foot"]
                 if timed:
                     new.append(pa.array([TaskContext.get().partitionId()] * len(out), pa.int32()))
                     added += TIMED
                 keep = [n for n in names if n != "_tree"]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], *new], names=[*keep, *added])
 
-    schema = f"page_id long, url string, html string, _rest boolean, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string" + (f", stages {LAPS}, partition int" if timed else "")
+    schema = f"page_id long, url string, html string, _rest boolean, _problem string, _target string, truncated boolean, _raw boolean, _md string, _title string, metadata {METADATA}, _source string, _failed string, _foot struct<{','.join(f + ':string' for f in FOOTER)}>" + (f", stages {LAPS}, partition int" if timed else "")
     fields = [T.StructField("_rest", rows.schema["_rest"].dataType) if f.name == "_rest" else f for f in T.StructType.fromDDL(schema)]
     done = rows.mapInArrow(run, T.StructType(fields))
     problem = F.coalesce("_problem", "_failed")
@@ -175,7 +184,7 @@ def transform_pages(pages: DataFrame, config: ExtractConfig = DEFAULT, fetched_a
     body = F.when(F.col("_raw"), raw).otherwise(F.col("_md"))
     title = F.when(F.col("_raw"), markdown.raw_title(F.col("html"))).otherwise(F.col("_title"))
     when = F.lit(fetched_at).cast("timestamp")
-    foot = markdown.footer(F.col("metadata.title"), F.col("metadata.author"), F.col("_target"), when, F.col("metadata.description"))
+    foot = markdown.footer(F.col("_foot.title"), F.col("_foot.author"), F.col("_target"), when, F.col("_foot.description"))
     full = F.when(F.col("_raw") | F.lit(not config.include_metadata), body).otherwise(markdown.with_footer(body, foot))
     return done.select(
         "page_id",

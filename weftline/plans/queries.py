@@ -75,6 +75,13 @@ def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", urls.redact_url(u).alias("redacted"), urls.hostname(u).alias("host"), F.regexp_extract(u, r"^([^?#]*)", 1).alias("bare"))
 
 
+@query("""SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_replace(regexp_extract(url, '(#.*)$', 1), '^#$', '') AS hash, regexp_extract(plain, '^([^?#]*)', 1) AS plain_base, regexp_extract(plain, '(#.*)$', 1) AS plain_hash
+FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS plain FROM pages)""")
+def url_splits(spark, d):
+    web, plain = urls.split_params(F.col("url")), urls.split_params(F.regexp_replace("url", "^[a-z]+://", ""))
+    return table(spark, d, "pages").select("page_id", web["base"].alias("base"), web["hash"].alias("hash"), plain["base"].alias("plain_base"), plain["hash"].alias("plain_hash"))
+
+
 _NETS = ", ".join(f"({low}::BIGINT, {high}::BIGINT)" for _, low, high in urls.networks_v4())
 
 
