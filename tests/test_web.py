@@ -84,7 +84,7 @@ def test_a_host_filter_prunes_partitions(spark, server):
     urls = [f"http://{h}.example/{i}" for h in "abc" for i in range(5)]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        pages = spark.read.format("stub_pages").option("port", port).option("urls", "\n".join(urls)).option("urlsPerPartition", "2").load()
+        pages = spark.read.format("stub_pages").option("port", port).option("urls", "\n".join(urls)).option("urlsPerPartition", "2").option("pushFilters", "true").load()
         one = pages.filter("host = 'b.example'")
         got = {r["url"]: r["part"] for r in one.select("url", F.spark_partition_id().alias("part")).collect()}
         assert sorted(got) == sorted(u for u in urls if "b.ex" in u) and len(set(got.values())) == 3

@@ -145,13 +145,21 @@ def by_host(urls: Iterable[str], most: int) -> list[Chunk]:
 
 
 class WebReader(DataSourceReader):
-    """Filters on ``host`` (equal to one, or one of a list) keep other hosts' addresses from becoming partitions."""
-
     def __init__(self, options: dict[str, str], get: Callable[[str], tuple]):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.per_partition = int(options.get("urlsPerPartition", "64"))
         self.get = get
 
+    def partitions(self) -> list[Chunk]:
+        return by_host(self.urls, self.per_partition) or [Chunk([])]
+
+    def read(self, partition: Chunk) -> Iterator[tuple]:
+        return map(self.get, partition.urls)
+
+
+class PrunedWebReader(WebReader):
+    """Filters on ``host`` (equal to one, or one of a list) keep other hosts' addresses from becoming partitions. Spark takes such a reader only with ``spark.sql.python.filterPushdown.enabled``."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if isinstance(f, (EqualTo, In)) and f.attribute == ("host",):
@@ -160,12 +168,6 @@ class WebReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Chunk]:
-        return by_host(self.urls, self.per_partition) or [Chunk([])]
-
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        return map(self.get, partition.urls)
-
 
 class WebStreamReader(DataSourceStreamReader):
     """The addresses of the files in a folder, a line each, by file name.
@@ -279,8 +281,8 @@ class WebPages(DataSource):
 
     As a stream: ``spark.readStream.format("web_pages").option("path", folder).option("progress", folder_of_its_own)``, with
     ``urlsPerBatch``, ``urlsPerPartition`` and ``hosts`` (separated by commas; other hosts are passed over). For all:
-    ``timeoutSeconds``, ``maxBytes``, ``maxRedirects``. Filters on ``host`` reach the batch source where
-    ``spark.sql.python.filterPushdown.enabled`` is set.
+    ``timeoutSeconds``, ``maxBytes``, ``maxRedirects``. With ``pushFilters`` true, filters on ``host`` reach
+    the batch source, which needs ``spark.sql.python.filterPushdown.enabled``.
     """
 
     @classmethod
@@ -296,7 +298,8 @@ class WebPages(DataSource):
         return lambda url: fetch(url, timeout, limit, hops)
 
     def reader(self, schema) -> WebReader:
-        return WebReader(self.options, self.getter())
+        kind = PrunedWebReader if self.options.get("pushFilters", "false").lower() == "true" else WebReader
+        return kind(self.options, self.getter())
 
     def streamReader(self, schema) -> WebStreamReader:
         return WebStreamReader(self.options, self.getter())
