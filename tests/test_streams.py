@@ -124,3 +124,13 @@ def test_a_stream_of_nothing(spark, tmp_path):
     stream = spark.readStream.schema("uri string").parquet(str(tmp_path / "in"))
     got = state.change_feed(stream, spark.createDataFrame([], "uri string"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert got.collect() == [] and got.columns == ["uri", "batch"]
+
+
+def test_task_stream_keeps_a_bounded_number_of_states(spark, tmp_path):
+    fields = [F.col("id").cast("string").alias("task_id"), F.lit("o").alias("owner_key"), F.timestamp_millis(F.col("id") * 1000).alias("ts"), F.lit("working").alias("status"), F.lit(None).cast("long").alias("ttl_ms")]
+    frame = spark.range(3000).select(*fields)
+    stream = in_parts(spark, frame, str(tmp_path / "in"), [])
+    with run.configured(spark, spark__sql__streaming__stateStore__providerClass=lifecycle.PROVIDER):
+        query = lifecycle.task_stream(stream).writeStream.outputMode("update").format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 512

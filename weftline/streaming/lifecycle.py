@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.tasks import DEFAULT_TTL_MS, LEAST_TTL_MS, MOST_TTL_MS, TERMINAL
 
 OUTPUT = "task_id string, owner_key string, status string, created_ms long, updated_ms long, expired boolean"
-#: The store that lists, timers and several states of a key need.
+#: Of a bucket of tasks, as JSON: the events of each living task, the deadline of each expired one.
+STATE = "live string, gone string"
+BUCKETS = 512
+#: The store that keeps state on disk, as one of many tasks needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,59 +37,57 @@ def lifecycle(events: list[tuple]) -> tuple[str | None, str, int, int, int]:
     return owner, status, created, ms, deadline
 
 
-class TaskProcessor(StatefulProcessor):
-    """One key per task: its events while it lives, a tombstone for ``keep_ms`` after it has expired, then nothing."""
-
-    def __init__(self, keep_ms: int = MOST_TTL_MS):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", "ms long, status string, owner_key string, ttl_ms long")
-        self.gone = handle.getValueState("gone", "ms long")
-
-    def _row(self, task: object, found: tuple, expired: bool) -> pd.DataFrame:
-        owner, status, created, updated, _ = found
-        return pd.DataFrame({"task_id": [task], "owner_key": [owner], "status": [status], "created_ms": [created], "updated_ms": [updated], "expired": [expired]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.gone.exists():  # what comes for an expired task comes too late
-            return
-        known = {tuple(e) for e in self.events.get()} if self.events.exists() else set()
-        before = lifecycle(list(known)) if known else None
-        for batch in rows:
-            ttls = [None if t != t or t is None else int(t) for t in batch["ttl_ms"]]
-            known |= set(zip((int(x) for x in batch["ms"]), batch["status"], batch["owner_key"], ttls))
-        found = lifecycle(list(known))
-        if before is None or before[4] != found[4]:
-            if before is not None:
-                self.handle.deleteTimer(before[4] + 1)
-            self.handle.registerTimer(found[4] + 1)
-        self.events.put(sorted(known, key=lambda e: (e[0], e[1])))
-        yield self._row(key[0], found, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.gone.exists():
-            self.gone.clear()
-            return
-        found = lifecycle([tuple(e) for e in self.events.get()])
-        self.events.clear()
-        self.gone.update((found[4],))
-        self.handle.registerTimer(found[4] + 1 + self.keep_ms)
-        yield self._row(key[0], found, True)
-
-    def close(self) -> None:
-        pass
-
-
-def task_stream(events: DataFrame, delay: str = "1 day", keep_ms: int = MOST_TTL_MS) -> DataFrame:
+def _advanced(live: dict, gone: dict, news: dict, watermark: int, keep_ms: int) -> tuple[list[tuple], int | None]:
+    """Rows of the tasks in ``news`` and of those that have expired by ``watermark``, and when a task or tombstone is due next.
+
+    ``live`` (events by task) and ``gone`` (deadlines of expired tasks) are brought up to date.
+    """
+    news = {t: e for t, e in news.items() if t not in gone}  # what comes for an expired task comes too late
+    for task, events in news.items():
+        live[task] = live.get(task, set()) | events
+    found = {t: lifecycle(list(e)) for t, e in live.items()}
+    rows = [(t, *found[t][:4], False) for t in news]
+    for task, x in found.items():
+        if x[4] < watermark:
+            del live[task]
+            gone[task] = x[4]
+            rows.append((task, *x[:4], True))
+    for task in [t for t, deadline in gone.items() if deadline + keep_ms + 1 < watermark]:
+        del gone[task]
+    return rows, min([*(found[t][4] for t in live), *(deadline + keep_ms + 1 for deadline in gone.values())], default=None)
+
+
+def task_stream(events: DataFrame, delay: str = "1 day", keep_ms: int = MOST_TTL_MS, buckets: int = BUCKETS) -> DataFrame:
     """The tasks of a stream of events (task_id, owner_key, ts, status, ttl_ms): a row whenever a task changes, and one with ``expired`` once its age passes its time to live.
 
-    Repeated events count once, events out of order within ``delay`` as if in order. Session state has to be kept by
-    ``PROVIDER``. The last row of a task is its state.
+    Repeated events count once, events out of order within ``delay`` as if in order. A task's events are kept while it
+    lives, its tombstone for ``keep_ms`` after it has expired, then nothing. Session state has to be kept by ``PROVIDER``.
+    The last row of a task is its state. State is keyed by ``buckets`` of tasks, so calls and timers of a micro-batch are
+    bounded by their number, not by that of tasks; a checkpoint keeps the number it began with.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(F.col("task_id").cast("string").alias("task_id"), "owner_key", "status", F.col("ttl_ms").cast("long").alias("ttl_ms"), F.unix_millis("ts").alias("ms"), "ts")
-    return timed.groupBy("task_id").transformWithStateInPandas(TaskProcessor(keep_ms), OUTPUT, "Update", "EventTime")
+    fields = [f.split()[0] for f in OUTPUT.split(", ")]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        kept = [json.loads(x) for x in held.get] if held.exists else [[], []]
+        live, gone = {t: {tuple(e) for e in found} for t, found in kept[0]}, dict(kept[1])
+        news: dict[str | None, set[tuple]] = {}
+        if not held.hasTimedOut:
+            for batch in batches:
+                ttls = [None if t is None or t != t else int(t) for t in batch["ttl_ms"].tolist()]
+                for task, *event in zip(batch["task_id"].tolist(), batch["ms"].tolist(), batch["status"].tolist(), batch["owner_key"].tolist(), ttls):
+                    news.setdefault(task, set()).add(tuple(event))
+        watermark = held.getCurrentWatermarkMs()
+        rows, due = _advanced(live, gone, news, watermark, keep_ms)
+        if due is not None:
+            held.update((json.dumps([[t, list(e)] for t, e in live.items()]), json.dumps(list(gone.items()))))
+            held.setTimeoutTimestamp(max(due, watermark))
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame(rows, columns=fields)
+
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(rows: DataFrame) -> DataFrame:
