@@ -7,7 +7,7 @@ import json
 import re
 import unicodedata
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -204,11 +204,14 @@ def listing(cache: DataFrame, now: Column) -> DataFrame:
     return live.select(resource_uri(key_namespace(F.col("cache_key")), key_hash(F.col("cache_key"))).alias("uri"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("url")).alias("name"), F.lit("text/markdown").alias("mime_type"))
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Keys whose entry was added, removed or replaced: (cache_key, change, list_changed); the list changes unless an entry was only replaced."""
-    a = before.select("cache_key", F.col("content").alias("_a"), F.lit(True).alias("_had"))
-    b = after.select("cache_key", F.col("content").alias("_b"), F.lit(True).alias("_has"))
-    both = a.join(b, "cache_key", "full_outer").filter(F.col("_had").isNull() | F.col("_has").isNull() | ~F.col("_a").eqNullSafe(F.col("_b")))
+def changes(before: DataFrame, after: DataFrame, by: Sequence[str] = ("cache_key",)) -> DataFrame:
+    """Keys whose entry was added, removed or replaced: (cache_key, change, list_changed); the list changes unless an entry was only replaced.
+
+    ``by`` names the columns that tell entries apart, where a key has several (its versions, say).
+    """
+    a = before.select(*by, F.col("content").alias("_a"), F.lit(True).alias("_had"))
+    b = after.select(*by, F.col("content").alias("_b"), F.lit(True).alias("_has"))
+    both = a.join(b, list(by), "full_outer").filter(F.col("_had").isNull() | F.col("_has").isNull() | ~F.col("_a").eqNullSafe(F.col("_b")))
     kind = F.when(F.col("_had").isNull(), "added").when(F.col("_has").isNull(), "removed").otherwise("replaced")
     return both.select("cache_key", kind.alias("change"), (kind != "replaced").alias("list_changed"))
 
