@@ -67,10 +67,10 @@ def misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     return requests.join(live, (F.col("cache_key") == F.col("_k")) & ~forced, "left_anti")
 
 
-def put(cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """The cache with ``entries`` inserted or replaced; of equal keys the latest counts, empty content is skipped."""
+def put(cache: DataFrame, entries: DataFrame, by: Sequence[str] = ("cache_key",)) -> DataFrame:
+    """The cache with ``entries`` inserted or replaced; of those equal in ``by``, what tells entries apart, the latest counts, empty content is skipped."""
     both = cache.withColumn("_new", F.lit(0)).unionByName(entries.filter(F.coalesce(F.col("content"), F.lit("")) != "").withColumn("_new", F.lit(1)))
-    latest = W.partitionBy("cache_key").orderBy(F.desc("_new"), F.desc("fetched_at"))
+    latest = W.partitionBy(*by).orderBy(F.desc("_new"), F.desc("fetched_at"))
     return both.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r", "_new")
 
 
