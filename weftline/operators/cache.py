@@ -8,6 +8,8 @@ import re
 import unicodedata
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -45,26 +47,32 @@ def stable_json(value, depth: int = 0) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-def with_cache(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], now: Column) -> DataFrame:
+def with_cache(requests: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame], now: Column, by: Sequence[str] = ("cache_key",)) -> DataFrame:
     """Read-through: hits of ``lookup`` and, for the rest, what ``compute`` makes of the missing requests (their columns with content and fetched_at)."""
-    found = lookup(requests, cache, now)
-    made = compute(misses(requests, cache, now)).select(*requests.columns, "content", "fetched_at").withColumn("from_cache", F.lit(False))
+    found = lookup(requests, cache, now, by)
+    made = compute(misses(requests, cache, now, by)).select(*requests.columns, "content", "fetched_at").withColumn("from_cache", F.lit(False))
     return found.filter("from_cache").select(*requests.columns, "content", "fetched_at", "from_cache").unionByName(made)
 
 
-def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+def _live(cache: DataFrame, now: Column, by: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Unexpired entries with ``by``, what tells entries apart, as _k0, _k1, ..., and the condition that a request is for one."""
+    live = cache.filter(F.col("expires_at") > now).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "content", "fetched_at")
+    return live, reduce(and_, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(by)])
+
+
+def lookup(requests: DataFrame, cache: DataFrame, now: Column, by: Sequence[str] = ("cache_key",)) -> DataFrame:
     """Read-through: each request with its unexpired entry, if any, unless it forces a refresh."""
-    live = cache.filter(F.col("expires_at") > now).select(F.col("cache_key").alias("_k"), "content", "fetched_at")
-    out = requests.join(live, F.col("cache_key") == F.col("_k"), "left")
-    hit = F.col("_k").isNotNull() & ~F.coalesce(F.col("force_refresh"), F.lit(False))
-    return out.withColumn("from_cache", hit).withColumn("content", F.when(hit, F.col("content"))).withColumn("fetched_at", F.when(hit, F.col("fetched_at"))).drop("_k")
+    live, same = _live(cache, now, by)
+    out = requests.join(live, same, "left")
+    hit = F.col("_k0").isNotNull() & ~F.coalesce(F.col("force_refresh"), F.lit(False))
+    return out.withColumn("from_cache", hit).withColumn("content", F.when(hit, F.col("content"))).withColumn("fetched_at", F.when(hit, F.col("fetched_at"))).drop(*[f"_k{i}" for i in range(len(by))])
 
 
-def misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+def misses(requests: DataFrame, cache: DataFrame, now: Column, by: Sequence[str] = ("cache_key",)) -> DataFrame:
     """Requests that must be computed."""
-    live = cache.filter(F.col("expires_at") > now).select(F.col("cache_key").alias("_k"))
+    live, same = _live(cache, now, by)
     forced = F.coalesce(F.col("force_refresh"), F.lit(False))
-    return requests.join(live, (F.col("cache_key") == F.col("_k")) & ~forced, "left_anti")
+    return requests.join(live.drop("content", "fetched_at"), same & ~forced, "left_anti")
 
 
 def put(cache: DataFrame, entries: DataFrame, by: Sequence[str] = ("cache_key",)) -> DataFrame:
