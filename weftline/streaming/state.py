@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -84,19 +84,19 @@ def session_stream(events: DataFrame, gap: str = SESSION_GAP, delay: str = "1 ho
     return events.withWatermark("ts", delay).groupBy("key", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-def changed_subscriptions(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Changed resources that someone subscribes to, by canonical address: a semi join, stream with table or table with table."""
-    wanted = subscriptions.select(subscription_uri(F.col("uri")).alias("_uri")).distinct()
-    return changes.withColumn("_uri", subscription_uri(F.col("uri"))).join(wanted, "_uri", "left_semi").drop("_uri")
+def changed_subscriptions(changes: DataFrame, subscriptions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Changed resources that someone subscribes to, by canonical address and ``by``, what tells resources of one address apart: a semi join, stream with table or table with table."""
+    wanted = subscriptions.select(subscription_uri(F.col("uri")).alias("_uri"), *by).distinct()
+    return changes.withColumn("_uri", subscription_uri(F.col("uri"))).join(wanted, ["_uri", *by], "left_semi").select(*changes.columns)
 
 
-def change_feed(changes: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def change_feed(changes: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ()) -> DataFrame:
     """The notifications of a stream of changes (uri, ...), written under ``path``: each change of a subscribed resource once, with its micro-batch's number.
 
     The subscriptions are a table, read anew for each micro-batch. A micro-batch that failed is written again in its own
     place, and a restart from ``checkpoint`` goes on after the last finished one, so nothing is notified twice or left out.
     """
-    return write_once(changed_subscriptions(changes, subscriptions), path, checkpoint)
+    return write_once(changed_subscriptions(changes, subscriptions, by), path, checkpoint)
 
 
 def duration_stats(rows: DataFrame, value: str) -> DataFrame:
