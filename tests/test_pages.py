@@ -1,11 +1,13 @@
 """What passes through the page operators, failures' codes, and canonical JSON."""
 
+import gzip
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from weftline.functions import urls
+from weftline.functions import encoding, urls
 from weftline.functions.canonical import canonical_json
 from weftline.operators import cache, pages, results
 
@@ -110,3 +112,28 @@ def test_a_file_name_without_url_title_and_hash_has_the_time(spark):
     frame = spark.createDataFrame([(None, None, None), ("ftp://e.com/a", "", None), ("https://e.com/", "Title", None)], "u string, t string, h string")
     name = cache.safe_filename(F.col("u"), F.col("t"), F.col("h"), now=F.lit("1970-01-02 00:00:00").cast("timestamp"))
     assert [r[0] for r in frame.select(name).collect()] == ["download-86400000.md"] * 2 + ["title.md"]
+
+
+def test_only_bodies_that_need_it_go_through_python(spark, monkeypatch):
+    """Python gets coded bodies, and those that are not valid UTF-8; all come out as before."""
+    bodies = [b"<p>\xc3\xa9</p>", b"\xef\xbb\xbf<p>b</p>", b"<p>\xe9</p>", b"<p>\xed\xa0\x80</p>", gzip.compress("<p>é</p>".encode()), None, b""]
+    codings = ["identity", None, " Identity , ,identity", "", "gzip", "identity", ","]
+    types = ["text/html; charset=utf-8", "text/html", "text/html; charset=latin-1", "text/html", "text/html; charset=UTF8", None, "text/html"]
+    rows = [(i, "https://e.com/", 200, t, c, None if b is None else bytearray(b)) for i, (b, c, t) in enumerate(zip(bodies, codings, types))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def content(values: pd.Series, codings: pd.Series) -> pd.DataFrame:
+        seen.add(int(values.notna().sum()))
+        return pd.DataFrame([encoding.content_decode(b, c) for b, c in zip(values, codings)], columns=["body", "error"])
+
+    def html(values: pd.Series, labels: pd.Series) -> pd.Series:
+        seen.add(int(values.notna().sum()))
+        return pd.Series([encoding.decode_bytes(b, x) for b, x in zip(values, labels)])
+
+    monkeypatch.setattr(encoding, "decode_content", F.pandas_udf(content, "body binary, error string"))
+    monkeypatch.setattr(encoding, "decode_html", F.pandas_udf(html, "string"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, status int, content_type string, content_encoding string, body binary")
+    got = [r["html"] for r in sorted(pages.transform_bodies(frame).collect(), key=lambda r: r["page_id"])]
+    plain = [encoding.content_decode(b, c)[0] for b, c in zip(bodies, codings)]
+    assert got == [encoding.decode_bytes(b, encoding.charset_of(b, t)) for b, t in zip(plain, types)]
+    assert seen.value == 3  # the gzip body, and two that are no valid UTF-8

@@ -87,6 +87,13 @@ def decode_html(body: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series([decode_bytes(b, x) for b, x in zip(body, label)])
 
 
+def decoded(body: Column, label: Column) -> Column:
+    """``decode_html``; valid UTF-8 that is labelled so never leaves the JVM, so that Python holds only the other bodies of a batch."""
+    text = F.when(starts_with(body, "EFBBBF"), F.substring(body, 4, 2**31 - 1)).otherwise(body).cast("string")
+    plain = F.coalesce(F.lower(F.trim(label)), F.lit("")).isin("", "utf-8", "utf8") & F.coalesce(F.is_valid_utf8(text), F.lit(True))
+    return F.when(plain, text).otherwise(decode_html(F.when(~plain, body), label))
+
+
 def is_wide(label: Column) -> Column:
     x = F.coalesce(F.lower(F.trim(label)), F.lit(""))
     return x.startswith("utf-16") | x.startswith("utf-32") | x.isin("ucs-2", "unicodefffe", "unicodefeff")
@@ -180,6 +187,11 @@ def decode_content(body: pd.Series, codings: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([content_decode(b, c) for b, c in zip(body, codings)], columns=["body", "error"])
 
 
+def is_uncoded(codings: Column) -> Column:
+    """Whether a Content-Encoding names no coding but identity."""
+    return F.coalesce(codings, F.lit("")).rlike(r"(?i)^[\s,]*(?:identity\s*(?:,[\s,]*|$))*$")
+
+
 def cap_body(body: Column, limit: int) -> tuple[Column, Column]:
     """(first ``limit`` bytes, truncated); 0 or less is no limit."""
     if limit <= 0:

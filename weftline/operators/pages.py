@@ -208,7 +208,9 @@ def transform_bodies(responses: DataFrame, config: ExtractConfig = DEFAULT) -> D
 
     Gates in order: status, content coding, media type, size, binary signature; then the charset decides the decoding.
     """
-    r = responses.withColumn("_c", encoding.decode_content(F.col("body"), F.coalesce("content_encoding", F.lit(""))))
+    plain = encoding.is_uncoded(F.col("content_encoding"))  # such bodies stay out of Python
+    coded = encoding.decode_content(F.when(~plain, F.col("body")), F.coalesce("content_encoding", F.lit("")))
+    r = responses.withColumn("_d", coded).withColumn("_c", F.struct(F.when(plain, F.col("body")).otherwise(F.col("_d.body")).alias("body"), F.when(~plain, F.col("_d.error")).alias("error")))
     status = F.coalesce(F.col("status"), F.lit(200))
     cap, cut = encoding.cap_body(F.col("_c.body"), config.max_bytes)
     label = encoding.resolve_charset(F.col("_c.body"), F.coalesce("content_type", F.lit("")))
@@ -219,4 +221,4 @@ def transform_bodies(responses: DataFrame, config: ExtractConfig = DEFAULT) -> D
         .when(~encoding.media_type_allowed(F.coalesce("content_type", F.lit(""))), F.concat(F.lit("Unsupported content type: "), encoding.media_type(F.col("content_type"))))
         .when(encoding.is_binary(F.col("_c.body"), label), F.lit("Detailed content type check failed: binary content detected"))
     )
-    return r.select("page_id", "url", F.when(error.isNull(), encoding.decode_html(cap, label)).alias("html"), label.alias("encoding"), cut.alias("truncated"), F.octet_length("_c.body").alias("size"), error.alias("error"))
+    return r.select("page_id", "url", F.when(error.isNull(), encoding.decoded(cap, label)).alias("html"), label.alias("encoding"), cut.alias("truncated"), F.octet_length("_c.body").alias("size"), error.alias("error"))
