@@ -11,6 +11,7 @@ from weftline.functions import noise
 from weftline.functions.dom import Node, parse as tree
 from weftline.functions.selectors import SelectorError, matches_node, parse
 from weftline.operators import nodes, twigs
+from weftline.sources import tables
 
 PAGE = """<body><header id="top" class="site nav"><h1>T</h1></header><nav><ul><li class="first">a</li><li><a href="/x?Q=1" lang="en-GB">b</a></li><li>c</li></ul></nav>
 <main><section data-kind="Lead"><p>1</p><p class="x y">2</p><div><p>3</p></div></section><p>4</p></main><footer><p>5</p></footer></body>"""
@@ -115,3 +116,13 @@ def test_structural_join_is_linear(spark):
     assert nodes.within(n, n.filter("pre % 2 = 0")).count() == 100_000
     assert nodes.without(n, n.filter("pre % 4 = 0")).count() == 50_000
     assert time.time() - began < 5
+
+
+def test_elements_are_dealt_by_the_tables_size(spark):
+    rows = [(i, "<ul><li>a</li><li>b</li></ul>" + "x" * 971) for i in range(40)]
+    p = spark.createDataFrame(rows, "page_id long, html string")
+    assert [tables.shares(p, "html", each) for each in (1000, 2000, 10**6)] == [40, 20, 4]  # at least the session's 4
+    n = nodes.html_nodes(p)
+    assert twigs.mark(n, {"s": "ul > li"}, 9).rdd.getNumPartitions() == 9
+    got = twigs.counts(n, {"s": "ul > li"}, 9).collect()
+    assert sorted((r["page_id"], r["n"]) for r in got) == [(i, 2) for i in range(40)]

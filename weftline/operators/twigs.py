@@ -101,12 +101,13 @@ def _advanced(elements: DataFrame, wanted: Mapping[str, tuple[Chain, ...]], own:
     return out.withColumns(every).drop(*chains)
 
 
-def mark(nodes: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
+def mark(nodes: DataFrame, selectors: Mapping[str, str], parts: int | None = None) -> DataFrame:
     """(page_id, node_id, parent_id, pre, post, depth, tag, and a boolean for each of ``selectors``) of every element of a node table.
 
     Selectors are parsed by ``functions.selectors.parse``; what is none is a SelectorError before anything runs. A page_id
     stands for one page; elements of null page_ids are one page like any other. A page is handled in one task, which its
-    byte limit bounds.
+    byte limit bounds. Elements are dealt over ``parts`` partitions (by default the session's); a task sorts its share for
+    each window, so their number has to grow with the table (``tables.shares``).
     """
     parsed = {name: parse(s) for name, s in selectors.items()}
     compounds = dict.fromkeys(c for found in parsed.values() for c in _compounds(found))
@@ -118,7 +119,7 @@ def mark(nodes: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
     inner = {chains: f"inner{i}" for i, chains in enumerate(depths)}
     places = {t.name for c in compounds for t in c.tests if t.kind == "place"}
     narrow = ["page_id", "node_id", "parent_id", "pre", "post", "depth", "tag"]
-    out = nodes.filter("kind = 'element'").select(*narrow, *[_own(c).alias(column) for c, column in own.items()]).repartition("page_id")
+    out = nodes.filter("kind = 'element'").select(*narrow, *[_own(c).alias(column) for c, column in own.items()]).repartition(*([parts] if parts else []), "page_id")
     if places:
         out = out.withColumns({f"_{p}": _place(p) for p in places})
     for depth in sorted(set(depths.values()), reverse=True):
@@ -128,9 +129,9 @@ def mark(nodes: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
     return out.select(*narrow, *[F.col(column).alias(name) for column, name in names.items()])
 
 
-def counts(nodes: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
+def counts(nodes: DataFrame, selectors: Mapping[str, str], parts: int | None = None) -> DataFrame:
     """(page_id, selector, n): how many elements of each page fit each selector; pages without elements have no rows."""
-    marked = mark(nodes, {f"s{i}": s for i, s in enumerate(selectors.values())})
+    marked = mark(nodes, {f"s{i}": s for i, s in enumerate(selectors.values())}, parts)
     n = marked.groupBy("page_id").agg(*[F.count_if(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(selectors))])
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("selector"), F.col(f"s{i}").alias("n")) for i, name in enumerate(selectors)])).alias("x")
     return n.select("page_id", pairs).select("page_id", "x.selector", "x.n")

@@ -20,6 +20,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shares(df: DataFrame, column: str, each: int = 4 << 20) -> int:
+    """Partitions for a shuffle of what is made of ``column``'s texts, one for ``each`` of their bytes and at least the session's number, so that a task's share stays the same as a table grows. Reads the column once."""
+    n = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
+
+
 def downloads(cache: DataFrame) -> DataFrame:
     """What a download of each cache entry gives: file name, media type, content."""
     from weftline.operators.cache import key_hash, safe_filename
