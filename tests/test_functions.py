@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import MARKER, NoiseConfig
-from weftline.functions import codelang, encoding, markdown, urls
+from weftline.functions import codelang, encoding, markdown, noise, urls
 from weftline.functions.article import content_root, sentences_cut
 from weftline.functions.dom import parse
 from weftline.functions.metadata import early_metadata, extract_metadata, favicon, merge_metadata
@@ -365,3 +365,19 @@ def test_truncation_by_brute_force(spark):
     for r in got:
         want = r["t"] if r["t"] is None or r["n"] is None else _cut(r["t"], r["n"])
         assert r["a"] == r["b"] == want, r
+
+
+def test_elements_without_attributes_are_scored_by_name_alone(monkeypatch):
+    """Of a plain table only elements that can be noise are looked at; the rest of the rules still hold."""
+    calls = []
+    score = noise.score
+    monkeypatch.setattr(noise, "score", lambda n, c: calls.append(n.tag) or score(n, c))
+    root = parse("<table><tr><td>a</td><td>b</td></tr></table><p>x<b>y</b></p>")
+    noise.strip_noise(root)
+    noise._noisy_tags(noise.NoiseConfig())
+    calls.clear()
+    assert to_html(noise.strip_noise(root)) == to_html(parse("<table><tr><td>a</td><td>b</td></tr></table><p>x<b>y</b></p>")) and not calls
+    root = parse("<div><form>f</form><nav>n</nav><script>s</script><p hidden>h</p><p class='x'>k</p><i>i</i></div>")
+    noise.strip_noise(root)
+    assert to_html(root) == to_html(parse("<div><p class='x'>k</p><i>i</i></div>"))
+    assert "p" in calls and "i" not in calls
