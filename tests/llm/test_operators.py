@@ -220,6 +220,37 @@ def test_merged_transform_is_that_of_the_whole():
         assert len(set(zip(windows, classes))) == len(set(windows)) == len(set(classes))
 
 
+def test_a_merge_reads_its_own_strings_alone():
+    """A bucket's other bytes, far more than one merge takes, are not gone through again for each merge."""
+    strings = [b"a" * 60, b"b" + b"a" * 52, b"ab" * 30]
+    data = np.frombuffer(b"".join(strings) + b"x" * (64 << 20), np.uint8)
+    sizes = np.array([len(x) for x in strings])
+    starts, shard, spent = np.cumsum(sizes) - sizes, np.array([0, 1, 2]), []
+    for bytes_ in (data[: sizes.sum()], data):
+        runs = []
+        for _ in range(5):
+            begin = time.perf_counter()
+            classes = suffixes.window_classes(bytes_, starts, sizes, shard).tolist()
+            runs.append(time.perf_counter() - begin)
+        spent.append(min(runs))
+    windows = [x[i : i + 50] for x in strings for i in range(len(x) - 49)]
+    assert len(set(zip(windows, classes))) == len(set(windows)) == len(set(classes)) and spent[1] < 10 * spent[0]
+
+
+def test_values_are_ranked_with_and_without_room_for_positions():
+    r = np.random.default_rng(4)
+    for width in (3, 40, 63):
+        values = r.integers(0, 1 << width, 5000, dtype=np.uint64) & ~np.uint64(1)
+        values[2500:] = values[:2500]
+        order, new = suffixes.ordered(values, width)
+        assert order.tolist() == np.argsort(values, kind="stable").tolist() and new.sum() == len(set(values.tolist())) - 1
+        assert suffixes.ranks(values, width).tolist() == np.unique(values, return_inverse=True)[1].tolist()
+    hashes = np.repeat(r.integers(0, 1 << 63, 100, dtype=np.uint64), 30)[r.permutation(3000)]
+    order = suffixes.brought_together(hashes)
+    runs = np.split(order, np.flatnonzero(np.diff(hashes[order])) + 1)
+    assert len(runs) == 100 and all((np.diff(x) > 0).all() for x in runs)
+
+
 # ---- top-k
 
 

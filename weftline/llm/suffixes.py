@@ -32,14 +32,14 @@ from .exchange import GROUP, LAST, Exchange, owners, texts
 WINDOW = 50
 SEED = 20
 _SPREAD = WINDOW - SEED + 1
-STRIDE = 5
+STRIDE = 10
 SHARDS = 4
 #: Symbols merged at a time; minimizers are never split over two merges.
 MERGE_SYMBOLS = 100_000
 #: The strings of a minimizer of more documents are dealt out as single windows, over a part of it for each PART_DOCUMENTS, so that a key stays bounded.
 HOT_DOCUMENTS = 4096
 PART_DOCUMENTS = 256
-SLICE = 1 << 20
+SLICE = 1 << 17
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -127,41 +127,55 @@ def _unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
 # ---- transforms of shards, and their merge
 
 
-def suffix_order(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ordered(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each value in it is another than the one before) of values below 2 ** ``width``, sorted in one word with their positions where both have room."""
+    n = len(values)
+    bits = np.uint64(n.bit_length())
+    if width + int(bits) <= 64:
+        both = (values << bits) | np.arange(n, dtype=np.uint64)
+        both.sort()
+        order, sorted_ = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+    else:
+        order = np.argsort(values, kind="stable")
+        sorted_ = values[order]
+    return order, np.concatenate(([False], sorted_[1:] != sorted_[:-1]))[:n]
+
+
+def ranks(values: np.ndarray, width: int) -> np.ndarray:
+    """The number of each value among the distinct ones, in their order, from 0; values are below 2 ** ``width``."""
+    order, new = ordered(values, width)
+    rank = np.empty(len(values), np.uint64)
+    rank[order] = np.cumsum(new, dtype=np.uint64)
+    return rank
+
+
+def suffix_order(number: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in the order of their first WINDOW symbols: first STRIDE empty ones for each string, then the rest.
 
-    ``symbols`` are bytes above 0; every string is followed by eight or more zeros. Suffixes that agree in WINDOW symbols
-    come in any order: as the merge goes no deeper, they are in one interval, and which of them a rank stands for is all
-    the same (preceded by equal symbols they again agree in WINDOW symbols).
+    ``number`` has the rank of the STRIDE symbols from each position on; every string is followed by more than STRIDE
+    zeros. Suffixes that agree in WINDOW symbols come in any order: as the merge goes no deeper, they are in one interval,
+    and which of them a rank stands for is all the same (preceded by equal symbols they again agree in WINDOW symbols).
     """
     spans = sizes + STRIDE
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-    key = np.zeros(len(symbols), np.uint64)
-    for i in range(8):
-        key[: len(symbols) - i] |= symbols[i:].astype(np.uint64) << np.uint64(8 * (7 - i))
-    value = key[at]
-    rank_at = np.zeros(len(symbols) + 128, np.uint64)
-    depth = 8
+    known = np.zeros(len(number) + 2 * WINDOW, np.uint64)
+    known[: len(number)] = number
+    bits = int(known.max(initial=0)).bit_length()
+    depth = STRIDE
     while True:
-        order = np.argsort(value)
-        if depth >= WINDOW:
-            return at[order]
-        sorted_ = value[order]
-        new = np.concatenate(([False], sorted_[1:] != sorted_[:-1]))
-        rank = np.empty(len(at), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        rank_at[:] = 0
-        rank_at[at] = rank
-        value = (rank << np.uint64(32)) | rank_at[at + depth]
+        value = (known[at] << np.uint64(bits)) | known[at + depth]
         depth *= 2
+        if depth >= WINDOW:
+            return at[ordered(value, 2 * bits)[0]]
+        rank = ranks(value, 2 * bits)
+        known[:] = 0
+        known[at] = rank
+        bits = len(at).bit_length()
 
 
-def _stable(values: np.ndarray, largest: int) -> np.ndarray:
-    """Stable order by counting: one pass for each 16 bits."""
-    if largest < 1 << 16:
-        return np.argsort(values.astype(np.uint16), kind="stable")
-    low = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
-    return low[np.argsort((values[low] >> 16).astype(np.uint16), kind="stable")]
+def places_of(interleave: np.ndarray, shards: int) -> np.ndarray:
+    """The ranks of the first shard, then of the second, and so on."""
+    return np.concatenate([np.flatnonzero(interleave == s) for s in range(shards)])
 
 
 def merge_transforms(transforms: list[np.ndarray], empties: list[int], passes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,21 +186,19 @@ def merge_transforms(transforms: list[np.ndarray], empties: list[int], passes: i
     """
     sizes = [len(t) for t in transforms]
     symbols = np.concatenate(transforms)
-    largest = int(symbols.max(initial=0))
+    width = int(symbols.max(initial=0)).bit_length()
     origin = np.repeat(np.arange(len(transforms), dtype=np.uint8), sizes)
     front = np.repeat(np.arange(len(transforms), dtype=np.uint8), empties)
     ends = len(front)
     interleave, block = origin.copy(), np.zeros(len(symbols), np.int32)
     common = np.full(len(symbols), passes, np.int16)
     common[:1] = 0
-    merged = np.empty_like(symbols)
+    merged = np.empty(len(symbols), np.uint64)
     for step in range(passes):
-        merged[np.argsort(interleave, kind="stable")] = symbols
-        dealt = _stable(merged, largest)
-        symbol, before = merged[dealt], block[dealt]
-        border = np.empty(len(symbols), bool)
-        border[0] = False
-        border[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
+        merged[places_of(interleave, len(transforms))] = symbols
+        dealt, border = ordered(merged, width)
+        before = block[dealt]
+        border[1:] |= before[1:] != before[:-1]
         border[1:ends] = False
         common[border & (common > step)] = step
         interleave = interleave[dealt]
@@ -204,34 +216,40 @@ def window_classes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shar
         at = np.empty(len(sizes), np.int64)
         at[by_shard] = np.cumsum(windows[by_shard]) - windows[by_shard]
         return found[np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
-    used = np.zeros(256, bool)
-    used[data] = True
-    dense = np.cumsum(used).astype(np.uint8)  # text in UTF-8 never has all 256 values
-    gap = 8
+    gap = STRIDE + 1
     places = np.concatenate(([0], np.cumsum(sizes + gap)))[:-1]
     symbols = np.zeros(int((sizes + gap).sum()), np.uint8)
-    inside = np.repeat(places - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    symbols[inside] = dense[data[np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())]]
+    before = np.cumsum(sizes) - sizes
+    step = np.arange(sizes.sum())
+    own = data[np.repeat(starts - before, sizes) + step]  # the strings' bytes: ``data`` is a whole bucket's, far more than one merge takes
+    used = np.zeros(256, bool)
+    used[own] = True
+    dense = np.cumsum(used).astype(np.uint8)  # text in UTF-8 never has all 256 values
+    symbols[np.repeat(places - before, sizes) + step] = dense[own]
+    half = STRIDE // 2
     code = np.zeros(len(symbols), np.uint64)
-    for i in range(STRIDE):
-        code[: len(symbols) - i] |= symbols[i:].astype(np.uint64) << np.uint64(8 * (STRIDE - 1 - i))
-    _, number = np.unique(code, return_inverse=True)
-    number = number.astype(np.uint32) + 1
+    for i in range(half):
+        code[: len(symbols) - i] |= symbols[i:].astype(np.uint64) << np.uint64(8 * (half - 1 - i))
+    number = ranks(code, 8 * half)
+    bits = len(symbols).bit_length()
+    code = number << np.uint64(bits)
+    code[:-half] |= number[half:]
+    number = ranks(code, 2 * bits) + np.uint64(1)
     string = np.repeat(np.arange(len(sizes)), sizes + gap)
     transforms, orders, empties = [], [], []
     bounds = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(sizes))
     for a, b in zip(bounds[:-1], bounds[1:]):
         low = places[a]
         high = places[b - 1] + sizes[b - 1] + gap
-        order = suffix_order(symbols[low:high], places[a:b] - low, sizes[a:b]) + low
+        order = suffix_order(number[low:high], places[a:b] - low, sizes[a:b]) + low
         preceded = order - places[string[order]] >= STRIDE
-        transforms.append(np.where(preceded, number[np.maximum(order - STRIDE, 0)], 0).astype(np.uint32))
+        transforms.append(np.where(preceded, number[np.maximum(order - STRIDE, 0)], np.uint64(0)))
         orders.append(order)
         empties.append(STRIDE * (b - a))
     interleave, common = merge_transforms(transforms, empties, WINDOW // STRIDE)
     interval = np.cumsum(common < WINDOW // STRIDE, dtype=np.int32)
     of = np.zeros(len(symbols), np.int32)
-    of[np.concatenate(orders)] = interval[np.argsort(interleave, kind="stable")]
+    of[np.concatenate(orders)] = interval[places_of(interleave, len(transforms))]
     windows = sizes - WINDOW + 1
     at = np.repeat(places - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(windows.sum())
     return of[at]
@@ -260,6 +278,15 @@ def least_documents(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, doc
     return out
 
 
+def brought_together(hashes: np.ndarray) -> np.ndarray:
+    """Positions in an order that brings equal hashes together, those of one hash as they come. Hashes that agree but for the bits a position takes may lie among each other: a hash can come in several runs, which costs work only."""
+    n = len(hashes)
+    bits = np.uint64(n.bit_length())
+    both = ((hashes >> bits) << bits) | np.arange(n, dtype=np.uint64)
+    both.sort()
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the strings of ``sizes`` (WINDOW or more) bytes at ``a`` and at ``b`` are equal, word by word."""
     words = np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), strides=(1,))
@@ -270,12 +297,22 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return out
 
 
+def prints_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A print of each string, by its bytes and size; the strings follow one another in ``data``, of which a slice is taken at a time."""
+    out = np.empty(len(sizes), np.uint64)
+    for a, b in slices(sizes, SLICE):
+        low, high = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
+        up, down = _powers(high - low + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data[low:high]] * up[: high - low], dtype=np.uint64)))
+        at = starts[a:b] - low
+        out[a:b] = mix((total[at + sizes[a:b]] - total[at]) * down[at] + sizes[a:b].astype(np.uint64))
+    return out
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each string among the distinct ones, the one of the smallest doc for each of those), in the order of ``keys``. A print brings equal strings together; only equal bytes make them one."""
-    up, down = _powers(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-    prints = (total[starts + sizes] - total[starts]) * down[starts]
-    order = np.lexsort((docs, sizes, prints, keys))
+    prints = prints_of(data, starts, sizes)
+    order = np.lexsort((docs, prints, keys))
     k, p, z = keys[order], prints[order], sizes[order]
     new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])))[: len(k)]
     alike = np.flatnonzero(~new)
@@ -306,7 +343,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             hashes.append(found)
             docs_.append(own[a + rows])
         h, d = np.concatenate(hashes), np.concatenate(docs_)
-        order = np.lexsort((d, h))
+        order = brought_together(h)  # of one hash by document, as the rows are
         h, d = h[order], d[order]
         distinct = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))[: len(h)]
         h = h[distinct]
@@ -314,7 +351,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         count = np.diff(np.append(new, len(h)))
         h = h[new]
         bucket, rest = _packed(h, buckets)
-        order = np.lexsort((rest, bucket))
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | rest)
         bucket, rest, count = bucket[order], rest[order], count[order].astype(np.uint32)
         names, at = np.unique(bucket, return_index=True)
         return {int(n): struct.pack("<q", n) + _pack(rest[x:y], count[x:y]) for n, x, y in zip(names, at, np.append(at[1:], len(rest)))}
@@ -376,16 +413,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if not len(key):
             return {}
         at = np.concatenate(bytes_)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, size, print_, key, bucket))
+        order = brought_together(mix(key + print_))  # of one string by document, as the rows are
         k, p, z = key[order], print_[order], size[order]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])))
         alike = np.flatnonzero(~new)  # equal prints are only taken for equal strings if the bytes are
         new[alike] = ~same_bytes(data_, at[order[alike]], at[order[alike - 1]], z[alike].astype(np.int64))
         one = order[new]
+        bucket = (key[one] % np.uint64(buckets)).astype(np.int64)
+        dealt = np.lexsort((key[one], bucket))
+        number = np.empty(len(one), np.int32)
+        number[dealt] = np.arange(len(one), dtype=np.int32)
         string = np.empty(len(key), np.int32)
-        string[order] = np.cumsum(new) - 1
-        names, first = np.unique(bucket[one], return_index=True)
+        string[order] = number[np.cumsum(new) - 1]
+        one = one[dealt]
+        names, first = np.unique(bucket[dealt], return_index=True)
         out: dict[int, bytes] = {}
         raw = data_.tobytes()
         group = int(table.column(GROUP)[0].as_py())
@@ -421,7 +462,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def finish(table: pa.Table, blocks: list[bytes]) -> pa.Table:
         data, offsets = texts(table)
         own = owners(table)
-        removed = np.zeros(len(data) + 1, np.int32)
+        begins = np.zeros(len(data), np.int8)  # where removed windows begin
         blocks = sorted(blocks, key=lambda b: struct.unpack_from("<q", b)[0])
         if blocks:
             row, start, size, string = _unpack(blocks[0][16:], "<i4", "<i8", "u1", "<i4")
@@ -435,9 +476,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
                 smaller = least[np.repeat(at[string[some]], m) + step] < np.repeat(own[row[some]], m)
                 where = (np.repeat(offsets[row[some]] + start[some], m) + step)[smaller]
-                np.add.at(removed, where, 1)
-                np.subtract.at(removed, where + WINDOW, 1)
-        gone = np.cumsum(removed[:-1]) > 0
+                begins[where] = 1
+        count = np.cumsum(begins, dtype=np.int64)
+        gone = count > 0  # a window of the last WINDOW places begins here or before; none crosses a row's end
+        gone[WINDOW:] = count[WINDOW:] > count[:-WINDOW]
         spans, digests, kept = [], [], []
         for i in range(table.num_rows):
             flags = gone[offsets[i] : offsets[i + 1]]
