@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import MARKER, NoiseConfig
-from weftline.functions import codelang, encoding, markdown, noise, urls
+from weftline.functions import codelang, dom, encoding, markdown, noise, render, urls
 from weftline.functions.article import content_root, sentences_cut
 from weftline.functions.dom import parse
 from weftline.functions.metadata import early_metadata, extract_metadata, favicon, merge_metadata
@@ -381,3 +381,27 @@ def test_elements_without_attributes_are_scored_by_name_alone(monkeypatch):
     noise.strip_noise(root)
     assert to_html(root) == to_html(parse("<div><p class='x'>k</p><i>i</i></div>"))
     assert "p" in calls and "i" not in calls
+
+
+def _shape(node):
+    return node.tag, node.attrs, [c if isinstance(c, str) else _shape(c) for c in node.children]
+
+
+def test_pages_of_simple_tags_are_cut_up_at_once_into_the_same_tree():
+    simple = ["<h2>a &amp; b</h2><p>x<p>y<table><tr><td>1<td colspan=\"2\">2</table>z", "<head><b>x</b></head><body class=\"q\">t</br><li>1<li>2", "x&#x2<b>&#x2</b>&lt", "<ul><LI>a</b></LI></ul></p>", "no tag"]
+    other = ["<p a='1'>x</p>", "<!-- <b> --><b>x</b>", "a < b", "<title>t</title>", "<td >x", "</p a=\"b\">x", "<p a=\"x>y\">z"]
+    for html in simple:
+        root, every = dom.parse_elements(html)
+        assert dom._simple_tree(html) is not None and _shape(root) == _shape(dom._tree(html).root) and every == list(root.elements())
+    for html in other:
+        root, every = dom.parse_elements(html)
+        assert dom._simple_tree(html) is None and every == list(root.elements())
+
+
+def test_of_a_table_only_cells_and_caption_are_rendered(monkeypatch):
+    seen = []
+    element = render.Renderer.element
+    monkeypatch.setattr(render.Renderer, "element", lambda self, node, done: seen.append(node.tag) or element(self, node, done))
+    html = "<table><caption>c</caption><thead><tr><th>a</th></tr></thead><tbody><tr><td><b>1</b><table><tr><td>in</td></tr></table></td></tr></tbody></table><div><tr><td>out</td></tr></div>"
+    assert render.to_markdown(dom.parse(html)) == "c\n\n| a |\n| --- |\n| **1**  \\| in \\| \\| --- \\| |\n| in |\n\nout"
+    assert sorted(seen) == sorted("#document table caption th td b table td div tr td".split())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from weftline.config import DEFAULT, MARKER, ExtractConfig
 from weftline.functions import encoding, markdown, noise, urls
 from weftline.functions.article import Article, content_root, extract_article, use_article
-from weftline.functions.dom import Node, parse
+from weftline.functions.dom import Node, parse, parse_elements
 from weftline.functions.metadata import FIELDS, early_metadata, extract_metadata, merge_metadata
 from weftline.functions.render import to_markdown
 
@@ -43,14 +43,20 @@ class Laps:
 
 def html_to_markdown(html: str, url: str = "", config: ExtractConfig = DEFAULT) -> str:
     """One fragment or page: noise out, rendered, cleaned, links resolved."""
-    return _finish(_denoised(parse(html), url, config), url, config, Laps())
+    root, every = parse_elements(html)
+    text = _finish(_denoised(root, url, config, every), url, config, Laps())
+    for node in every:  # without the ways up the tree is no circle, and goes without the collector
+        node.parent = None
+    return text
 
 
-def _denoised(root: Node, url: str, config: ExtractConfig) -> Node:
+def _denoised(root: Node, url: str, config: ExtractConfig, every: list[Node] | None = None) -> Node:
     if not config.skip_noise:
-        noise.strip_noise(root, config.noise)
+        noise.strip_noise(root, config.noise, every)
         if url:
             noise.absolutise(root, url)
+    if every is not None and not any(n.tag == "body" for n in every):
+        return root
     return root.find("body") or root
 
 
